@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 LENIENT = {"mode": "PERMISSIVE", "allowUnquotedControlChars": "true"}
 
@@ -60,6 +61,6 @@ def salvage(raw: str | None) -> list[str]:
     return found
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def balanced_objects(raw: pd.Series) -> pd.Series:
     return raw.map(salvage)

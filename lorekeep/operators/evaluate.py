@@ -11,16 +11,11 @@ from lorekeep.operators import search as S
 _ANCHOR_WORDS = 3
 
 
-def _shingles(text: str):
-    """The runs of three whole words of a text, as one string each."""
-    words = T.words(text)
-    return F.transform(
-        F.when(
-            F.size(words) >= _ANCHOR_WORDS,
-            F.sequence(F.lit(1), F.size(words) - (_ANCHOR_WORDS - 1)),
-        ).otherwise(F.expr("cast(array() as array<int>)")),
-        lambda i: F.array_join(F.slice(words, i, F.lit(_ANCHOR_WORDS)), " "),
-    )
+def _shingles(words: str):
+    """The runs of three neighbouring words of a word-list column, as one string each."""
+    last = F.size(words) - (_ANCHOR_WORDS - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(_ANCHOR_WORDS)), " "))
 
 
 def verbatim_matches(docs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -38,11 +33,16 @@ def verbatim_matches(docs: DataFrame, passages: DataFrame) -> DataFrame:
     short = passages.where(F.size(words) < _ANCHOR_WORDS + 2).select(
         "query_id", F.col("text").alias("passage"), F.substring("text", 1, 1).alias("anchor")
     )
-    by_words = docs.select("doc_id", F.explode(F.array_distinct(_shingles("text"))).alias("anchor"))
+    by_words = docs.select("doc_id", T.words("text").alias("w")).select(
+        "doc_id", F.explode(F.array_distinct(_shingles("w"))).alias("anchor")
+    )
     by_char = docs.select(
         "doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("anchor")
     )
-    pairs = by_words.join(long, "anchor").unionByName(by_char.join(short, "anchor"))
+    small = S.small_enough(passages)
+    pairs = by_words.join(S.attach(long, small), "anchor").unionByName(
+        by_char.join(S.attach(short, small), "anchor")
+    )
     return (
         pairs.drop("anchor")
         .join(docs.select("doc_id", "text"), "doc_id")

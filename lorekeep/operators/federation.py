@@ -61,13 +61,13 @@ def federated_search(
     """
     docs = rows.select(F.col("row_id").alias("doc_id"), search_text().alias("text"))
     hits = S.bm25_scores(queries, docs).where("score > 0")
-    pool = S.topk(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], 3 * limit, "__r")
+    pool = S.topk(hits, ["query_id"], [S.best("score"), F.asc("doc_id")], 3 * limit, "__r")
     known = pool.join(rows.select(F.col("row_id").alias("doc_id"), "collection_id", "sensitive"), "doc_id")
     if not include_sensitive:
         known = known.where("not sensitive")
     boost = F.when(F.col("collection_id").isin(*(boosted or [""])), S.NEIGHBOUR_COLLECTION_BOOST).otherwise(1.0)
     ranked = S.topk(
-        known.withColumn("score", F.col("score") * boost), ["query_id"], [F.desc("score"), F.asc("__r")], limit
+        known.withColumn("score", F.col("score") * boost), ["query_id"], [S.best("score"), F.asc("__r")], limit
     )
     return ranked.select("query_id", F.col("doc_id").alias("row_id"), "rank", F.round("score", 4).alias("score"))
 

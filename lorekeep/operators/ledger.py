@@ -43,7 +43,7 @@ def transitions(events: DataFrame) -> DataFrame:
     out = skew.running(
         events, ["job_id"], reverse, [F.desc("ts"), F.desc("seq")], lead={"__p": "state"}
     )
-    before = F.col("__p")["state"]
+    before = F.col("__p")
     return out.withColumn("previous", before).withColumn("legal", legal_move(before, F.col("state"))).drop("__p")
 
 

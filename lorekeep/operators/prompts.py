@@ -226,9 +226,9 @@ def route_members(
     # the map is a short list of named domains; its names are held in the row, not cross-joined
     names = every.select(F.collect_list(F.struct("domain_id", "domain_seq", "name"))).scalar()
     low = F.lower("answer")
-    by_name = asked.join(chosen.select("query_id").distinct(), "query_id", "left_anti").select(
+    by_name = asked.withColumn("map", names).join(chosen.select("query_id").distinct(), "query_id", "left_anti").select(
         "query_id",
-        F.explode(F.filter(names, lambda d: (d["name"] != "") & F.contains(low, F.lower(d["name"])))).alias("d"),
+        F.explode(F.filter("map", lambda d: (d["name"] != "") & F.contains(low, F.lower(d["name"])))).alias("d"),
     ).select("query_id", "d.domain_id", "d.domain_seq")
     if allowed is not None:
         inside = by_name.join(allowed, ["query_id", "domain_id"], "left_semi")

@@ -25,6 +25,32 @@ LENGTH_PENALTY = 0.5
 EXACT_BOOST = 0.5
 NEIGHBOUR_COLLECTION_BOOST = 1.25
 CONTEXT_BUDGET = 6000
+BROADCAST_ROWS = 1_000_000  # query terms of about 40 bytes
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by a unique key with the session's partition count.
+
+    The count is given so that the runtime does not merge partitions by their small input size:
+    the work behind them is far bigger than their bytes.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key)
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; it is never counted further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def attach(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast a side whose row count was checked; a bigger one joins by shuffle."""
+    return F.broadcast(df) if small else df
+
+
+def best(score: str) -> Column:
+    """Descending by score; differences below 1e-9 are noise of the summing order, so they tie."""
+    return F.desc(F.round(score, 9))
 
 
 # ---- windows ---------------------------------------------------------------------------------
@@ -96,19 +122,21 @@ def _scalar_row(df: DataFrame) -> Column:
 
 def channel_scores(
     queries: DataFrame, notes: DataFrame | None = None, postings: DataFrame | None = None,
-    corpus: DataFrame | None = None,
+    corpus: DataFrame | None = None, small: bool | None = None,
 ) -> DataFrame:
     """query_id, note_id, hay_len, haystack, tri_title, tri_summary: raw BM25 per channel.
 
-    Works from notes, or from written postings plus their one-row corpus table.
+    Works from notes, or from written postings plus their one-row corpus table. ``small`` tells
+    whether the query terms passed the size check; it is made here when not given.
     """
     wanted = query_field_terms(queries)
-    vocabulary = wanted.select("field", "term").distinct()
+    small = small_enough(wanted) if small is None else small
+    vocabulary = attach(wanted.select("field", "term").distinct(), small)
     if postings is None:
         corpus = I.corpus_row(notes)
         # The one shuffle of the documents, as text, which is a fraction of the size of its term
         # rows. Everything per note stays in place after it.
-        placed = I.note_terms(notes.repartition("note_id"))
+        placed = I.note_terms(spread(notes, "note_id"))
         rows = I.term_rows(placed).join(vocabulary, ["field", "term"], "left_semi")
         postings = I.count_terms(rows)
     else:
@@ -122,7 +150,7 @@ def channel_scores(
     length = F.greatest(F.col("dl"), F.lit(1))
     gain = F.col("idf") * bm25_term(F.col("tf"), length, mean)
     return (
-        match_postings(weights, postings)
+        match_postings(attach(weights, small), postings)
         .withColumn("gain", gain)
         .groupBy("query_id", "note_id")
         .agg(
@@ -138,7 +166,9 @@ def search_index(
     postings: DataFrame | None = None, corpus: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, note_id, rank, score: three channels blended, hubs damped, best first."""
-    scores = channel_scores(queries, notes, postings, corpus)
+    # a query with a candidate has a term, so the check on the terms also bounds the queries
+    small = small_enough(query_field_terms(queries))
+    scores = channel_scores(queries, notes, postings, corpus, small)
     tops = scores.groupBy("query_id").agg(
         *[F.max(f).alias(f"top_{f}") for f in I.FIELDS], F.avg("hay_len").alias("mean_len")
     )
@@ -154,8 +184,10 @@ def search_index(
     mean, length = F.col("mean_len"), F.col("hay_len")
     damped = F.when(mean > 0, blend * mean / (mean + LENGTH_PENALTY * length)).otherwise(blend)
     ranked = topk(
-        scores.join(tops, "query_id").select("query_id", "note_id", damped.alias("raw_score")),
-        ["query_id"], [F.desc("raw_score"), F.asc("note_id")], limit,
+        scores.join(attach(tops, small), "query_id").select(
+            "query_id", "note_id", damped.alias("raw_score")
+        ),
+        ["query_id"], [best("raw_score"), F.asc("note_id")], limit,
     )
     return ranked.select("query_id", "note_id", "rank", F.round("raw_score", 4).alias("score"))
 
@@ -171,7 +203,7 @@ def counted_query_terms(queries: DataFrame, token_column=T.tokens) -> DataFrame:
 
 def _matched_counts(docs: DataFrame, vocabulary: DataFrame, token_column) -> DataFrame:
     """doc_id, term, tf, dl for the terms of the vocabulary, partitioned by document."""
-    placed = docs.repartition("doc_id").select("doc_id", token_column("text").alias("terms"))
+    placed = spread(docs, "doc_id").select("doc_id", token_column("text").alias("terms"))
     rows = placed.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     return (
         rows.join(vocabulary, "term", "left_semi")
@@ -185,7 +217,8 @@ def bm25_scores(
 ) -> DataFrame:
     """query_id, doc_id, score over one text field; repeated query terms count again."""
     terms = counted_query_terms(queries, token_column)
-    counts = _matched_counts(docs, terms.select("term").distinct(), token_column)
+    small = small_enough(terms)
+    counts = _matched_counts(docs, attach(terms.select("term").distinct(), small), token_column)
     stats = _scalar_row(
         docs.agg(
             F.count(F.lit(1)).alias("n"),
@@ -197,7 +230,8 @@ def bm25_scores(
         "query_id", "term", (F.col("qtf") * I.idf(F.col("df"), stats["n"])).alias("w")
     )
     gain = F.col("w") * bm25_term(F.col("tf"), F.col("dl"), stats["avgdl"], k1, b)
-    return counts.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
+    weighed = counts.join(attach(weights, small), "term")
+    return weighed.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
 
 
 def _lengths(token_column):
@@ -210,7 +244,7 @@ def bm25_search(
 ) -> DataFrame:
     """query_id, doc_id, rank, score: single-channel BM25, ties by document id."""
     hits = bm25_scores(queries, docs, k1, b).where("score > 0")
-    return topk(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], limit).select(
+    return topk(hits, ["query_id"], [best("score"), F.asc("doc_id")], limit).select(
         "query_id", "doc_id", "rank", F.round("score", 4).alias("score")
     )
 
@@ -226,7 +260,7 @@ def bm25_okapi(queries: DataFrame, docs: DataFrame, limit: int = 5, epsilon: flo
     A negative idf is replaced by epsilon times the mean idf of the whole vocabulary.
     """
     terms = counted_query_terms(queries, plain_words)
-    placed = docs.repartition("doc_id").select("doc_id", plain_words("text").alias("terms"))
+    placed = spread(docs, "doc_id").select("doc_id", plain_words("text").alias("terms"))
     rows = placed.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     counts = rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = _scalar_row(
@@ -238,22 +272,24 @@ def bm25_okapi(queries: DataFrame, docs: DataFrame, limit: int = 5, epsilon: flo
     floor = F.when(raw < 0, mean_idf * epsilon).otherwise(raw)
     weights = terms.join(df, "term").select("query_id", "term", (F.col("qtf") * floor).alias("w"))
     gain = F.col("w") * bm25_term(F.col("tf"), F.col("dl"), stats["avgdl"])
-    hits = counts.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
+    weighed = counts.join(attach(weights, small_enough(terms)), "term")
+    hits = weighed.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
     return topk(
-        hits.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], limit
+        hits.where("score > 0"), ["query_id"], [best("score"), F.asc("doc_id")], limit
     ).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 def term_overlap_search(queries: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
     """query_id, doc_id, rank, score: document count times query count, no idf."""
     terms = counted_query_terms(queries)
-    counts = _matched_counts(docs, terms.select("term").distinct(), T.tokens)
+    small = small_enough(terms)
+    counts = _matched_counts(docs, attach(terms.select("term").distinct(), small), T.tokens)
     hits = (
-        counts.join(terms, "term")
+        counts.join(attach(terms, small), "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("tf") * F.col("qtf")).alias("score"))
     )
-    return topk(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], limit)
+    return topk(hits, ["query_id"], [best("score"), F.asc("doc_id")], limit)
 
 
 def substring_count_search(queries: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
@@ -274,7 +310,7 @@ def substring_count_search(queries: DataFrame, docs: DataFrame, limit: int = 5)
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("n") * F.col("qtf")).alias("score"))
     )
-    return topk(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], limit)
+    return topk(scored, ["query_id"], [best("score"), F.asc("doc_id")], limit)
 
 
 def words_in_text(words: DataFrame, docs: DataFrame) -> DataFrame:
@@ -290,7 +326,7 @@ def words_in_text(words: DataFrame, docs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("times"))
     )
     lengths = words.select(F.collect_set(F.length("word")).alias("sizes")).scalar()
-    usable = F.filter(lengths, lambda size: size <= F.length("piece"))
+    usable = F.filter("sizes", lambda size: size <= F.length("piece"))
     grams = F.array_distinct(
         F.flatten(
             F.transform(
@@ -302,7 +338,7 @@ def words_in_text(words: DataFrame, docs: DataFrame) -> DataFrame:
             )
         )
     )
-    distinct = pieces.select("piece").distinct()
+    distinct = pieces.select("piece").distinct().withColumn("sizes", lengths)
     found = (
         distinct.select("piece", F.explode(grams).alias("word"))
         .join(words, "word", "left_semi")
@@ -361,7 +397,7 @@ def rerank(
     boost = F.when(exact_name(F.col("__query"), F.col("title"), aliases), EXACT_BOOST).otherwise(0.0)
     ranked = topk(
         named.withColumn("score", F.col("score") + boost), ["query_id"],
-        [F.desc("score"), F.desc("title")], limit,
+        [best("score"), F.desc("title")], limit,
     )
     return ranked.select("query_id", "title", "rank", F.round("score", 4).alias("score"))
 
@@ -375,12 +411,19 @@ def search_notes(
     Notes that share a title answer as one; the lowest-ranked of them lends score and summary.
     """
     pool = search_index(queries, notes, 2 * limit, postings, corpus)
+    # At most 2 * limit rows per query from here on, so windows over a query are small and the
+    # search runs once instead of once per self-join.
     known = pool.join(notes.select("note_id", "title", "summary", "aliases"), "note_id")
-    titles = skew.latest(known, ["query_id", "title"], ["rank"])
-    ranked = rerank(
-        queries, None, titles, titles.select("query_id", "title", "aliases"), limit
-    )
-    return ranked.join(titles.select("query_id", "title", "summary"), ["query_id", "title"]).select(
+    known = known.join(queries.select("query_id", F.col("text").alias("__query")), "query_id")
+    lowest = Window.partitionBy("query_id", "title").orderBy(F.desc("rank"))
+    titles = known.withColumn("__n", F.row_number().over(lowest)).where("__n = 1")
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    share = F.when(top > 0, F.col("score") / top).otherwise(0.0)
+    boost = F.when(exact_name(F.col("__query"), F.col("title"), F.col("aliases")), EXACT_BOOST)
+    scored = titles.withColumn("__share", share).withColumn(
+        "score", F.col("__share") + F.coalesce(boost, F.lit(0.0))
+    )
+    return topk(scored.drop("rank"), ["query_id"], [best("score"), F.desc("title")], limit).select(
         "query_id", "rank", "title", "summary"
     )
 
@@ -455,27 +498,32 @@ def expand_one_hop(
         T.key("source").alias("a"), T.key("target").alias("b"), "source", "target",
         flag.alias("loose"), F.struct(*order).alias("seq"),
     )
-    out = links.select("a", F.col("target").alias("title"), "loose", "seq")
+    out = links.select("a", F.col("target").alias("near"), "loose", "seq")
     back = links.where("a <> b").select(
-        F.col("b").alias("a"), F.col("source").alias("title"), "loose", "seq"
+        F.col("b").alias("a"), F.col("source").alias("near"), "loose", "seq"
     )
-    reached = (
-        seeds.select("query_id", "rank", T.key("title").alias("a"))
-        .join(out.unionByName(back), "a")
-        .groupBy("query_id", "title")
-        .agg(F.min(F.struct("rank", "loose", "seq")).alias("via"))
-        .join(seeds.select("query_id", "title"), ["query_id", "title"], "left_anti")
-    )
-    first = topk(reached, ["query_id"], [F.asc("via"), F.asc("title")], limit, "order")
-    everyone = seeds.select(
-        "query_id", "title", F.lit(0).alias("hop"), F.col("rank").alias("order"),
-        F.lit("index").alias("route"),
-    ).unionByName(
-        first.select("query_id", "title", F.lit(1).alias("hop"), "order", F.lit("graph").alias("route"))
+    # Each joined row offers the seed and its neighbour; the minimum per title keeps a seed a seed
+    # and a neighbour once, so the search behind the seeds runs a single time.
+    joined = seeds.select("query_id", "rank", "title", T.key("title").alias("a")).join(
+        out.unionByName(back), "a", "left"
+    )
+    rank = F.col("rank").cast("int")
+    own = F.struct(
+        F.col("title"), F.lit(0).alias("hop"), rank.alias("rank"), F.lit(0).alias("loose"),
+        F.lit(None).cast(links.schema["seq"].dataType).alias("seq"),
     )
-    return topk(everyone, ["query_id"], [F.asc("hop"), F.asc("order")], limit, "position").select(
-        "query_id", "title", "position", "route"
+    other = F.struct(
+        F.col("near").alias("title"), F.lit(1).alias("hop"), rank.alias("rank"), F.col("loose"), F.col("seq")
+    )
+    best_way = (
+        joined.select("query_id", F.explode(F.array(own, other)).alias("x"))
+        .where("x.title is not null")
+        .groupBy("query_id", F.col("x.title").alias("title"))
+        .agg(F.min(F.struct("x.hop", "x.rank", "x.loose", "x.seq")).alias("via"))
     )
+    ranked = topk(best_way, ["query_id"], [F.asc("via"), F.asc("title")], limit, "position")
+    route = F.when(F.col("via.hop") == 0, "index").otherwise("graph")
+    return ranked.select("query_id", "title", "position", route.alias("route"))
 
 
 def fit_to_budget(
@@ -546,7 +594,7 @@ def triangulate(
     both = links.select("source", "target").unionByName(
         links.select(F.col("target").alias("source"), F.col("source").alias("target"))
     ).distinct()
-    hits = topk(scores, ["query_id"], [F.desc("score"), F.asc("title")], base_k).drop("rank")
+    hits = topk(scores, ["query_id"], [best("score"), F.asc("title")], base_k).drop("rank")
     votes = (
         hits.join(both, hits.title == both.source)
         .groupBy("query_id", F.col("target").alias("title"))
@@ -567,7 +615,7 @@ def dice_titles(queries: DataFrame, notes: DataFrame) -> DataFrame:
     asked = queries.select("query_id", T.trigrams("text").alias("g")).select(
         "query_id", F.size("g").alias("qn"), F.explode("g").alias("gram")
     )
-    held = notes.select("note_id", "title", "aliases").repartition("note_id").select(
+    held = spread(notes.select("note_id", "title", "aliases"), "note_id").select(
         "note_id", T.trigrams(F.concat_ws(" ", "title", F.array_join("aliases", " "))).alias("g")
     ).select("note_id", F.size("g").alias("dn"), F.explode("g").alias("gram"))
     return (
@@ -631,5 +679,5 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFra
     hits = blocks[0]
     for more in blocks[1:]:
         hits = hits.unionByName(more)
-    ranked = topk(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    ranked = topk(hits, ["query_id"], [best("score"), F.asc("vec_id")], k)
     return ranked.select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))

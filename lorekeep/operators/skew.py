@@ -36,6 +36,7 @@ def running(
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(_BUCKET)
 
+    # a cache-free plan: the summary rescans only keys, bucket and values, and combines them early
     base = df.withColumn(_BUCKET, bucket)
     parts, totals, carries, final = {}, [], {}, {}
     if number:
@@ -56,13 +57,15 @@ def running(
     for name, source in lead.items():
         # the last row of a bucket takes the first value of the next bucket
         parts[f"__n_{name}"] = F.lead(F.struct(source)).over(inner)
-        totals.append(F.min_by(F.struct(source), F.struct(*order)).alias(f"__t_{name}"))
+        parts["__first"] = F.row_number().over(inner)
+        head = F.when(F.col("__first") == 1, F.struct(source))
+        totals.append(F.first(head, ignorenulls=True).alias(f"__t_{name}"))
         carries[f"__c_{name}"] = F.lead(f"__t_{name}").over(after)
         final[name] = F.coalesce(f"__n_{name}", f"__c_{name}")[source]
 
     local = base.withColumns(parts)
     carry = (
-        base.groupBy(*keys, _BUCKET).agg(*totals).withColumns(carries).select(*keys, _BUCKET, *carries)
+        (local if lead else base).groupBy(*keys, _BUCKET).agg(*totals).withColumns(carries).select(*keys, _BUCKET, *carries)
     )
     joined = local.join(carry, [*keys, _BUCKET], "left").withColumns(final)
     return joined.drop(_BUCKET, *parts, *carries)

@@ -53,7 +53,7 @@ def version_numbers(versions: DataFrame) -> DataFrame:
         versions, ["note_id"], _month("updated_at"), [F.asc_nulls_first("updated_at"), F.asc("seq")],
         number="version", lead={"__next": "updated_at"},
     )
-    return out.withColumn("replaced_at", F.col("__next")["updated_at"]).drop("__next")
+    return out.withColumn("replaced_at", F.col("__next")).drop("__next")
 
 
 def note_as_of(versions: DataFrame, instant: Column) -> DataFrame:

@@ -14,13 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def notes(spark: SparkSession, folder: str) -> DataFrame:
-    """One note per document; confidence follows the quality label where there is one."""
+def notes(spark: SparkSession, folder: str, labelled: bool = False) -> DataFrame:
+    """One note per document; with ``labelled`` the confidence follows the quality label."""
     docs = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    if labelled:
+        docs = docs.join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
+    else:
+        docs = docs.withColumn("quality", F.lit(None).cast("int"))
     hashed = F.concat(F.lit("sha256:"), F.sha2(F.encode("text", "UTF-8"), 256))
     created = F.expr("timestamp_seconds(unix_seconds(timestamp'2024-01-01 00:00:00') + doc_id * 60)")
-    return docs.join(labels, "doc_id", "left").select(
+    return docs.select(
         F.format_string("d%07d", "doc_id").alias("note_id"),
         F.substring(F.split("text", "\n")[0], 1, 80).alias("title"),
         F.expr(EMPTY).alias("aliases"),
@@ -131,7 +134,7 @@ def claim_log(spark: SparkSession, folder: str) -> DataFrame:
     closed = skew.running(
         orders, ["note_id"], F.date_trunc("month", "valid_from"),
         [F.col("valid_from"), F.col("claim_id")], lead={"__next": "valid_from"},
-    ).select(*orders.columns, F.col("__next")["valid_from"].alias("valid_to"))
+    ).select(*orders.columns, F.col("__next").alias("valid_to"))
     opening = closed.withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("seq", F.lit(0))
     return opening.unionByName(closed.where("valid_to is not null").withColumn("seq", F.lit(1)))
 

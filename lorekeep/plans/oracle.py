@@ -149,7 +149,7 @@ def index_search(limit: int, questions: str = QUESTIONS) -> str:
             FROM blend b JOIN dls d ON d.note_id = b.note_id AND d.field = 'haystack')),
     hits AS (
         SELECT query_id, note_id, rank, round(sc, 4) AS score FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, note_id) AS rank FROM damped)
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, note_id) AS rank FROM damped)
         WHERE rank <= {limit})"""
 
 
@@ -174,7 +174,7 @@ def product_search(limit: int, questions: str = QUESTIONS) -> str:
         FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM byt) b JOIN questions q USING (query_id)),
     found AS (
         SELECT query_id, rank, title, summary FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, title DESC) AS rank FROM rr)
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, title DESC) AS rank FROM rr)
         WHERE rank <= {limit})"""
 
 

@@ -15,6 +15,7 @@ from lorekeep.operators import temporal as TM
 from lorekeep.plans import adapters as A
 from lorekeep.plans import oracle as O
 from lorekeep.plans.registry import query
+from lorekeep.session import checkpoint
 
 
 def _plain_docs(spark, folder):
@@ -31,7 +32,7 @@ def doc_chain(spark, folder):
     linked = skew.running(
         notes.withColumn("v", F.struct("title", "lang")), ["source"], F.floor(F.col("doc_id") / 65536),
         [F.asc("doc_id")], lead={"__next": "v"},
-    ).select("title", "lang", F.col("__next")["v"]["title"].alias("target"), F.col("__next")["v"]["lang"].alias("next_lang"))
+    ).select("title", "lang", F.col("__next")["title"].alias("target"), F.col("__next")["lang"].alias("next_lang"))
     return linked.where("target is not null and target <> title").select(
         F.col("title").alias("source"),
         F.when(F.col("lang") == F.col("next_lang"), "part-of").otherwise("related").alias("type"), "target",
@@ -44,7 +45,7 @@ def doc_chain(spark, folder):
     FROM post JOIN dls USING (field, note_id), c GROUP BY field, term""")
 def postings(spark, folder):
     notes = A.notes(spark, folder)
-    rows = I.build_postings(notes.repartition("note_id"))
+    rows = I.build_postings(S.spread(notes, "note_id"))
     n = notes.agg(F.count(F.lit(1)).alias("n")).scalar()
     return rows.groupBy("field", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"), F.sum("dl").cast("bigint").alias("total_dl")
@@ -67,7 +68,7 @@ def corpus_stats(spark, folder):
     WHERE field = 'haystack' GROUP BY ALL""")
 def match_postings(spark, folder):
     wanted = S.query_field_terms(A.questions(spark, folder)).where("field = 'haystack'")
-    rows = I.build_postings(A.notes(spark, folder).repartition("note_id"))
+    rows = I.build_postings(S.spread(A.notes(spark, folder), "note_id"))
     return S.match_postings(wanted, rows).groupBy("query_id", "note_id").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tf")
     )
@@ -79,7 +80,7 @@ def search_index(spark, folder):
 
 
 @query("R2", sql=f"""WITH {O.QUESTIONS}, {O.NOTES}, {O.bm25('notes', 'note_id', O.PLAIN)},
-    r AS (SELECT query_id, note_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM b_scores)
+    r AS (SELECT query_id, note_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, note_id) AS rank FROM b_scores)
     SELECT query_id, doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 5""")
 def bm25_search(spark, folder):
     return S.bm25_search(A.questions(spark, folder), _plain_docs(spark, folder), 5)
@@ -97,7 +98,7 @@ def term_overlap_search(spark, folder):
 
 
 @query("R4", "J7", "U1", sql=f"""WITH {O.QUESTIONS}, {O.NOTES}, {_OVERLAP}, {O.bm25('notes', 'note_id', O.PLAIN)},
-    r AS (SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM b_scores),
+    r AS (SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, note_id) AS rank FROM b_scores),
     sides AS (
         SELECT query_id, title, max(score::DOUBLE) AS score, 'g' AS side FROM o_r JOIN notes USING (note_id) WHERE rank <= 10 GROUP BY ALL
         UNION ALL SELECT query_id, title, max(score), 'b' FROM r JOIN notes USING (note_id) WHERE rank <= 10 GROUP BY ALL),
@@ -105,13 +106,13 @@ def term_overlap_search(spark, folder):
         (SELECT *, max(score) OVER (PARTITION BY query_id, side) AS top FROM sides) GROUP BY ALL),
     boosted AS (SELECT query_id, title, score + CASE WHEN {O.exact_name('q.text', 'title')} THEN 0.5 ELSE 0 END AS sc FROM mixed JOIN questions q USING (query_id))
     SELECT query_id, title, rank, round(sc, 4) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, title DESC) AS rank FROM boosted) WHERE rank <= 5""")
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, title DESC) AS rank FROM boosted) WHERE rank <= 5""")
 def rerank(spark, folder):
     questions, notes = A.questions(spark, folder), A.notes(spark, folder)
     docs = _plain_docs(spark, folder)
     names = notes.select(F.col("note_id").alias("doc_id"), "title")
     titled = lambda scores, n: (
-        S.topk(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], n)
+        S.topk(scores, ["query_id"], [S.best("score"), F.asc("doc_id")], n)
         .join(names, "doc_id").groupBy("query_id", "title").agg(F.max("score").cast("double").alias("score"))
     )
     graph_hits = titled(S.term_overlap_search(questions, docs, 10).drop("rank"), 10)
@@ -212,7 +213,7 @@ def fit_to_budget(spark, folder):
     vn AS (SELECT vec_id, sqrt(sum(y * y)) AS vn FROM v GROUP BY ALL),
     s AS (SELECT query_id, vec_id, sum(x * y) / any_value(qn) / any_value(vn) AS s FROM q JOIN v USING (i) JOIN qn USING (query_id) JOIN vn USING (vec_id) GROUP BY query_id, vec_id)
     SELECT query_id, vec_id, rank, round(s, 4) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def dense_search(spark, folder):
     return S.dense_search(A.label_prototypes(spark, folder), A.vectors(spark, folder), 10)
 
@@ -230,7 +231,7 @@ _OKAPI_TOKENS = lambda e: f"regexp_extract_all(lower({e}), '[a-z0-9]+')"  # noqa
     s AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
           FROM q JOIN tf USING (term) JOIN w USING (term) JOIN l USING (doc_id), st GROUP BY ALL)
     SELECT query_id, doc_id, rank, round(score, 4) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def okapi_search(spark, folder):
     return S.bm25_okapi(A.questions(spark, folder), _text_docs(spark, folder), 5)
 
@@ -240,7 +241,7 @@ def okapi_search(spark, folder):
     c AS (SELECT w, doc_id, ((length(lower(text)) - length(replace(lower(text), w, ''))) // length(w)) AS n FROM u, documents),
     s AS (SELECT query_id, doc_id, sum(n * qtf)::BIGINT AS score FROM q JOIN c USING (w) GROUP BY ALL)
     SELECT query_id, doc_id, rank, score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def substring_search(spark, folder):
     return S.substring_count_search(A.questions(spark, folder), _text_docs(spark, folder), 5)
 
@@ -261,13 +262,13 @@ _TITLE_SCORES = f"""{O.QUESTIONS}, {O.NOTES}, {O.bm25('notes', 'note_id', O.PLAI
 
 
 def _top_titles(scores, k=5):
-    return S.topk(scores, ["query_id"], [F.desc("score"), F.asc("title")], k).select(
+    return S.topk(scores, ["query_id"], [S.best("score"), F.asc("title")], k).select(
         "query_id", "title", "rank", F.round("score", 4).alias("score")
     )
 
 
 _TOP = """SELECT query_id, title, rank, round(score, 4) AS score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS rank FROM fin) WHERE rank <= 5"""
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, title) AS rank FROM fin) WHERE rank <= 5"""
 
 
 @query("R15", sql=f"""WITH {_TITLE_SCORES},
@@ -279,7 +280,7 @@ def propagate_scores(spark, folder):
 
 
 @query("R16", sql=f"""WITH {_TITLE_SCORES},
-    hit AS (SELECT query_id, title, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS r FROM ts0) WHERE r <= 10),
+    hit AS (SELECT query_id, title, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, title) AS r FROM ts0) WHERE r <= 10),
     fin AS (SELECT query_id, title, sum(score) AS score FROM (
         SELECT * FROM hit UNION ALL
         SELECT query_id, target, 0.5 * sum(score) FROM hit JOIN (SELECT DISTINCT source, target FROM both_ways) ON title = source
@@ -293,10 +294,10 @@ def triangulate(spark, folder):
     s AS (SELECT query_id, note_id, 2 * count(*) / (any_value(qn) + any_value(dn)) AS score FROM qg JOIN ng USING (gram)
           JOIN qn USING (query_id) JOIN nn USING (note_id) GROUP BY query_id, note_id)
     SELECT query_id, note_id, rank, round(score, 4) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM s) WHERE rank <= 5""")
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, note_id) AS rank FROM s) WHERE rank <= 5""")
 def dice_titles(spark, folder):
     scores = S.dice_titles(A.questions(spark, folder), A.notes(spark, folder))
-    return S.topk(scores, ["query_id"], [F.desc("score"), F.asc("note_id")], 5).select(
+    return S.topk(scores, ["query_id"], [S.best("score"), F.asc("note_id")], 5).select(
         "query_id", "note_id", "rank", F.round("score", 4).alias("score")
     )
 
@@ -305,7 +306,9 @@ def dice_titles(spark, folder):
 
 
 def _qrels(spark, folder):
-    return EV.verbatim_matches(_text_docs(spark, folder), A.questions(spark, folder)).withColumn("grade", F.lit(1))
+    # few rows, read several times by every evaluation: kept in the checkpoint folder
+    found = EV.verbatim_matches(_text_docs(spark, folder), A.questions(spark, folder))
+    return checkpoint(found.withColumn("grade", F.lit(1)))
 
 
 @query("SC9", sql=f"WITH {O.QRELS} SELECT * FROM qrels")
@@ -320,7 +323,7 @@ def judged_queries(spark, folder):
 
 _RUN = f"""{O.QUESTIONS}, {O.QRELS}, {O.bm25('documents', 'doc_id', 'text')},
     run AS (SELECT query_id, doc_id, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b_scores) WHERE rank <= 5),
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b_scores) WHERE rank <= 5),
     cat AS (SELECT query_id, arg_min(lang, doc_id) AS category FROM qrels JOIN documents USING (doc_id) GROUP BY query_id),
     m AS (SELECT q.query_id, coalesce(c.category, '') AS category, coalesce(g.n, 0) AS relevant, coalesce(r.n, 0) AS retrieved, coalesce(x.n, 0) AS matched, x.first
         FROM questions q LEFT JOIN cat c USING (query_id)
@@ -500,7 +503,7 @@ def _variant_sql():
 def variant_grid(spark, folder):
     """Five ways to fill a context of five: hits only, or fewer hits plus their neighbours."""
     chain, notes = doc_chain(spark, folder), A.notes(spark, folder)
-    five = _seeds(spark, folder, 5)
+    five = checkpoint(_seeds(spark, folder, 5))
     runs = None
     for name, (limit, seeds, knobs) in _VARIANTS.items():
         few = five.where(F.col("rank") <= min(seeds, limit))
@@ -551,10 +554,10 @@ def federation_status(spark, folder):
 
 
 _FED_SEARCH = f"""{O.QUESTIONS}, {_FED}, {O.bm25('rows', 'row_id', O.PLAIN.replace('lang||', "lang||' '||"))},
-    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS r FROM b_scores) WHERE r <= 24),
+    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS r FROM b_scores) WHERE r <= 24),
     kept AS (SELECT query_id, row_id, r, score * CASE WHEN source = 'src1' THEN 1.25 ELSE 1 END AS score FROM pool JOIN rows USING (row_id) WHERE NOT sensitive),
     fed AS (SELECT query_id, row_id, rank, round(score, 4) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) AS rank FROM kept) WHERE rank <= 8)"""
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r) AS rank FROM kept) WHERE rank <= 8)"""
 
 
 @query("R9", "F4", sql=f"WITH {_FED_SEARCH} SELECT * FROM fed")
