@@ -102,6 +102,11 @@ def raw_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN), 0)
 
 
+def count_tokens(text: Column | str) -> Column:
+    """The length of ``tokens`` without building it."""
+    return F.regexp_count(F.lower(_col(text)), F.lit(TOKEN))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case stemmed words, repeats kept."""
     return F.transform(raw_tokens(text), stem)

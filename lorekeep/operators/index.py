@@ -22,7 +22,11 @@ def note_terms(notes: DataFrame) -> DataFrame:
 
 
 def term_rows(terms: DataFrame) -> DataFrame:
-    """field, term, note_id, dl, hay_len: one row per term occurrence."""
+    """field, term, note_id, dl, hay_len: one row per term occurrence.
+
+    The outer explode keeps Spark from deriving a "has terms" filter and computing the terms a
+    second time below the shuffle; the rows it adds for empty lists are dropped right after.
+    """
     fields = F.array(
         *[
             F.struct(
@@ -33,7 +37,9 @@ def term_rows(terms: DataFrame) -> DataFrame:
     )
     return terms.select(
         "note_id", F.size("haystack").alias("hay_len"), F.explode(fields).alias("f")
-    ).select("note_id", "hay_len", "f.field", "f.dl", F.explode("f.terms").alias("term"))
+    ).select("note_id", "hay_len", "f.field", "f.dl", F.explode_outer("f.terms").alias("term")).where(
+        "term is not null"
+    )
 
 
 def count_terms(rows: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def doc_stats(notes: DataFrame) -> DataFrame:
 def corpus_row(notes: DataFrame) -> DataFrame:
     """One row: note count, mean length per field, monolingual flag. Empty notes count."""
     terms = {
-        "haystack": F.size(T.raw_tokens(T.haystack_text())),
+        "haystack": T.count_tokens(T.haystack_text()),
         "tri_title": F.size(T.trigrams(F.concat_ws(" ", "title", F.array_join("aliases", " ")))),
         "tri_summary": F.size(T.trigrams("summary")),
     }

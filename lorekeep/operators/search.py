@@ -133,10 +133,11 @@ def channel_scores(
     small = small_enough(wanted) if small is None else small
     vocabulary = attach(wanted.select("field", "term").distinct(), small)
     if postings is None:
-        corpus = I.corpus_row(notes)
         # The one shuffle of the documents, as text, which is a fraction of the size of its term
-        # rows. Everything per note stays in place after it.
-        placed = I.note_terms(spread(notes, "note_id"))
+        # rows. Everything per note stays in place after it, also the corpus statistics.
+        notes = spread(notes, "note_id")
+        corpus = I.corpus_row(notes)
+        placed = I.note_terms(notes)
         rows = I.term_rows(placed).join(vocabulary, ["field", "term"], "left_semi")
         postings = I.count_terms(rows)
     else:
@@ -202,9 +203,13 @@ def counted_query_terms(queries: DataFrame, token_column=T.tokens) -> DataFrame:
 
 
 def _matched_counts(docs: DataFrame, vocabulary: DataFrame, token_column) -> DataFrame:
-    """doc_id, term, tf, dl for the terms of the vocabulary, partitioned by document."""
-    placed = spread(docs, "doc_id").select("doc_id", token_column("text").alias("terms"))
-    rows = placed.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    """doc_id, term, tf, dl for the terms of the vocabulary; ``docs`` come spread by document.
+
+    The outer explode keeps the term lists from being computed below that shuffle as well; the
+    semi join drops the rows it adds.
+    """
+    placed = docs.select("doc_id", token_column("text").alias("terms"))
+    rows = placed.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
     return (
         rows.join(vocabulary, "term", "left_semi")
         .groupBy("doc_id", "dl", "term")
@@ -218,11 +223,12 @@ def bm25_scores(
     """query_id, doc_id, score over one text field; repeated query terms count again."""
     terms = counted_query_terms(queries, token_column)
     small = small_enough(terms)
+    docs = spread(docs, "doc_id")
     counts = _matched_counts(docs, attach(terms.select("term").distinct(), small), token_column)
     stats = _scalar_row(
         docs.agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg(F.size(_lengths(token_column)("text"))).alias("avgdl"),
+            F.avg(_length(token_column)).alias("avgdl"),
         )
     )
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -234,9 +240,9 @@ def bm25_scores(
     return weighed.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
 
 
-def _lengths(token_column):
+def _length(token_column) -> Column:
     # the length needs no stemming
-    return T.raw_tokens if token_column is T.tokens else token_column
+    return T.count_tokens("text") if token_column is T.tokens else F.size(token_column("text"))
 
 
 def bm25_search(
@@ -260,8 +266,10 @@ def bm25_okapi(queries: DataFrame, docs: DataFrame, limit: int = 5, epsilon: flo
     A negative idf is replaced by epsilon times the mean idf of the whole vocabulary.
     """
     terms = counted_query_terms(queries, plain_words)
-    placed = spread(docs, "doc_id").select("doc_id", plain_words("text").alias("terms"))
-    rows = placed.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    docs = spread(docs, "doc_id")
+    placed = docs.select("doc_id", plain_words("text").alias("terms"))
+    rows = placed.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+    rows = rows.where("term is not null")
     counts = rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = _scalar_row(
         docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(plain_words("text"))).alias("avgdl"))
@@ -283,6 +291,7 @@ def term_overlap_search(queries: DataFrame, docs: DataFrame, limit: int = 5) ->
     """query_id, doc_id, rank, score: document count times query count, no idf."""
     terms = counted_query_terms(queries)
     small = small_enough(terms)
+    docs = spread(docs, "doc_id")
     counts = _matched_counts(docs, attach(terms.select("term").distinct(), small), T.tokens)
     hits = (
         counts.join(attach(terms, small), "term")
@@ -617,7 +626,7 @@ def dice_titles(queries: DataFrame, notes: DataFrame) -> DataFrame:
     )
     held = spread(notes.select("note_id", "title", "aliases"), "note_id").select(
         "note_id", T.trigrams(F.concat_ws(" ", "title", F.array_join("aliases", " "))).alias("g")
-    ).select("note_id", F.size("g").alias("dn"), F.explode("g").alias("gram"))
+    ).select("note_id", F.size("g").alias("dn"), F.explode_outer("g").alias("gram"))
     return (
         held.join(asked, "gram")
         .groupBy("query_id", "note_id", "qn", "dn")

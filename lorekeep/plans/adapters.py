@@ -10,8 +10,30 @@ from lorekeep.functions import text as T
 EMPTY = "cast(array() as array<string>)"
 
 
+# Fixed schemas: no job is spent on reading them from the files.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def notes(spark: SparkSession, folder: str, labelled: bool = False) -> DataFrame:
@@ -84,7 +106,7 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
             title("supplier", "s_suppkey"),
         ),
         edge(pairs, sup, "supplies", part),
-        edge(pairs.where("l_partkey % 2 = 0"), part, "supplied by", sup),
+        edge(pairs.where("l_partkey % 2 = 0"), part, "comes from", sup),
         edge(ring, title("nation", "n_name"), "borders", title("nation", "next_name")),
         edge(ring, title("nation", "next_name"), "borders", title("nation", "n_name")),
     ):

@@ -15,7 +15,6 @@ from lorekeep.plans.text_queries import relation_sql
 from lorekeep.session import checkpoint
 from lorekeep.sources import writers
 
-EMPTY = F.expr("cast(array() as array<string>)")
 
 
 def _rows(spark, folder):
@@ -33,7 +32,7 @@ def types(spark, folder):
     return surfaces.select(
         F.expr("row_number() over (order by relation)").alias("seq"),
         T.type_id("relation").alias("type_id"), F.col("relation").alias("name"), F.lit("active").alias("status"),
-        F.when(F.col("relation") == "supplies", "rel:supplied-by").otherwise("").alias("inverse_of"),
+        F.when(F.col("relation") == "supplies", "rel:comes-from").otherwise("").alias("inverse_of"),
         (F.col("relation") == "contains").alias("transitive"), (F.col("relation") == "borders").alias("symmetric"),
         F.array(T.surface_key("relation")).alias("surfaces"),
     )
@@ -49,17 +48,18 @@ _E = f"{O.RING}, {O.relations()}"
 _EDGES = f"{_E}, edges AS (SELECT DISTINCT source, relation, target FROM rel WHERE source <> target)"
 
 
-@query("J2", sql=f"""WITH {O.NOTES}, links AS (SELECT note_id, title, unnest(['first', 'whole']) AS anchor, unnest([split_part(title, ' ', 1), ' ' || upper(title)]) AS target FROM notes),
+@query("J2", sql=f"""WITH {O.NOTES}, {O.CHAIN}, links AS (SELECT note_id, n.title, c.target AS anchor, '  ' || upper(c.target) AS target FROM notes n JOIN chain c ON c.source = n.title),
     reg AS (SELECT {O.key('title')} AS k, arg_max(title, note_id) AS t FROM notes GROUP BY ALL)
     SELECT note_id, anchor, t AS target, '[[' || t || '|' || anchor || ']]' AS link FROM links JOIN reg ON k = {O.key('target')} WHERE t <> title""")
 def resolved_links(spark, folder):
+    """Every document links to the title of the next one of its source, in capitals."""
+    from lorekeep.plans.search_queries import doc_chain
+
     notes = A.notes(spark, folder)
-    link = F.array(
-        F.struct(F.lit("first").alias("anchor"), F.substring_index("title", " ", 1).alias("target"), F.lit("").alias("reason")),
-        F.struct(F.lit("whole").alias("anchor"), F.concat(F.lit(" "), F.upper("title")).alias("target"), F.lit("").alias("reason")),
-    )
-    links = G.link_rows(notes.withColumn("proposed_links", link))
-    return G.resolve_links(links, G.name_registry(notes))
+    chain = doc_chain(spark, folder).select(F.col("source").alias("title"), F.col("target").alias("next"))
+    link = F.struct(F.col("next").alias("anchor"), F.concat(F.lit("  "), F.upper("next")).alias("target"), F.lit("").alias("reason"))
+    linked = notes.join(chain, "title").withColumn("proposed_links", F.array(link))
+    return G.resolve_links(G.link_rows(linked), G.name_registry(notes))
 
 
 @query("J3", sql=f"WITH {_EDGES} SELECT source, relation AS type, target FROM edges")
@@ -241,7 +241,7 @@ def property_candidates(spark, folder):
 
 
 _CLOSED = f"""{_EDGES}, d AS (
-      SELECT target AS source, 'supplied by' AS relation, source AS target, 'inverse_of' AS rule, source||'-['||relation||']->'||target AS via, 30 AS o, source AS x, target AS y, '' AS z FROM edges WHERE relation = 'supplies'
+      SELECT target AS source, 'comes from' AS relation, source AS target, 'inverse_of' AS rule, source||'-['||relation||']->'||target AS via, 30 AS o, source AS x, target AS y, '' AS z FROM edges WHERE relation = 'supplies'
       UNION ALL SELECT target, relation, source, 'symmetric', source||'-['||relation||']->'||target, 11, source, target, '' FROM edges WHERE relation = 'borders'
       UNION ALL SELECT a.source, a.relation, b.target, 'transitive', a.source||'-['||a.relation||']->'||a.target||' '||b.source||'-['||b.relation||']->'||b.target, 22, a.source, a.target, b.target
         FROM edges a JOIN edges b ON a.relation = b.relation AND a.target = b.source WHERE a.relation = 'contains')

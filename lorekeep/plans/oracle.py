@@ -187,7 +187,7 @@ def relations() -> str:
         UNION ALL SELECT 'region:'||r_name, 'contains', 'supplier:'||s_suppkey FROM supplier
             JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 2 = 0
         UNION ALL SELECT 'supplier:'||s, 'supplies', 'part:'||p FROM (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem)
-        UNION ALL SELECT 'part:'||p, 'supplied by', 'supplier:'||s FROM (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem) WHERE p % 2 = 0
+        UNION ALL SELECT 'part:'||p, 'comes from', 'supplier:'||s FROM (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem) WHERE p % 2 = 0
         UNION ALL SELECT 'nation:'||a, 'borders', 'nation:'||b FROM ring WHERE b IS NOT NULL
         UNION ALL SELECT 'nation:'||b, 'borders', 'nation:'||a FROM ring WHERE b IS NOT NULL)"""
 
