@@ -292,35 +292,57 @@ def promotion_gate(candidates: DataFrame, active: DataFrame, force: bool = False
     return judged.groupBy(*[c for c in judged.columns if c != "blocker"]).agg(F.max("blocker").alias("blocker"))
 
 
+_STATUSES = ("", "candidate", "active", "deprecated")
+
+
+def _schema_step(state: Column, e: Column) -> Column:
+    is_ = lambda name, *status: (e["event"] == name) & state["status"].isin(*status)
+    induced, up = is_("candidate_induced", ""), is_("promoted", "candidate", "deprecated")
+    rejected, down = is_("rejected", "candidate"), is_("deprecated", "active")
+    status = F.when(induced, "candidate").when(up, "active").when(rejected | down, "deprecated")
+    return F.struct(
+        F.coalesce(status, state["status"]).alias("status"),
+        F.when(induced | up, e["at"]).otherwise(state["valid_from"]).alias("valid_from"),
+        F.when(rejected | down, e["at"]).otherwise(state["valid_to"]).alias("valid_to"),
+        (state["raises"] + (up | down).cast("int")).alias("raises"),
+    )
+
+
 def schema_state(events: DataFrame, at: Column | None = None) -> DataFrame:
-    """type_id, status, version after the events (event_seq, at, type_id, event) up to an instant.
+    """type_id, status, valid_from, valid_to, raises after the events up to an instant.
+
+    ``events`` is (event_seq, at, type_id, event). Promotion and deprecation raise the schema
+    version; a rejection does not. Illegal events (rejecting what is not a candidate, deprecating
+    what is not active) are ignored.
 
-    Promotion and deprecation raise the schema version; a rejection does not. Illegal events
-    (rejecting what is not a candidate, deprecating what is not active) are ignored.
+    A day of events is folded into the map "status before -> state after", and the maps of the
+    days are chained, so no task folds the whole history of a type.
     """
     rows = events if at is None else events.where(F.col("at") <= at)
-    steps = rows.groupBy("type_id").agg(
+    none = F.lit(None).cast("timestamp")
+    blank = lambda status: F.struct(
+        F.lit(status).alias("status"), none.alias("valid_from"), none.alias("valid_to"), F.lit(0).alias("raises")
+    )
+    steps = rows.groupBy("type_id", F.to_date("at").alias("day")).agg(
         F.sort_array(F.collect_list(F.struct("event_seq", "event", "at"))).alias("steps")
     )
-    start = F.struct(
-        F.lit("").alias("status"), F.lit(None).cast("timestamp").alias("valid_from"),
-        F.lit(None).cast("timestamp").alias("valid_to"), F.lit(0).alias("raises"),
-    )
-
-    def step(state, e):
-        is_ = lambda name, status: (e["event"] == name) & state["status"].isin(*status)
-        induced = is_("candidate_induced", [""])
-        up = is_("promoted", ["candidate", "deprecated"])
-        rejected, down = is_("rejected", ["candidate"]), is_("deprecated", ["active"])
+    ends = F.array(*[
+        F.struct(F.lit(s).alias("before"), F.aggregate("steps", blank(s), _schema_step).alias("after"))
+        for s in _STATUSES
+    ])
+    days = steps.select("type_id", F.struct("day", ends.alias("ends")).alias("d"))
+
+    def chain(state, d):
+        after = F.filter(d["ends"], lambda e: e["before"] == state["status"])[0]["after"]
         return F.struct(
-            F.when(induced, "candidate").when(up, "active").when(rejected | down, "deprecated")
-            .otherwise(state["status"]).alias("status"),
-            F.when(induced | up, e["at"]).otherwise(state["valid_from"]).alias("valid_from"),
-            F.when(rejected | down, e["at"]).otherwise(state["valid_to"]).alias("valid_to"),
-            (state["raises"] + (up | down).cast("int")).alias("raises"),
-        )
-
-    return steps.select("type_id", F.aggregate("steps", start, step).alias("s")).select(
+            after["status"].alias("status"),
+            F.coalesce(after["valid_from"], state["valid_from"]).alias("valid_from"),
+            F.coalesce(after["valid_to"], state["valid_to"]).alias("valid_to"),
+            (state["raises"] + after["raises"]).alias("raises"),
+        )
+
+    folded = days.groupBy("type_id").agg(F.sort_array(F.collect_list("d")).alias("days"))
+    return folded.select("type_id", F.aggregate("days", blank(""), chain).alias("s")).select(
         "type_id", "s.status", "s.valid_from", "s.valid_to", "s.raises"
     )
 

@@ -292,12 +292,24 @@ def promotion_gate(spark, folder):
     return ON.promotion_gate(rows, active).select("name", "blocker")
 
 
-@query("T10", "T12", sql="""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE ts <= TIMESTAMP '2024-01-15'),
-    s AS (SELECT user_id, count(*) AS events FROM e GROUP BY user_id) SELECT 'user:' || user_id AS type_id, events FROM s""")
-def schema_events_seen(spark, folder):
-    """Users as types: how many schema events each had at an instant."""
-    seen = A.table(spark, folder, "events").where(F.col("ts") <= F.lit("2024-01-15").cast("timestamp"))
-    return seen.groupBy(F.concat(F.lit("user:"), "user_id").alias("type_id")).agg(F.count(F.lit(1)).alias("events"))
+_SCHEMA_EVENT = "CASE event_type WHEN 'signup' THEN 'candidate_induced' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'deprecated' ELSE 'seen' END"
+
+
+@query("T10", "T12", sql=f"""WITH RECURSIVE e AS (SELECT user_id, ts, {_SCHEMA_EVENT} AS event, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r
+      FROM events WHERE ts <= TIMESTAMP '2024-01-15'),
+    s AS (SELECT DISTINCT user_id, 0::BIGINT AS r, '' AS status, 0 AS raises FROM e UNION ALL
+      SELECT e.user_id, e.r, CASE WHEN event = 'candidate_induced' AND status = '' THEN 'candidate' WHEN event = 'promoted' AND status IN ('candidate', 'deprecated') THEN 'active'
+        WHEN event = 'rejected' AND status = 'candidate' THEN 'deprecated' WHEN event = 'deprecated' AND status = 'active' THEN 'deprecated' ELSE status END,
+        raises + ((event = 'promoted' AND status IN ('candidate', 'deprecated')) OR (event = 'deprecated' AND status = 'active'))::INT
+      FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+    SELECT user_id AS type_id, arg_max(status, r) AS status, max(raises) AS raises FROM s GROUP BY user_id""")
+def schema_states(spark, folder):
+    """Users as relation types whose schema events are seen up to an instant."""
+    log = A.table(spark, folder, "events").select(
+        F.col("event_id").alias("event_seq"), F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("type_id"),
+        F.expr(_SCHEMA_EVENT).alias("event"),
+    )
+    return ON.schema_state(log, F.lit("2024-01-15").cast("timestamp")).select("type_id", "status", "raises")
 
 
 @query("R21")

@@ -355,6 +355,10 @@ def _any(checks: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, checks, F.lit(False))
 
 
+def _any_part(path: Column, regex: str) -> Column:
+    return F.exists(F.split(path, "/"), lambda part: part.rlike(regex))
+
+
 def ignored(path: Column, rules: list[str]) -> Column:
     """Whether a path meets an ignore rule: its name, itself, ``*/rule`` or any part of it.
 
@@ -364,7 +368,7 @@ def ignored(path: Column, rules: list[str]) -> Column:
     checks = []
     for p in filter(None, patterns):
         checks += [path.rlike(glob_regex(p)), path.rlike(glob_regex(f"*/{p}"))]
-        checks.append(F.exists(F.split(path, "/"), lambda part, g=glob_regex(p): part.rlike(g)))
+        checks.append(_any_part(path, glob_regex(p)))
     return _any(checks)
 
 
