@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.operators import skew
 from lorekeep.operators.search import topk
+from lorekeep.session import checkpoint
 
 MIN_SUPPORT = 3
 PROMOTION_SUPPORT = 8
@@ -168,7 +169,7 @@ def property_candidates(
     ``known`` is (property, type_id, value) of candidates already open or active.
     """
     keys = ["property", "type_id", "value"]
-    rows = witness_rows(edges, types)
+    rows = checkpoint(witness_rows(edges, types))  # read three times below
     support = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"))
     notes = (
         rows.select(*keys, F.explode("sources").alias("note")).groupBy(*keys)

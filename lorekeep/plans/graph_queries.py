@@ -48,16 +48,16 @@ _E = f"{O.RING}, {O.relations()}"
 _EDGES = f"{_E}, edges AS (SELECT DISTINCT source, relation, target FROM rel WHERE source <> target)"
 
 
-@query("J2", sql=f"""WITH {O.NOTES}, {O.CHAIN}, links AS (SELECT note_id, n.title, c.target AS anchor, '  ' || upper(c.target) AS target FROM notes n JOIN chain c ON c.source = n.title),
+@query("J2", sql=f"""WITH {O.NOTES}, {O.CHAIN}, links AS (SELECT note_id, n.title, c.target AS anchor, '  ' || lower(c.target) || ' ' AS target FROM notes n JOIN chain c ON c.source = n.title),
     reg AS (SELECT {O.key('title')} AS k, arg_max(title, note_id) AS t FROM notes GROUP BY ALL)
     SELECT note_id, anchor, t AS target, '[[' || t || '|' || anchor || ']]' AS link FROM links JOIN reg ON k = {O.key('target')} WHERE t <> title""")
 def resolved_links(spark, folder):
-    """Every document links to the title of the next one of its source, in capitals."""
+    """Every document links to the lower-cased title of the next one of its source."""
     from lorekeep.plans.search_queries import doc_chain
 
     notes = A.notes(spark, folder)
     chain = doc_chain(spark, folder).select(F.col("source").alias("title"), F.col("target").alias("next"))
-    link = F.struct(F.col("next").alias("anchor"), F.concat(F.lit("  "), F.upper("next")).alias("target"), F.lit("").alias("reason"))
+    link = F.struct(F.col("next").alias("anchor"), F.concat(F.lit("  "), F.lower("next"), F.lit(" ")).alias("target"), F.lit("").alias("reason"))
     linked = notes.join(chain, "title").withColumn("proposed_links", F.array(link))
     return G.resolve_links(G.link_rows(linked), G.name_registry(notes))
 
@@ -199,7 +199,8 @@ def induced_candidates(spark, folder):
 
 
 def _explicit(spark, folder):
-    return ON.schema_edges(typed_edges(spark, folder), types(spark, folder))
+    # the map is a stored table in practice; the witnesses read it several times
+    return checkpoint(ON.schema_edges(typed_edges(spark, folder), types(spark, folder)))
 
 
 @query("J12", sql=f"""WITH {_EDGES} SELECT a.source, a.target, a.relation AS left_name, b.relation AS right_name FROM edges a JOIN edges b
