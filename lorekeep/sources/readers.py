@@ -92,7 +92,7 @@ def read_text_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     raw = raw.where(suffix_in(F.col("path"), SC.TEXT_SUFFIXES)).select("path", "content", "length")
     failed = raw.where("content is null and length > 0").select("path", F.lit("unreadable").alias("error"))
-    body = F.decode("content", F.lit("UTF-8"))
+    body = F.make_valid_utf8(F.col("content").cast("string"))
     plain = raw.where(~suffix_in(F.col("path"), (".html", ".htm"))).select("path", body.alias("text"))
     pages = raw.where(suffix_in(F.col("path"), (".html", ".htm"))).select(
         "path", R.html_to_text(body).alias("text")

@@ -31,7 +31,7 @@ def watch_source(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
         .load(folder)
     )
     inside = F.regexp_replace("path", "^.*?" + _quoted(folder.rstrip("/")) + "/", "")
-    fit = raw.where(readers.watchable(inside)).withColumn("body", F.decode("content", F.lit("UTF-8")))
+    fit = raw.where(readers.watchable(inside)).withColumn("body", F.make_valid_utf8(F.col("content").cast("string")))
     page = readers.suffix_in(F.col("path"), (".html", ".htm"))
     text = F.when(page, R.html_to_text("body")).otherwise(F.col("body"))
     return fit.select("path", F.substring_index("path", "/", -1).alias("name"), text.alias("text")).withColumn(
