@@ -578,8 +578,8 @@ def scoped_search(spark, folder):
     ids AS (SELECT {O.key('title')} AS k, min(note_id) AS note_id FROM notes GROUP BY ALL),
     h AS (SELECT query_id, rank, title, i.note_id FROM found JOIN ids i ON i.k = {O.key('title')}),
     v AS (SELECT note_id, updated_at + to_hours(s * 24) AS updated_at, s::INT AS seq, s || '|' || left(summary, 40) AS summary FROM notes, range(3) t(s)),
-    at AS (SELECT note_id, max(updated_at) AS updated_at, arg_max(summary, updated_at) AS summary FROM v WHERE updated_at <= TIMESTAMP '2024-01-02 08:00:00' GROUP BY note_id)
-    SELECT query_id, rank, title, note_id, updated_at, summary AS summary_then FROM h JOIN at USING (note_id)""")
+    seen AS (SELECT note_id, max(updated_at) AS updated_at, arg_max(summary, updated_at) AS summary FROM v WHERE updated_at <= TIMESTAMP '2024-01-02 08:00:00' GROUP BY note_id)
+    SELECT query_id, rank, title, note_id, updated_at, summary AS summary_then FROM h JOIN seen USING (note_id)""")
 def search_as_of(spark, folder):
     """Three daily versions of every note, seen at one instant."""
     notes = A.notes(spark, folder)

@@ -63,27 +63,38 @@ def watch_stream(
 ):
     """Run the watch: each batch is diffed with the registry, capped by day and handed on.
 
-    ``handler`` takes the files to ingest and returns the names that failed; these, like capped
-    ones, stay out of the registry and are met again on a later pass over the folder. The batch id
-    and the day are written with each row, so a replayed batch replaces its own rows.
+    ``handler`` takes the files to ingest and returns the names that failed. Capped and failed
+    files wait in the results of their batch and join the next one. All rows carry their batch id,
+    so a replayed batch replaces its own rows.
     """
+    columns = "name string, text string, hash string, outcome string, batch long"
+
+    def load(spark: SparkSession, folder: str, schema: str, batch_id: int) -> DataFrame:
+        try:
+            rows = spark.read.schema(schema).parquet(folder)
+        except Exception:  # nothing was written before the first batch
+            rows = spark.createDataFrame([], schema)
+        return rows.where(F.col("batch") < batch_id)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = "name string, hash string, day date, batch long"
-        try:
-            log = spark.read.schema(schema).parquet(registry)
-        except Exception:  # the first pass has no registry yet
-            log = spark.createDataFrame([], schema)
-        log = log.where(F.col("batch") != batch_id)
+        log = load(spark, registry, "name string, hash string, day date, batch long", batch_id)
+        earlier = load(spark, results, columns, batch_id)
+        last = earlier.agg(F.max("batch").alias("b")).scalar()
+        waiting = earlier.where((F.col("batch") == last) & F.col("outcome").isin("capped", "failed"))
         used = log.where(F.col("day") == F.current_date()).count()
-        done = watch_pass(batch, log, used, cap)
-        target = f"{results}/batch={batch_id}"
-        done.drop("text").write.mode("overwrite").parquet(target)
-        kept = done.join(spark.read.parquet(target).where("outcome = 'ingested'").select("name", "hash"), ["name", "hash"], "left_semi")
+        files = batch.select("name", "text", "hash").unionByName(waiting.select("name", "text", "hash"))
+        done = watch_pass(files, log, used, cap)
         if handler is not None:
-            kept = kept.join(handler(kept).select("name"), "name", "left_anti")
-        kept.select("name", "hash", F.current_date().alias("day")).write.mode("overwrite").parquet(
+            failed = handler(done.where("outcome = 'ingested'")).select("name", F.lit(True).alias("__bad"))
+            done = done.join(failed.distinct(), "name", "left").withColumn(
+                "outcome", F.when((F.col("outcome") == "ingested") & F.col("__bad"), "failed").otherwise(F.col("outcome"))
+            )
+        waits = F.col("outcome").isin("capped", "failed")
+        target = f"{results}/batch={batch_id}"
+        done.select("name", F.when(waits, F.col("text")).alias("text"), "hash", "outcome").write.mode("overwrite").parquet(target)
+        taken = spark.read.parquet(target).where("outcome = 'ingested'")
+        taken.select("name", "hash", F.current_date().alias("day")).write.mode("overwrite").parquet(
             f"{registry}/batch={batch_id}"
         )
 

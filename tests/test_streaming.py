@@ -35,9 +35,9 @@ def test_watch_takes_new_and_changed_files_up_to_the_cap(spark, tmp_path):
     (src / "e.md").write_text("one more")
     (src / "a2").mkdir()
     (src / "a2" / "a.md").write_text("one")  # same name and content: unchanged
-    assert run(10) >= {("e.md", "ingested")}
+    assert run(10) >= {("e.md", "ingested"), ("c.md", "ingested")}
     registered = {r.name for r in spark.read.parquet(str(tmp_path / "reg")).collect()}
-    assert registered == {"a.md", "b.txt", "e.md"}
+    assert registered == {"a.md", "b.txt", "c.md", "e.md"}
 
 
 def test_failed_files_stay_out_of_the_registry(spark, tmp_path):
