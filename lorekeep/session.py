@@ -39,6 +39,16 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer pieces than there are cores.
+
+    A small file is one split, and heavy work per row would run in one task. Tables with enough
+    splits, as on a cluster, pass unchanged and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the cluster's shared checkpoint folder.
 
