@@ -49,8 +49,11 @@ def attach(df: DataFrame, small: bool) -> DataFrame:
 
 
 def best(score: str) -> Column:
-    """Descending by score; differences below 1e-9 are noise of the summing order, so they tie."""
-    return F.desc(F.round(score, 9))
+    """Descending by score; differences below 1e-9 are noise of the summing order, so they tie.
+
+    ``rint`` instead of ``round``: the latter goes through decimal text for every row.
+    """
+    return F.desc(F.rint(F.col(score) * 1e9))
 
 
 # ---- windows ---------------------------------------------------------------------------------
@@ -126,8 +129,9 @@ def channel_scores(
 ) -> DataFrame:
     """query_id, note_id, hay_len, haystack, tri_title, tri_summary: raw BM25 per channel.
 
-    Works from notes, or from written postings plus their one-row corpus table. ``small`` tells
-    whether the query terms passed the size check; it is made here when not given.
+    Works from notes, or from written postings plus their one-row corpus table. Notes given with a
+    corpus row are spread by note already. ``small`` tells whether the query terms passed the size
+    check; it is made here when not given.
     """
     wanted = query_field_terms(queries)
     small = small_enough(wanted) if small is None else small
@@ -135,8 +139,9 @@ def channel_scores(
     if postings is None:
         # The one shuffle of the documents, as text, which is a fraction of the size of its term
         # rows. Everything per note stays in place after it, also the corpus statistics.
-        notes = spread(notes, "note_id")
-        corpus = I.corpus_row(notes)
+        if corpus is None:
+            notes = spread(notes, "note_id")
+            corpus = I.corpus_row(notes)
         placed = I.note_terms(notes)
         rows = I.term_rows(placed).join(vocabulary, ["field", "term"], "left_semi")
         postings = I.count_terms(rows)
@@ -158,7 +163,6 @@ def channel_scores(
             F.max("hay_len").alias("hay_len"),
             *[F.sum(F.when(F.col("field") == f, F.col("gain"))).alias(f) for f in I.FIELDS],
         )
-        .withColumn("monolingual", stats["monolingual"])
     )
 
 
@@ -169,14 +173,22 @@ def search_index(
     """query_id, note_id, rank, score: three channels blended, hubs damped, best first."""
     # a query with a candidate has a term, so the check on the terms also bounds the queries
     small = small_enough(query_field_terms(queries))
+    if postings is None:
+        notes = spread(notes, "note_id")
+        corpus = I.corpus_row(notes)
     scores = channel_scores(queries, notes, postings, corpus, small)
+    # The scores are read twice, for the maxima and for the ranking. A (query, note) row sums dozens
+    # of term gains, so shuffling it once and reusing that is far cheaper than scoring again.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scores = scores.repartition(parts, "query_id", "note_id")
+    monolingual = corpus.select("monolingual").scalar()
     tops = scores.groupBy("query_id").agg(
         *[F.max(f).alias(f"top_{f}") for f in I.FIELDS], F.avg("hay_len").alias("mean_len")
     )
     share = lambda f: F.coalesce(
         F.when(F.col(f"top_{f}") > 0, F.col(f) / F.col(f"top_{f}")), F.lit(0.0)
     )
-    scale = F.when(F.col("monolingual"), MONOLINGUAL_SCALE).otherwise(1.0)
+    scale = F.when(monolingual, MONOLINGUAL_SCALE).otherwise(1.0)
     blend = (
         share("haystack")
         + share("tri_title") * (scale * TRI_TITLE_WEIGHT)
