@@ -174,6 +174,21 @@ def latency_percentiles(samples: DataFrame, keys: list[str], value: str = "ms")
     )
 
 
+def run_systems(systems: dict, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """system, query_id, doc_id, rank of plug-in retrievers.
+
+    A retriever is a callable (queries, docs, k) -> DataFrame with query_id, doc_id and rank.
+    """
+    runs = [
+        retriever(queries, docs, k).select(F.lit(name).alias("system"), "query_id", "doc_id", "rank")
+        for name, retriever in systems.items()
+    ]
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    return out
+
+
 def shootout(runs: DataFrame, cases: DataFrame, qrels: DataFrame, k: int, latencies: DataFrame | None = None) -> DataFrame:
     """One row per system: recall, MRR, hit, nDCG and, if given, p50 latency.
 

@@ -465,16 +465,15 @@ _SYSTEMS = f"""{_RUN}, {_OVERLAP.replace('notes', 'documents').replace(O.PLAIN,
         FROM runs JOIN qrels USING (query_id, doc_id) GROUP BY ALL)"""
 
 
-@query("R20", sql=f"""WITH {_SYSTEMS} SELECT s.system, round(avg(coalesce(matched / relevant, 0)), 4) AS recall_at_k,
+@query("R20", "X1", sql=f"""WITH {_SYSTEMS} SELECT s.system, round(avg(coalesce(matched / relevant, 0)), 4) AS recall_at_k,
     round(avg(coalesce(1 / first, 0)), 4) AS mrr, round(avg((coalesce(matched, 0) > 0)::INT), 4) AS hit_rate,
     round(avg(coalesce(dcg / idcg, 0)), 4) AS ndcg, count(*) AS n_queries
     FROM (SELECT DISTINCT system FROM runs) s CROSS JOIN judged j JOIN ideal i USING (query_id)
     LEFT JOIN got g ON g.system = s.system AND g.query_id = j.query_id GROUP BY s.system""")
 def shootout(spark, folder):
     questions, docs = A.questions(spark, folder), _text_docs(spark, folder)
-    bm25 = S.bm25_search(questions, docs, 5).select(F.lit("bm25").alias("system"), "query_id", "doc_id", "rank")
-    plain = S.term_overlap_search(questions, docs, 5).select(F.lit("overlap").alias("system"), "query_id", "doc_id", "rank")
-    return EV.shootout(bm25.unionByName(plain), questions, _qrels(spark, folder), 5)
+    runs = EV.run_systems({"bm25": S.bm25_search, "overlap": S.term_overlap_search}, questions, docs, 5)
+    return EV.shootout(runs, questions, _qrels(spark, folder), 5)
 
 
 _VARIANTS = {"hits-only": (5, 99, {}), "three-and-hop": (5, 3, {}), "three-and-typed": (5, 3, {"typed_only": True}),

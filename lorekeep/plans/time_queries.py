@@ -466,6 +466,31 @@ def overview_tree(spark, folder):
     return G.overview_tree(areas, domains.select("domain_id")).select("domain_id", "name", "area_id")
 
 
+@query("J10", sql=f"""WITH {O.NOTES} SELECT note_id, CASE WHEN lang = 'en' THEN 'Edited ' || note_id ELSE title END AS title, sha256(summary) AS summary_hash, confidence
+    FROM notes WHERE lang IN ('en', 'fr')""")
+def reindexed_notes(spark, folder):
+    """Pages exist for English notes, with a new title, and for French ones, with blank fields."""
+    notes = A.notes(spark, folder, labelled=True)
+    lang = F.col("tags")[0]
+    none = F.expr("cast(array() as array<string>)")
+    parsed = notes.where(lang.isin("en", "fr")).select(
+        F.col("note_id").alias("id"), F.when(lang == "en", F.concat(F.lit("Edited "), "note_id")).otherwise("").alias("title"),
+        none.alias("aliases"), none.alias("tags"), F.lit("").alias("summary"),
+        F.expr("cast(array() as array<struct<key:string,value:string>>)").alias("body_sections"),
+    )
+    merged, _ = CU.reindex_merge(parsed, notes.drop("doc_id", "source"))
+    return merged.select("note_id", "title", T.content_hash("summary").alias("summary_hash"), "confidence")
+
+
+@query("T6", sql=f"""WITH {O.NOTES} SELECT note_id, CASE WHEN lang = 'de' THEN 'fixed ' || note_id ELSE summary END AS summary, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS sections FROM notes""")
+def corrected_notes(spark, folder):
+    """German notes get a new summary and a definition; note ids serve as titles."""
+    notes = A.notes(spark, folder).withColumn("title", F.col("note_id")).drop("doc_id", "source")
+    fixes = notes.where("tags[0] = 'de'").select("title", F.concat(F.lit("fixed "), "note_id").alias("summary"), F.lit("text").alias("body"))
+    out = TM.apply_corrections(notes, fixes, _claim_table(spark, folder), F.lit("2030-01-01").cast("timestamp"))
+    return out["notes"].select("note_id", "summary", F.size("body_sections").alias("sections"))
+
+
 # ---- sets ------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from lorekeep.operators import skew
 from lorekeep.session import checkpoint
 
 # ---- Fixed values ----------------------------------------------------------------------------
-SKIPPED_DIRS = (".obsidian", ".trash", ".git", ".talamus")
+SKIPPED_DIRS = (".obsidian", ".trash", ".git")
 DOC_SUFFIXES = (".md", ".markdown", ".rst", ".txt", ".docx", ".pdf", ".html", ".htm")
 CODE_SUFFIXES = (
     ".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".java", ".kt", ".c", ".h", ".cpp", ".hpp",
@@ -22,7 +22,7 @@ CODE_SUFFIXES = (
     ".ini", ".cfg",
 )
 PRUNED_DIRS = (
-    ".git", ".talamus", ".claude", ".worktrees", "node_modules", ".venv", "venv", "env", "dist",
+    ".git", ".claude", ".worktrees", "node_modules", ".venv", "venv", "env", "dist",
     "build", "target", "site", "__pycache__", ".mypy_cache", ".ruff_cache", ".pytest_cache",
     ".idea", ".vscode", ".egg-info",
 )
