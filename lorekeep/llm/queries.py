@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import tokens
+from lorekeep.llm import langid, tokens, toxicity
+from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,9 +29,52 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def labelled_sample(spark: SparkSession, folder: str, label: str, fold=None, size: int = 12_000) -> DataFrame:
+    """Whole texts of at most ``size`` labelled documents, those whose ids hash lowest; text, label.
+
+    Documents stay where they are: the ids of the sample, bounded by ``size``, are broadcast. A
+    document with contradicting labels is left out.
+    """
+    labels = table(spark, folder, "labels").select("doc_id", F.col(label).alias("label"))
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
+    labels = labels.where("label = most").drop("most")
+    if fold is not None:
+        labels = labels.where(fold)
+    ids = sample_of(labels, "doc_id", size)
+    return table(spark, folder, "documents").select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
+
+
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every whole text."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = tokens.token_counts(docs, tokenizer("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole text, learned where crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = remainder("doc_id", 5)
+    model = langid.train(docs.where(fold != 0))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text, learned where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(labelled_sample(spark, folder, "toxic", remainder("doc_id", 3) != 1))
+    fold = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        fold.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+        F.get("offending", F.lit(0))["begin"].alias("first_begin"),
+        F.get("offending", F.lit(0))["end"].alias("first_end"),
+    )
