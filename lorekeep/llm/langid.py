@@ -80,6 +80,7 @@ def train(
     lang: str = "lang",
     docs_per_language: int = 3000,
     min_docs: int = 5,
+    max_languages: int = 256,
     profile: int = 20_000,
     ratio: float = 0.5,
     slots: int = 1 << 18,
@@ -88,16 +89,20 @@ def train(
     """Filters learned from labelled texts.
 
     Bounds: about ``docs_per_language`` texts per language (drawn by a hash of the text, whole
-    texts; a language with fewer than ``min_docs`` is left out) and ``profile`` n-grams per language, the most
+    texts; a language with fewer than ``min_docs`` is left out, more
+    than ``max_languages`` are an error) and ``profile`` n-grams per language, the most
     frequent. An n-gram enters the filter of each language where it is at least ``ratio`` times
     as frequent as where it is most frequent.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
     )
-    share = labelled.groupBy("lang").count().where(F.col("count") >= min_docs)
+    counts = labelled.groupBy("lang").count().where(F.col("count") >= min_docs).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     draw = F.xxhash64("text", F.lit(4)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    drawn = labelled.join(share, "lang").where(draw < F.lit(float(docs_per_language)) / F.col("count"))
+    rates = [F.when(F.col("lang") == r["lang"], docs_per_language / r["count"]) for r in counts]
+    drawn = labelled.where(draw < F.coalesce(*rates, F.lit(0.0)))
 
     def count(batches):
         total: dict[str, Counter] = {}

@@ -49,7 +49,7 @@ class Model:
 
 
 def _fit(texts: list[str], labels: np.ndarray, rounds: int, rate: float, decay: float, rare: int) -> Model:
-    """Adagrad on the noisy-or likelihood, all sentences at once; words share feature weights."""
+    """Adagrad with an L1 penalty and weights of zero or more on the noisy-or likelihood, all sentences at once; words share feature weights."""
     vocabulary: dict[str, int] = {}
     tokens, sentence_of, document_of, seen_in = [], [], [], []
     n = 0
@@ -74,8 +74,8 @@ def _fit(texts: list[str], labels: np.ndarray, rounds: int, rate: float, decay:
     used = np.bincount(feature, spread[owner], BUCKETS) >= rare
     keep = used[feature]
     feature, owner = feature[keep], owner[keep]
-    weights, moment = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
-    bias = float(np.log(max(labels.mean(), 1e-4) * len(texts) / n)) if n else -5.0
+    weights, moment = np.zeros(BUCKETS), np.full(BUCKETS, 0.1)
+    bias = float(np.log(max(labels.mean(), 1e-4) * len(texts) / n)) - 4 if n else -5.0
     bias_moment = 1e-6
     balance = np.where(labels == 1, (labels == 0).sum() / max(1, (labels == 1).sum()), 1.0) ** 0.5
     for _ in range(rounds):
@@ -86,12 +86,14 @@ def _fit(texts: list[str], labels: np.ndarray, rounds: int, rate: float, decay:
         slope = np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-6, 700)), 1.0) * balance
         grad_z = slope[document] / (1 + np.exp(-z))
         grad_word = np.bincount(token, grad_z[sentence], len(sizes))
-        grad = np.bincount(feature, grad_word[owner], BUCKETS) + decay * weights
+        grad = np.bincount(feature, grad_word[owner], BUCKETS)
         moment += grad**2
-        weights -= rate * grad / np.sqrt(moment)
+        step = rate / np.sqrt(moment)
+        weights -= step * grad
+        weights = np.maximum(weights - step * decay, 0)  # evidence only adds up; most features say nothing
         g = grad_z.sum()
         bias_moment += g * g
-        bias -= rate * g / np.sqrt(bias_moment)
+        bias -= 4 * rate * g / np.sqrt(bias_moment)
     return Model(weights, bias)
 
 
@@ -102,9 +104,9 @@ def train(
     label: str = "label",
     sample: int = 12_000,
     max_chars: int = 60_000_000,
-    rounds: int = 120,
-    rate: float = 0.3,
-    decay: float = 0.05,
+    rounds: int = 250,
+    rate: float = 0.6,
+    decay: float = 0.01,
     rare: int = 3,
 ) -> Model:
     """The model of ``docs`` with a 0/1 label per document.
