@@ -75,9 +75,9 @@ def _fit(texts: list[str], labels: np.ndarray, rounds: int, rate: float, decay:
     keep = used[feature]
     feature, owner = feature[keep], owner[keep]
     weights, moment = np.zeros(BUCKETS), np.full(BUCKETS, 0.1)
-    bias = float(np.log(max(labels.mean(), 1e-4) * len(texts) / n)) - 4 if n else -5.0
+    bias = float(np.log(max(labels.mean(), 1e-4) * len(texts) / n)) - 2 if n else -5.0
     bias_moment = 1e-6
-    balance = np.where(labels == 1, (labels == 0).sum() / max(1, (labels == 1).sum()), 1.0) ** 0.5
+    balance = np.where(labels == 1, (labels == 0).sum() / max(1, (labels == 1).sum()), 1.0) ** 0.8
     for _ in range(rounds):
         word = np.bincount(owner, weights[feature], len(sizes))
         z = bias + np.bincount(sentence, word[token], n)
@@ -104,7 +104,7 @@ def train(
     label: str = "label",
     sample: int = 12_000,
     max_chars: int = 60_000_000,
-    rounds: int = 250,
+    rounds: int = 400,
     rate: float = 0.6,
     decay: float = 0.01,
     rare: int = 3,
