@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import langid, simhash, tokens, toxicity
+from lorekeep.llm import langid, pq, simhash, tokens, toxicity
 from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of whole texts whose SimHash differs in at most 2 bits."""
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of cosine 0.98 and more between vectors of one label."""
+    return pq.near_vectors(table(spark, folder, "embeddings"))
