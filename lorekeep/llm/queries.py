@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import langid, pq, simhash, tokens, toxicity
+from lorekeep.llm import decontaminate, langid, pq, simhash, tokens, toxicity
 from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Links of cosine 0.98 and more between vectors of one label."""
     return pq.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every (document, benchmark item) of a similar window, with the best window."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
