@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, langid, pq, simhash, tokens, toxicity
+from lorekeep.llm import decontaminate, langid, mainhtml, pq, simhash, tokens, toxicity
 from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.matches(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+@query
+def op5_main_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = mainhtml.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
