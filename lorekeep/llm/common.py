@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lorekeep.session import checkpoint
+from lorekeep.session import checkpoint, shared_folder
 
 WORD = re.compile(r"\w+")
 
@@ -96,9 +97,18 @@ def sample_of(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key)), key).limit(size)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder of ``spark.checkpoint.dir``, read again."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def parts_of(df: DataFrame, cores: int | None = None) -> int:
     """Tasks for grouped work: the session's shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["WORD", "WordRows", "append_columns", "checkpoint", "parts_of", "remainder", "sample_of"]
+__all__ = ["WORD", "WordRows", "append_columns", "checkpoint", "parts_of", "remainder", "sample_of", "written"]

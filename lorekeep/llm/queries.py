@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, langid, mainhtml, pq, simhash, tokens, toxicity
+from lorekeep.llm import chat, checks, decontaminate, langid, mainhtml, mixing, pq, quality, simhash, tokens, toxicity
 from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,9 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def labelled_sample(spark: SparkSession, folder: str, label: str, fold=None, size: int = 12_000) -> DataFrame:
+def labelled_sample(
+    spark: SparkSession, folder: str, label: str, fold=None, size: int = 12_000, docs: DataFrame | None = None
+) -> DataFrame:
     """Whole texts of at most ``size`` labelled documents, those whose ids hash lowest; text, label.
 
     Documents stay where they are: the ids of the sample, bounded by ``size``, are broadcast. A
@@ -42,7 +44,8 @@ def labelled_sample(spark: SparkSession, folder: str, label: str, fold=None, siz
     if fold is not None:
         labels = labels.where(fold)
     ids = sample_of(labels, "doc_id", size)
-    return table(spark, folder, "documents").select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
+    docs = table(spark, folder, "documents") if docs is None else docs
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
 
 
 @query
@@ -106,3 +109,32 @@ def op5_main_html(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     found = mainhtml.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn so that half of all tokens meets tempered source, language and topic marginals."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select("doc_id", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "drawn")
+
+
+ORACLE["op2_mixing"] = checks.mixing_sql()
+
+
+@query
+def op8_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every dialogue from every participant's side."""
+    shown = chat.perspectives(table(spark, folder, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["begin"].cast("string"), m["end"].cast("string"))), ",")
+    return shown.withColumn("mask", spans).select("conv_id", "speaker", "part", "offset", "rendered", "mask", "n_turns", "n_own")
+
+
+ORACLE["op8_perspectives"] = checks.PERSPECTIVES
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight of every whole text, and the resampled 85 percent."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    sample = labelled_sample(spark, folder, "quality")
+    return quality.resample(docs, sample.where("label = 1").select("text"))

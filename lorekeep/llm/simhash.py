@@ -148,3 +148,22 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "component").select("fp", F.col("component").alias("root"), "component_id")
     return marked.join(named, "fp").select(key, "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group: the one whose key names the group.
+
+    Rows that repeat that key are copies, the first in column order stays. Groups without any key keep their first row.
+    """
+    found = groups(docs, key=key, text=text, **how)
+    chosen = checkpoint(found.where(F.col(key) == F.col("component_id")).groupBy(key).count())
+    plain = docs.join(chosen.where("count = 1").select(key), key, "left_semi").select(*docs.columns)
+
+    def first(rows: DataFrame, by: str) -> DataFrame:
+        whole = F.struct(*docs.columns)
+        return rows.groupBy(by).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+
+    again = first(docs.join(chosen.where("count > 1").select(key), key, "left_semi"), key)
+    bare = fingerprints(docs.where(F.col(key).isNull()), text=text)
+    rootless = found.where(F.col("component_id").isNull()).select("fp", "root").distinct()
+    return plain.unionByName(again).unionByName(first(bare.join(rootless, "fp"), "root"))
