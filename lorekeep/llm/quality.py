@@ -1,7 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-A text's log importance weight is the sum over its words and word pairs of log p_target - log p_raw, both
-add-one smoothed over hashed buckets. The raw model counts every text; the target model counts texts marked as good.
+A text's log importance weight is the sum over its words and word pairs of log p_target - log p_raw over
+hashed buckets. The raw model counts every text; the target model counts texts marked as good and is smoothed towards
+the raw one, so that an n-gram too rare to be expected in the target says nothing.
 Adding Gumbel noise and taking the k largest keys samples without replacement in proportion to the weights.
 
 The k-th key is found by histograms of the keys: bins go to the driver, their number fixed, and the bin that holds the
@@ -69,9 +70,10 @@ def counts(texts: DataFrame, *, text: str = "text", buckets: int = 1 << 16) -> n
     return out
 
 
-def weigh(docs: DataFrame, target: np.ndarray, raw: np.ndarray, *, text: str = "text") -> DataFrame:
-    """``docs`` with log_weight and n_grams."""
-    ratio = np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+def weigh(docs: DataFrame, target: np.ndarray, raw: np.ndarray, *, text: str = "text", prior: float = 5.0) -> DataFrame:
+    """``docs`` with log_weight and n_grams; ``prior`` is the smoothing in counts."""
+    expected = target.sum() * raw / max(1, raw.sum())
+    ratio = np.log((target + prior) / (expected + prior))
     if not target.sum():
         ratio = np.zeros(len(raw))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # one number per bucket
