@@ -37,8 +37,8 @@ def merge_notes(existing: DataFrame, new: DataFrame, order: str = "seq") -> Data
     text not already contained in it.
     """
     cols = [c for c in existing.columns]
-    at = lambda n, o: F.struct(F.lit(n).alias("n"), o.cast("bigint").alias("o"))
-    rows = existing.withColumn("__at", at(0, F.lit(0))).unionByName(
+    at = lambda n, o: F.struct(F.lit(n).alias("n"), o.alias("o"))
+    rows = existing.withColumn("__at", at(0, F.lit(None).cast(new.schema[order].dataType))).unionByName(
         new.withColumn("__at", at(1, F.col(order))).select(*cols, "__at")
     )
     unions = {
@@ -50,10 +50,10 @@ def merge_notes(existing: DataFrame, new: DataFrame, order: str = "seq") -> Data
     }
     types = dict(existing.dtypes)
     prose = [c for c in PROSE if c in cols]
-    late_first = F.struct((-F.col("__at.n")).alias("n"), (-F.col("__at.o")).alias("o"))
+    lower = F.coalesce(-F.col("confidence"), F.lit(float("inf")))
     out = rows.groupBy("note_id").agg(
         # the first row among those of the highest confidence
-        F.max_by(F.struct(*prose), F.struct("confidence", late_first)).alias("base"),
+        F.min_by(F.struct(*prose), F.struct(lower, "__at")).alias("base"),
         F.max("confidence").alias("confidence"),
     ).select("note_id", "confidence", *[F.col("base")[c].alias(c) for c in prose])
     # A text already seen with the same confidence changes nothing, so steps are distinct pairs.
@@ -108,7 +108,7 @@ def consolidate(notes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFra
     live = live.join(titles.withColumnRenamed("title", "canonical"), "canonical", "left_semi")
     absorbed = skew.first(live.select("member", "canonical", "group_seq", "pos"), ["member"], ["group_seq", "pos"])
     ids = notes.select(F.col("title").alias("canonical"), F.col("note_id").alias("__cid"))
-    order = F.col("group_seq") * F.lit(2**31) + F.col("pos")
+    order = F.struct("group_seq", "pos")
     members = (
         notes.join(absorbed.join(ids, "canonical"), notes["title"] == F.col("member"))
         .withColumns({
@@ -403,7 +403,7 @@ def collection_health(
 
 def ingest_estimates(texts: DataFrame) -> DataFrame:
     """doc_id, chars, chunks, est_llm_calls, est_input_tokens before a document is read in."""
-    from lorekeep.functions.rows import chunk_counts
+    from lorekeep.functions.shapes import chunk_counts
 
     return chunk_counts(texts).withColumns({
         "est_llm_calls": F.col("chunks"), "est_input_tokens": F.floor(F.col("chars") / 4),

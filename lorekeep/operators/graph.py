@@ -13,7 +13,8 @@ from lorekeep.session import checkpoint
 
 def name_registry(notes: DataFrame, extra_aliases: DataFrame | None = None, seq: str = "note_id") -> DataFrame:
     """key, title: trimmed lower-cased names. A later entry overwrites: notes in order, the title
-    before its aliases, extra aliases (alias, title) last."""
+    before its aliases, extra aliases (alias, title) last; of extra aliases the one with the largest
+    ``seq`` holds, without that column the largest title."""
     aliases = F.col("aliases") if "aliases" in notes.columns else F.expr("cast(array() as array<string>)")
     names = notes.select(
         "title", F.col(seq).alias("seq"), F.posexplode(F.concat(F.array("title"), aliases)).alias("pos", "name")
@@ -24,7 +25,8 @@ def name_registry(notes: DataFrame, extra_aliases: DataFrame | None = None, seq:
     last = names.groupBy("key").agg(F.max_by("title", "at").alias("title"))
     if extra_aliases is None:
         return last
-    extra = extra_aliases.groupBy(T.key("alias").alias("key")).agg(F.max("title").alias("title"))
+    place = F.struct("seq", "title") if "seq" in extra_aliases.columns else F.col("title")
+    extra = extra_aliases.groupBy(T.key("alias").alias("key")).agg(F.max_by("title", place).alias("title"))
     return extra.unionByName(last.join(extra, "key", "left_anti"))
 
 
@@ -187,7 +189,7 @@ def _signature(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the smallest node of each undirected component, isolates alone.
 
     Alternating large-star and small-star steps: each is one pre-combined minimum per node and one
@@ -202,7 +204,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     )
     state = checkpoint(pairs)
     mark = _signature(state)
-    for _ in range(max_rounds):
+    while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -215,8 +217,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.select("node").distinct().join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("component")

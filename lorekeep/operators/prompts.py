@@ -97,12 +97,13 @@ def batched_prompts(rows: DataFrame, order: str, line: Column, size: int, bucket
 def parse_groups(answers: DataFrame, notes: DataFrame) -> DataFrame:
     """group_seq, canonical, pos, member of duplicate groups with two or more known members.
 
+    ``group_seq`` is (answer_id, position in the answer), which orders the groups of any number of answers.
     The canonical title must be a member, else the first member is taken. ``answers`` is
     (answer_id, answer).
     """
     group = "canonical string, members array<string>"
     raw = answers.select("answer_id", F.posexplode(J.balanced_objects("answer")).alias("g", "o")).select(
-        (F.col("answer_id") * 1000000 + F.col("g")).alias("group_seq"), F.from_json("o", group).alias("x")
+        F.struct("answer_id", "g").alias("group_seq"), F.from_json("o", group).alias("x")
     )
     members = raw.select("group_seq", F.col("x.canonical").alias("given"), F.posexplode(F.array_distinct("x.members")).alias("pos", "member"))
     known = members.join(notes.select(F.col("title").alias("member")).distinct(), "member", "left_semi")
@@ -195,10 +196,11 @@ def answer_prompts(items: DataFrame, queries: DataFrame, template: str, budget:
 
 def check_citations(answers: DataFrame, legend: DataFrame) -> DataFrame:
     """query_id, cited, known: the bracketed numbers of an answer and whether a source bears them."""
-    numbers = F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d{1,9})\]"), 1), lambda n: n.cast("int"))
+    numbers = F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), 1), lambda n: F.regexp_replace(n, r"^0+(?=\d)", ""))
     cited = answers.select("query_id", F.explode(F.array_distinct(numbers)).alias("n"))
-    return cited.join(legend.select("query_id", "n", F.lit(True).alias("known")), ["query_id", "n"], "left").select(
-        "query_id", F.col("n").alias("cited"), F.coalesce("known", F.lit(False)).alias("known")
+    named = legend.select("query_id", F.col("n").cast("string").alias("n"), F.lit(True).alias("known"))
+    return cited.join(named, ["query_id", "n"], "left").select(
+        "query_id", F.col("n").cast("decimal(38,0)").alias("cited"), F.coalesce("known", F.lit(False)).alias("known")
     )
 
 

@@ -75,11 +75,11 @@ def asof_join(probes: DataFrame, versions: DataFrame) -> DataFrame:
     floor = F.lit("0001-01-01").cast("timestamp")
     v = versions.select(
         "note_id", F.coalesce("updated_at", floor).alias("at"), F.lit(0).alias("side"),
-        F.col("seq").cast("bigint").alias("tie"), row.alias("v"),
+        F.col("seq").alias("tie"), row.alias("v"),
         F.lit(None).cast(dict(probes.dtypes)["probe_id"]).alias("probe_id"),
     )
     p = probes.select(
-        "note_id", F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("tie"),
+        "note_id", F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(versions.schema["seq"].dataType).alias("tie"),
         empty.alias("v"), "probe_id",
     )
     line = v.unionByName(p).withColumn("bucket", F.date_trunc("month", "at"))

@@ -266,13 +266,13 @@ def type_coverage(spark, folder):
     return ON.coverage(edges.select("source", "type", "target"))
 
 
-@query("A7", "U4", sql=f"""WITH {O.NOTES}, k AS (SELECT DISTINCT lang AS run, array_to_string({O.tokens('left(text, 40)')}, ' ') AS cluster_key FROM notes),
+@query("A7", "U4", sql=f"""WITH {O.NOTES}, k AS (SELECT DISTINCT lang AS run, array_to_string({O.tokens('text')}, ' ') AS cluster_key FROM notes),
     g AS (SELECT cluster_key, count(*) AS c FROM (SELECT DISTINCT run, unnest(string_split(cluster_key, ' ')) AS cluster_key FROM k) WHERE cluster_key <> '' GROUP BY ALL)
     SELECT round(avg((c = (SELECT count(DISTINCT run) FROM k))::INT), 4) AS jaccard, count(*) AS cluster_keys FROM g""")
 def run_stability(spark, folder):
-    """The stems of the document heads as cluster keys, one run per language."""
+    """The stems of the documents as cluster keys, one run per language."""
     docs = A.table(spark, folder, "documents")
-    keys = docs.select(F.col("lang").alias("run"), F.explode_outer(T.tokens(F.substring("text", 1, 40))).alias("cluster_key"))
+    keys = docs.select(F.col("lang").alias("run"), F.explode_outer(T.tokens("text")).alias("cluster_key"))
     return ON.stability(keys.distinct())
 
 

@@ -576,7 +576,7 @@ def scoped_search(spark, folder):
 @query("J6", "R5", sql=f"""WITH {O.product_search(5)},
     ids AS (SELECT {O.key('title')} AS k, min(note_id) AS note_id FROM notes GROUP BY ALL),
     h AS (SELECT query_id, rank, title, i.note_id FROM found JOIN ids i ON i.k = {O.key('title')}),
-    v AS (SELECT note_id, updated_at + to_hours(s * 24) AS updated_at, s::INT AS seq, s || '|' || left(summary, 40) AS summary FROM notes, range(3) t(s)),
+    v AS (SELECT note_id, updated_at + to_hours(s * 24) AS updated_at, s::INT AS seq, s || '|' || summary AS summary FROM notes, range(3) t(s)),
     seen AS (SELECT note_id, max(updated_at) AS updated_at, arg_max(summary, updated_at) AS summary FROM v WHERE updated_at <= TIMESTAMP '2024-01-02 08:00:00' GROUP BY note_id)
     SELECT query_id, rank, title, note_id, updated_at, summary AS summary_then FROM h JOIN seen USING (note_id)""")
 def search_as_of(spark, folder):
@@ -585,7 +585,7 @@ def search_as_of(spark, folder):
     days = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("seq")
     versions = notes.select("note_id", "updated_at", "summary", days).select(
         "note_id", F.timestamp_micros(F.unix_micros("updated_at") + F.col("seq") * 86400000000).alias("updated_at"), "seq",
-        F.concat(F.col("seq").cast("string"), F.lit("|"), F.substring("summary", 1, 40)).alias("summary"),
+        F.concat(F.col("seq").cast("string"), F.lit("|"), F.col("summary")).alias("summary"),
     )
     instant = F.lit("2024-01-02 08:00:00").cast("timestamp")
     return TM.search_as_of(A.questions(spark, folder), notes, versions, instant, 5)
@@ -603,8 +603,8 @@ def link_resolution(spark, folder):
 
 @query("J16", sql=f"""WITH {O.NOTES.replace('notes AS', 'notes0 AS')},
     notes AS (SELECT * FROM notes0),
-    {O.index_search(4, "questions AS (SELECT 100000000 + item_id AS query_id, left(text, 80) || ' ' || text AS text FROM benchmark)").replace(O.NOTES + ',', '')},
-    asked AS (SELECT 100000000 + item_id AS query_id, left(text, 80) AS new_title FROM benchmark),
+    {O.index_search(4, "questions AS (SELECT 100000000 + item_id AS query_id, split_part(text, chr(10), 1) || ' ' || text AS text FROM benchmark)").replace(O.NOTES + ',', '')},
+    asked AS (SELECT 100000000 + item_id AS query_id, split_part(text, chr(10), 1) AS new_title FROM benchmark),
     fit AS (SELECT h.query_id, rank, note_id, title, new_title FROM hits h JOIN asked USING (query_id) JOIN notes USING (note_id)
         WHERE list_has_any({O.tokens('new_title')}, {O.tokens('title')}))
     SELECT query_id::VARCHAR AS new_id, arg_min(new_title, rank) AS new_title, arg_min(note_id, rank) AS old_id, arg_min(title, rank) AS old_title FROM fit GROUP BY query_id""")
@@ -613,7 +613,7 @@ def supersedes_candidates(spark, folder):
     from lorekeep.operators.prompts import supersedes_candidates as candidates
 
     new = A.questions(spark, folder).select(
-        (F.col("query_id") + 100000000).cast("string").alias("note_id"), F.substring("text", 1, 80).alias("title"),
+        (F.col("query_id") + 100000000).cast("string").alias("note_id"), F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("summary"),
     )
     return candidates(new, A.notes(spark, folder))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.functions import rows as R
+from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
 from lorekeep.operators import curation
 from lorekeep.plans import adapters as A
@@ -167,10 +168,9 @@ def relation_sql(x: str) -> str:
     return chain + " END"
 
 
-@query("P16", sql=f"SELECT doc_id, coalesce({relation_sql('left(text, 200)')}, 'related') AS type FROM documents")
+@query("P16", sql=f"SELECT doc_id, coalesce({relation_sql('text')}, 'related') AS type FROM documents")
 def normalize_relation(spark, folder):
-    head = F.substring("text", 1, 200)
-    return _docs(spark, folder).select("doc_id", F.coalesce(T.fixed_relation(head), F.lit("related")).alias("type"))
+    return _docs(spark, folder).select("doc_id", F.coalesce(T.fixed_relation("text"), F.lit("related")).alias("type"))
 
 
 @query("P17", sql=f"WITH {O.NOTES} SELECT note_id, array_to_string({O.tokens('title')}, ' ') AS surface_key FROM notes")
@@ -195,12 +195,12 @@ def note_errors(spark, folder):
 
 @query("SC5")
 def page_texts(spark, folder):
-    return fan_out(A.table(spark, folder, "pages")).select("page_id", R.html_to_text("html").alias("text"))
+    return fan_out(A.table(spark, folder, "pages")).select("page_id", S.html_to_text("html").alias("text"))
 
 
 @query("P10")
 def chunks(spark, folder):
-    return R.split_chunks(_docs(spark, folder)).select(
+    return S.split_chunks(_docs(spark, folder)).select(
         "doc_id", "chunk_no", F.length("chunk").alias("chars"), T.content_hash("chunk").alias("hash")
     )
 
@@ -229,8 +229,8 @@ def sections_by_h2(spark, folder):
 @query("P21")
 def code_digests(spark, folder):
     """Pages as files without a Python parser: head lines and signature lines."""
-    pages = A.table(spark, folder, "pages").select(F.col("url").alias("path"), R.html_to_text("html").alias("text"))
-    return pages.select("path", R.code_digest("path", "text").alias("digest"))
+    pages = A.table(spark, folder, "pages").select(F.col("url").alias("path"), S.html_to_text("html").alias("text"))
+    return pages.select("path", S.code_digest("path", "text").alias("digest"))
 
 
 _SESSIONS = f"""s AS (SELECT conv_id, string_agg(role || ': ' || {O.strip('text')}, chr(10) ORDER BY turn) AS transcript

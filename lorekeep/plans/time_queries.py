@@ -394,11 +394,11 @@ def pruned_relations(spark, folder):
     return CU.prune_relations(_weighted(spark, folder), 0.5)[1]
 
 
-@query("F6", sql=f"""WITH {O.NOTES} SELECT note_id, sha256(retrieval_text || ' ~symptoms: ' || {O.strip('left(summary, 60)')}) AS text_hash FROM notes
-    WHERE {O.strip('left(summary, 60)')} <> '' AND NOT regexp_matches(left(summary, 60), '[{{}}\\[\\]<>]')""")
+@query("F6", sql=f"""WITH {O.NOTES} SELECT note_id, sha256(retrieval_text || ' ~symptoms: ' || {O.strip('summary')}) AS text_hash FROM notes
+    WHERE {O.strip('summary')} <> '' AND NOT regexp_matches(summary, '[{{}}\\[\\]<>]')""")
 def enriched_notes(spark, folder):
     notes = A.notes(spark, folder)
-    said = notes.select(F.col("note_id").alias("id"), F.substring("summary", 1, 60).alias("symptoms"))
+    said = notes.select(F.col("note_id").alias("id"), F.col("summary").alias("symptoms"))
     return CU.enrich(notes, said).select("note_id", T.content_hash("retrieval_text").alias("text_hash"))
 
 
@@ -552,18 +552,16 @@ def answer_quality(spark, folder):
     return EV.answer_quality(rows, ["lang"]).drop("refusal_accuracy")
 
 
-@query("P24", sql="""WITH o AS (SELECT o_orderkey % 2 = 0 AS linked, lower(text) AS low, left(lower(text), 4) AS v2, right(lower(text), 4) AS v1 FROM documents JOIN orders ON o_orderkey = doc_id)
+@query("P24", sql="""WITH o AS (SELECT doc_id % 2 = 0 AS linked, lower(text) AS low, regexp_extract(lower(text), '^\\S+') AS v2, regexp_extract(lower(text), '\\S+$') AS v1 FROM documents)
     SELECT linked, count(*) AS n, round(avg(contains(low, v2)::INT), 3) AS current_hit, round(avg((contains(low, v1) AND NOT contains(low, v2))::INT), 3) AS stale,
     round(avg((contains(low, v2) AND (contains(low, v1) OR contains(low, 'until')))::INT), 3) AS change_noted FROM o GROUP BY linked""")
 def freshness(spark, folder):
-    """A document is the answer; its head is the new fact, its end the old one."""
-    docs = A.table(spark, folder, "documents").join(
-        A.table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi"
-    )
+    """A document is the answer; its first word is the new fact, its last word the old one."""
+    docs = A.table(spark, folder, "documents")
     low = F.lower("text")
     rows = docs.select(
-        (F.col("doc_id") % 2 == 0).alias("linked"), F.col("text").alias("answer"), F.substring(low, 1, 4).alias("v2_marker"),
-        F.right(low, F.lit(4)).alias("v1_marker"),
+        (F.col("doc_id") % 2 == 0).alias("linked"), F.col("text").alias("answer"), F.regexp_extract(low, r"^\S+", 0).alias("v2_marker"),
+        F.regexp_extract(low, r"\S+\z", 0).alias("v1_marker"),
     )
     return EV.freshness_report(EV.score_freshness(rows, ("until",)))
 
@@ -578,10 +576,10 @@ def enrich_batches(spark, folder):
     return packed.select("batch", "n", T.content_hash("listing").alias("hash"))
 
 
-@query("M1", "P20", sql="SELECT doc_id, left(text, 30) AS title, lang || '/' || source AS tags FROM documents WHERE regexp_matches(left(text, 30), '\\S')".replace("left(text, 30) AS title", O.strip("left(text, 30)") + " AS title"))
+@query("M1", "P20", sql=f"SELECT doc_id, {O.strip('split_part(text, chr(10), 1)')} AS title, lang || '/' || source AS tags FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '\\S')")
 def parsed_extractions(spark, folder):
     """An answer per document: prose around an array of one note and one nameless entry."""
-    item = F.to_json(F.struct(F.substring("text", 1, 30).alias("title"), F.array("lang", "source").alias("tags")))
+    item = F.to_json(F.struct(F.substring_index("text", "\n", 1).alias("title"), F.array("lang", "source").alias("tags")))
     answer = F.concat(F.lit("Here are the notes:\n["), item, F.lit(', {"title": " "}]\nDone.'))
     rows = A.table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("raw_path"), F.col("source").alias("normalized_path"),
@@ -602,7 +600,7 @@ def parsed_groups(spark, folder):
     cut = F.concat(F.lit("["), group, F.lit(', {"canonical": "x", "members": ["'))
     answers = linked.where("nxt is not null").select(F.col("doc_id").alias("answer_id"), cut.alias("answer"))
     out = PR.parse_groups(answers, notes)
-    return out.select(F.floor(F.col("group_seq") / 1000000).alias("answer_id"), "canonical", "member")
+    return out.select(F.col("group_seq.answer_id").alias("answer_id"), "canonical", "member")
 
 
 @query("M4", sql="""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'applied' ELSE 'review' END AS outcome FROM orders WHERE o_orderstatus <> 'P'""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as SC
 from lorekeep.functions import rows as R
+from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
 from lorekeep.operators import skew
 from lorekeep.session import checkpoint
@@ -56,27 +57,36 @@ def read_notes(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.expr(d)) for c, d in SC.NOTE_DEFAULTS.items()})
 
 
+def _log_order() -> Column:
+    """Place of a record in its log: file name, block of the file, and line within the block.
+
+    The running id of a task grows line by line inside a block, so places compare right whatever order splits are read in.
+    """
+    return F.struct(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
 def read_history(spark: SparkSession, path: str, current: DataFrame) -> DataFrame:
     """Every version of every note; order by updated_at, seq. The current one comes last."""
     raw = SC.NOTES.replace(f"body_sections {SC.SECTIONS}", "body_sections map<string,string>")
     raw = raw.replace("created_at timestamp", "created_at string").replace("updated_at timestamp", "updated_at string")
-    old = spark.read.schema(raw).json(path).where("note_id is not null")
+    old = spark.read.schema(raw).json(path).withColumn("seq", _log_order()).where("note_id is not null")
     old = _times(old.withColumn("body_sections", F.map_entries("body_sections")), ("created_at", "updated_at"))
     old = old.withColumns({c: F.coalesce(c, F.expr(d)) for c, d in SC.NOTE_DEFAULTS.items()})
-    return old.withColumn("seq", F.lit(0)).unionByName(current.select(*old.columns).withColumn("seq", F.lit(1)))
+    last = F.struct(F.lit("\U0010ffff").alias("file"), F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("line"))
+    return old.unionByName(current.withColumn("seq", last).select(*old.columns))
 
 
 def read_claim_log(spark: SparkSession, path: str) -> DataFrame:
     """The claim log with a position that grows along each file."""
     raw = SC.CLAIMS.replace("timestamp", "string").replace("detail string", "detail map<string,string>")
-    df = spark.read.schema(raw).json(path).where("claim_id is not null")
+    df = spark.read.schema(raw).json(path).withColumn("seq", _log_order()).where("claim_id is not null")
     df = _times(df, SC.CLAIM_TIMES).withColumn("detail", F.to_json("detail"))
     for c, default in (("evidence", ""), ("invalidated_by", "")):
         df = df.withColumn(c, F.coalesce(c, F.lit(default)))
-    # within one file the id grows with the line; a log split over files carries its own time
-    return df.withColumn("confidence", F.coalesce("confidence", F.lit(0.8))).withColumn(
-        "seq", F.monotonically_increasing_id()
-    )
+    return df.withColumn("confidence", F.coalesce("confidence", F.lit(0.8)))
 
 
 def suffix_in(path: Column, suffixes: tuple[str, ...]) -> Column:
@@ -95,7 +105,7 @@ def read_text_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     body = F.make_valid_utf8(F.col("content").cast("string"))
     plain = raw.where(~suffix_in(F.col("path"), (".html", ".htm"))).select("path", body.alias("text"))
     pages = raw.where(suffix_in(F.col("path"), (".html", ".htm"))).select(
-        "path", R.html_to_text(body).alias("text")
+        "path", S.html_to_text(body).alias("text")
     )
     texts = plain.unionByName(pages).where("text is not null")
     return texts.select(
@@ -117,7 +127,7 @@ def import_vault(files: DataFrame, seen: DataFrame | None = None, existing: Data
     live = fit.where(T.strip("text") != "")
     if seen is not None:
         live = live.join(seen.select("path", "hash"), ["path", "hash"], "left_anti")
-    meta = R.vault_meta(live)
+    meta = S.vault_meta(live)
     summary = T.first_paragraph("body", R.SUMMARY_CHARS)
     summary = F.when(summary == "", F.concat("title", F.lit("."))).otherwise(summary)
     targets = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(R.WIKILINK), 1), T.strip))
@@ -155,20 +165,18 @@ def split_sections_h1(texts: DataFrame) -> DataFrame:
     Text before the first heading is dropped; without headings the file is one section.
     """
     heading = r"(?m)^#[\s\x1c-\x1f\x85\xa0]+(.+)$"
-    marked = F.regexp_replace("text", heading, "\u0001$1\u0002")
-    pieces = F.slice(F.split(marked, "\u0001"), 2, 2147483647)
-    # a text that holds the marker characters keeps them: they are removed up front
-    clean = texts.withColumn("text", F.translate("text", "\u0001\u0002", ""))
-    whole = F.array(F.concat(F.substring_index("path", "/", -1), F.lit("\u0002"), T.strip("text")))
-    parts = F.when(F.size(pieces) > 0, pieces).otherwise(whole)
-    return clean.select("path", T.source_hash("text").alias("source_hash"), F.posexplode(parts).alias("i", "p")).select(
+    titles = F.regexp_extract_all("text", F.lit(heading), 1)
+    bodies = F.split("text", heading)  # the piece before the first heading is dropped
+    pieces = F.zip_with(titles, F.slice(bodies, 2, F.size(bodies)), lambda t, b: F.struct(t.alias("title"), b.alias("body")))
+    whole = F.array(F.struct(F.substring_index("path", "/", -1).alias("title"), F.col("text").alias("body")))
+    parts = F.when(F.size(titles) > 0, pieces).otherwise(whole)
+    return texts.select("path", T.source_hash("text").alias("source_hash"), F.posexplode(parts).alias("i", "p")).select(
         "path", "source_hash", F.format_string("%03d", F.col("i") + 1).alias("section_id"),
-        T.strip(F.substring_index("p", "\u0002", 1)).alias("title"),
-        T.strip(F.substring(F.col("p"), F.instr("p", "\u0002") + 1, F.length("p"))).alias("text"),
+        T.strip(F.col("p.title")).alias("title"), T.strip(F.coalesce("p.body", F.lit(""))).alias("text"),
     )
 
 
-def split_sections_h2(files: DataFrame, max_rounds: int = 50) -> DataFrame:
+def split_sections_h2(files: DataFrame) -> DataFrame:
     """path, title, body, locator, part_of: one note per ``##`` section plus one per document.
 
     Titles are unique over all files: the earlier entry keeps a title, a later section gets
@@ -187,7 +195,7 @@ def split_sections_h2(files: DataFrame, max_rounds: int = 50) -> DataFrame:
     ).select("path", "pos", "doc_title", F.col("heading").alias("name1"), F.lit("").alias("name2"), "body", "heading")
     entries = docs.withColumn("heading", F.lit("")).unionByName(sections).withColumn("tried", F.lit(1))
     state = checkpoint(entries)
-    for _ in range(max_rounds):
+    while True:  # every round moves an entry on, and an entry moves twice at most
         shown = names(state)
         doc_names = shown.where("pos = 0").select("path", F.col("name").alias("doc_name"))
         shown = shown.join(doc_names, "path").withColumn(
@@ -325,7 +333,7 @@ def read_longmem(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 def read_transcripts(files: DataFrame) -> DataFrame:
     """Add ``transcript``: JSONL becomes ``role: text`` lines, other text passes through."""
-    return files.withColumn("transcript", R.compress_transcript("text"))
+    return files.withColumn("transcript", S.compress_transcript("text"))
 
 
 # ---- file trees ------------------------------------------------------------------------------

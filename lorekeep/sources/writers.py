@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as T
 from lorekeep.operators import index as I
 
+# fixed values: the lines of a source in the frontmatter
+SOURCE_LINES = (
+    ("  - raw_path: ", "raw_path"), ("    normalized_path: ", "normalized_path"),
+    ("    locator: ", "locator"), ("    source_hash: ", "source_hash"),
+)
+
 
 def write_index(notes: DataFrame, folder: str) -> None:
     """Postings and corpus statistics as a replaceable snapshot.
@@ -63,56 +67,60 @@ def append_log(events: DataFrame, folder: str) -> None:
     events.write.mode("append").parquet(folder)
 
 
-def _yaml(values, indent: int) -> str:
+def _items(values: Column, indent: int) -> Column:
+    """A list as dash lines, an empty one as brackets."""
     pad = " " * indent
-    return "\n".join(f"{pad}- {v}" for v in values) if len(values) else f"{pad}[]"
-
-
-def _note_page(note: dict, links: list[tuple[str, str]]) -> str:
-    out = [
-        "---", f"id: {note['note_id']}", f"title: {note['title']}", "aliases:", _yaml(note["aliases"], 2),
-        "tags:", _yaml(note["tags"], 2), f"confidence: {note['confidence']}", "sources:",
-    ]
-    for s in note["sources"]:
-        out += [
-            f"  - raw_path: {s['raw_path']}", f"    normalized_path: {s['normalized_path']}",
-            f"    locator: {s['locator']}", f"    source_hash: {s['source_hash']}",
-            "    supported_claims:", _yaml(s["supported_claims"], 6),
-        ]
-    out += ["---", "", f"# {note['title']}", "", "## Summary", "", note["summary"], ""]
-    waiting = sorted(links, key=lambda pair: -len(pair[0]))
-    for section in note["body_sections"]:
-        text, left = section["value"], []
-        for anchor, link in waiting:
-            new = re.sub(rf"\b{re.escape(anchor)}\b", lambda _, v=link: v, text, count=1)
-            if new == text:
-                left.append((anchor, link))
-            text = new
-        waiting = left
-        words = re.sub(r"[_-]+", " ", section["key"]).split()
-        out += ["## " + " ".join(w.capitalize() for w in words), "", text, ""]
-    if links:
-        out += ["## Related", "", *[f"- {v}" for v in sorted({link for _, link in links})], ""]
-    return "\n".join(out).rstrip() + "\n"
+    shown = F.array_join(F.transform(values, lambda v: F.concat(F.lit(f"{pad}- "), v)), "\n")
+    return F.when(F.size(values) > 0, shown).otherwise(F.lit(f"{pad}[]"))
+
+
+def _linked(sections: Column, links: Column) -> Column:
+    """Sections with every link put in once: at the first whole-word occurrence of its anchor, long anchors first."""
+    ordered = F.array_sort(links, lambda a, b: F.char_length(b["anchor"]) - F.char_length(a["anchor"]))
+
+    def put(state: Column, link: Column) -> Column:
+        quoted = F.concat(F.lit(r"\b\Q"), F.replace(link["anchor"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+        has = F.transform(state, lambda s: F.rlike(s["value"], quoted))
+        place = F.array_position(has, F.lit(True)) - 1
+        first = F.concat(F.lit(r"(?s)\A(.*?)"), quoted)
+        value = F.concat(F.lit("$1"), F.regexp_replace(link["link"], r"([\\$])", r"\\$1"))
+        return F.transform(
+            state,
+            lambda s, k: F.struct(s["key"].alias("key"), F.when(k == place, F.regexp_replace(s["value"], first, value)).otherwise(s["value"]).alias("value")),
+        )
+
+    return F.aggregate(ordered, sections, put)
 
 
 def render_markdown(notes: DataFrame, links: DataFrame) -> DataFrame:
     """note_id, title, markdown; ``links`` is (note_id, anchor, link) as resolved."""
     linked = links.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("anchor", "link"))).alias("links"))
-    joined = notes.select(
-        "note_id", "title", "aliases", "tags", "summary", "body_sections", "sources", "confidence"
-    ).join(linked, "note_id", "left")
-
-    def render(batches):
-        for batch in batches:
-            pages = []
-            for note in batch.to_dict("records"):
-                pairs = note["links"]
-                pairs = [] if pairs is None else [(p["anchor"], p["link"]) for p in pairs]
-                pages.append(_note_page(note, pairs))
-            yield pd.DataFrame({"note_id": batch["note_id"], "title": batch["title"], "markdown": pages})
-
-    return joined.mapInPandas(render, "note_id string, title string, markdown string")
+    none = F.array().cast("array<struct<anchor:string,link:string>>")
+    joined = notes.join(linked, "note_id", "left").withColumn("links", F.coalesce("links", none))
+    pairs = F.transform("body_sections", lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value")))
+
+    line = lambda mark, value: F.concat(F.lit(mark), F.col(value).cast("string"))
+    source = lambda s: F.concat_ws(
+        "\n",
+        *[F.concat(F.lit(mark), F.coalesce(s[name], F.lit("None"))) for mark, name in SOURCE_LINES],
+        F.lit("    supported_claims:"), _items(s["supported_claims"], 6),
+    )
+    words = lambda key: F.array_join(
+        F.transform(T.words(F.regexp_replace(key, "[_-]+", " ")), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), " "
+    )
+    section = lambda s: F.concat(F.lit("\n## "), words(s["key"]), F.lit("\n\n"), s["value"], F.lit("\n"))
+    names = F.array_sort(F.array_distinct(F.transform("links", lambda v: v["link"])))
+    related = F.when(F.size("links") > 0, F.concat(F.lit("\n## Related\n\n"), F.array_join(F.transform(names, lambda v: F.concat(F.lit("- "), v)), "\n"), F.lit("\n")))
+    head = F.concat_ws(
+        "\n", F.lit("---"), line("id: ", "note_id"), line("title: ", "title"), F.lit("aliases:"), _items(F.col("aliases"), 2), F.lit("tags:"),
+        _items(F.col("tags"), 2), line("confidence: ", "confidence"), F.lit("sources:"),
+        F.when(F.size("sources") > 0, F.array_join(F.transform("sources", source), "\n")), F.lit("---"), F.lit(""),
+    )
+    page = F.concat(
+        head, line("\n# ", "title"), F.lit("\n\n## Summary\n\n"), F.col("summary"), F.lit("\n"),
+        F.array_join(F.transform(_linked(pairs, F.col("links")), section), ""), F.coalesce(related, F.lit("")),
+    )
+    return joined.select("note_id", "title", F.concat(F.regexp_replace(page, r"\s+\z", ""), F.lit("\n")).alias("markdown"))
 
 
 def write_markdown(pages: DataFrame, folder: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from lorekeep.functions import rows as R
+from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
 from lorekeep.operators import curation, index, ledger
 from lorekeep.sources import readers
@@ -33,7 +33,7 @@ def watch_source(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
     inside = F.regexp_replace("path", "^.*?" + _quoted(folder.rstrip("/")) + "/", "")
     fit = raw.where(readers.watchable(inside)).withColumn("body", F.make_valid_utf8(F.col("content").cast("string")))
     page = readers.suffix_in(F.col("path"), (".html", ".htm"))
-    text = F.when(page, R.html_to_text("body")).otherwise(F.col("body"))
+    text = F.when(page, S.html_to_text("body")).otherwise(F.col("body"))
     return fit.select("path", F.substring_index("path", "/", -1).alias("name"), text.alias("text")).withColumn(
         "hash", T.content_hash("text")
     )
@@ -44,7 +44,7 @@ def _quoted(text: str) -> str:
 
 
 def watch_pass(
-    batch: DataFrame, seen: DataFrame, used_today: int = 0, cap: int = DAILY_CAP, limit: int = R.CHUNK_CHARS
+    batch: DataFrame, seen: DataFrame, used_today: int = 0, cap: int = DAILY_CAP, limit: int = S.CHUNK_CHARS
 ) -> DataFrame:
     """name, text, hash, outcome of one pass: large, ingested or capped; unchanged files are absent."""
     fresh = curation.unseen(batch, seen).dropDuplicates(["name", "hash"])

@@ -211,3 +211,14 @@ def test_enrich_guard(rows):
     said = rows([("a", " odd answers "), ("b", "more"), ("c", "bad {json}")], "id string, symptoms string")
     got = CU.enrich(notes, said).collect()
     assert [(r.note_id, r.retrieval_text) for r in got] == [("a", "A ~symptoms: odd answers")]
+
+
+def test_groups_of_late_answers_fold_notes(rows):
+    from lorekeep.operators import curation as CU
+    from lorekeep.operators import prompts as PR
+
+    notes = rows([note(t.lower(), t) for t in ("A", "B", "C", "D")], SC.NOTES)
+    answer = '[{"canonical": "A", "members": ["A", "B"]}, {"canonical": "C", "members": ["C", "D", "B"]}]'
+    groups = PR.parse_groups(rows([(9_000_000_000, answer)], "answer_id long, answer string"), notes)
+    kept, _ = CU.consolidate(notes, groups)
+    assert {r.title: sorted(r.aliases) for r in kept.collect()} == {"A": ["B"], "C": ["D"]}

@@ -1,9 +1,10 @@
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import random
+
 from pyspark.sql import functions as F
 
 from lorekeep.functions import jsontext as J
 from lorekeep.functions import rows as R
+from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
 
 
@@ -108,47 +109,60 @@ def _plain_chunks(text, limit):
     return [*out, last] if last else out
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("ab \n", max_size=40), max_size=12).map("\n\n".join))
-def test_chunks_follow_the_definition(text):
-    base = _plain_chunks(text, 20)
-    assert R.chunk_text(text, 20, 0) == base
-    overlapped = R.chunk_text(text, 20, 8)
-    assert len(overlapped) == len(base)
-    for chunk, own in zip(overlapped, base, strict=True):
-        assert chunk.endswith(own) and len(chunk) <= len(own) + 10
+def _chunks(rows, texts, limit, overlap):
+    frame = rows([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = [[] for _ in texts]
+    for r in S.split_chunks(frame, limit, overlap).orderBy("doc_id", "chunk_no").collect():
+        out[r.doc_id].append(r.chunk)
+    direct = frame.orderBy("doc_id").select(S.chunks_of("text", limit, overlap).alias("c")).collect()
+    assert [r.c for r in direct] == out
+    assert [r.chunks for r in S.chunk_counts(frame, limit).orderBy("doc_id").collect()] == [len(c) for c in out]
+    return out
+
+
+def test_chunks_follow_the_definition(rows):
+    draw = random.Random(7)
+    texts = ["\n\n".join("".join(draw.choice("ab \n") for _ in range(draw.randrange(45))) for _ in range(draw.randrange(12))) for _ in range(400)]
+    texts += ["", " ", "\n\n", "x" * 20, "x" * 21, "x" * 60, "\n\n" * 30]
+    base = [_plain_chunks(t, 20) for t in texts]
+    assert _chunks(rows, texts, 20, 0) == base
+    for overlapped, own in zip(_chunks(rows, texts, 20, 8), base, strict=True):
+        assert len(overlapped) == len(own)
+        for chunk, plain in zip(overlapped, own, strict=True):
+            assert chunk.endswith(plain) and len(chunk) <= len(plain) + 10
 
 
-def test_chunk_overlap_takes_whole_paragraphs():
+def test_chunk_overlap_takes_whole_paragraphs(rows):
     text = "\n\n".join(["a" * 8, "b" * 4, "c" * 3, "d" * 10])
-    assert R.chunk_text(text, 22, 9)[1].startswith("bbbb\n\nccc\n\n")
-    assert R.chunk_text("x" * 30, 20, 5)[1] == "xxxxx\n\n" + "x" * 10
+    assert _chunks(rows, [text], 22, 9)[0][1].startswith("bbbb\n\nccc\n\n")
+    assert _chunks(rows, ["x" * 30], 20, 5)[0][1] == "xxxxx\n\n" + "x" * 10
 
 
 # ---- parsers ---------------------------------------------------------------------------------
 
 
-def test_html_skips_script_and_style():
-    page = "<p> a &amp; b</p><script>var x = 1</script><style>p{}</style><div> </div><b>c</b>"
-    assert R.page_text(page) == "a & b\nc"
+def test_html_skips_script_and_style(rows):
+    page = "<p> a &amp; b &#233;&#xE9;&#36;</p><script>var x = 1 < 2</script><style>p{}</style><div> </div><!-- n --><b>c</b>"
+    got = rows([(page,), (None,), ("",)], "h string").select(S.html_to_text("h").alias("t")).collect()
+    assert [r.t for r in got] == ["a & b éé$\nc", "", ""]
 
 
-def test_transcript_lines():
+def test_transcript_lines(rows):
     text = "\n".join([
         '{"role": "user", "content": " hi "}', "broken",
-        '{"role": "assistant", "content": [{"type": "text", "text": "ok"}, {"type": "tool_use", "name": "Read", "input": {"file_path": "/a"}}, {"type": "tool_result"}]}',
-        '{"role": "user", "content": ""}',
+        '{"role": "assistant", "content": ["so", {"type": "text", "text": "ok"}, {"type": "tool_use", "name": "Read", "input": {"file_path": "/a"}}, {"type": "tool_result"}]}',
+        '{"role": "user", "content": ""}', '{"type": "note", "text": "t"}', "[1]",
     ])
-    assert R.compress(text) == "user: hi\nassistant: ok [tool Read: /a] [tool result]"
-    assert R.compress(" plain text ") == "plain text"
-    assert R.compress("") == ""
+    got = rows([(text,), (" plain text ",), ("",)], "t string").select(S.compress_transcript("t").alias("c")).collect()
+    assert [r.c for r in got] == ["user: hi\nassistant: so ok [tool Read: /a] [tool result]\nnote: t", "plain text", ""]
 
 
-def test_code_digest():
+def test_code_digest(rows):
     code = '"""Doc."""\nclass A:\n    """First.\n    More."""\n    def run(self): pass\n    def _x(self): pass\ndef _p(): pass\ndef q(): pass\n'
-    assert R.digest_of("m.py", code) == "Modulo: m.py\nDocstring: Doc.\nclass A: First.\n  def A.run\ndef q: "
-    broken = R.digest_of("m.py", "def (:\n" * 31 + "def late\n")
-    assert broken.endswith("def late") and broken.startswith("Modulo: m.py\ndef (:")
+    broken = "x = 1\n" * 31 + "def late\n"
+    got = rows([("m.py", code), ("m.rs", broken)], "p string, t string").select(S.code_digest("p", "t").alias("d")).collect()
+    assert got[0].d == "Modulo: m.py\nDocstring: Doc.\nclass A: First.\n  def A.run\ndef q: "
+    assert got[1].d.endswith("def late") and got[1].d.startswith("Modulo: m.rs\nx = 1")
 
 
 def test_balanced_objects_survive_truncation():
