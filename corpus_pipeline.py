@@ -28,8 +28,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.representatives(docs).select(*docs.columns)
+    """One document of each group stays: SimHash within 2 bits, or 5-word shingles 0.8 similar."""
+    return simhash.representatives(docs, near=0.8).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ fingerprints meet in the buckets of their six block pairs; a bucket that is too
 ``bitslice`` and yields one edge per fingerprint to the smallest it reaches there, never all pairs. Exact
 copies share a fingerprint and never meet as pairs.
 
+Two bits of 64 are far closer than a word-shingle similarity of 0.8. ``near`` adds such links: in each of several
+views a text is represented by the SimHash of its few smallest shingle hashes under the view's permutation. Texts whose
+fingerprints are equal in a view meet the one of smallest key there, and the exact similarity of their shingle
+sets decides. At similarity s a view with m shingles agrees with chance about s^m: 8 views of 3 miss one pair in 250 at 0.8.
+
 Null and empty texts have fingerprint zero and link like any other. Repeated rows are copies. Rows with a null id
 join the group of their fingerprint; a group without any id has a null component_id.
 """
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bitslice import close_pairs, spanning
-from lorekeep.llm.common import append_columns, checkpoint, parts_of
+from lorekeep.llm.common import WordRows, append_columns, checkpoint, parts_of
 from lorekeep.operators.graph import connected_components
 
 BLOCKS = list(combinations(range(4), 2))
@@ -63,6 +68,56 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, seed:
     return append_columns(docs, text, make, "fp long")
 
 
+def view_prints(hashes: np.ndarray, count: int = 8, size: int = 3) -> list[int]:
+    """SimHash of the ``size`` smallest distinct shingle hashes under each of ``count`` permutations."""
+    if not len(hashes):
+        return []
+    own, out = np.unique(hashes), []
+    for view in range(count):
+        mixed = (own ^ np.uint64(0xA0761D6478BD642F * (view + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        few = np.sort(np.partition(mixed, size - 1)[:size]) if len(mixed) > size else np.sort(mixed)
+        out.append(simhash(few))
+    return out
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
+    """source, target: fingerprints of texts whose shingle sets are at least ``near`` similar.
+
+    ``nodes`` has fp, least (a key with that fingerprint) and views. Each text meets the smallest key of its view.
+    """
+    listed = nodes.where("least is not null").select("fp", "least", F.posexplode("views").alias("k", "v"))
+    first = listed.groupBy("k", "v").agg(F.min(F.struct("least", "fp")).alias("head"))
+    pairs = listed.join(first, ["k", "v"]).where(F.col("least") != F.col("head.least"))
+    pairs = pairs.select("fp", "least", F.col("head.fp").alias("fp2"), F.col("head.least").alias("least2")).distinct()
+    texts = docs.select(F.col(key).alias("least"), F.col(text).alias("x"))
+    both = pairs.join(texts, "least").drop("least").join(texts.withColumnsRenamed({"least": "least2", "x": "y"}), "least2")
+
+    def decide(batches):
+        from lorekeep.llm.decontaminate import shingles, word_hashes
+
+        words = WordRows(word_hashes)
+
+        def runs(value):
+            own = words_of(value)
+            if not own:
+                return np.zeros(0, np.uint64)
+            ids = words.ids(own)
+            return np.unique(shingles(words.table()[ids], min(shingle, len(own))))
+
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                words.settle()
+                x, y = runs(x), runs(y)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= near * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["source", "target"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("fp", "fp2", "x", "y").mapInArrow(decide, "source long, target long").distinct()
+
+
 def as_hex(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -137,13 +192,44 @@ def links(prints: DataFrame, *, radius: int = 2, bucket: int = 4096) -> DataFram
     return dealt.mapInArrow(compare, "source long, target long").distinct()
 
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """key, fp, root (a fingerprint of the group), component_id: the smallest key of the group."""
+def groups(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2,
+    near: float | None = None, near_shingle: int = 5,
+) -> DataFrame:
+    """key, fp, root (a fingerprint of the group), component_id: the smallest key of the group.
+
+    With ``near``, texts of that similarity over ``near_shingle`` words are linked too.
+    """
     base = docs.select(F.col(key), F.col(text).alias("__text"))
-    marked = checkpoint(fingerprints(base, text="__text", shingle=shingle, seed=seed).select(key, "fp"))
-    prints = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    nodes = checkpoint(prints)
-    roots = connected_components(nodes.select(F.col("fp").alias("node")), links(nodes, radius=radius))
+
+    def make():
+        from lorekeep.llm.decontaminate import shingles, word_hashes
+
+        rows = WordRows(word_hashes)
+
+        def views(words):
+            if not words:
+                return []
+            rows.settle()
+            ids = rows.ids(words)
+            return view_prints(shingles(rows.table()[ids], min(near_shingle, len(words))))
+
+        def work(values):
+            split = [words_of(v) for v in values]
+            return [[simhash(shingle_hashes(w, shingle, seed)) for w in split], [views(w) for w in split]]
+
+        return work
+
+    if near is None:
+        marked = checkpoint(fingerprints(base, text="__text", shingle=shingle, seed=seed).select(key, "fp"))
+        nodes = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("least")))
+        edges = links(nodes, radius=radius)
+    else:
+        marked = checkpoint(append_columns(base, "__text", make, "fp long, views array<bigint>").select(key, "fp", "views"))
+        nodes = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("least"), F.min_by("views", key).alias("views")))
+        alike = near_links(docs, nodes, key=key, text=text, shingle=near_shingle, near=near)
+        edges = links(nodes, radius=radius).unionByName(alike)
+    roots = connected_components(nodes.select(F.col("fp").alias("node")), edges)
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "component").select("fp", F.col("component").alias("root"), "component_id")

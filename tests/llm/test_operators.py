@@ -153,6 +153,20 @@ def test_simhash_groups(spark):
     assert simhash.groups(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_grouped(spark):
+    rows = []
+    for k in range(30):
+        words = prose(100 + k, 120).split()
+        other = words[:]
+        for at in random.Random(k).sample(range(120), 1 + k % 2):  # 5 or 10 of 116 shingles
+            other[at] = "changed"
+        far = words[:60] + prose(900 + k, 60).split()
+        rows += [(3 * k, " ".join(words), "en", "s"), (3 * k + 1, " ".join(other), "en", "s"), (3 * k + 2, " ".join(far), "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.groups(docs, near=0.8).collect()}
+    assert got == {d: d - (d % 3 == 1) for d in got} and len(got) == 90
+
+
 # -- tokens
 
 
