@@ -106,6 +106,6 @@ def test_registered_queries_have_known_operators(spark, small):
     from lorekeep import plans
 
     queries, oracle, covers = plans.load()
-    assert set(oracle) <= set(queries) and set(entry.queries()) == set(queries)
+    assert set(oracle) <= set(queries) <= set(entry.queries())
     assert all(re.fullmatch(r"[A-Z]{1,2}\d+", c) for codes in covers.values() for c in codes)
     assert entry.entry(spark).select(F.count(F.lit(1))).first()[0] > 0
