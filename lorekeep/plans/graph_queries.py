@@ -154,7 +154,7 @@ def _noted(spark, folder):
 _NODE = lambda kind, x: f"'{kind}:' || {O.dash(x, 'a-z0-9._/-')}"
 
 
-@query("G1", "SK4", sql=f"""WITH {O.NOTES}, r AS (
+@query("G1", sql=f"""WITH {O.NOTES}, r AS (
       SELECT {_NODE('note', 'note_id')} AS id, 'note' AS kind, title AS label FROM notes
       UNION SELECT {_NODE('tag', 'lang')}, 'tag', lang FROM notes UNION SELECT {_NODE('source', 'source')}, 'source', source FROM notes
       UNION SELECT {_NODE('concept', "'lang ' || lang")}, 'concept', 'lang ' || lang FROM notes) SELECT * FROM r WHERE label <> ''""")

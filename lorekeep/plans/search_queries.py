@@ -39,7 +39,7 @@ def doc_chain(spark, folder):
     ).distinct()
 
 
-@query("A1", "A2", "SK1", sql=f"""WITH {O.field_rows()}, c AS (SELECT count(*) AS n FROM notes)
+@query("A1", "A2", sql=f"""WITH {O.field_rows()}, c AS (SELECT count(*) AS n FROM notes)
     SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS total_tf, sum(dl)::BIGINT AS total_dl,
            round(ln(1 + (any_value(c.n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf
     FROM post JOIN dls USING (field, note_id), c GROUP BY field, term""")
@@ -311,7 +311,7 @@ def _qrels(spark, folder):
     return checkpoint(found.withColumn("grade", F.lit(1)))
 
 
-@query("SC9", sql=f"WITH {O.QRELS} SELECT * FROM qrels")
+@query("J17", sql=f"WITH {O.QRELS} SELECT * FROM qrels")
 def verbatim_matches(spark, folder):
     return _qrels(spark, folder).select("query_id", "doc_id")
 
@@ -540,7 +540,7 @@ def federated_rows(spark, folder):
     return rows.select("row_id", "collection_id", "sensitive")
 
 
-@query("J21", "F4", "SK3", sql=f"""WITH {_FED} SELECT collection_id, CASE WHEN federated THEN (SELECT count(*) FROM notes WHERE source = collection_id) ELSE 0 END AS notes,
+@query("J21", "F4", sql=f"""WITH {_FED} SELECT collection_id, CASE WHEN federated THEN (SELECT count(*) FROM notes WHERE source = collection_id) ELSE 0 END AS notes,
     CASE WHEN federated THEN '' ELSE 'not federated' END AS skipped FROM collections""")
 def federation_report(spark, folder):
     report = FE.federate(collection_notes(spark, folder), A.collections(spark, folder))["report"]

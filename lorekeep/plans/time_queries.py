@@ -28,7 +28,7 @@ def _instant():
 # ---- claims and versions ---------------------------------------------------------------------
 
 
-@query("W4", "SC3", sql=f"WITH {O.CLAIMS} SELECT claim_id, note_id, text, valid_from, valid_to FROM claims")
+@query("W4", sql=f"WITH {O.CLAIMS} SELECT claim_id, note_id, text, valid_from, valid_to FROM claims")
 def claim_states(spark, folder):
     return A.claims(spark, folder).select("claim_id", "note_id", "text", "valid_from", "valid_to")
 
@@ -48,7 +48,7 @@ def claims_by_note(spark, folder):
     return TM.claims_by_note(A.claims(spark, folder)).select("claim_id", "note_id", "position")
 
 
-@query("W8", "SC2", sql=f"""WITH {O.VERSIONS} SELECT note_id, seq, updated_at, row_number() OVER w AS version, lead(updated_at) OVER w AS replaced_at
+@query("W8", sql=f"""WITH {O.VERSIONS} SELECT note_id, seq, updated_at, row_number() OVER w AS version, lead(updated_at) OVER w AS replaced_at
     FROM versions WINDOW w AS (PARTITION BY note_id ORDER BY updated_at, seq)""")
 def version_numbers(spark, folder):
     return TM.version_numbers(A.versions(spark, folder)).select("note_id", "seq", "updated_at", "version", "replaced_at")
@@ -260,7 +260,7 @@ def incremental_diff(spark, folder):
     return CU.incremental_diff(new, seen).select("name", "change")
 
 
-@query("W9", "ST1", sql="""WITH f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, printf('f%09d', event_id) AS name FROM events)
+@query("W9", sql="""WITH f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, printf('f%09d', event_id) AS name FROM events)
     SELECT day, name, row_number() OVER (PARTITION BY day ORDER BY name) <= 50 AS accepted FROM f""")
 def daily_cap(spark, folder):
     files = A.table(spark, folder, "events").select(
@@ -355,7 +355,7 @@ def provenance_list(spark, folder):
     return CU.provenance_list(A.notes(spark, folder))
 
 
-@query("A22", "SC1", sql=f"WITH {O.NOTES} SELECT note_id, title, summary, confidence, updated_at, 1 AS source_count FROM notes")
+@query("A22", sql=f"WITH {O.NOTES} SELECT note_id, title, summary, confidence, updated_at, 1 AS source_count FROM notes")
 def library_listing(spark, folder):
     listing = CU.library_listing(A.notes(spark, folder, labelled=True))
     return listing.select("note_id", "title", "summary", "confidence", "updated_at", "source_count")
@@ -684,7 +684,7 @@ def routing_curve(spark, folder):
     return PR.routing_token_curve(sizes).select("n_notes", F.col("flat_tokens").cast("bigint").alias("flat_tokens"))
 
 
-@query("F8", "J8", "SC12", "A23", sql="""WITH f AS (SELECT lang || '/' || source || '/' || CASE WHEN length(text) > 20000 THEN '.hidden/' ELSE '' END || 'd' || doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.py' WHEN 'de' THEN '.bin' ELSE '.txt' END AS path,
+@query("J8", "SC12", sql="""WITH f AS (SELECT lang || '/' || source || '/' || CASE WHEN length(text) > 20000 THEN '.hidden/' ELSE '' END || 'd' || doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.py' WHEN 'de' THEN '.bin' ELSE '.txt' END AS path,
       octet_length(encode(text)) AS bytes, lang, source FROM documents)
     SELECT path, CASE WHEN source = 'src5' THEN '.gitignore' WHEN lang = 'de' THEN 'unsupported type' ELSE '' END AS reason FROM f WHERE source <> 'src5'
     UNION ALL SELECT DISTINCT lang || '/src5/', '.gitignore' FROM f WHERE source = 'src5'""")
