@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -72,7 +73,10 @@ def watch_stream(
     def load(spark: SparkSession, folder: str, schema: str, batch_id: int) -> DataFrame:
         try:
             rows = spark.read.schema(schema).parquet(folder)
-        except Exception:  # nothing was written before the first batch
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # nothing was written before the first batch
             rows = spark.createDataFrame([], schema)
         return rows.where(F.col("batch") < batch_id)
 
