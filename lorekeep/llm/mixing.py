@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import checkpoint
+from lorekeep.llm.common import checkpoint, written
 
 # fixed values: topics by the first pattern that occurs in the text
 TOPICS = {
@@ -123,7 +123,8 @@ def mix(
     }).withColumn("topic", F.coalesce("topic", F.lit(OTHER)))
     cells = marked.groupBy("__s", "__l", "topic").agg(F.sum("n_tokens").alias("tokens"))
     fitted = rake(checkpoint(cells), ["__s", "__l", "topic"], "tokens", list(tempers), rounds)
-    plan = checkpoint(calibrate(fitted, "tokens", share).select("__s", "__l", "topic", "probability"))
+    # a written table has a known size: Spark broadcasts the cells if they are few, and joins by shuffle beyond that
+    plan = written(calibrate(fitted, "tokens", share).select("__s", "__l", "topic", "probability").coalesce(1))
     joined = marked.join(plan, ["__s", "__l", "topic"], "left").drop("__s", "__l")
     chance = F.coalesce("probability", F.lit(0.0))
     return joined.withColumn("probability", chance).withColumn(
