@@ -108,9 +108,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, *, key: str, text: str, shingl
 
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for x, y in zip(b.column(2), b.column(3), strict=True):
                 words.settle()
-                x, y = runs(x), runs(y)
+                x, y = runs(x.as_py()), runs(y.as_py())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= near * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["source", "target"]).filter(pa.array(keep, pa.bool_()))
@@ -214,9 +214,13 @@ def groups(
             ids = rows.ids(words)
             return view_prints(shingles(rows.table()[ids], min(near_shingle, len(words))))
 
+        def both(value):  # one text at a time: the words of a batch would not fit
+            words = words_of(value)
+            return simhash(shingle_hashes(words, shingle, seed)), views(words)
+
         def work(values):
-            split = [words_of(v) for v in values]
-            return [[simhash(shingle_hashes(w, shingle, seed)) for w in split], [views(w) for w in split]]
+            made = [both(v) for v in values]
+            return [[x[0] for x in made], [x[1] for x in made]]
 
         return work
 
