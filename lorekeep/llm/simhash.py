@@ -6,10 +6,13 @@ fingerprints meet in the buckets of their six block pairs; a bucket that is too
 ``bitslice`` and yields one edge per fingerprint to the smallest it reaches there, never all pairs. Exact
 copies share a fingerprint and never meet as pairs.
 
-Two bits of 64 are far closer than a word-shingle similarity of 0.8. ``near`` adds such links: in each of several
-views a text is represented by the SimHash of its few smallest shingle hashes under the view's permutation. Texts whose
-fingerprints are equal in a view meet the one of smallest key there, and the exact similarity of their shingle
-sets decides. At similarity s a view with m shingles agrees with chance about s^m: 8 views of 3 miss one pair in 250 at 0.8.
+Two bits of 64 are far closer than a word-shingle similarity of 0.8. ``near`` adds such links by an exact prefix
+filter: with all shingles in one order, rare ones first, two sets of n and m shingles that are ``near`` similar share one
+of their first n - ceil(near n) + 1 and m - ceil(near m) + 1. Texts that share such a shingle form a bucket. They are first
+compared with its head, which joins large groups at a cost of one pair per text; then all pairs of the bucket
+that are still in different components are compared. The exact similarity of the shingle sets decides, no
+pair is missed. A bucket of many texts that are all unlike each other costs the square of its size; passages shared by
+many texts are common and thus late in the order, so they make no bucket unless most of a text is made of them.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows are copies. Rows with a null id
 join the group of their fingerprint; a group without any id has a null component_id.
@@ -18,6 +21,7 @@ join the group of their fingerprint; a group without any id has a null component
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -68,54 +72,143 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, seed:
     return append_columns(docs, text, make, "fp long")
 
 
-def view_prints(hashes: np.ndarray, count: int = 8, size: int = 3) -> list[int]:
-    """SimHash of the ``size`` smallest distinct shingle hashes under each of ``count`` permutations."""
-    if not len(hashes):
-        return []
-    own, out = np.unique(hashes), []
-    for view in range(count):
-        mixed = (own ^ np.uint64(0xA0761D6478BD642F * (view + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        few = np.sort(np.partition(mixed, size - 1)[:size]) if len(mixed) > size else np.sort(mixed)
-        out.append(simhash(few))
-    return out
+def common_shingles(docs: DataFrame, text: str, shingle: int, chars: int = 20_000_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in about ``chars`` characters of the texts, ascending, and how often.
 
+    They give the prefix filter its order: any order finds the same links, this one keeps buckets small.
+    """
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    every = max(1, -(-total // chars))
+    chosen = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text)
 
-def near_links(docs: DataFrame, nodes: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
-    """source, target: fingerprints of texts whose shingle sets are at least ``near`` similar.
+    def count(batches):
+        runs = _runs(shingle)
+        for b in batches:
+            own = [runs(v.as_py()) for v in b.column(0)]
+            values, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["p", "n"])
 
-    ``nodes`` has fp, least (a key with that fingerprint) and views. Each text meets the smallest key of its view.
-    """
-    listed = nodes.where("least is not null").select("fp", "least", F.posexplode("views").alias("k", "v"))
-    first = listed.groupBy("k", "v").agg(F.min(F.struct("least", "fp")).alias("head"))
-    pairs = listed.join(first, ["k", "v"]).where(F.col("least") != F.col("head.least"))
-    pairs = pairs.select("fp", "least", F.col("head.fp").alias("fp2"), F.col("head.least").alias("least2")).distinct()
-    texts = docs.select(F.col(key).alias("least"), F.col(text).alias("x"))
-    both = pairs.join(texts, "least").drop("least").join(texts.withColumnsRenamed({"least": "least2", "x": "y"}), "least2")
+    found = chosen.mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = found.orderBy(F.col("n").desc(), "p").limit(most).toPandas()
+    values = rows["p"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], rows["n"].to_numpy(np.int64)[order]
 
-    def decide(batches):
-        from lorekeep.llm.decontaminate import shingles, word_hashes
 
-        words = WordRows(word_hashes)
+def _runs(shingle: int):
+    """A function from a text to its distinct shingle hashes."""
+    from lorekeep.llm.decontaminate import shingles, word_hashes
+
+    words = WordRows(word_hashes)
+
+    def runs(value):
+        own = words_of(value)
+        if not own:
+            return np.zeros(0, np.uint64)
+        words.settle()
+        ids = words.ids(own)
+        return np.unique(shingles(words.table()[ids], min(shingle, len(own))))
 
-        def runs(value):
-            own = words_of(value)
-            if not own:
-                return np.zeros(0, np.uint64)
-            ids = words.ids(own)
-            return np.unique(shingles(words.table()[ids], min(shingle, len(own))))
+    return runs
 
+
+def prefix_of(own: np.ndarray, common: np.ndarray, often: np.ndarray, near: float) -> np.ndarray:
+    """The first of the distinct shingles ``own``, rare ones first: sets of similarity ``near`` share one of them."""
+    if not len(own):
+        return own
+    n = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        n = np.where(common[at] == own, often[at], 0)
+    size = len(own) - ceil(near * len(own) - 1e-9) + 1
+    return own[np.lexsort((own, n))[:size]]
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """p, h, n, i and the head's a, a_n, a_i: every text of a bucket but its head, which comes first by s."""
+
+    def meet(batches):
+        last, head = None, None
+        for b in batches:
+            p, _, h, n, i = (b.column(c).to_numpy() for c in range(5))
+            if not len(p):
+                continue
+            start, again = np.ones(len(p), bool), np.zeros(len(p), bool)
+            start[1:] = p[1:] != p[:-1]
+            again[1:] = ~start[1:] & (h[1:] == h[:-1])
+            if last is not None:
+                start[0] = p[0] != last[0]
+                again[0] = not start[0] and h[0] == last[1]
+            # the head of the bucket that the last batch left open is row 0
+            heads = [np.concatenate(([0 if head is None else head[k]], x)) for k, x in enumerate((h, n, i))]
+            at = np.maximum.accumulate(np.where(start, np.arange(1, len(p) + 1), 0))
+            keep = ~start & ~again
+            columns = [p[keep], h[keep], n[keep], i[keep], *[x[at[keep]] for x in heads]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            names = ["p", "h", "n", "i", "a", "a_n", "a_i"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            last, head = (p[-1], h[-1]), tuple(x[at[-1]] for x in heads)
+
+    dealt = rows.select("p", "s", "h", "n", "i").repartition(parts_of(rows), "p").sortWithinPartitions("p", "s", "h")
+    return dealt.mapInArrow(meet, "p long, h long, n int, i int, a long, a_n int, a_i int")
+
+
+def _may(near: float, n: str, i: str, m: str, j: str) -> Column:
+    """Can sets of n and m shingles be ``near`` similar if places i and j hold the first one they share?"""
+    n, i, m, j = (F.col(c) for c in (n, i, m, j))
+    return F.least(n - i, m - j) >= (n + m) * F.lit(near / (1 + near)) - F.lit(1e-9)
+
+
+def _alike(docs: DataFrame, names: DataFrame, pairs: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
+    """The ``pairs`` (h, h2) of text hashes whose texts are ``near`` similar."""
+    wanted = pairs.select("h").unionByName(pairs.select(F.col("h2").alias("h"))).distinct().join(names, "h").select("h", "least")
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(key).alias("k"), F.col(text).alias("x")).alias("t")
+    one = texts.join(wanted.alias("w"), (F.col("t.h") == F.col("w.h")) & F.col("t.k").eqNullSafe(F.col("w.least")), "left_semi")
+    one = one.select("h", "x").dropDuplicates(["h"])
+    both = pairs.join(one, "h").join(one.withColumnsRenamed({"h": "h2", "x": "y"}), "h2")
+
+    def decide(batches):
+        runs = _runs(shingle)
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                words.settle()
                 x, y = runs(x.as_py()), runs(y.as_py())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= near * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["source", "target"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(shared >= near * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["h", "h2"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("fp", "fp2", "x", "y").mapInArrow(decide, "source long, target long").distinct()
+    return both.select("h", "h2", "x", "y").mapInArrow(decide, "h long, h2 long")
+
+
+def near_links(docs: DataFrame, marked: DataFrame, edges: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
+    """source, target: links that join the fingerprints joined by ``edges`` and those of all texts that are ``near`` similar.
+
+    ``marked`` has the key, fp, h (the text's hash), n (its shingles) and prefix of every row.
+    """
+    names = checkpoint(marked.groupBy("h").agg(F.min("fp").alias("fp"), F.min(key).alias("least")))
+    rows = marked.select("h", "n", F.posexplode("prefix").alias("i", "p"))
+    # four heads per group of texts: those that one head does not reach are mostly joined by another
+    met = checkpoint(_buckets(rows.withColumn("s", F.xxhash64("h", F.pmod("p", F.lit(4))))))
+
+    def named(found: DataFrame) -> DataFrame:
+        ends = found.join(names.select("h", F.col("fp").alias("source")), "h")
+        return ends.join(names.select(F.col("h").alias("h2"), F.col("fp").alias("target")), "h2").select("source", "target")
+
+    how = {"key": key, "text": text, "shingle": shingle, "near": near}
+    star = met.where(_may(near, "n", "i", "a_n", "a_i")).select(F.least("h", "a").alias("h"), F.greatest("h", "a").alias("h2"))
+    star = checkpoint(star.distinct())
+    edges = edges.unionByName(named(_alike(docs, names, star, **how)))
+    roots = checkpoint(connected_components(names.select(F.col("fp").alias("node")), edges))
+    # the pairs of a bucket that are not joined yet
+    placed = met.drop("a", "a_n", "a_i").join(names.join(roots, F.col("fp") == F.col("node")).select("h", "component"), "h")
+    mixed = placed.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
+    open_ = checkpoint(placed.join(mixed, "p"))
+    other = open_.select("p", *[F.col(c).alias(f"{c}2") for c in ("h", "n", "i", "component")])
+    rest = open_.join(other, "p").where((F.col("h") < F.col("h2")) & (F.col("component") != F.col("component2")))
+    rest = rest.where(_may(near, "n", "i", "n2", "i2")).select("h", "h2").distinct().join(star, ["h", "h2"], "left_anti")
+    more = named(_alike(docs, names, checkpoint(rest), **how))
+    joined = roots.where("node <> component").select(F.col("node").alias("source"), F.col("component").alias("target"))
+    return joined.unionByName(more).distinct()
 
 
 def as_hex(fp: Column | str) -> Column:
@@ -200,39 +293,29 @@ def groups(
 
     With ``near``, texts of that similarity over ``near_shingle`` words are linked too.
     """
-    base = docs.select(F.col(key), F.col(text).alias("__text"))
-
-    def make():
-        from lorekeep.llm.decontaminate import shingles, word_hashes
-
-        rows = WordRows(word_hashes)
+    base = docs.select(F.col(key), F.col(text).alias("__text"), F.xxhash64(text).alias("h"))
 
-        def views(words):
-            if not words:
-                return []
-            rows.settle()
-            ids = rows.ids(words)
-            return view_prints(shingles(rows.table()[ids], min(near_shingle, len(words))))
+    if near is None:
+        marked = checkpoint(fingerprints(base, text="__text", shingle=shingle, seed=seed).select(key, "fp", "h"))
+        nodes = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("least")))
+        edges = links(nodes, radius=radius)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, near_shingle))
 
-        def both(value):  # one text at a time: the words of a batch would not fit
-            words = words_of(value)
-            return simhash(shingle_hashes(words, shingle, seed)), views(words)
+        def make():
+            (common, often), runs = shared.value, _runs(near_shingle)
 
-        def work(values):
-            made = [both(v) for v in values]
-            return [[x[0] for x in made], [x[1] for x in made]]
+            def both(value):  # one text at a time: the words of a batch would not fit
+                own = runs(value)
+                return simhash(shingle_hashes(words_of(value), shingle, seed)), len(own), prefix_of(own, common, often, near).view(np.int64)
 
-        return work
+            return lambda values: [list(x) for x in zip(*map(both, values), strict=True)] if values else [[], [], []]
 
-    if near is None:
-        marked = checkpoint(fingerprints(base, text="__text", shingle=shingle, seed=seed).select(key, "fp"))
+        marked = append_columns(base, "__text", make, "fp long, n int, prefix array<bigint>")
+        marked = checkpoint(marked.select(key, "fp", "h", "n", "prefix"))
         nodes = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("least")))
-        edges = links(nodes, radius=radius)
-    else:
-        marked = checkpoint(append_columns(base, "__text", make, "fp long, views array<bigint>").select(key, "fp", "views"))
-        nodes = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("least"), F.min_by("views", key).alias("views")))
-        alike = near_links(docs, nodes, key=key, text=text, shingle=near_shingle, near=near)
-        edges = links(nodes, radius=radius).unionByName(alike)
+        close = checkpoint(links(nodes, radius=radius))
+        edges = near_links(docs, marked, close, key=key, text=text, shingle=near_shingle, near=near)
     roots = connected_components(nodes.select(F.col("fp").alias("node")), edges)
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))

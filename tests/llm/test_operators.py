@@ -167,6 +167,27 @@ def test_near_copies_are_grouped(spark):
     assert got == {d: d - (d % 3 == 1) for d in got} and len(got) == 90
 
 
+def test_near_copies_that_share_a_hot_passage(spark):
+    rng = random.Random(8)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage, rows = fresh(55), []
+    for _ in range(60):  # 51 of 66 shingles are the passage's; families of three by an edit at the end
+        own = fresh(15)
+        rows += [passage + own, passage + own[:9] + fresh(6), passage + own[:8] + fresh(7)]
+    rows += [r[:] for r in rows[:2]]
+    runs = [{tuple(r[k : k + 5]) for k in range(len(r) - 4)} for r in rows]
+    n = len(rows)
+    prints = [plain_simhash(" ".join(r)) for r in rows]
+    alike = [(a, b) for a in range(n) for b in range(a) if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])]
+    want = union_find(n, alike + [(a, b) for a in range(n) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    docs = spark.createDataFrame([(None if k == n - 1 else k, " ".join(r), "en", "s") for k, r in enumerate(rows)], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.groups(docs, near=0.8).collect()}
+    assert got == {None if k == n - 1 else k: want[k] for k in range(n)} and len(set(want)) < n - 60
+
+
 # -- tokens
 
 
