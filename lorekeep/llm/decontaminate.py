@@ -2,11 +2,13 @@
 
 For every item length the windows of that many words slide over each text. A window's
 SimHash over word shingles is looked up in a multi-index: ``radius + 1`` blocks of the 64 bits, so every
-item fingerprint within the radius agrees in some block. Candidates are verified by the exact
+item fingerprint within the radius agrees in some block. Fingerprints alone would miss some windows of the wanted
+similarity s, so a window also meets every item that has one of its rarest shingles: of n shingles at least 2 s n / (1 + s)
+must be shared, so one of any n minus that plus 1 is. Candidates are verified by the exact
 weighted similarity of their shingles: the sum of the smaller over the sum of the larger counts.
 
-A window without a shingle of any item of its length has similarity zero to all of them; such windows are skipped before
-fingerprints are made, which loses nothing. Texts are read where they are: items come in blocks of
+A window with fewer than 2 s n / (1 + s) shingles of items of its length is not similar to any of them; such windows are
+skipped before fingerprints are made, which loses nothing. Texts are read where they are: items come in blocks of
 bounded size, each block is one pass over the texts.
 
 Words are ASCII-lower-cased runs between white space. Items of fewer words than a shingle are one shingle; items
@@ -16,6 +18,7 @@ without words and null texts match nothing. Repeated items and texts match each.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -78,9 +81,13 @@ class Items:
                 value = (prints >> np.uint64(first)) & np.uint64(mask)
                 order = np.argsort(value, kind="stable")
                 blocks.append((value[order], order))
+            # the items of each shingle: number k of `known` has holders[begins[k] : begins[k + 1]]
+            held = np.unique(np.concatenate([np.stack((np.unique(h), np.full(len(np.unique(h)), k, np.uint64))) for k, (_, h) in enumerate(own)], axis=1), axis=1)
+            known, begins = np.unique(held[0], return_index=True)
             self.lengths[length] = {
+                "holders": held[1].astype(np.int64), "begins": np.append(begins, held.shape[1]),
                 "ids": [i for i, _ in own], "counts": [Counter(h.tolist()) for _, h in own], "prints": prints,
-                "blocks": blocks, "known": np.unique(np.concatenate([h for _, h in own])), "size": size,
+                "blocks": blocks, "known": known, "size": size,
             }
             every[size].append(self.lengths[length]["known"])
         self.sizes = {}
@@ -116,13 +123,27 @@ class Items:
         last = len(own) - n  # last window
         if not len(at) or last < 0:
             return
-        # the windows that hold a hit: runs of starts
-        low, high = np.maximum(at - n + 1, 0), np.minimum(at, last) + 1
-        turn = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1 if len(at) > 1 else np.zeros(0, int)
-        for a, b in zip(np.concatenate(([0], turn)), np.concatenate((turn, [len(at)])), strict=True):
-            first, end = int(low[a]), int(high[a:b].max())
-            for s in range(first, end, 4096):
-                self._judge(group, length, n, own, s, min(end, s + 4096), best)
+        # the windows with enough hits: runs of starts
+        hits = np.zeros(len(own) + 1, np.int64)
+        hits[at + 1] = 1
+        hits = np.cumsum(hits)
+        starts = np.flatnonzero(hits[n:] - hits[:-n] >= self._shared(n))
+        turn = np.flatnonzero(np.diff(starts) > 1) + 1
+        for run in np.split(starts, turn) if len(starts) else []:
+            for s in range(int(run[0]), int(run[-1]) + 1, 4096):
+                self._judge(group, length, n, own, s, min(int(run[-1]) + 1, s + 4096), best)
+
+    def _shared(self, n: int) -> int:
+        """The least number of shingles that windows of ``n`` share at the wanted similarity."""
+        return max(1, ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9))
+
+    def _holders(self, group: dict, window: np.ndarray) -> set[int]:
+        """The items that have one of so many of the window's rarest shingles that none similar enough is left out."""
+        known, begins = group["known"], group["begins"]
+        place = np.minimum(np.searchsorted(known, window), len(known) - 1)
+        width = np.where(known[place] == window, begins[place + 1] - begins[place], 0)
+        rare = np.argsort(width, kind="stable")[: len(window) - self._shared(len(window)) + 1]
+        return {int(i) for k in rare if width[k] for i in group["holders"][begins[place[k]] : begins[place[k] + 1]]}
 
     def _judge(self, group, length, n, own, first, end, best) -> None:
         if end <= first:
@@ -143,6 +164,8 @@ class Items:
             item = order[k]
             near = np.bitwise_count(prints[w] ^ group["prints"][item]) <= self.radius
             seen.update(zip(w[near].tolist(), item[near].tolist(), strict=True))
+        for w in range(len(prints)):
+            seen.update((w, item) for item in self._holders(group, part[w : w + n]))
         for w, item in sorted(seen):
             start = first + w
             window, wanted = Counter(own[start : start + n].tolist()), group["counts"][item]
@@ -167,7 +190,7 @@ def matches(
 ) -> DataFrame:
     """``docs`` with matches: item_id, similarity, first_word, last_word of each item's best window.
 
-    Ties go to the first window. ``radius`` is the guarantee of the multi-index. Items are taken in blocks of about
+    Ties go to the first window. ``radius`` is the guarantee of the multi-index; it changes the cost, never the matches. Items are taken in blocks of about
     ``block_chars`` characters; only one block is held at a time, and every text meets every block.
     """
     chosen = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))

@@ -314,6 +314,20 @@ def test_windows_equal_brute_force(spark):
     assert all(r.matches == [] for r in decontaminate.matches(docs, frame.limit(0)).collect())
 
 
+def test_windows_beyond_the_radius_are_found():
+    rng, beyond = random.Random(4), 0
+    for _ in range(400):
+        item, tail = ([f"w{rng.randrange(10**9)}".encode() for _ in range(k)] for k in (34, 3))
+        window = item[:31] + tail  # 27 of 33 shingles are shared
+        index = decontaminate.Items([(1, b" ".join(item).decode())], 5, 15, 0.8)
+        hashes = [decontaminate.shingles(decontaminate.word_hashes(w), 5) for w in (item, window)]
+        prints = [decontaminate._prints(decontaminate._bits(h).sum(axis=0, dtype=np.int64)[None], 30)[0] for h in hashes]
+        beyond += np.bitwise_count(prints[0] ^ prints[1]) > 15
+        found = index.search(decontaminate.word_hashes(window))
+        assert found == [{"item_id": 1, "similarity": 27 / 33, "first_word": 0, "last_word": 33}]
+    assert beyond
+
+
 # -- mixing
 
 
