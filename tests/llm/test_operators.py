@@ -232,6 +232,15 @@ def test_repeated_runs_are_boilerplate(spark):
     assert got[7] == "This site is run by a few friends of trees"
 
 
+def test_quoted_passages_stay_and_comments_are_no_article(spark):
+    menu, quote = "<div>Trees of the world and where they grow now</div>", prose(77, 20)
+    rows = [(k, f"https://www.q.org/{k}", f"<body>{menu}<p>{prose(200 + k, 30)}</p></body>") for k in range(40)]
+    rows[3] = (3, rows[3][1], f"<body>{menu}<p>{quote}</p><p>{prose(203, 30)}</p></body>")
+    rows[4] = (4, rows[4][1], f"<body>{menu}<p>{quote}</p><!-- <article > --><script>var a='<main>'</script></body>")
+    got = {r.page_id: r.text for r in mainhtml.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: prose(200 + k, 30) for k in range(40)} | {3: f"{quote} {prose(203, 30)}", 4: quote}
+
+
 # -- quality
 
 
