@@ -12,7 +12,8 @@ skipped before fingerprints are made, which loses nothing. Texts are read where
 bounded size, each block is one pass over the texts.
 
 Words are ASCII-lower-cased runs between white space. Items of fewer words than a shingle are one shingle; items
-without words and null texts match nothing. Repeated items and texts match each.
+without words and null texts match nothing. A text of fewer words than an item is one window for it. Repeated items and
+texts match each; items with a null id share the item_id null.
 """
 
 from __future__ import annotations
@@ -110,10 +111,30 @@ class Items:
             if not len(at):
                 continue
             for length in lengths:
-                self._windows(length, own, at, best)
-        return [
-            {"item_id": i, "similarity": s, "first_word": a, "last_word": b} for i, (s, a, b) in sorted(best.items())
-        ]
+                if length > len(hashes):
+                    self._whole(length, own, len(hashes), best)
+                else:
+                    self._windows(length, own, at, best)
+        found = sorted(best.items(), key=lambda x: (x[0] is not None, x[0] or 0))
+        return [{"item_id": i, "similarity": s, "first_word": a, "last_word": b} for i, (s, a, b) in found]
+
+    def _whole(self, length: int, own: np.ndarray, words: int, best: dict) -> None:
+        """A text shorter than the items of this length is one window."""
+        group = self.lengths[length]
+        n = length - group["size"] + 1
+        shared = ceil(self.similarity * n - 1e-9)  # even if the item holds all of the text
+        if len(own) < shared:
+            return
+        known, begins = group["known"], group["begins"]
+        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        width = np.where(known[place] == own, begins[place + 1] - begins[place], 0)
+        rare = np.argsort(width, kind="stable")[: len(own) - shared + 1]
+        window = Counter(own.tolist())
+        for item in sorted({int(i) for k in rare if width[k] for i in group["holders"][begins[place[k]] : begins[place[k] + 1]]}):
+            both = sum((window & group["counts"][item]).values())
+            similarity, number = both / (len(own) + n - both), group["ids"][item]
+            if similarity >= self.similarity and (number not in best or similarity > best[number][0]):
+                best[number] = (similarity, 0, words - 1)
 
     def _windows(self, length: int, own: np.ndarray, at: np.ndarray, best: dict) -> None:
         group = self.lengths[length]
@@ -194,13 +215,13 @@ def matches(
     ``block_chars`` characters; only one block is held at a time, and every text meets every block.
     """
     chosen = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    chosen = chosen.where(F.col("i").isNotNull() & F.col("t").isNotNull())
+    chosen = chosen.where(F.col("t").isNotNull())
     total = chosen.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     out = docs.withColumn("matches", F.array().cast(FOUND))
     for number in range(blocks):
         part = chosen.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == number) if blocks > 1 else chosen
-        rows = sorted((r["i"], r["t"]) for r in part.collect())  # one block
+        rows = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (r[0] is not None, r))  # one block
         shared = docs.sparkSession.sparkContext.broadcast((rows, shingle, radius, similarity))
 
         def make(shared=shared):

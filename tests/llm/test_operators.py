@@ -337,6 +337,14 @@ def test_windows_beyond_the_radius_are_found():
     assert beyond
 
 
+def test_cut_items_and_items_without_id_are_found(spark):
+    item = prose(70, 50)
+    docs = spark.createDataFrame([(1, " ".join(item.split()[:-1])), (2, " ".join(item.split()[:25])), (3, f"so {prose(71, 9)} so")], "doc_id long, text string")
+    items = spark.createDataFrame([(4, item), (None, prose(71, 9))], "item_id long, text string")
+    got = {r.doc_id: [(m.item_id, m.similarity, m.first_word, m.last_word) for m in r.matches] for r in decontaminate.matches(docs, items).collect()}
+    assert got == {1: [(4, 45 / 46, 0, 48)], 2: [], 3: [(None, 1.0, 1, 9)]}
+
+
 # -- mixing
 
 
