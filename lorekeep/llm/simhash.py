@@ -289,7 +289,7 @@ def groups(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2,
     near: float | None = None, near_shingle: int = 5,
 ) -> DataFrame:
-    """key, fp, root (a fingerprint of the group), component_id: the smallest key of the group.
+    """key, fp, h (the text's hash), root (a fingerprint of the group), component_id: the smallest key of the group.
 
     With ``near``, texts of that similarity over ``near_shingle`` words are linked too.
     """
@@ -320,23 +320,22 @@ def groups(
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "component").select("fp", F.col("component").alias("root"), "component_id")
-    return marked.join(named, "fp").select(key, "fp", "root", "component_id")
+    return marked.join(named, "fp").select(key, "fp", "h", "root", "component_id")
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each group: the one whose key names the group.
+    """``docs`` with one row of each group: one whose key names the group, of its texts with that key the one of smallest hash.
 
-    Rows that repeat that key are copies, the first in column order stays. Groups without any key keep their first row.
+    Rows that repeat that key and text are copies, the first in column order stays. Groups without any key keep one row.
     """
-    found = groups(docs, key=key, text=text, **how)
-    chosen = checkpoint(found.where(F.col(key) == F.col("component_id")).groupBy(key).count())
-    plain = docs.join(chosen.where("count = 1").select(key), key, "left_semi").select(*docs.columns)
-
-    def first(rows: DataFrame, by: str) -> DataFrame:
-        whole = F.struct(*docs.columns)
-        return rows.groupBy(by).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
-
-    again = first(docs.join(chosen.where("count > 1").select(key), key, "left_semi"), key)
-    bare = fingerprints(docs.where(F.col(key).isNull()), text=text)
-    rootless = found.where(F.col("component_id").isNull()).select("fp", "root").distinct()
-    return plain.unionByName(again).unionByName(first(bare.join(rootless, "fp"), "root"))
+    found = groups(docs, key=key, text=text, **how).where(F.col(key).eqNullSafe(F.col("component_id")))
+    every = found.groupBy("root", key, "h").agg(F.count(F.lit(1)).alias("n"))
+    chosen = checkpoint(every.groupBy("root").agg(F.min_by(F.struct(F.col(key).alias("k"), "h", "n"), "h").alias("c")).select("c.*"))
+
+    def rows(of: DataFrame) -> DataFrame:
+        of = of.select(F.col("k").alias("__k"), F.col("h").alias("__h"))
+        return docs.join(of, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__h")), "left_semi")
+
+    again = rows(chosen.where("n > 1"))
+    first = again.groupBy(key, F.xxhash64(text).alias("__h")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return rows(chosen.where("n = 1")).unionByName(first.select("__row.*"))

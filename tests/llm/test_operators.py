@@ -188,6 +188,13 @@ def test_near_copies_that_share_a_hot_passage(spark):
     assert got == {None if k == n - 1 else k: want[k] for k in range(n)} and len(set(want)) < n - 60
 
 
+def test_an_id_with_two_texts_keeps_one_row_of_each_group(spark):
+    a, b, c = (prose(k, 60) for k in (301, 302, 303))
+    rows = [(5, a, "en", "s"), (5, b, "en", "s"), (1, c, "en", "s"), (7, c, "en", "s"), (7, prose(304, 60), "en", "s"), (5, a, "en", "t")]
+    kept = simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a), (5, b), (1, c), (7, prose(304, 60))])
+
+
 # -- tokens
 
 
