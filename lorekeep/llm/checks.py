@@ -66,3 +66,45 @@ SELECT * EXCLUDE (probability, filled, free), CASE WHEN probability >= 1 THEN 1.
 WITH m AS ({marked}), plan AS ({plan})
 SELECT doc_id, topic, n_tokens, round(probability, 9) AS probability, u < probability AS drawn
 FROM m JOIN plan USING (s, l, topic)"""
+
+
+def url_sql(rules: list[tuple[str, str]], damping: float = 0.85, threshold: float = 0.5, rounds: int = 150) -> str:
+    """Rules by suffix and prefix; the masses of both directions carried on by a recursive table."""
+    # fixed value: the operator's pattern of a link with a host of its own
+    link = """(?i)<a[ \\t\\n\\r\\f][^<>]*?href[ \\t\\n\\r\\f]*=[ \\t\\n\\r\\f]*["'']?[ \\t\\n\\r\\f]*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''<> \\t\\n\\r\\f]+)"""
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    told = ", ".join(f"('{r}', '{r.split('/')[0]}', '/{r.split('/', 1)[1]}', '{v}')" for v, r in rules)
+
+    def carried(mass: str, source: str, target: str) -> str:
+        return f"""
+  SELECT 0 AS k, host, CAST({mass} AS DOUBLE) AS m FROM seeds
+  UNION ALL
+  SELECT k + 1, l.{target}, {damping} * sum(m * l.n / l.own) FROM {mass}_flow
+  JOIN (SELECT *, sum(n) OVER (PARTITION BY {source}) AS own FROM links) l ON {mass}_flow.host = l.{source}
+  WHERE k < {rounds} GROUP BY ALL"""
+
+    return f"""
+WITH RECURSIVE rules(rule, h, q, verdict) AS (VALUES {told}),
+p AS (
+  SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {lower}) AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), best AS (
+  SELECT host, path, rule, verdict FROM (SELECT DISTINCT host, path FROM p)
+  JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, length(h) DESC, verdict DESC) = 1
+), judged AS (SELECT p.*, rule, verdict FROM p LEFT JOIN best USING (host, path)
+), seeds AS (
+  SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1 ELSE 0 END) AS good, avg(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) AS bad
+  FROM judged WHERE host <> '' GROUP BY host
+), links AS (
+  SELECT a, b, count(*) AS n FROM (
+    SELECT host AS a, translate(unnest(regexp_extract_all(html, '{link}', 1)), {lower}) AS b FROM p WHERE host <> '')
+  WHERE a <> b GROUP BY ALL
+), good_flow AS ({carried("good", "a", "b")}
+), bad_flow AS ({carried("bad", "b", "a")}
+), hosts AS (
+  SELECT host, sum(g) - sum(d) AS over FROM (
+    SELECT host, 0.0 AS g, m AS d FROM good_flow UNION ALL SELECT host, m, 0.0 FROM bad_flow) GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN over > {threshold} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN hosts USING (host)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, checks, decontaminate, langid, mainhtml, mixing, pq, quality, simhash, tokens, toxicity
+from lorekeep.llm import chat, checks, decontaminate, langid, mainhtml, mixing, pq, quality, simhash, tokens, toxicity, urls
 from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,17 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     sample = labelled_sample(spark, folder, "quality")
     return quality.resample(docs, sample.where("label = 1").select("text"))
+
+
+#: The rules of the query: host and path, the longest that fits wins.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url judged by the rules, else by trust and distrust of its host."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return urls.judge(pages, urls.rule_rows(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE["op11_url_filter"] = checks.url_sql(RULES)
