@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, checks, decontaminate, langid, mainhtml, mixing, pq, quality, simhash, tokens, toxicity, urls
+from lorekeep.llm import chat, checks, decontaminate, langid, mainhtml, mixing, pq, quality, runs, simhash, tokens, toxicity, urls
 from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +153,35 @@ def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op11_url_filter"] = checks.url_sql(RULES)
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, repeated with a period from some word on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every whole text, the longest one, and digests of all runs and of the text without repeats."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = runs.periodic_runs(docs, change=planted)
+    # greatest length, then smallest start, then smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("b"), F.array_join(F.transform(told, lambda t: F.concat(t, F.lit("\n"))), "").alias("told"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("b.s")).alias("start"),
+        F.col("b.n").alias("length"),
+        (-F.col("b.q")).alias("period"),
+        F.expr("b.n * 1000 div -b.q").alias("exponent_milli"),
+        F.sha2("told", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
