@@ -27,6 +27,28 @@ SELECT conv_id, speaker, part, CAST(max(whole) - max(upto) AS BIGINT) AS "offset
 FROM e GROUP BY conv_id, speaker, part
 """
 
+RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents
+), s AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT r, doc_id, term, count(*) AS tf, 75 + 25 * n * n_docs // n_terms AS m
+  FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d), s GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term
+), q AS (
+  SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))
+), scored AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) GROUP BY ALL HAVING sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
 
 def mixing_sql(share: float = 0.5, tempers=(0.5, 0.7, 0.5), rounds: int = 12, seed: int = 11) -> str:
     """Raking written out as nested windows over the cells."""

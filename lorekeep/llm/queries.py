@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, checks, decontaminate, langid, mainhtml, mixing, pq, quality, runs, simhash, tokens, toxicity, urls
+from lorekeep.llm import (
+    chat, checks, decontaminate, langid, mainhtml, mixing, pq, quality, ranked, runs, simhash, tokens, toxicity, urls,
+)
 from lorekeep.llm.common import remainder, sample_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +187,13 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("told", 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    index = ranked.build(table(spark, folder, "documents").select("doc_id", "text"))
+    return ranked.search(index, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+ORACLE["op13_ranked_search"] = checks.RANKED
