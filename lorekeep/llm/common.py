@@ -68,11 +68,13 @@ def append_columns(
 
     ``make()`` runs once per task and returns a function from a list of values (None for null) to
     one list per new column. Columns of ``df`` that already have a new column's name are replaced.
+    Bytes of a text that are no UTF-8 are read, and returned, as U+FFFD.
     """
     added = T.StructType.fromDDL(fields)
     kept = [c for c in df.columns if c not in added.names]
     names = kept if source in kept else [*kept, source]
-    base = df.select(*names)
+    text = isinstance(df.schema[source].dataType, T.StringType)
+    base = df.select(*[F.make_valid_utf8(c).alias(c) if text and c == source else c for c in names])
     schema = T.StructType([*base.schema.fields, *added.fields])
     arrow = to_arrow_schema(added)
 

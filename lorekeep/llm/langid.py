@@ -24,10 +24,15 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import WordRows, append_columns
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3, 4)
 
 
+def letters() -> re.Pattern:
+    """Stretches of letters (``str.isalpha``): word characters without digits, fractions, numerals and the like."""
+    others = (chr(c) for c in range(128, 0x110000) if chr(c).isalnum() and not chr(c).isalpha())
+    return re.compile(r"[^\W\d_" + "".join(others) + "]+")
+
+
 def grams_of(word: str) -> list[str]:
     """n-grams of a word with its borders; a border alone is none."""
     padded = f" {word} "
@@ -95,7 +100,7 @@ def train(
     as frequent as where it is most frequent.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
+        F.make_valid_utf8(text).alias("text"), F.col(lang).cast("string").alias("lang")
     )
     counts = labelled.groupBy("lang").count().where(F.col("count") >= min_docs).limit(max_languages + 1).collect()
     if len(counts) > max_languages:
@@ -106,9 +111,10 @@ def train(
 
     def count(batches):
         total: dict[str, Counter] = {}
+        find = letters().findall
         for batch in batches:
             for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.setdefault(name, Counter()).update(LETTERS.findall(value.lower()))
+                total.setdefault(name, Counter()).update(find(value.lower()))
             if sum(map(len, total.values())) > 300_000:
                 yield from emit(total)
                 total = {}
@@ -155,10 +161,11 @@ def train(
 
 def predict(docs: DataFrame, model: Filters, *, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score: the winner's share of the corrected popcounts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: slots
+    # plain values of fixed size (slots): workers need no copy of the package
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.hashes))
 
     def make():
-        filters: Filters = shared.value
+        filters, find = Filters(*shared.value), letters().findall
         width = len(filters.languages)
         miss = filters.false_positives()
 
@@ -174,7 +181,7 @@ def predict(docs: DataFrame, model: Filters, *, text: str = "text") -> DataFrame
         words = WordRows(rows)
 
         def judge(value):
-            found = LETTERS.findall(value.lower()) if value else []
+            found = find(value.lower()) if value else []
             if not found or not width:
                 return UNKNOWN, 0.0
             words.settle()

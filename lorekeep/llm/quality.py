@@ -64,7 +64,7 @@ def counts(texts: DataFrame, *, text: str = "text", buckets: int = 1 << 16) -> n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    found = texts.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select(F.make_valid_utf8(text)).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(buckets, np.int64)
     out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out

@@ -116,7 +116,7 @@ def train(
     weights, ``BUCKETS`` at most.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(text, F.lit(1)).alias("draw")
+        F.make_valid_utf8(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(text, F.lit(1)).alias("draw")
     )
     size = labelled.count()
     if size > sample:
@@ -158,10 +158,11 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", offending: float
 
     Positions count characters of the text. A third column, n_sentences, counts the sentences with a word.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS weights
+    # plain values of fixed size (BUCKETS weights): workers need no copy of the package
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def make():
-        model: Model = shared.value
+        model = Model(*shared.value)
         words = WordRows(model.words)
 
         def judge(value):
