@@ -131,8 +131,10 @@ def near_vectors(
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("x", lambda v: v != 0)
     base = base.withColumn("fit", F.coalesce(fit, F.lit(False)))
     classes = checkpoint(
-        base.where("fit").groupBy("label", "x").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        base.where("fit").groupBy("label", "x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     )
+    # a class has a number of its own: one id may have several vectors
+    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))
     about = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
     rest = base.where("not fit").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not about["n"]:
@@ -147,7 +149,7 @@ def near_vectors(
             [pa.array([index.coarse.tobytes()]), pa.array([index.books.tobytes()])], ["coarse", "books"]
         )
 
-    drawn = sample_of(classes.select("x", "rep"), "rep", sample).select("x").repartition(1)
+    drawn = sample_of(classes.select("x", "least"), "least", sample).select("x").repartition(1)
     blob = drawn.mapInArrow(train, "coarse binary, books binary").first()
     trained = Index(
         np.frombuffer(blob["coarse"]).reshape(-1, width),
@@ -283,11 +285,10 @@ def near_vectors(
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("linked"))
     edges = found.where("rep <> other").select(F.col("rep").alias("source"), F.col("other").alias("target"))
     roots = connected_components(classes.select(F.col("rep").alias("node")), edges)
-    known = (
-        classes.join(counts, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "x", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    )
+    placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep")
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = placed.join(counts, "rep", "left").join(least, "component")
+    known = known.select("label", "x", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = base.where("fit").join(known, ["label", "x"]).select(F.col("id").alias(key), "n_links", "component_id")
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
