@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import WordRows, append_columns
+from lorekeep.llm.common import WordRows, append_columns, written
 
 FOUND = "array<struct<item_id:bigint,similarity:double,first_word:int,last_word:int>>"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -212,9 +212,10 @@ def matches(
     """``docs`` with matches: item_id, similarity, first_word, last_word of each item's best window.
 
     Ties go to the first window. ``radius`` is the guarantee of the multi-index; it changes the cost, never the matches. Items are taken in blocks of about
-    ``block_chars`` characters; only one block is held at a time, and every text meets every block.
+    ``block_chars`` characters; every text meets every block, and what one block found is written before the next,
+    so that a task holds one block.
     """
-    chosen = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    chosen = items.select(F.col(item_id).cast("long").alias("i"), F.make_valid_utf8(F.col(item_text)).alias("t"))
     chosen = chosen.where(F.col("t").isNotNull())
     total = chosen.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
@@ -240,4 +241,6 @@ def matches(
 
         out = append_columns(out, text, make, f"__more {FOUND}")
         out = out.withColumn("matches", F.concat("matches", "__more")).drop("__more")
+        if number < blocks - 1:
+            out = written(out)
     return out
