@@ -84,7 +84,7 @@ def chunk_bounds(text: Column, limit: int) -> Column:
         )
         soft = F.when(close, F.array(state["at"])).otherwise(F.array().cast("array<int>"))
         return F.struct(
-            F.concat(state["cuts"], soft, steps).alias("cuts"), (begin + hard * limit).alias("begin"), (state["at"] + size).alias("at")
+            F.when(close | (hard > 0), F.concat(state["cuts"], soft, steps)).otherwise(state["cuts"]).alias("cuts"), (begin + hard * limit).alias("begin"), (state["at"] + size).alias("at")
         )
 
     return F.aggregate(sizes, empty, add, lambda s: F.concat(F.array(F.lit(0)), s["cuts"], F.array(s["at"])))
@@ -106,13 +106,15 @@ def base_chunks(text: Column | str, limit: int = CHUNK_CHARS) -> Column:
 
 def tail_of(chunk: Column, overlap: int) -> Column:
     """The longest run of whole last paragraphs within the overlap, else the end of the last one."""
-    parts = F.split(chunk, "\n\n")
-    ends = F.transform(  # characters from the start of paragraph k to the end of the chunk
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda k: F.char_length(F.array_join(F.slice(parts, k, F.size(parts)), "\n\n")),
-    )
-    fitting = F.filter(ends, lambda n: n <= overlap)
-    length = F.coalesce(F.array_max(fitting), F.lit(overlap))
+    sizes = F.reverse(F.transform(F.split(chunk, "\n\n"), F.char_length))
+    none = F.struct(F.lit(-2).alias("total"), F.lit(-1).alias("best"))
+
+    def add(state: Column, size: Column) -> Column:
+        total = state["total"] + size + 2
+        return F.struct(total.alias("total"), F.when(total <= overlap, total).otherwise(state["best"]).alias("best"))
+
+    best = F.aggregate(sizes, none, add, lambda s: s["best"])
+    length = F.when(best >= 0, best).otherwise(F.lit(overlap))
     return F.when(length > 0, F.right(chunk, length)).otherwise(F.lit(""))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- Fixed values: they decide which results are right. -------------------------------------
@@ -235,6 +235,24 @@ def redact(text: Column | str) -> Column:
     return F.struct(value.alias("text"), count.alias("count"))
 
 
+def find_secrets(texts: DataFrame) -> DataFrame:
+    """doc_id, kind, line of every likely secret, never its value; two on one line are two rows.
+
+    A mark is put before every match; a line then has as many secrets as marks.
+    """
+    clean = F.translate("text", "\x01", "\x02")
+
+    def found(kind: str, pattern: str) -> Column:
+        lines = F.split(F.regexp_replace(clean, pattern, "\x01$0"), "\n")
+        marks = lambda v: F.length(v) - F.length(F.replace(v, F.lit("\x01"), F.lit("")))
+        rows = F.transform(lines, lambda v, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("line"), marks(v).alias("n")))
+        none = F.expr("cast(array() as array<struct<kind:string,line:int,n:int>>)")
+        return F.when(F.col("text").rlike(pattern), F.filter(rows, lambda r: r["n"] > 0)).otherwise(none)
+
+    listed = texts.select("doc_id", F.explode(F.concat(*[found(*p) for p in SECRET_PATTERNS.items()])).alias("f"))
+    return listed.select("doc_id", "f.kind", "f.line", F.explode(F.sequence(F.lit(1), "f.n"))).drop("col")
+
+
 def is_secret_file(name: Column | str) -> Column:
     low = F.lower(_col(name))
     hit = low.isin(*SECRET_FILE_NAMES)

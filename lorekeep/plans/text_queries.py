@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import rows as R
+from lorekeep.functions import markdown
 from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
 from lorekeep.operators import curation
@@ -117,12 +117,22 @@ def redact(spark, folder):
     )
 
 
-@query("P13", sql=" UNION ALL ".join(
-    f"SELECT '{kind}' AS kind, doc_id, len(regexp_extract_all(text, '{p}'))::BIGINT AS n FROM documents "
-    f"WHERE regexp_matches(text, '{p}')" for kind, p in _SECRET_SQL.items()))
+def _finding_sql():
+    """A mark before every match; the lines with marks."""
+    parts = []
+    for kind, pattern in _SECRET_SQL.items():
+        lead = "()" if pattern.startswith("()") else _LEAD
+        flags, rest = pattern.split(lead, 1)
+        parts.append(
+            f"SELECT '{kind}' AS kind, doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS v FROM (SELECT doc_id, "
+            f"string_split(regexp_replace(text, '{flags}{lead}({rest})', '\\1' || chr(1) || '\\2', 'g'), chr(10)) AS l FROM documents)"
+        )
+    return f"SELECT kind, doc_id, line::INTEGER AS line, (length(v) - length(replace(v, chr(1), '')))::BIGINT AS n FROM ({' UNION ALL '.join(parts)}) WHERE contains(v, chr(1))"
+
+
+@query("P13", sql=_finding_sql())
 def secret_findings(spark, folder):
-    found = R.find_secrets(_docs(spark, folder))
-    return found.groupBy("kind", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return T.find_secrets(_docs(spark, folder)).groupBy("kind", "doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 _FILE_NAME = "case lang when 'en' then '.env.' || source when 'fr' then source || '.PEM' when 'de' then source || '.md' else 'id_rsa_' || source end"
@@ -214,16 +224,40 @@ def sections_by_h1(spark, folder):
     ).agg(F.count(F.lit(1)).alias("sections"), F.min_by("title", "section_id").alias("first_title"))
 
 
-@query("P8")
-def sections_by_h2(spark, folder):
-    """Documents as Markdown: the first line is the title, every line a section under its head."""
-    docs = _docs(spark, folder)
-    heads = F.transform(F.split("text", "\n"), lambda v: F.concat(F.lit("## "), F.substring(v, 1, 30), F.lit("\n"), v))
-    files = docs.select(
+_TIDY = r"""trim(regexp_replace({}, '[*`#✅🟡⏳⭐🎯]|\[|\]|\(http[^)]*\)', '', 'g'), ' -—·.')"""
+
+
+def _title_sql(x: str) -> str:
+    whole = f"array_to_string({O.words(_TIDY.format(x))}, ' ')"
+    return f"CASE WHEN length({whole}) > 80 THEN trim(regexp_replace(left({whole}, 80), ' [^ ]*$', ''), ' -—·.') ELSE {whole} END"
+
+
+def _as_markdown(docs):
+    """Documents as Markdown: the first line is the title, every line a section under itself; every third one in a fence."""
+    heads = F.transform(
+        F.split("text", "\n"), lambda v, i: F.concat(F.lit("## "), v, F.lit("\n"), F.when(i % 3 == 2, F.concat(F.lit("```\n## "), v, F.lit("\n```"))).otherwise(v))
+    )
+    return docs.select(
         F.format_string("d%07d.md", "doc_id").alias("path"),
         F.concat(F.lit("# "), F.split("text", "\n")[0], F.lit("\n"), F.array_join(heads, "\n")).alias("text"),
-    )
-    return readers.split_sections_h2(files).select("path", "pos", "title", "locator", "part_of")
+    )
+
+
+@query("P8", sql=f"""WITH l AS (SELECT format('d{{:07d}}.md', doc_id) AS path, string_split(text, chr(10)) AS l FROM documents),
+    p AS (SELECT path, l[1] AS first, unnest(range(0, len(l) + 1)) AS pos, unnest(list_prepend('', l)) AS v FROM l),
+    f AS (SELECT *, {_title_sql('first')} AS named FROM p)
+    SELECT path, CASE WHEN named = '' THEN replace(path, '.md', '') ELSE named END AS doc_title, pos::INTEGER AS pos, CASE WHEN pos = 0 THEN '' ELSE {_title_sql('v')} END AS heading,
+      sha256(CASE WHEN pos = 0 THEN '' WHEN pos % 3 = 0 THEN '```' || chr(10) || '## ' || v || chr(10) || '```' ELSE {O.strip('v')} END) AS body_hash FROM f""")
+def markdown_parts(spark, folder):
+    """Title, heading and body of every ``##`` part; headings in fences are text."""
+    parts = markdown.h2_sections(_as_markdown(_docs(spark, folder)))
+    return parts.select("path", "doc_title", "pos", "heading", T.content_hash("body").alias("body_hash"))
+
+
+@query("P8")
+def sections_by_h2(spark, folder):
+    """The parts as sections with unique titles."""
+    return readers.split_sections_h2(_as_markdown(_docs(spark, folder))).select("path", "pos", "title", "locator", "part_of")
 
 
 @query("P21")

@@ -715,10 +715,10 @@ def rendered_notes(spark, folder):
 @query("SC7", sql=f"WITH {O.NOTES} SELECT note_id AS id, {O.strip('title')} AS title, lang AS tags FROM notes WHERE {O.strip('title')} <> ''")
 def parsed_pages(spark, folder):
     """Pages rendered and read back; ``## Summary`` and the tags survive."""
-    from lorekeep.functions import rows as R
+    from lorekeep.functions.markdown import parse_note_markdown
     from lorekeep.sources import writers
 
     notes = A.notes(spark, folder).where(T.strip("title") != "")
     none = notes.select("note_id", F.lit("").alias("anchor"), F.lit("").alias("link")).where("false")
     pages = writers.render_markdown(notes, none).select(F.col("note_id").alias("path"), F.col("markdown").alias("text"))
-    return R.parse_note_markdown(pages).select("id", "title", F.array_join("tags", " ").alias("tags"))
+    return parse_note_markdown(pages).select("id", "title", F.array_join("tags", " ").alias("tags"))

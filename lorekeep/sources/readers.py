@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep import schema as SC
-from lorekeep.functions import rows as R
+from lorekeep.functions import markdown as M
 from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
 from lorekeep.operators import skew
@@ -128,9 +128,9 @@ def import_vault(files: DataFrame, seen: DataFrame | None = None, existing: Data
     if seen is not None:
         live = live.join(seen.select("path", "hash"), ["path", "hash"], "left_anti")
     meta = S.vault_meta(live)
-    summary = T.first_paragraph("body", R.SUMMARY_CHARS)
+    summary = T.first_paragraph("body", M.SUMMARY_CHARS)
     summary = F.when(summary == "", F.concat("title", F.lit("."))).otherwise(summary)
-    targets = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(R.WIKILINK), 1), T.strip))
+    targets = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(M.WIKILINK), 1), T.strip))
     targets = F.filter(targets, lambda t: (t != "") & (t != F.col("title")))
     notes = meta.join(live.select("path", "hash"), "path").select(
         F.lower(F.replace("title", F.lit(" "), F.lit("-"))).alias("note_id"), "title", "aliases",
@@ -183,7 +183,7 @@ def split_sections_h2(files: DataFrame) -> DataFrame:
     " — document" appended or is dropped, a later document gets its file name. Each round lets
     every entry claim its next name and gives each name to the earliest, until nothing moves.
     """
-    raw = R.h2_sections(files)
+    raw = M.h2_sections(files)
     docs = raw.where("pos = 0").select(
         "path", "pos", "doc_title", F.col("doc_title").alias("name1"),
         F.concat("doc_title", F.lit(" ("), "stem", F.lit(")")).alias("name2"), "body",
@@ -191,7 +191,7 @@ def split_sections_h2(files: DataFrame) -> DataFrame:
     names = lambda d: d.withColumn("name", F.when(F.col("tried") == 1, F.col("name1")).otherwise(F.col("name2")))
     # The document title decides the sections' second name, so documents settle with them.
     sections = raw.where(
-        f"pos > 0 and heading <> '' and length(body) >= {R.SECTION_MIN_CHARS}"
+        f"pos > 0 and heading <> '' and length(body) >= {M.SECTION_MIN_CHARS}"
     ).select("path", "pos", "doc_title", F.col("heading").alias("name1"), F.lit("").alias("name2"), "body", "heading")
     entries = docs.withColumn("heading", F.lit("")).unionByName(sections).withColumn("tried", F.lit(1))
     state = checkpoint(entries)
@@ -216,7 +216,7 @@ def split_sections_h2(files: DataFrame) -> DataFrame:
         state = state.select(*entries.columns)
         if settled:
             break
-    kept = last.where(f"tried <= 2 and (pos > 0 or length(body) >= {R.SECTION_MIN_CHARS})")
+    kept = last.where(f"tried <= 2 and (pos > 0 or length(body) >= {M.SECTION_MIN_CHARS})")
     return kept.select(
         "path", "pos", F.col("name").alias("title"), "body",
         F.when(F.col("pos") == 0, "intro").otherwise(F.concat(F.lit("section "), "heading")).alias("locator"),

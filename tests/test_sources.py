@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import rows as R
+from lorekeep.functions import markdown as M
 from lorekeep.sources import readers as RD
 from lorekeep.sources import writers as WR
 
@@ -129,7 +129,7 @@ def test_markdown_round_trip(rows):
     page = WR.render_markdown(notes, links).first().markdown
     assert "## How To\n\nUse [[Beta|Beta]] now. Beta again." in page and "big [[BM|Beta Max]]" in page
     assert page.endswith("## Related\n\n- [[BM|Beta Max]]\n- [[Beta|Beta]]\n")
-    back = R.parse_note_markdown(rows([("p", page)], FILE)).first()
+    back = M.parse_note_markdown(rows([("p", page)], FILE)).first()
     assert (back.id, back.title, back.aliases, back.tags, back.summary) == ("a", "Alpha", ["al"], ["t"], "Sum.")
     assert [s.key for s in back.body_sections] == ["how_to", "notes"]
 
