@@ -2,57 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import search as S
-from lorekeep.session import fan_out
+from lorekeep.session import fan_out, written
 
 _ANCHOR_WORDS = 3
+_WINDOW = 8
 
 
 def _shingles(words: str):
-    """The runs of three neighbouring words of a word-list column, as one string each."""
+    """The hashes of the runs of three neighbouring words of a word-list column."""
     last = F.size(words) - (_ANCHOR_WORDS - 1)
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(_ANCHOR_WORDS)), " "))
+    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(_ANCHOR_WORDS)), " ")))
+
+
+def _minimizers(runs: Column, window: int) -> Column:
+    """The smallest of every ``window`` neighbouring hashes; fewer than that have none."""
+    last = F.size(runs) - (window - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda i: F.array_min(F.slice(runs, i, window)))
 
 
 def verbatim_matches(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, doc_id for every document whose text holds the passage verbatim.
 
-    Whole words inside a passage are whole words of any text that holds it, so three inner words
-    serve as an equi-join key and only the candidates are compared in full. A passage of fewer
-    than five words is keyed by its first character instead; no pair is missed either way.
+    Whole words inside a passage are whole words of any text that holds it. The smallest hash of each
+    window of eight runs of three words keys a text; a passage with such a window inside has that key in
+    every text that holds it. Passages of fewer words are keyed by their first inner run, and those of
+    fewer than five words by their first character, against all runs or characters of the texts. Keys
+    only name candidates, which are compared in full; no pair is missed.
     """
-    words = T.words("text")
-    long = passages.where(F.size(words) >= _ANCHOR_WORDS + 2).select(
-        "query_id", F.col("text").alias("passage"),
-        F.array_join(F.slice(words, 2, _ANCHOR_WORDS), " ").alias("anchor"),
-    )
-    short = passages.where(F.size(words) < _ANCHOR_WORDS + 2).select(
-        "query_id", F.col("text").alias("passage"), F.substring("text", 1, 1).alias("anchor")
-    )
+    least = {_WINDOW: _WINDOW + _ANCHOR_WORDS + 1, 1: _ANCHOR_WORDS + 2, 0: 0}
     docs = fan_out(docs)
-    # outer explodes: no filter on the computed lists is derived below the fan-out; the joins drop
-    # the NULL anchors
-    by_words = docs.select("doc_id", T.words("text").alias("w")).select(
-        "doc_id", F.explode_outer(F.array_distinct(_shingles("w"))).alias("anchor")
-    )
-    by_char = docs.select(
-        "doc_id", F.explode_outer(F.array_distinct(F.split("text", ""))).alias("anchor")
-    )
-    small = S.small_enough(passages)
-    pairs = by_words.join(S.attach(long, small), "anchor").unionByName(
-        by_char.join(S.attach(short, small), "anchor")
-    )
-    return (
-        pairs.drop("anchor")
-        .join(docs.select("doc_id", "text"), "doc_id")
-        .where(F.contains("text", F.col("passage")))
-        .select("query_id", "doc_id")
-    )
+    worded = passages.select("query_id", F.col("text").alias("passage"), T.words("text").alias("w"))
+    pairs, most = None, 1 << 30
+    for window, words in least.items():
+        own = worded.where((F.size("w") >= words) & (F.size("w") < most))
+        most = words
+        if own.isEmpty():
+            continue
+        if window:
+            inner = own.withColumn("w", F.slice("w", 2, F.size("w") - 2)).withColumn("r", _shingles("w"))
+            keyed = inner.withColumn("key", F.try_element_at(_minimizers(F.col("r"), window), F.lit(1)))
+            # outer explodes: no filter on the computed lists is derived below the fan-out
+            runs = docs.select("doc_id", T.words("text").alias("w")).select("doc_id", _shingles("w").alias("r"))
+            have = runs.select("doc_id", F.explode_outer(F.array_distinct(_minimizers(F.col("r"), window))).alias("key"))
+        else:
+            keyed = own.withColumn("key", F.xxhash64(F.substring("passage", 1, 1)))
+            have = docs.select("doc_id", F.explode_outer(F.array_distinct(F.split("text", ""))).alias("c")).select("doc_id", F.xxhash64("c").alias("key"))
+        met = have.join(written(keyed.select("query_id", "passage", "key")), "key").drop("key")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
+        none = F.lit(None).cast(passages.schema["query_id"].dataType).alias("query_id")
+        return docs.limit(0).select(none, "doc_id")
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
 
 
 def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:

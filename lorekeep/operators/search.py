@@ -1,10 +1,10 @@
 """Retrieval: many queries over many notes in one job.
 
-Layout of a search. The documents are hash-partitioned by note once, as term lists. Counting
-terms, weighing them and adding them up per (query, note) then all happen inside the note's
-partition, because the query side (query terms with their idf) is joined by broadcast when
-Spark sees it is small and by shuffle otherwise. Only per-query maxima and the best rows per
-task leave a partition; titles and texts are joined after the cut.
+The product search reads a block-max index (``operators.blocks``), built on the spot or read from a folder: blocks
+that cannot reach a query's best results are skipped, and only results are shuffled. The baselines
+partition the documents by note once, as term lists; counting, weighing and adding up per (query,
+note) then happen inside the note's partition, because the query side is a written table that Spark
+broadcasts when it is small. Titles and texts are joined after the cut.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.operators import index as I
 from lorekeep.operators import skew
+from lorekeep.operators.blocks import build_blocks, search_blocks
+from lorekeep.session import written
 
 K1 = 1.5
 B = 0.75
@@ -25,7 +27,6 @@ LENGTH_PENALTY = 0.5
 EXACT_BOOST = 0.5
 NEIGHBOUR_COLLECTION_BOOST = 1.25
 CONTEXT_BUDGET = 6000
-BROADCAST_ROWS = 1_000_000  # query terms of about 40 bytes
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -38,16 +39,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(parts, key)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; it is never counted further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def attach(df: DataFrame, small: bool) -> DataFrame:
-    """Broadcast a side whose row count was checked; a bigger one joins by shuffle."""
-    return F.broadcast(df) if small else df
-
-
 def best(score: str) -> Column:
     """Descending by score; differences below 1e-9 are noise of the summing order, so they tie.
 
@@ -123,85 +114,20 @@ def _scalar_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
-def channel_scores(
-    queries: DataFrame, notes: DataFrame | None = None, postings: DataFrame | None = None,
-    corpus: DataFrame | None = None, small: bool | None = None,
-) -> DataFrame:
-    """query_id, note_id, hay_len, haystack, tri_title, tri_summary: raw BM25 per channel.
-
-    Works from notes, or from written postings plus their one-row corpus table. Notes given with a
-    corpus row are spread by note already. ``small`` tells whether the query terms passed the size
-    check; it is made here when not given.
-    """
-    wanted = query_field_terms(queries)
-    small = small_enough(wanted) if small is None else small
-    vocabulary = attach(wanted.select("field", "term").distinct(), small)
-    if postings is None:
-        # The one shuffle of the documents, as text, which is a fraction of the size of its term
-        # rows. Everything per note stays in place after it, also the corpus statistics.
-        if corpus is None:
-            notes = spread(notes, "note_id")
-            corpus = I.corpus_row(notes)
-        placed = I.note_terms(notes)
-        rows = I.term_rows(placed).join(vocabulary, ["field", "term"], "left_semi")
-        postings = I.count_terms(rows)
-    else:
-        postings = postings.join(vocabulary, ["field", "term"], "left_semi")
-    stats = _scalar_row(corpus)
-    weights = wanted.join(I.term_stats(postings, stats["n"]), ["field", "term"]).select(
-        "query_id", "field", "term", "idf"
-    )
-    mean = F.coalesce(*[F.when(F.col("field") == f, stats[f]) for f in I.FIELDS])
-    mean = F.when(mean > 0, mean).otherwise(1.0)
-    length = F.greatest(F.col("dl"), F.lit(1))
-    gain = F.col("idf") * bm25_term(F.col("tf"), length, mean)
-    return (
-        match_postings(attach(weights, small), postings)
-        .withColumn("gain", gain)
-        .groupBy("query_id", "note_id")
-        .agg(
-            F.max("hay_len").alias("hay_len"),
-            *[F.sum(F.when(F.col("field") == f, F.col("gain"))).alias(f) for f in I.FIELDS],
-        )
-    )
-
-
 def search_index(
     queries: DataFrame, notes: DataFrame | None = None, limit: int = 5,
-    postings: DataFrame | None = None, corpus: DataFrame | None = None,
+    blocks: DataFrame | None = None, corpus: DataFrame | None = None,
 ) -> DataFrame:
-    """query_id, note_id, rank, score: three channels blended, hubs damped, best first."""
-    # a query with a candidate has a term, so the check on the terms also bounds the queries
-    small = small_enough(query_field_terms(queries))
-    if postings is None:
+    """query_id, note_id, rank, score: three channels blended, hubs damped, best first.
+
+    Works from notes, or from a written index: its blocks and its one-row corpus table.
+    """
+    if blocks is None:
         notes = spread(notes, "note_id")
-        corpus = I.corpus_row(notes)
-    scores = channel_scores(queries, notes, postings, corpus, small)
-    # The scores are read twice, for the maxima and for the ranking. A (query, note) row sums dozens
-    # of term gains, so shuffling it once and reusing that is far cheaper than scoring again.
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scores = scores.repartition(parts, "query_id", "note_id")
-    monolingual = corpus.select("monolingual").scalar()
-    tops = scores.groupBy("query_id").agg(
-        *[F.max(f).alias(f"top_{f}") for f in I.FIELDS], F.avg("hay_len").alias("mean_len")
-    )
-    share = lambda f: F.coalesce(
-        F.when(F.col(f"top_{f}") > 0, F.col(f) / F.col(f"top_{f}")), F.lit(0.0)
-    )
-    scale = F.when(monolingual, MONOLINGUAL_SCALE).otherwise(1.0)
-    blend = (
-        share("haystack")
-        + share("tri_title") * (scale * TRI_TITLE_WEIGHT)
-        + share("tri_summary") * (scale * TRI_SUMMARY_WEIGHT)
-    )
-    mean, length = F.col("mean_len"), F.col("hay_len")
-    damped = F.when(mean > 0, blend * mean / (mean + LENGTH_PENALTY * length)).otherwise(blend)
-    ranked = topk(
-        scores.join(attach(tops, small), "query_id").select(
-            "query_id", "note_id", damped.alias("raw_score")
-        ),
-        ["query_id"], [best("raw_score"), F.asc("note_id")], limit,
-    )
+        blocks, corpus = written(build_blocks(notes)), written(I.corpus_row(notes))
+    scale = MONOLINGUAL_SCALE if (corpus.select("monolingual").first() or [False])[0] else 1.0
+    scales = {"haystack": 1.0, "tri_title": scale * TRI_TITLE_WEIGHT, "tri_summary": scale * TRI_SUMMARY_WEIGHT}
+    ranked = search_blocks(queries, blocks, corpus, limit, scales=scales, damping=LENGTH_PENALTY)
     return ranked.select("query_id", "note_id", "rank", F.round("raw_score", 4).alias("score"))
 
 
@@ -234,9 +160,8 @@ def bm25_scores(
 ) -> DataFrame:
     """query_id, doc_id, score over one text field; repeated query terms count again."""
     terms = counted_query_terms(queries, token_column)
-    small = small_enough(terms)
     docs = spread(docs, "doc_id")
-    counts = _matched_counts(docs, attach(terms.select("term").distinct(), small), token_column)
+    counts = _matched_counts(docs, written(terms.select("term").distinct()), token_column)
     stats = _scalar_row(
         docs.agg(
             F.count(F.lit(1)).alias("n"),
@@ -248,7 +173,7 @@ def bm25_scores(
         "query_id", "term", (F.col("qtf") * I.idf(F.col("df"), stats["n"])).alias("w")
     )
     gain = F.col("w") * bm25_term(F.col("tf"), F.col("dl"), stats["avgdl"], k1, b)
-    weighed = counts.join(attach(weights, small), "term")
+    weighed = counts.join(written(weights), "term")
     return weighed.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
 
 
@@ -292,7 +217,7 @@ def bm25_okapi(queries: DataFrame, docs: DataFrame, limit: int = 5, epsilon: flo
     floor = F.when(raw < 0, mean_idf * epsilon).otherwise(raw)
     weights = terms.join(df, "term").select("query_id", "term", (F.col("qtf") * floor).alias("w"))
     gain = F.col("w") * bm25_term(F.col("tf"), F.col("dl"), stats["avgdl"])
-    weighed = counts.join(attach(weights, small_enough(terms)), "term")
+    weighed = counts.join(written(weights), "term")
     hits = weighed.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
     return topk(
         hits.where("score > 0"), ["query_id"], [best("score"), F.asc("doc_id")], limit
@@ -302,11 +227,10 @@ def bm25_okapi(queries: DataFrame, docs: DataFrame, limit: int = 5, epsilon: flo
 def term_overlap_search(queries: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
     """query_id, doc_id, rank, score: document count times query count, no idf."""
     terms = counted_query_terms(queries)
-    small = small_enough(terms)
     docs = spread(docs, "doc_id")
-    counts = _matched_counts(docs, attach(terms.select("term").distinct(), small), T.tokens)
+    counts = _matched_counts(docs, written(terms.select("term").distinct()), T.tokens)
     hits = (
-        counts.join(attach(terms, small), "term")
+        counts.join(written(terms), "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("tf") * F.col("qtf")).alias("score"))
     )
@@ -425,13 +349,13 @@ def rerank(
 
 def search_notes(
     queries: DataFrame, notes: DataFrame, limit: int = 5,
-    postings: DataFrame | None = None, corpus: DataFrame | None = None,
+    blocks: DataFrame | None = None, corpus: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, rank, title, summary: the product search, index pool then rerank.
 
     Notes that share a title answer as one; the lowest-ranked of them lends score and summary.
     """
-    pool = search_index(queries, notes, 2 * limit, postings, corpus)
+    pool = search_index(queries, notes, 2 * limit, blocks, corpus)
     # At most 2 * limit rows per query from here on, so windows over a query are small and the
     # search runs once instead of once per self-join.
     known = pool.join(notes.select("note_id", "title", "summary", "aliases"), "note_id")

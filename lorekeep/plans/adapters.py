@@ -47,11 +47,11 @@ def notes(spark: SparkSession, folder: str, labelled: bool = False) -> DataFrame
     created = F.expr("timestamp_seconds(unix_seconds(timestamp'2024-01-01 00:00:00') + doc_id * 60)")
     return docs.select(
         F.format_string("d%07d", "doc_id").alias("note_id"),
-        F.substring(F.split("text", "\n")[0], 1, 80).alias("title"),
+        F.split("text", "\n")[0].alias("title"),
         F.expr(EMPTY).alias("aliases"),
         F.lit("").alias("folder"),
         F.array("lang").alias("tags"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.coalesce(F.nullif(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit("")), F.split("text", "\n")[0]).alias("summary"),
         F.col("text").alias("retrieval_text"),
         F.array(F.struct(F.lit("content").alias("key"), F.col("text").alias("value"))).alias(
             "body_sections"

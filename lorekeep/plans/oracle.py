@@ -68,7 +68,7 @@ def dash(x: str, keep: str) -> str:
 
 NOTES = """notes AS (
     SELECT printf('d%07d', d.doc_id) AS note_id, d.doc_id, d.source, d.lang,
-           left(split_part(d.text, chr(10), 1), 80) AS title, left(d.text, 200) AS summary,
+           split_part(d.text, chr(10), 1) AS title, coalesce(nullif(split_part(d.text, chr(10), 2), ''), split_part(d.text, chr(10), 1)) AS summary,
            d.text AS retrieval_text, d.text,
            CASE WHEN l.quality = 1 THEN 0.9 WHEN l.quality = 0 THEN 0.4 ELSE 0.8 END::DOUBLE AS confidence,
            TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) AS updated_at

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as SC
 from lorekeep.operators import index as I
+from lorekeep.operators import search as S
 from lorekeep.operators import skew
 from lorekeep.operators import temporal as TM
+from lorekeep.operators.blocks import postings_of
 from lorekeep.plans import adapters as A
 from lorekeep.plans import oracle as O
 from lorekeep.plans.registry import ORACLE, query
@@ -64,11 +66,29 @@ def stored_claims(spark, folder):
 
 @query("SK1", "A2", sql=ORACLE["postings"])
 def stored_postings(spark, folder):
-    """The index written as a snapshot; document frequencies from what is read back."""
+    """The index written as a snapshot; document frequencies from the postings read back."""
     place = _place(spark)
-    writers.write_index(A.notes(spark, folder), place)
-    rows, _ = writers.read_index(spark, place)
-    n = A.notes(spark, folder).count()
+    writers.write_index(S.spread(A.notes(spark, folder), "note_id"), place)
+    blocks, corpus = writers.read_index(spark, place)
+    rows, n = postings_of(blocks), corpus.select("n").scalar()
     return rows.groupBy("field", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"), F.sum("dl").cast("bigint").alias("total_dl")
     ).withColumn("idf", F.round(I.idf(F.col("df"), n), 6))
+
+
+@query("R1", "R5", "SK1", sql=ORACLE["search_index"])
+def stored_search(spark, folder):
+    """The search on the written index."""
+    place = _place(spark)
+    writers.write_index(S.spread(A.notes(spark, folder), "note_id"), place)
+    blocks, corpus = writers.read_index(spark, place)
+    return S.search_index(A.questions(spark, folder), limit=5, blocks=blocks, corpus=corpus)
+
+
+@query("R6", "SK1", sql=ORACLE["batch_search"])
+def stored_batch_search(spark, folder):
+    """The product search on the written index."""
+    place = _place(spark)
+    notes = A.notes(spark, folder)
+    writers.write_index(S.spread(notes, "note_id"), place)
+    return S.search_notes(A.questions(spark, folder), notes, 5, *writers.read_index(spark, place))

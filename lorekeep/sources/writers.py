@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import index as I
+from lorekeep.operators.blocks import build_blocks
 
 # fixed values: the lines of a source in the frontmatter
 SOURCE_LINES = (
@@ -16,26 +17,19 @@ SOURCE_LINES = (
 
 
 def write_index(notes: DataFrame, folder: str) -> None:
-    """Postings and corpus statistics as a replaceable snapshot.
+    """The blocks of the index and the corpus statistics as a replaceable snapshot.
 
-    Files are split by field and sorted by term, so a search reads only the row groups whose term
-    range meets its vocabulary. The snapshot can be rebuilt from the notes at any time.
+    It can be rebuilt from the notes at any time.
     """
-    postings = I.build_postings(notes)
-    # the salt spreads a very common term over several files of its range
-    (
-        postings.repartitionByRange("field", "term", F.xxhash64("note_id"))
-        .sortWithinPartitions("field", "term")
-        .write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
-    )
+    build_blocks(notes).write.mode("overwrite").parquet(f"{folder}/blocks")
     I.corpus_row(notes).write.mode("overwrite").parquet(f"{folder}/corpus")
     I.doc_stats(notes).write.mode("overwrite").partitionBy("field").parquet(f"{folder}/doc_stats")
     I.corpus_stats(notes).write.mode("overwrite").parquet(f"{folder}/corpus_stats")
 
 
 def read_index(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    """postings and the one-row corpus table for search_index."""
-    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/corpus")
+    """blocks and the one-row corpus table for search_index."""
+    return spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/corpus")
 
 
 def write_federated(rows: DataFrame, report: DataFrame, folder: str) -> None:

@@ -1,10 +1,16 @@
 import math
+import random
+from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep import schema as SC
+from lorekeep.operators import blocks
 from lorekeep.operators import evaluate as EV
 from lorekeep.operators import federation as FE
+from lorekeep.operators import index as I
 from lorekeep.operators import search as S
 from lorekeep.sources import writers
 
@@ -38,13 +44,69 @@ def test_search_finds_and_ranks(notes, asked):
 
 def test_written_index_answers_like_the_notes(notes, asked, spark, tmp_path):
     writers.write_index(notes, str(tmp_path))
-    postings, corpus = writers.read_index(spark, str(tmp_path))
+    blocks, corpus = writers.read_index(spark, str(tmp_path))
     queries = asked("search ranking", "wrong facts", "architettura dei retrieval")
     direct = S.search_index(queries, notes, 3).orderBy("query_id", "rank").collect()
-    stored = S.search_index(queries, limit=3, postings=postings, corpus=corpus).orderBy("query_id", "rank").collect()
+    stored = S.search_index(queries, limit=3, blocks=blocks, corpus=corpus).orderBy("query_id", "rank").collect()
     assert direct == stored and direct
 
 
+@pytest.mark.parametrize(("size", "chars"), [(1, 1_000_000), (7, 60)])
+def test_blocks_skip_nothing_that_counts(rows, asked, spark, size, chars):
+    rng = random.Random(size)
+    words = ["search", "rank", "note", "idea", "perché", "graph", *[f"w{k}" for k in range(30)]]
+    text = lambda n: " ".join(rng.choice(words[: rng.choice([6, 36])]) for _ in range(n))
+    from tests.test_temporal import note
+
+    made = [note(f"n{k:03d}", text(3), summary=text(6), retrieval_text=text(rng.choice([0, 5, 40]))) for k in range(80)]
+    df = rows([*made, *[note(f"copy{k}", *["w1 w2"], summary="w3", retrieval_text="search rank") for k in range(9)]], SC.NOTES)
+    queries = asked(*[text(rng.randint(1, 8)) for _ in range(12)], "", "nothing like it", "search rank")
+    corpus = I.corpus_row(df)
+    how = {"scales": {"haystack": 1.0, "tri_title": 0.7, "tri_summary": 0.3}, "damping": 0.5}
+    got = blocks.search_blocks(queries, blocks.build_blocks(df.coalesce(2), size), corpus, 4, chars=chars, **how)
+    stats, postings = corpus.first(), I.build_postings(df).collect()
+    df_of = Counter((p.field, p.term) for p in postings)
+    want = []
+    for q in query_terms(queries):
+        raw, length = {}, {}
+        for p in postings:
+            if (p.field, p.term) in q.terms:
+                idf = math.log(1 + (stats["n"] - df_of[p.field, p.term] + 0.5) / (df_of[p.field, p.term] + 0.5))
+                own = raw.setdefault(p.note_id, Counter())
+                own[p.field] += idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * max(p.dl, 1) / stats[p.field]))
+                length[p.note_id] = p.hay_len
+        top = {f: max((x[f] for x in raw.values()), default=0) for f in how["scales"]}
+        mean = sum(length.values()) / len(length) if length else 0
+        scored = []
+        for n, x in raw.items():
+            blend = sum(s * x[f] / top[f] for f, s in how["scales"].items() if top[f] > 0)
+            value = blend * mean / (mean + 0.5 * length[n]) if mean > 0 else blend
+            scored.append((-round(value, 9), n))
+        want += [(q.query_id, n, rank) for rank, (_, n) in enumerate(sorted(scored)[:4], 1)]
+    assert sorted((r.query_id, r.note_id, r["rank"]) for r in got.collect()) == sorted(want)
+    listed = blocks.postings_of(blocks.build_blocks(df, size)).select("field", "term", "note_id", "tf", "dl", "hay_len")
+    assert sorted(map(tuple, listed.collect())) == sorted((p.field, p.term, p.note_id, p.tf, p.dl, p.hay_len) for p in postings)
+
+
+def query_terms(queries):
+    found = {}
+    for r in S.query_field_terms(queries).collect():
+        found.setdefault(r.query_id, set()).add((r.field, r.term))
+    return [SimpleNamespace(query_id=q, terms=t) for q, t in found.items()]
+
+
+def test_passages_of_every_length_are_found(rows):
+    rng = random.Random(2)
+    docs = [(k, " ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(60))) for k in range(25)] + [(90, ""), (91, "x")]
+    passages = []
+    for k, (_, text) in enumerate(docs[:25]):
+        a = rng.randrange(len(text))
+        passages.append((k, text[a : a + rng.choice([1, 4, 15, 40, 120])]))
+    got = EV.verbatim_matches(rows(docs, "doc_id long, text string"), rows(passages, "query_id long, text string")).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == sorted((q, d) for q, p in passages for d, t in docs if p in t)
+    assert EV.verbatim_matches(rows(docs, "doc_id long, text string"), rows([], "query_id long, text string")).count() == 0
+
+
 def test_exact_name_needs_word_borders(notes, asked, rows):
     df = rows([("about dragons", "RAG"), ("what is RAG?", "RAG"), ("use c++ now", "c++")], "q string, t string")
     none = F.expr("cast(array() as array<string>)")
