@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import search as S
+from lorekeep.operators import skew
 from lorekeep.session import fan_out, written
 
 _ANCHOR_WORDS = 3
@@ -161,11 +162,9 @@ def latency_percentiles(samples: DataFrame, keys: list[str], value: str = "ms")
     so equal samples are combined before any sort.
     """
     counts = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    # a running sum over distinct values, in two levels by magnitude of the value
-    from lorekeep.operators import skew
-
+    # a running sum over distinct values, in two levels
     summed = skew.running(
-        counts, keys, F.floor(F.col(value) / 16), [F.col(value)], sums={"upto": F.col("c")}
+        counts, keys, skew.order_bucket(counts, [value, *keys]), [F.col(value)], sums={"upto": F.col("c")}
     )
     totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     rows = summed.join(totals, keys)

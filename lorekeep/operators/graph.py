@@ -276,7 +276,7 @@ def neighborhood(focus: DataFrame, edges: DataFrame, hops: int = 2, cap: int = 6
 def unique_suffix(names: DataFrame, base: str, order: list[str], out: str = "id") -> DataFrame:
     """name, name-2, name-3 ... on a clash; the ranks are exact for groups of any size."""
     numbered = skew.running(
-        names, [base], _order_bucket(order[0], dict(names.dtypes)), [F.col(c) for c in order],
+        names, [base], skew.order_bucket(names, order), [F.col(c) for c in order],
         number="__n",
     )
     return numbered.withColumn(
@@ -285,16 +285,6 @@ def unique_suffix(names: DataFrame, base: str, order: list[str], out: str = "id"
     ).drop("__n")
 
 
-def _order_bucket(column: str, types: dict[str, str]):
-    """A coarse non-decreasing bucket of an order column."""
-    kind = types[column]
-    if kind == "string":
-        return F.substring(column, 1, 6)
-    if kind in ("timestamp", "date"):
-        return F.date_trunc("month", column)
-    return F.floor(F.col(column) / 65536)
-
-
 def domain_partition(assignments: DataFrame, notes: DataFrame) -> DataFrame:
     """domain_seq, domain_id, name, title: the first domain that claims a title keeps it.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions import text as T
 from lorekeep.operators import skew
+from lorekeep.session import written
 
 # ---- Fixed values ----------------------------------------------------------------------------
 LEGAL = {
@@ -25,26 +29,103 @@ REVIEW_KINDS = (
 # ----------------------------------------------------------------------------------------------
 
 
-def legal_move(before, after):
-    """Whether a job may go from one state to the next; a job starts as queued."""
-    chain = F.when(before.isNull(), after == "queued")
-    for state, nexts in LEGAL.items():
-        chain = chain.when(before == state, after.isin(*nexts) if nexts else F.lit(False))
-    return F.coalesce(chain, F.lit(False))
+_START = "__start"
+_PLACES = (None, *LEGAL)
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """Every job event with the state recorded before it and whether the move is legal.
+def _after() -> dict[str | None, tuple[int, ...]]:
+    """Per event the place in ``_PLACES`` it leads to from every place; an illegal move stays."""
+    moves = {None: ("queued",), **LEGAL}
+    return {e: tuple(_PLACES.index(e) if e in moves[now] else k for k, now in enumerate(_PLACES)) for e in LEGAL}
 
-    The previous state is the one recorded in the log, so each row needs only its predecessor.
-    The predecessor is the next row of the reversed order, split by month for long logs.
+
+def _batches(kinds: list, names: list[str], rows: list[tuple], before: pa.RecordBatch | None = None):
+    """``rows`` as columns behind those of ``before``."""
+    columns = [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else []
+    if rows:
+        yield pa.RecordBatch.from_arrays([*(before.columns if before else []), *columns], names)
+
+
+def _fold(rows: DataFrame, keys: list[str], value: str, start, step) -> DataFrame:
+    """keys and ``value``: the state left by the rows of each key, which lie together in order and begin with it."""
+    schema = T_.StructType([*[rows.schema[k] for k in keys], *T_.StructType.fromDDL(value).fields])
+    kinds, width = [f.type for f in to_arrow_schema(schema)], len(keys)
+
+    def run(batches):
+        at, state = None, None
+        for batch in batches:
+            done = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:width] != at:
+                    if at is not None:
+                        done.append((*at, pack(state)))
+                    at, state = row[:width], start
+                state = step(state, row)
+            yield from _batches(kinds, schema.names, done)
+        yield from _batches(kinds, schema.names, [(*at, pack(state))] if at is not None else [])
+
+    def pack(state):
+        return sum(k << (3 * n) for n, k in enumerate(state))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _replay(rows: DataFrame, width: int, made: str, start, step) -> DataFrame:
+    """Every row with the values ``step(state, row)`` gives it; the first ``width`` columns are the key."""
+    added = T_.StructType.fromDDL(made)
+    schema = T_.StructType([*rows.schema.fields, *added.fields])
+    kinds = [f.type for f in to_arrow_schema(added)]
+
+    def run(batches):
+        at, state = None, None
+        for batch in batches:
+            told = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:width] != at:
+                    at, state = row[:width], start(row)
+                state, values = step(state, row)
+                told.append(values)
+            yield from _batches(kinds, schema.names, told, batch)
+
+    return rows.mapInArrow(run, schema)
+
+
+def transitions(events: DataFrame, rows: int = skew.BUCKET_ROWS) -> DataFrame:
+    """Every job event with the state that the last legal move left behind, and whether the event is legal.
+
+    An event is a function on states, and functions compose, so a log of any length is cut into ranges
+    of about ``rows`` events: the events of a range are composed to one function, the functions of a job are
+    applied one after another to find the state each range begins with, and the ranges are then replayed. As in
+    ``job_stream``, an illegal event is reported and changes nothing.
     """
-    reverse = -(F.year("ts") * 12 + F.month("ts"))
-    out = skew.running(
-        events, ["job_id"], reverse, [F.desc("ts"), F.desc("seq")], lead={"__p": "state"}
-    )
-    before = F.col("__p")
-    return out.withColumn("previous", before).withColumn("legal", legal_move(before, F.col("state"))).drop("__p")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in events.columns if c not in ("job_id", "state")]
+    staged = written(events.select("job_id", skew.order_bucket(events, ["ts", "seq"], rows).alias("__b"), "state", *rest))
+    after, same = _after(), tuple(range(len(_PLACES)))
+    key, order = ["job_id", "__b"], ["job_id", "__b", "ts", "seq"]
+
+    def composed(now, row):
+        then = after.get(row[2], same)
+        return tuple(then[k] for k in now)
+
+    ranges = staged.select("job_id", "__b", "state", "ts", "seq").repartition(parts, *key).sortWithinPartitions(*order)
+    moved = _fold(ranges, key, "moved long", same, composed)
+
+    def begun(now, row):
+        return row[2] >> (3 * now) & 7, (now,)
+
+    chained = moved.repartition(parts, "job_id").sortWithinPartitions(*key)
+    starts = written(_replay(chained, 1, f"{_START} int", lambda row: 0, begun).drop("moved"))
+    joined = staged.alias("e").join(starts.alias("s"), F.col("e.job_id").eqNullSafe(F.col("s.job_id")) & (F.col("e.__b") == F.col("s.__b")))
+    joined = joined.select("e.*", f"s.{_START}")
+    first = joined.columns.index(_START)
+
+    def told(now, row):
+        then = after.get(row[2], same)[now]
+        return then, (_PLACES[now], then != now)
+
+    ready = joined.repartition(parts, *key).sortWithinPartitions(*order)
+    return _replay(ready, 2, "previous string, legal boolean", lambda row: row[first], told).select(*events.columns, "previous", "legal")
 
 
 def job_state(events: DataFrame) -> DataFrame:

@@ -75,16 +75,14 @@ def parse_extractions(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return notes, parsed.where(bad).select("chunk_id", "answer")
 
 
-def batched_prompts(rows: DataFrame, order: str, line: Column, size: int, bucket: Column | None = None) -> DataFrame:
+def batched_prompts(rows: DataFrame, order: str, line: Column, size: int) -> DataFrame:
     """batch, n, listing: lines packed ``size`` at a time in order.
 
-    The running number is exact over all rows but computed per bucket, so no task sees them all.
+    The running number is exact over all rows but computed per range of the order, so no task sees them all.
     """
-    from lorekeep.operators.graph import _order_bucket
-
     numbered = skew.running(
         rows.withColumn("__all", F.lit(0)), ["__all"],
-        bucket if bucket is not None else _order_bucket(order, dict(rows.dtypes)),
+        skew.order_bucket(rows, [order]),
         [F.asc(order)], number="__n",
     )
     packed = numbered.select(F.floor((F.col("__n") - 1) / size).alias("batch"), "__n", line.alias("line"))

@@ -482,6 +482,7 @@ def fit_to_budget(
     if budget <= 0:
         return items.limit(0).withColumn("cost", F.lit(0).cast("bigint"))
     costed = items.withColumn("cost", T.estimate_tokens(content).cast("bigint"))
+    # ranks are dense, so a range of them has as many rows
     summed = skew.running(
         costed, [key], F.floor(F.col(rank) / 65536), [F.col(rank)], sums={"__used": F.col("cost")}
     )

@@ -12,6 +12,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "__bucket"
+BUCKET_ROWS = 500_000
+_SAMPLE = 16
+
+
+def _direction(name: str) -> tuple[str, bool]:
+    return (name[1:], True) if name.startswith("-") else (name, False)
+
+
+def _not_after(split: Column, names: list[str]) -> Column:
+    """Whether a splitter stands at or before the row in the order ``names``; nulls first, or last if descending."""
+    at_or_before = F.lit(True)
+    for name in reversed(names):
+        column, down = _direction(name)
+        a, b = split[column], F.col(column)
+        less = lambda x, y: (x.isNull() & y.isNotNull()) | F.coalesce(x < y, F.lit(False))
+        at_or_before = (less(b, a) if down else less(a, b)) | (a.eqNullSafe(b) & at_or_before)
+    return at_or_before
+
+
+def order_bucket(df: DataFrame, names: list[str], rows: int = BUCKET_ROWS) -> Column:
+    """A number that does not decrease along the order ``names`` ("-" before a name: descending) and cuts ``df``
+    into ranges of about ``rows`` rows.
+
+    The cuts are rows of a sample drawn by a hash of the order columns, 16 a range, which is enlarged
+    until no range holds four times its share. The last names should tell ties apart: rows that are
+    equal in all of them cannot be cut. The driver holds the sample; a row is compared with two lists
+    of about the square root of the number of ranges.
+    """
+    columns = [_direction(n)[0] for n in names]
+    total = df.count()
+    ranges = -(-total // rows)
+    if ranges <= 1:
+        return F.lit(0)
+    order = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in map(_direction, names)]
+    wanted, last = _SAMPLE * ranges, -1
+    while True:
+        draw = F.pmod(F.xxhash64(*columns), F.lit(max(1, total // wanted))) == 0
+        drawn = df.where(draw).select(*columns).distinct().orderBy(*order).collect()
+        step = max(1, len(drawn) // ranges)
+        bucket = _place(df, names, drawn[step::step])
+        largest = df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0]
+        if largest <= 4 * rows or wanted >= total or len(drawn) == last:
+            return bucket
+        wanted, last = 4 * wanted, len(drawn)
+
+
+def _place(df: DataFrame, names: list[str], splits: list) -> Column:
+    """How many of the ordered ``splits`` stand at or before the row: groups of them first, then one group."""
+    if not splits:
+        return F.lit(0)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    literal = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in r.asDict()])
+    width = max(1, round(len(splits) ** 0.5))
+    groups = [splits[k : k + width] for k in range(0, len(splits), width)]
+    before = lambda s: _not_after(s, names)
+    group = F.size(F.filter(F.array(*[literal(g[0]) for g in groups]), before))
+    inside = F.get(F.array(*[F.array(*map(literal, g)) for g in groups]), group - 1)
+    return F.when(group == 0, 0).otherwise((group - 1) * width + F.size(F.filter(inside, before)))
 
 
 def running(

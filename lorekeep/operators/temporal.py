@@ -36,21 +36,15 @@ def claims_as_of(states: DataFrame, instant: Column) -> DataFrame:
 def claims_by_note(states: DataFrame) -> DataFrame:
     """All claims with their position inside the note, newest valid_from first, then claim id."""
     return skew.running(
-        states, ["note_id"], -F.year(F.coalesce("valid_from", F.lit("0001-01-01").cast("timestamp"))) * 12
-        - F.month(F.coalesce("valid_from", F.lit("0001-01-01").cast("timestamp"))),
+        states, ["note_id"], skew.order_bucket(states, ["-valid_from", "claim_id"]),
         [F.desc_nulls_last("valid_from"), F.asc("claim_id")], number="position",
     )
 
 
-def _month(column: str) -> Column:
-    # an undated row counts as the oldest
-    return F.coalesce(F.date_trunc("month", column), F.lit("0001-01-01").cast("timestamp"))
-
-
 def version_numbers(versions: DataFrame) -> DataFrame:
     """Versions numbered oldest first, with the time the next one replaced them."""
     out = skew.running(
-        versions, ["note_id"], _month("updated_at"), [F.asc_nulls_first("updated_at"), F.asc("seq")],
+        versions, ["note_id"], skew.order_bucket(versions, ["updated_at", "seq"] if "seq" in versions.columns else ["updated_at"]), [F.asc_nulls_first("updated_at"), F.asc("seq")],
         number="version", lead={"__next": "updated_at"},
     )
     return out.withColumn("replaced_at", F.col("__next")).drop("__next")
@@ -66,7 +60,7 @@ def asof_join(probes: DataFrame, versions: DataFrame) -> DataFrame:
     """For each probe (probe_id, note_id, t) the last version with updated_at <= t, else NULLs.
 
     Probes and versions are merged on the time axis and the last version is carried forward, in
-    two levels (within a month, then across months), so neither a hot note nor a long history
+    two levels (within a range of times, then across ranges), so neither a hot note nor a long history
     needs a range join or lands in one task.
     """
     rest = [c for c in versions.columns if c != "note_id"]
@@ -82,14 +76,16 @@ def asof_join(probes: DataFrame, versions: DataFrame) -> DataFrame:
         "note_id", F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(versions.schema["seq"].dataType).alias("tie"),
         empty.alias("v"), "probe_id",
     )
-    line = v.unionByName(p).withColumn("bucket", F.date_trunc("month", "at"))
+    # ranges of the versions' times; a probe falls into the range of its time
+    bucket = skew.order_bucket(v, ["at"])
+    line = v.unionByName(p).withColumn("bucket", bucket)
     inner = Window.partitionBy("note_id", "bucket").orderBy("at", "side", "tie").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     near = line.withColumn("near", F.last("v", ignorenulls=True).over(inner)).where("side = 1")
     ends = line.where("side = 0").groupBy("note_id", "bucket").agg(F.max_by("v", F.struct("at", "tie")).alias("end"))
     marks = ends.unionByName(
-        p.select("note_id", F.date_trunc("month", "at").alias("bucket")).distinct().withColumn("end", empty)
+        p.select("note_id", bucket.alias("bucket")).distinct().withColumn("end", empty)
     ).groupBy("note_id", "bucket").agg(F.max_by("end", F.col("end").isNotNull()).alias("end"))
     across = Window.partitionBy("note_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.withColumn("far", F.last("end", ignorenulls=True).over(across)).drop("end")
@@ -115,7 +111,7 @@ def search_as_of(
 
 def monotone_timestamps(writes: DataFrame, time: str = "wrote_at", order: str = "seq") -> DataFrame:
     """Add ``updated_at``: the write time, or one microsecond after the previous version."""
-    bucket = F.floor(F.col(order) / 65536)
+    bucket = skew.order_bucket(writes, [order])
     us = F.unix_micros(time)
     ranked = skew.running(writes, ["note_id"], bucket, [F.asc(order)], number="__rn")
     ranked = skew.running(

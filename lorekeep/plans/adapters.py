@@ -154,7 +154,7 @@ def claim_log(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("valid_from"),
     )
     closed = skew.running(
-        orders, ["note_id"], F.date_trunc("month", "valid_from"),
+        orders, ["note_id"], skew.order_bucket(orders, ["valid_from", "claim_id"]),
         [F.col("valid_from"), F.col("claim_id")], lead={"__next": "valid_from"},
     ).select(*orders.columns, F.col("__next").alias("valid_to"))
     opening = closed.withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("seq", F.lit(0))

@@ -30,7 +30,7 @@ def doc_chain(spark, folder):
     """Each document points to the next one of its source; a change of language is untyped."""
     notes = A.notes(spark, folder).select("doc_id", "source", "title", F.col("tags")[0].alias("lang"))
     linked = skew.running(
-        notes.withColumn("v", F.struct("title", "lang")), ["source"], F.floor(F.col("doc_id") / 65536),
+        notes.withColumn("v", F.struct("title", "lang")), ["source"], skew.order_bucket(notes, ["doc_id"]),
         [F.asc("doc_id")], lead={"__next": "v"},
     ).select("title", "lang", F.col("__next")["title"].alias("target"), F.col("__next")["lang"].alias("next_lang"))
     return linked.where("target is not null and target <> title").select(
@@ -197,10 +197,8 @@ def context_bundle(spark, folder):
     FROM r WHERE used <= 6000 OR (rank = 1 AND cost > 6000)""")
 def fit_to_budget(spark, folder):
     """Every source as one context in document order; a source may hold a third of the rows."""
-    docs = skew.running(
-        A.table(spark, folder, "documents").select("source", "doc_id", "text"), ["source"],
-        F.floor(F.col("doc_id") / 65536), [F.asc("doc_id")], number="rank",
-    )
+    docs = A.table(spark, folder, "documents").select("source", "doc_id", "text")
+    docs = skew.running(docs, ["source"], skew.order_bucket(docs, ["doc_id"]), [F.asc("doc_id")], number="rank")
     return S.fit_to_budget(docs, 6000, "source", "rank", "text").select(
         "source", "doc_id", "cost", F.length("text").cast("bigint").alias("kept")
     )

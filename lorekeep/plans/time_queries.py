@@ -197,12 +197,19 @@ def promoted_notes(spark, folder):
 
 # ---- ledgers ---------------------------------------------------------------------------------
 
-_LEGAL = "CASE p WHEN 'queued' THEN state IN ('running', 'cancelled') WHEN 'running' THEN state IN ('paused', 'completed', 'failed', 'cancelled') WHEN 'paused' THEN state IN ('running', 'cancelled') WHEN 'failed' THEN state IN ('running', 'cancelled') WHEN 'completed' THEN false ELSE p IS NULL AND state = 'queued' END"
+_LEGAL = "CASE {0} WHEN 'queued' THEN {1} IN ('running', 'cancelled') WHEN 'running' THEN {1} IN ('paused', 'completed', 'failed', 'cancelled') WHEN 'paused' THEN {1} IN ('running', 'cancelled') WHEN 'failed' THEN {1} IN ('running', 'cancelled') WHEN 'completed' THEN false ELSE {0} IS NULL AND {1} = 'queued' END"
 
+MOVES = f"""WITH RECURSIVE {O.JOBS}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS i FROM jobs),
+    w AS (SELECT job_id, i, seq, state, NULL::VARCHAR AS previous, state = 'queued' AS legal, CASE WHEN state = 'queued' THEN state END AS now FROM n WHERE i = 1
+      UNION ALL SELECT n.job_id, n.i, n.seq, n.state, w.now, {_LEGAL.format("w.now", "n.state")}, CASE WHEN {_LEGAL.format("w.now", "n.state")} THEN n.state ELSE w.now END
+      FROM w JOIN n ON n.job_id = w.job_id AND n.i = w.i + 1)
+    SELECT job_id, seq, state, previous, legal FROM w"""
 
-@query("T9", sql=f"WITH {O.JOBS}, l AS (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, seq) AS p FROM jobs) SELECT job_id, seq, state, p AS previous, {_LEGAL} AS legal FROM l")
+
+@query("T9", sql=MOVES)
 def job_transitions(spark, folder):
-    return LE.transitions(A.job_events(spark, folder)).select("job_id", "seq", "state", "previous", "legal")
+    """Every event against the state the last legal one left, in ranges of 2,000 events."""
+    return LE.transitions(A.job_events(spark, folder), 2000).select("job_id", "seq", "state", "previous", "legal")
 
 
 @query("F11", "T9", sql=f"WITH {O.JOBS}, s AS (SELECT job_id, arg_max(state, struct_pack(ts, seq)) AS state FROM jobs GROUP BY job_id) SELECT * FROM s WHERE state = 'failed'")
@@ -595,7 +602,7 @@ def parsed_extractions(spark, folder):
 def parsed_groups(spark, folder):
     """Answers that pair each document with the next of its source and are cut in the middle."""
     notes = A.notes(spark, folder).select("doc_id", "source", "title")
-    linked = skew.running(notes, ["source"], F.floor(F.col("doc_id") / 65536), [F.asc("doc_id")], lead={"nxt": "title"})
+    linked = skew.running(notes, ["source"], skew.order_bucket(notes, ["doc_id"]), [F.asc("doc_id")], lead={"nxt": "title"})
     group = F.to_json(F.struct(F.col("title").alias("canonical"), F.array("title", "nxt").alias("members")))
     cut = F.concat(F.lit("["), group, F.lit(', {"canonical": "x", "members": ["'))
     answers = linked.where("nxt is not null").select(F.col("doc_id").alias("answer_id"), cut.alias("answer"))
