@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import WordRows, append_columns
 
 UNKNOWN = "und"
+WORDS = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3, 4)
 
 
-def letters() -> re.Pattern:
-    """Stretches of letters (``str.isalpha``): word characters without digits, fractions, numerals and the like."""
-    others = (chr(c) for c in range(128, 0x110000) if chr(c).isalnum() and not chr(c).isalpha())
-    return re.compile(r"[^\W\d_" + "".join(others) + "]+")
+def letters(word: str) -> list[str]:
+    """The stretches of letters (``str.isalpha``) in a word; fractions, numerals and the like are none."""
+    return [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
 
 
 def grams_of(word: str) -> list[str]:
@@ -111,10 +111,9 @@ def train(
 
     def count(batches):
         total: dict[str, Counter] = {}
-        find = letters().findall
         for batch in batches:
             for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.setdefault(name, Counter()).update(find(value.lower()))
+                total.setdefault(name, Counter()).update(WORDS.findall(value.lower()))
             if sum(map(len, total.values())) > 300_000:
                 yield from emit(total)
                 total = {}
@@ -124,8 +123,9 @@ def train(
         for name, words in total.items():
             grams: Counter = Counter()
             for word, n in words.items():
-                for g in grams_of(word):
-                    grams[g] += n
+                for part in letters(word):
+                    for g in grams_of(part):
+                        grams[g] += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())],
                 ["lang", "gram", "n"],
@@ -165,29 +165,33 @@ def predict(docs: DataFrame, model: Filters, *, text: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.hashes))
 
     def make():
-        filters, find = Filters(*shared.value), letters().findall
+        filters = Filters(*shared.value)
         width = len(filters.languages)
         miss = filters.false_positives()
 
         def rows(words: list[str]) -> np.ndarray:
-            lists = [grams_of(w) for w in words]
+            lists = [[g for part in letters(w) for g in grams_of(part)] for w in words]
             sizes = np.array([len(x) for x in lists])
             flat = filters.counts(filters.masks([g for x in lists for g in x]))
-            out = np.empty((len(words), width + 1), np.int32)
-            out[:, :width] = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
+            out = np.zeros((len(words), width + 1), np.int32)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                out[some, :width] = np.add.reduceat(flat, (np.cumsum(sizes) - sizes)[some], axis=0)
             out[:, width] = sizes
             return out
 
         words = WordRows(rows)
 
         def judge(value):
-            found = find(value.lower()) if value else []
+            found = WORDS.findall(value.lower()) if value else []
             if not found or not width:
                 return UNKNOWN, 0.0
             words.settle()
             ids = words.ids(found)
             total = words.table()[ids].sum(axis=0, dtype=np.int64)
             n, hits = total[width], total[:width]
+            if not n:
+                return UNKNOWN, 0.0
             net = np.maximum((hits - n * miss) / (1 - miss + 1e-12), 0)
             if net.sum() <= 0:
                 return filters.languages[0], 0.0

@@ -34,7 +34,7 @@ def test_numerals_are_no_letters(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     odd = spark.createDataFrame([(0, "² ½ Ⅷ ৴ 12", None), (1, "lorp² ½", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score > 0) for r in langid.predict(odd, model).orderBy("doc_id").collect()] == [("und", False), ("aa", True)]
-    assert langid.letters().findall("aéß字ª²½Ⅷ٣b_c1d") == ["aéß字ª", "b", "c", "d"]
+    assert langid.letters("aéß字ª²½Ⅷb") == ["aéß字ª", "b"] and langid.letters("²") == []
 
 
 def test_an_id_with_two_vectors_counts_each(spark):
