@@ -47,6 +47,24 @@ def _struct(term, numbers: dict[str, np.ndarray], kind: pa.DataType) -> pa.Struc
     return pa.StructArray.from_arrays([_one(term, kind), *[_one(numbers[c], pa.int32()) for c in _INTS]], ["term", *_INTS])
 
 
+_NAMES = ["notes", "hay_len", *[x for f in I.FIELDS for x in (f, f"{f}_dl")]]
+
+
+def _packed(notes: pa.Array, hay_len: np.ndarray, fields: dict) -> pa.RecordBatch:
+    """One block of ``notes``. A field has its dictionary, per posting the code of the term, place and frequency, and the
+    length of every note."""
+    columns = [_one(notes, None), _one(hay_len, pa.int32())]
+    for f in I.FIELDS:
+        words, code, place, tf, dl = fields[f]
+        order = np.lexsort((place, code))
+        code, place, tf = code[order], place[order], tf[order]
+        df = np.bincount(code, minlength=len(words))
+        first = np.cumsum(df) - df
+        bound = {"most_tf": np.maximum.reduceat(tf, first), "least_dl": np.minimum.reduceat(dl[place], first)} if len(tf) else {"most_tf": tf, "least_dl": tf}
+        columns += [_struct(words, {**bound, "df": df, "place": place, "tf": tf}, words.type), _one(dl, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+
 def build_blocks(notes: DataFrame, size: int = 512) -> DataFrame:
     """The index of ``notes``: one row per block of up to ``size`` of them."""
     terms = I.note_terms(notes)
@@ -56,29 +74,65 @@ def build_blocks(notes: DataFrame, size: int = 512) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), size):
                 batch = whole.slice(at, size)
-                n = len(batch)
-                columns = [_one(batch.column(0), None)]
-                lengths = {}
+                n, fields = len(batch), {}
                 for f in I.FIELDS:
                     lists = batch.column(batch.schema.get_field_index(f))
-                    lengths[f] = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-                columns.append(_one(lengths["haystack"], pa.int32()))
-                for f in I.FIELDS:
-                    coded = pc.dictionary_encode(batch.column(batch.schema.get_field_index(f)).flatten())
-                    spot = np.repeat(np.arange(n), lengths[f])
-                    met, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + spot, return_counts=True)
-                    code, place = met // n, met % n
-                    df = np.bincount(code, minlength=len(coded.dictionary))
-                    first = np.cumsum(df) - df
-                    dl = lengths[f]
-                    bound = {"most_tf": np.maximum.reduceat(tf, first), "least_dl": np.minimum.reduceat(dl[place], first)} if len(tf) else {"most_tf": tf, "least_dl": tf}
-                    columns += [_struct(coded.dictionary, {**bound, "df": df, "place": place, "tf": tf}, pa.string()), _one(dl, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    names = ["notes", "hay_len", *[x for f in I.FIELDS for x in (f, f"{f}_dl")]]
+                    dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+                    coded = pc.dictionary_encode(lists.flatten())
+                    met, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), dl), return_counts=True)
+                    fields[f] = coded.dictionary, met // n, met % n, tf, dl
+                yield _packed(batch.column(0), fields["haystack"][4], fields)
+
     return terms.mapInArrow(pack, _schema(kind, "string"))
 
 
+def merge_blocks(blocks: DataFrame, size: int = 512) -> DataFrame:
+    """The same index in blocks of up to ``size`` notes, without the notes at the places ``gone`` of each block."""
+    kind = dict(blocks.dtypes)["notes"][6:-1]
+
+    def merged(held):
+        kept = [np.setdiff1d(np.arange(len(b["notes"])), b["gone"].to_numpy()) for b in held]
+        notes = pa.concat_arrays([b["notes"].take(pa.array(k)) for b, k in zip(held, kept, strict=True)])
+        fields = {}
+        for f in I.FIELDS:
+            words, codes, places, tfs, lengths, at, known = [], [], [], [], [], 0, 0
+            for b, k in zip(held, kept, strict=True):
+                part = b[f]
+                to = np.full(len(b["notes"]), -1, np.int64)
+                to[k] = np.arange(len(k)) + at
+                code = np.repeat(np.arange(len(part["term"])), part["df"].to_numpy())
+                place = to[part["place"].to_numpy()]
+                good = place >= 0
+                words.append(part["term"])
+                codes.append(code[good] + known)
+                places.append(place[good])
+                tfs.append(part["tf"].to_numpy()[good])
+                lengths.append(b[f"{f}_dl"].to_numpy()[k])
+                at, known = at + len(k), known + len(part["term"])
+            # one dictionary of the terms that are left
+            coded = pc.dictionary_encode(pa.concat_arrays(words))
+            code = coded.indices.to_numpy().astype(np.int64)[np.concatenate(codes)] if known else np.zeros(0, np.int64)
+            left, code = np.unique(code, return_inverse=True)
+            fields[f] = coded.dictionary.take(pa.array(left)), code, np.concatenate(places), np.concatenate(tfs).astype(np.int64), np.concatenate(lengths).astype(np.int64)
+        return _packed(notes, fields["haystack"][4], fields)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for block in _rows(batch):
+                live = len(block["notes"]) - len(block["gone"])
+                if held and n + live > size:
+                    yield merged(held)
+                    held, n = [], 0
+                if live:
+                    held.append(block)
+                    n += live
+        if held:
+            yield merged(held)
+
+    return blocks.mapInArrow(run, _schema(kind, "string"))
+
+
 def postings_of(blocks: DataFrame) -> DataFrame:
     """field, term, note_id, tf, dl, hay_len: the postings of the blocks one by one."""
     every = None

@@ -65,14 +65,18 @@ def doc_stats(notes: DataFrame) -> DataFrame:
     return terms.select("note_id", F.explode(fields).alias("f")).select("f.field", "note_id", "f.dl")
 
 
-def corpus_row(notes: DataFrame) -> DataFrame:
-    """One row: note count, mean length per field, monolingual flag. Empty notes count."""
-    terms = {
+def lengths() -> dict[str, Column]:
+    """The number of terms of a note in every field; counting needs no stemming."""
+    return {
         "haystack": T.count_tokens(T.haystack_text()),
         "tri_title": F.size(T.trigrams(F.concat_ws(" ", "title", F.array_join("aliases", " ")))),
         "tri_summary": F.size(T.trigrams("summary")),
     }
-    means = [F.avg(value.cast("double")).alias(name) for name, value in terms.items()]
+
+
+def corpus_row(notes: DataFrame) -> DataFrame:
+    """One row: note count, mean length per field, monolingual flag. Empty notes count."""
+    means = [F.avg(value.cast("double")).alias(name) for name, value in lengths().items()]
     share = T.non_ascii_share("title", "summary", "retrieval_text")
     return notes.agg(
         F.count(F.lit(1)).alias("n"), *means, (share < T.MONOLINGUAL_BELOW).alias("monolingual")

@@ -1,4 +1,4 @@
-"""Structured Streaming: folder watch, session capture, claim and job state, counters, index."""
+"""Structured Streaming: folder watch, session capture, claim and job state, counters."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
-from lorekeep.operators import curation, index, ledger
+from lorekeep.operators import curation, ledger
 from lorekeep.sources import readers
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -189,7 +189,7 @@ def job_stream(events: DataFrame) -> DataFrame:
     )
 
 
-# ---- counters and index ----------------------------------------------------------------------
+# ---- counters --------------------------------------------------------------------------------
 
 
 def ingest_counters(decisions: DataFrame, watermark: str | None = "1 day") -> DataFrame:
@@ -201,30 +201,45 @@ def ingest_counters(decisions: DataFrame, watermark: str | None = "1 day") -> Da
     )
 
 
-def index_stream(notes: DataFrame, folder: str, checkpoint: str, once: bool = True):
-    """Add the postings of each batch of notes; statistics are derived once per batch.
+def count_stream(decisions: DataFrame, folder: str, checkpoint: str, delay: str = "1 day", once: bool = True):
+    """Counters per day with the rows that came too late, kept in ``folder``.
 
-    Postings are kept per batch and a replayed batch replaces its own part. ``live_postings`` reads
-    the newest part per note.
+    A row is late if its day ended before the newest time of all earlier batches less ``delay``; it is counted
+    as late and in nothing else. A batch reads one time from the batches before it and writes one row per
+    day, under its own number, so it can be replayed.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        rows = index.build_postings(batch)
-        rows.write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
-        index.doc_stats(batch).write.mode("overwrite").parquet(f"{folder}/doc_stats/batch={batch_id}")
-
-    writer = notes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        try:
+            newest = spark.read.parquet(f"{folder}/clock").where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            newest = None  # the first batch
+        day = F.date_trunc("day", "ts")
+        mark = F.lit(newest).cast("timestamp") - F.expr(f"interval {delay}")
+        late = F.coalesce(day + F.expr("interval 1 day") <= mark, F.lit(False))
+        count = lambda name: F.count(F.when(~late & (F.col("decision") == name), 1)).alias(name)
+        rows = batch.groupBy(day.alias("day")).agg(count("captured"), count("skipped"), count("failed"), F.count(F.when(late, 1)).alias("late"))
+        rows.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+        batch.agg(F.max("ts").alias("newest")).write.mode("overwrite").parquet(f"{folder}/clock/batch={number}")
+
+    writer = decisions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
-def live_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and (field, n, avgdl), each note as of its newest batch."""
-    lengths = spark.read.parquet(f"{folder}/doc_stats")
-    newest = lengths.groupBy("note_id").agg(F.max("batch").alias("batch"))
-    rows = spark.read.parquet(f"{folder}/postings").join(newest, ["note_id", "batch"], "left_semi")
-    live = lengths.join(newest, ["note_id", "batch"], "left_semi")
-    stats = live.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return rows.drop("batch"), stats
+def counted(spark: SparkSession, folder: str) -> DataFrame:
+    """day, captured, skipped, failed, late over all batches of ``count_stream``."""
+    names = ("captured", "skipped", "failed", "late")
+    return spark.read.parquet(f"{folder}/counts").groupBy("day").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def kept_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = "append"):
+    """Write what a stream yields to ``folder``, each batch under its number."""
 
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
+    return rows.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as SC
 from lorekeep.operators import index as I
+from lorekeep.operators.blocks import postings_of
+from lorekeep.streaming import segments as SG
 from lorekeep.streaming import streams as ST
 
 
@@ -88,17 +90,51 @@ def test_incremental_index_equals_a_rebuild(spark, rows, tmp_path):
     first = rows([note("a", "Alpha beta"), note("b", "Gamma")], SC.NOTES)
     second = rows([note("a", "Alpha delta"), note("c", "Epsilon")], SC.NOTES)
     for part in (first, second):
-        ST.index_stream(_stream(spark, part, tmp_path / "in"), str(tmp_path / "idx"), str(tmp_path / "cp")).awaitTermination()
-    live, stats = ST.live_postings(spark, str(tmp_path / "idx"))
+        SG.index_stream(_stream(spark, part, tmp_path / "in"), str(tmp_path / "idx"), str(tmp_path / "cp")).awaitTermination()
+    live_blocks, corpus = SG.read_segments(spark, str(tmp_path / "idx"))
+    live = postings_of(live_blocks)
     final = first.where("note_id = 'b'").unionByName(second)
     cols = ["field", "term", "note_id", "tf", "dl", "hay_len"]
     assert sorted(map(tuple, live.select(*cols).collect())) == sorted(map(tuple, I.build_postings(final).select(*cols).collect()))
-    want = {(r.field, r.n, r.avgdl) for r in I.corpus_stats(final).collect()}
-    assert {(r.field, r.n, r.avgdl) for r in stats.collect()} == want
+    assert corpus.first() == I.corpus_row(final).select(*corpus.columns).first()
     appended = I.append_notes(I.build_postings(first), second)
     assert sorted(map(tuple, appended.select(*cols).collect())) == sorted(map(tuple, live.select(*cols).collect()))
 
 
+def test_segments_are_merged_replaced_and_replayed(spark, rows, tmp_path):
+    import random
+
+    from tests.test_temporal import note
+
+    rng = random.Random(4)
+    words = "alpha beta gamma delta épsilon zeta".split()
+    folder, live = str(tmp_path / "idx"), {}
+    for number in range(7):
+        made = {f"n{rng.randrange(25)}": " ".join(rng.choice(words) for _ in range(4)) for _ in range(rng.choice([1, 4, 12]))}
+        batch = rows([note(n, t, summary=f"{t} {number}") for n, t in made.items()], SC.NOTES)
+        if number == 3:  # a batch that failed half-way is told again
+            SG.add_batch(rows([note("n1", "lost half-way")], SC.NOTES), folder, number, 2)
+        SG.add_batch(batch, folder, number, 2)
+        live.update({n: (t, number) for n, t in made.items()})
+    final = rows([note(n, t, summary=f"{t} {k}") for n, (t, k) in live.items()], SC.NOTES)
+    blocks, corpus = SG.read_segments(spark, folder)
+    cols = ["field", "term", "note_id", "tf", "dl", "hay_len"]
+    assert sorted(map(tuple, postings_of(blocks).select(*cols).collect())) == sorted(map(tuple, I.build_postings(final).select(*cols).collect()))
+    want = I.corpus_row(final).select(*corpus.columns).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(corpus.first(), want, strict=True))
+    assert len(SG._manifest(spark, folder)) < 7
+
+
+def test_late_rows_are_counted_across_restarts(spark, rows, tmp_path):
+    day = lambda d, h=1: dt.datetime(2026, 1, d, h)
+    parts = [[(day(1), "captured"), (day(2), "failed")], [(day(5), "skipped"), (day(1), "captured")], [(day(1), "captured"), (day(4), "captured"), (day(5), "other")]]
+    for part in parts:
+        source = _stream(spark, rows(part, "ts timestamp, decision string"), tmp_path / "in")
+        ST.count_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.day.day: (r.captured, r.skipped, r.failed, r.late) for r in ST.counted(spark, str(tmp_path / "out")).collect()}
+    assert got == {1: (1, 0, 0, 2), 2: (0, 0, 1, 0), 4: (1, 0, 0, 0), 5: (0, 1, 0, 0)} or got == {1: (2, 0, 0, 1), 2: (0, 0, 1, 0), 4: (1, 0, 0, 0), 5: (0, 1, 0, 0)}
+
+
 def test_registered_queries_have_known_operators(spark, small):
     import re
 
