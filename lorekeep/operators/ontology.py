@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.operators import skew
 from lorekeep.operators.search import topk
-from lorekeep.session import checkpoint
+from lorekeep.session import checkpoint, written
 
 MIN_SUPPORT = 3
 PROMOTION_SUPPORT = 8
@@ -113,24 +113,23 @@ def symmetric_witnesses(edges: DataFrame) -> DataFrame:
 def transitive_witnesses(edges: DataFrame) -> DataFrame:
     """relation, source, middle, target with all three edges present.
 
-    Pairing all edges in and out of a hub would be quadratic. Each closing edge a -> c instead
-    walks the shorter of "out of a" and "into c" and looks the third edge up.
+    Only nodes that a relation both enters and leaves can stand in the middle; most relations have none, and
+    their edges go no further. Pairing all edges in and out of a hub would be quadratic. Each closing edge
+    a -> c instead walks the shorter of "out of a" and "into c" and looks the third edge up.
     """
-    keys = ["relation", "source"]
-    out_deg = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("od"))
-    in_deg = edges.groupBy("relation", "target").agg(F.count(F.lit(1)).alias("id"))
-    closing = (
-        edges.where("source <> target").join(out_deg, keys).join(in_deg, ["relation", "target"])
-        .withColumn("by_out", F.col("od") <= F.col("id")).drop("od", "id")
-    )
-    first = edges.select("relation", "source", F.col("target").alias("middle"))
-    second = edges.select("relation", F.col("source").alias("middle"), "target")
     cols = ["relation", "source", "middle", "target"]
-    by_out = closing.where("by_out").join(first, keys).join(second, ["relation", "middle", "target"], "left_semi")
-    by_in = (
-        closing.where("not by_out").join(second, ["relation", "target"])
-        .join(first, ["relation", "source", "middle"], "left_semi")
-    )
+    left = edges.select("relation", F.col("source").alias("middle")).distinct()
+    middles = written(left.join(edges.select("relation", F.col("target").alias("middle")).distinct(), ["relation", "middle"]))
+    first = edges.select("relation", "source", F.col("target").alias("middle")).join(middles, ["relation", "middle"], "left_semi")
+    second = edges.select("relation", F.col("source").alias("middle"), "target").join(middles, ["relation", "middle"], "left_semi")
+    first, second = written(first.select("relation", "source", "middle")), written(second.select("relation", "middle", "target"))
+    out_deg = written(first.groupBy("relation", "source").agg(F.count(F.lit(1)).alias("od")))
+    in_deg = written(second.groupBy("relation", "target").agg(F.count(F.lit(1)).alias("id")))
+    closing = edges.where("source <> target").select("relation", "source", "target")
+    closing = closing.join(out_deg, ["relation", "source"]).join(in_deg, ["relation", "target"])
+    closing = closing.withColumn("by_out", F.col("od") <= F.col("id")).drop("od", "id")
+    by_out = closing.where("by_out").join(first, ["relation", "source"]).join(second, ["relation", "middle", "target"], "left_semi")
+    by_in = closing.where("not by_out").join(second, ["relation", "target"]).join(first, ["relation", "source", "middle"], "left_semi")
     return by_out.select(*cols).unionByName(by_in.select(*cols))
 
 

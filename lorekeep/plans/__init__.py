@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "search_queries", "graph_queries", "time_queries", "store_queries", "stream_queries")
+MODULES = ("text_queries", "search_queries", "graph_queries", "time_queries", "store_queries", "stream_queries", "round_trips")
 
 
 def load():

@@ -12,7 +12,7 @@ from lorekeep.plans import adapters as A
 from lorekeep.plans import oracle as O
 from lorekeep.plans.registry import query
 from lorekeep.plans.text_queries import relation_sql
-from lorekeep.session import checkpoint
+from lorekeep.session import checkpoint, written
 from lorekeep.sources import writers
 
 
@@ -25,9 +25,9 @@ def _registry(spark, folder):
     return G.name_registry(A.concepts(spark, folder), seq="seq")
 
 
-def types(spark, folder):
+def types(spark, folder, relations=None):
     """Every surface of the relations as an active type, in name order; one more is a candidate."""
-    surfaces = A.relations(spark, folder).select("relation").distinct()
+    surfaces = (A.relations(spark, folder) if relations is None else relations).select("relation").distinct()
     # a handful of distinct surfaces, so the numbering window is tiny
     return surfaces.select(
         F.expr("row_number() over (order by relation)").alias("seq"),
@@ -198,15 +198,23 @@ def induced_candidates(spark, folder):
     return found.withColumn("examples", F.array_join("examples", " / "))
 
 
+def _stored(spark, folder):
+    """The typed edges and the schema as stored tables, as they are in practice; both are read several times."""
+    told = written(A.relations(spark, folder))
+    schema = written(types(spark, folder, told))
+    edges = G.build_ontology_edges(told.withColumnRenamed("source", "title"), _registry(spark, folder), ON.active_surfaces(schema))
+    return written(edges), schema
+
+
 def _explicit(spark, folder):
-    # the map is a stored table in practice; the witnesses read it several times
-    return checkpoint(ON.schema_edges(typed_edges(spark, folder), types(spark, folder)))
+    edges, schema = _stored(spark, folder)
+    return ON.schema_edges(edges, schema), schema
 
 
 @query("J12", sql=f"""WITH {_EDGES} SELECT a.source, a.target, a.relation AS left_name, b.relation AS right_name FROM edges a JOIN edges b
     ON a.target = b.source AND a.source = b.target WHERE a.relation < b.relation""")
 def inverse_witnesses(spark, folder):
-    rows = ON.inverse_witnesses(_explicit(spark, folder), types(spark, folder))
+    rows = ON.inverse_witnesses(*_explicit(spark, folder))
     return rows.select("source", "target", "left_name", "right_name")
 
 
@@ -216,13 +224,13 @@ _TRI = """tri AS (SELECT a.relation, a.source, a.target AS middle, b.target FROM
 
 @query("J13", sql=f"WITH {_EDGES}, {_TRI} SELECT * FROM tri")
 def transitive_witnesses(spark, folder):
-    return ON.transitive_witnesses(_explicit(spark, folder))
+    return ON.transitive_witnesses(_explicit(spark, folder)[0])
 
 
 @query("J14", sql=f"""WITH {_EDGES} SELECT a.relation, a.source, a.target FROM edges a JOIN edges b
     ON a.relation = b.relation AND a.target = b.source AND a.source = b.target WHERE a.source <= a.target""")
 def symmetric_witnesses(spark, folder):
-    return ON.symmetric_witnesses(_explicit(spark, folder))
+    return ON.symmetric_witnesses(_explicit(spark, folder)[0])
 
 
 @query("A5", sql=f"""WITH {_EDGES}, {_TRI}, tid AS (SELECT DISTINCT relation, 'rel:' || {O.dash('relation', 'a-z0-9-')} AS t FROM edges),
@@ -237,8 +245,9 @@ def symmetric_witnesses(spark, folder):
            least(0.95, 0.5 + 0.05 * support)::DOUBLE AS confidence FROM g JOIN d USING (property, type_id, value) WHERE support >= 8 AND distinct_notes >= 3""")
 def property_candidates(spark, folder):
     """All properties are unknown at first."""
-    bare = types(spark, folder).withColumns({"transitive": F.lit(False), "symmetric": F.lit(False), "inverse_of": F.lit("")})
-    return ON.property_candidates(_explicit(spark, folder), bare).drop("examples")
+    edges, schema = _explicit(spark, folder)
+    bare = schema.withColumns({"transitive": F.lit(False), "symmetric": F.lit(False), "inverse_of": F.lit("")})
+    return ON.property_candidates(edges, bare).drop("examples")
 
 
 _CLOSED = f"""{_EDGES}, d AS (
@@ -253,7 +262,7 @@ _CLOSED = f"""{_EDGES}, d AS (
 
 @query("J15", sql=f"WITH {_CLOSED}")
 def inferred_edges(spark, folder):
-    inferred = ON.closure(typed_edges(spark, folder), types(spark, folder))
+    inferred = ON.closure(*_stored(spark, folder))
     return inferred.withColumn("via", F.array_join("via", " "))
 
 

@@ -464,6 +464,13 @@ def scan_totals(plan: DataFrame) -> DataFrame:
     )
 
 
+def secret_flags(plan: DataFrame, texts: DataFrame) -> DataFrame:
+    """path, kind, line of every likely secret in the included files; ``texts`` is (path, text)."""
+    taken = plan.where("reason = ''").select("path")
+    found = T.find_secrets(texts.join(taken, "path", "left_semi").withColumnRenamed("path", "doc_id"))
+    return found.withColumnRenamed("doc_id", "path")
+
+
 def watchable(path: Column) -> Column:
     """A supported file outside hidden folders and outside ``notes/``; path relative to the root."""
     return suffix_in(path, SC.TEXT_SUFFIXES) & ~path.rlike(r"(^|/)\.") & ~path.rlike(r"^notes(/|$)")
