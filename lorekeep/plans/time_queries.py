@@ -402,7 +402,7 @@ def pruned_relations(spark, folder):
 
 
 @query("F6", sql=f"""WITH {O.NOTES} SELECT note_id, sha256(retrieval_text || ' ~symptoms: ' || {O.strip('summary')}) AS text_hash FROM notes
-    WHERE {O.strip('summary')} <> '' AND NOT regexp_matches(summary, '[{{}}\\[\\]<>]')""")
+    WHERE {O.strip('summary')} <> '' AND length({O.strip('summary')}) <= 400 AND NOT regexp_matches(summary, '[{{}}\\[\\]<>]')""")
 def enriched_notes(spark, folder):
     notes = A.notes(spark, folder)
     said = notes.select(F.col("note_id").alias("id"), F.col("summary").alias("symptoms"))
