@@ -9,8 +9,12 @@ broadcasts when it is small. Titles and texts are joined after the cut.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lorekeep.functions import text as T
 from lorekeep.operators import index as I
@@ -577,53 +581,58 @@ def dice_titles(queries: DataFrame, notes: DataFrame) -> DataFrame:
 QUERY_BLOCK = 2048
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK, tile: int = 512) -> DataFrame:
     """query_id, vec_id, rank, score: exact cosine of every vector with every query.
 
-    The queries travel as blocks of at most QUERY_BLOCK vectors. One pass over the vectors scores
-    a block with matrix products and keeps the best k per query and task, so nothing but those
-    leaves a task. ``queries`` is (query_id, vector), ``vectors`` is (vec_id, embedding).
+    ``queries`` is (query_id, vector), ``vectors`` is (vec_id, embedding); nulls are left out, a zero vector
+    scores 0. Queries lie in rows of about ``block`` vectors and the vectors in rows of up to ``tile``; every
+    tile meets every block of queries in a join, as a matrix product. A task keeps the best k per query, which
+    merge in any order, so nothing but those leaves it. Blocks of queries are broadcast if Spark finds them small.
     """
-    import numpy as np
-    import pandas as pd
-
-    total = queries.count()
-    kind = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {kind}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
-
-    def scorer(ids, matrix):
-        def score(batches):
-            best: list = [None] * len(ids)
-            for batch in batches:
-                data = np.stack(batch["embedding"].to_numpy()).astype("float64")
-                norm = np.linalg.norm(data, axis=1, keepdims=True)
-                sims = (data / np.where(norm == 0, 1, norm)) @ matrix.T
-                keys = batch["vec_id"].to_numpy()
-                for q in range(len(ids)):
-                    both_s, both_k = sims[:, q], keys
-                    if best[q] is not None:
-                        both_s = np.concatenate([best[q][0], both_s])
-                        both_k = np.concatenate([best[q][1], both_k])
-                    order = np.lexsort((both_k, -both_s))[:k]
-                    best[q] = (both_s[order], both_k[order])
-            rows = [(ids[q], v, s) for q, b in enumerate(best) if b is not None for s, v in zip(*b, strict=True)]
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-        return score
-
-    blocks = []
-    for block in range(0, total, QUERY_BLOCK):
-        # bounded by the block size, whatever the number of queries
-        part = queries.orderBy("query_id").offset(block).limit(QUERY_BLOCK).toPandas()
-        matrix = np.stack(part["vector"].to_numpy()).astype("float64")
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("x"))
+    parts = max(1, -(-asked.count() // block))
+    asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"))
+    asked = written(asked.agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("x")).alias("q")))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["vec_id"]
+    held = vectors.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, len(batch), tile):
+                part = batch.slice(at, tile)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (part.column(0), part.column(1).flatten())]
+                yield pa.RecordBatch.from_arrays(lists, ["keys", "x"])
+
+    tiles = held.mapInArrow(pack, f"keys array<{kinds[1]}>, x array<double>")
+    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, "part")
+
+    def unit(values, n):
+        matrix = values.to_numpy(zero_copy_only=False).reshape(n, -1)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = matrix / np.where(norm == 0, 1, norm)
-        ids = part["query_id"].tolist()
-        blocks.append(vectors.select("vec_id", "embedding").mapInPandas(scorer(ids, unit), schema))
-    if not blocks:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    hits = blocks[0]
-    for more in blocks[1:]:
-        hits = hits.unionByName(more)
+        return matrix / np.where(norm == 0, 1, norm)
+
+    def score(batches):
+        best: dict[int, tuple] = {}
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                keys, x, ids, q = (batch.column(c)[i].values for c in (1, 2, 3, 4))
+                if part not in blocks:
+                    blocks[part] = unit(q, len(ids))
+                found = blocks[part] @ unit(x, len(keys)).T
+                order = np.broadcast_to(np.array(keys.to_pylist()), found.shape)
+                if part in best:
+                    found, order = np.hstack((best[part][1], found)), np.hstack((best[part][2], order))
+                first = np.lexsort((order, -np.rint(found * 1e9)))[:, :k]
+                best[part] = ids, np.take_along_axis(found, first, 1), np.take_along_axis(order, first, 1)
+        for ids, found, order in best.values():
+            n = found.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(order.ravel(), types[1]), pa.array(found.ravel())], made.names
+            )
+
+    made = StructType.fromDDL(f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    types = [f.type for f in to_arrow_schema(made)]
+    hits = tiles.select("part", "keys", "x", "ids", "q").mapInArrow(score, made)
     ranked = topk(hits, ["query_id"], [best("score"), F.asc("vec_id")], k)
     return ranked.select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))

@@ -238,3 +238,22 @@ def test_dense_search_is_exact_over_blocks(rows, monkeypatch):
     queries = rows([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, vector array<double>")
     got = {(r.query_id, r["rank"]): r.vec_id for r in S.dense_search(queries, vectors, 2).collect()}
     assert got == {(0, 1): 0, (0, 2): 1, (1, 1): 4, (1, 2): 3}
+
+
+def test_dense_search_by_blocks_and_tiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(-3, 4, (150, 6)).astype(float)
+    data[5] = 0
+    df = spark.createDataFrame([*[(k, v.tolist()) for k, v in enumerate(data)], (900, None)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{k}", data[k * 3].tolist()) for k in range(40)] + [("none", None)], "query_id string, vector array<double>")
+    got = S.dense_search(asked, df, 4, block=7, tile=16).collect()
+    norm = np.linalg.norm(data, axis=1)
+    unit = data / np.where(norm == 0, 1, norm)[:, None]
+    want = []
+    for k in range(40):
+        s = unit @ unit[k * 3]
+        want += [(f"q{k}", int(v), rank) for rank, v in enumerate(np.lexsort((np.arange(150), -np.rint(s * 1e9)))[:4], 1)]
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == sorted(want)
+    assert S.dense_search(asked.limit(0), df, 4).count() == 0 and S.dense_search(asked, df.limit(0), 4).count() == 0
