@@ -202,6 +202,28 @@ def check_citations(answers: DataFrame, legend: DataFrame) -> DataFrame:
     )
 
 
+def named_in(texts: DataFrame, names: DataFrame, size: int = 8) -> DataFrame:
+    """query_id and the columns of ``names`` for every name that occurs in a text (query_id, low).
+
+    A name is keyed by its first ``size`` characters, a text by all its stretches of the lengths such keys
+    have, ``size`` at most. Keys are joined, and only then is the whole name looked for; empty names occur nowhere.
+    """
+    keyed = names.where("name <> ''").withColumn("__key", F.substring("name", 1, size))
+    lengths = sorted(r.n for r in keyed.select(F.length("__key").alias("n")).distinct().collect())
+    none = F.expr("cast(array() as array<string>)")
+    stretches = [_stretches(n) for n in lengths]
+    have = texts.select("query_id", F.explode(F.array_distinct(F.concat(*stretches)) if stretches else none).alias("__key"))
+    met = have.join(keyed, "__key").drop("__key")
+    return met.join(texts, "query_id").where(F.contains("low", F.col("name"))).drop("low")
+
+
+def _stretches(size: int) -> Column:
+    """Every stretch of ``size`` characters of the column low."""
+    last = F.length("low") - (size - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda i: F.substring("low", i, F.lit(size)))
+
+
 def route_members(
     answers: DataFrame, domains: DataFrame, members: DataFrame, areas: DataFrame | None = None,
     area_answers: DataFrame | None = None,
@@ -223,13 +245,8 @@ def route_members(
         narrowed = allowed.select("query_id").distinct()
         inside = chosen.join(allowed, ["query_id", "domain_id"], "left_semi")
         chosen = inside.unionByName(chosen.join(narrowed, "query_id", "left_anti").select(*inside.columns))
-    # the map is a short list of named domains; its names are held in the row, not cross-joined
-    names = every.select(F.collect_list(F.struct("domain_id", "domain_seq", "name"))).scalar()
-    low = F.lower("answer")
-    by_name = asked.withColumn("map", names).join(chosen.select("query_id").distinct(), "query_id", "left_anti").select(
-        "query_id",
-        F.explode(F.filter("map", lambda d: (d["name"] != "") & F.contains(low, F.lower(d["name"])))).alias("d"),
-    ).select("query_id", "d.domain_id", "d.domain_seq")
+    open_ = asked.join(chosen.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower("answer").alias("low"))
+    by_name = named_in(open_, every.select("domain_id", "domain_seq", F.lower("name").alias("name"))).drop("name")
     if allowed is not None:
         inside = by_name.join(allowed, ["query_id", "domain_id"], "left_semi")
         by_name = inside.unionByName(by_name.join(narrowed, "query_id", "left_anti").select(*inside.columns))

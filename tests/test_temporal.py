@@ -206,6 +206,13 @@ def test_routing_by_id_then_name(rows):
     assert got == {(2, "y")}
 
 
+def test_names_in_texts(rows):
+    names = ["a", "bc", "alpha beta gamma", "alpha be", "ünï", "", "alpha beta gammb"]
+    texts = ["say alpha beta gamma", "abc", "", "ünïcode", "xalpha bex", "none here: q"]
+    found = PR.named_in(rows(list(enumerate(texts)), "query_id long, low string"), rows(list(enumerate(names)), "domain_id long, name string")).collect()
+    assert sorted((r.query_id, r.domain_id) for r in found) == sorted((q, d) for q, t in enumerate(texts) for d, n in enumerate(names) if n and n in t)
+
+
 def test_enrich_guard(rows):
     notes = rows([note("a", "A"), note("b", "B", retrieval_text="x ~symptoms: y"), note("c", "C")], SC.NOTES)
     said = rows([("a", " odd answers "), ("b", "more"), ("c", "bad {json}")], "id string, symptoms string")
