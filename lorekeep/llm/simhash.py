@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bitslice import close_pairs, spanning
-from lorekeep.llm.common import WordRows, append_columns, checkpoint, parts_of
+from lorekeep.llm.common import WordRows, append_columns, checkpoint, parts_of, written
 from lorekeep.operators.graph import connected_components
 
 BLOCKS = list(combinations(range(4), 2))
@@ -79,7 +79,7 @@ def common_shingles(docs: DataFrame, text: str, shingle: int, chars: int = 20_00
     """
     total = docs.agg(F.sum(F.length(text))).first()[0] or 0
     every = max(1, -(-total // chars))
-    chosen = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text)
+    chosen = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(F.make_valid_utf8(text))
 
     def count(batches):
         runs = _runs(shingle)
@@ -159,13 +159,137 @@ def _may(near: float, n: str, i: str, m: str, j: str) -> Column:
     return F.least(n - i, m - j) >= (n + m) * F.lit(near / (1 + near)) - F.lit(1e-9)
 
 
+def bitmap(values: DataFrame, column: str, *, least: int = 1, bits: int = 27) -> dict[int, bytes]:
+    """The slots, 2^``bits`` of them, that at least ``least`` of the values in the arrays of ``column`` hash to.
+
+    Two values may share a slot; a value that occurs ``least`` times always has its slot set. Tasks send
+    two bytes a value, the driver gets 2^``bits`` bits at most, as 8 KB pieces by number.
+    """
+
+    def deal(batches):
+        for b in batches:
+            slot = slots_of(b.column(0).flatten().to_numpy(zero_copy_only=False), bits)
+            slot.sort()
+            piece, first = np.unique(slot >> 16, return_index=True)
+            ends = np.append(first[1:], len(slot))
+            packed = [(slot[x:y] & 0xFFFF).astype(np.uint16).tobytes() for x, y in zip(first, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(packed, pa.binary())], ["piece", "places"])
+
+    def gather(batches):
+        at, seen = None, np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for piece, places in zip(b.column(0).to_numpy(), b.column(1), strict=True):
+                if piece != at:
+                    if at is not None:
+                        yield at, seen
+                    at, seen = piece, np.zeros(1 << 16, np.int64)
+                seen += np.bincount(np.frombuffer(places.as_py(), np.uint16), minlength=1 << 16)
+        if at is not None:
+            yield at, seen
+
+    def settle(batches):
+        for piece, seen in gather(batches):
+            full = np.packbits(seen >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([full], pa.binary())], ["piece", "full"])
+
+    dealt = values.select(column).mapInArrow(deal, "piece int, places binary").repartition(parts_of(values), "piece").sortWithinPartitions("piece")
+    return {r.piece: bytes(r.full) for r in dealt.mapInArrow(settle, "piece int, full binary").collect()}
+
+
+def slots_of(values: np.ndarray, bits: int) -> np.ndarray:
+    return ((values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Slots:
+    """Look-up in the pieces of ``bitmap``."""
+
+    def __init__(self, pieces: dict[int, bytes], bits: int = 27):
+        self.bits, self.full = bits, np.zeros(1 << (bits - 3), np.uint8)
+        for piece, full in pieces.items():
+            self.full[piece << 13 : (piece + 1) << 13] = np.frombuffer(full, np.uint8)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        slot = slots_of(values, self.bits)
+        return (self.full[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _shared_rows(texts: DataFrame, twice) -> DataFrame:
+    """p, h, n, i: the prefix shingles p, at place i, that another of the distinct ``texts`` (h, n, prefix) has too.
+
+    A shingle of one text only that shares a slot with another comes along; it makes no pair.
+    """
+
+    def spread(batches):
+        full = Slots(twice.value)
+        for b in batches:
+            lists = b.column(2)
+            p = lists.flatten().to_numpy(zero_copy_only=False)
+            begins = lists.offsets.to_numpy()
+            size = np.diff(begins)
+            i = np.arange(len(p)) - np.repeat(begins[:-1] - begins[0], size)
+            keep = full(p) if len(p) else np.zeros(0, bool)
+            h, n = (np.repeat(b.column(c).to_numpy(), size)[keep] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(p[keep]), pa.array(h), pa.array(n), pa.array(i[keep], pa.int32())], ["p", "h", "n", "i"])
+
+    return texts.select("h", "n", "prefix").mapInArrow(spread, "p long, h long, n int, i int")
+
+
+def sketch_of(own: np.ndarray) -> bytes:
+    """How many of the distinct shingles ``own`` fall into each of about half as many parts of the hash range."""
+    bits = max(6, int(len(own) // 2).bit_length())
+    mixed = (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return np.bincount(mixed.astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+
+
+def shared_at_most(x: bytes, y: bytes) -> int:
+    """No two sets with these sketches share more: part by part the smaller count."""
+    a, b = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (x, y))
+    if len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a.reshape(len(b), -1).sum(axis=1)
+    return int(np.minimum(a, b).sum())
+
+
 def _alike(docs: DataFrame, names: DataFrame, pairs: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
-    """The ``pairs`` (h, h2) of text hashes whose texts are ``near`` similar."""
-    wanted = pairs.select("h").unionByName(pairs.select(F.col("h2").alias("h"))).distinct().join(names, "h").select("h", "least")
-    texts = docs.select(F.xxhash64(text).alias("h"), F.col(key).alias("k"), F.col(text).alias("x")).alias("t")
-    one = texts.join(wanted.alias("w"), (F.col("t.h") == F.col("w.h")) & F.col("t.k").eqNullSafe(F.col("w.least")), "left_semi")
-    one = one.select("h", "x").dropDuplicates(["h"])
-    both = pairs.join(one, "h").join(one.withColumnsRenamed({"h": "h2", "x": "y"}), "h2")
+    """The ``pairs`` (h, h2) of text hashes whose texts are ``near`` similar.
+
+    One copy of every text in a pair is stored, with a sketch of its shingles; other texts, but for a few that
+    share a slot with one, never leave their task. Pairs whose sketches rule the similarity out are dropped, only
+    for the others do texts meet.
+    """
+    bits = 24
+    mark = lambda h, k: F.xxhash64(h, F.col(k).cast("string"))
+    ends = pairs.select("h").unionByName(pairs.select(F.col("h2").alias("h"))).distinct()
+    wanted = ends.join(names, "h").select(F.array(mark("h", "least")).alias("m"))
+    some = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "m", bits=bits))
+
+    def pick(batches):
+        full, runs = Slots(some.value, bits), _runs(shingle)
+        for b in batches:
+            b = b.filter(pa.array(full(b.column(0).to_numpy()) if len(b) else [], pa.bool_()))
+            own = [runs(v.as_py()) for v in b.column(2)]
+            added = pa.array(list(map(len, own)), pa.int32()), pa.array(list(map(sketch_of, own)), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *added], ["h", "x", "n", "s"])
+
+    every = docs.select(F.xxhash64(text).alias("h"), F.col(key).alias("k"), F.make_valid_utf8(text).alias("x")).where("x is not null")
+    picked = every.select(mark("h", "k"), "h", "x").mapInArrow(pick, "h long, x string, n int, s binary")
+    one = written(picked.groupBy("h").agg(F.max("x").alias("x"), F.max("n").alias("n"), F.max("s").alias("s")))
+    some.destroy()
+
+    def met(*columns):
+        left = one.select("h", *columns)
+        right = one.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in columns])
+        return lambda of: of.join(left, "h").join(right, "h2")
+
+    def possible(batches):
+        for b in batches:
+            n, m = b.column(2).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)
+            most = np.array([shared_at_most(x.as_py(), y.as_py()) for x, y in zip(b.column(3), b.column(5), strict=True)], np.int64)
+            keep = most >= near * (n + m) / (1 + near) - 1e-9
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["h", "h2"]).filter(pa.array(keep))
+
+    may = met("n", "s")(pairs).select("h", "h2", "n", "s", "n2", "s2").mapInArrow(possible, "h long, h2 long")
+    both = met("x")(written(may))
 
     def decide(batches):
         runs = _runs(shingle)
@@ -177,7 +301,7 @@ def _alike(docs: DataFrame, names: DataFrame, pairs: DataFrame, *, key: str, tex
                 keep.append(shared >= near * (len(x) + len(y) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["h", "h2"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("h", "h2", "x", "y").mapInArrow(decide, "h long, h2 long")
+    return both.select("h", "h2", "x", "x2").mapInArrow(decide, "h long, h2 long")
 
 
 def near_links(docs: DataFrame, marked: DataFrame, edges: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
@@ -185,10 +309,15 @@ def near_links(docs: DataFrame, marked: DataFrame, edges: DataFrame, *, key: str
 
     ``marked`` has the key, fp, h (the text's hash), n (its shingles) and prefix of every row.
     """
-    names = checkpoint(marked.groupBy("h").agg(F.min("fp").alias("fp"), F.min(key).alias("least")))
-    rows = marked.select("h", "n", F.posexplode("prefix").alias("i", "p"))
+    # copies of a text count once
+    texts = marked.groupBy("h").agg(F.min("fp").alias("fp"), F.min(key).alias("least"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    texts = written(texts)
+    names = texts.select("h", "fp", "least")
+    twice = docs.sparkSession.sparkContext.broadcast(bitmap(texts, "prefix", least=2))
+    rows = _shared_rows(texts, twice)
     # four heads per group of texts: those that one head does not reach are mostly joined by another
-    met = checkpoint(_buckets(rows.withColumn("s", F.xxhash64("h", F.pmod("p", F.lit(4))))))
+    met = written(_buckets(rows.withColumn("s", F.xxhash64("h", F.pmod("p", F.lit(4))))))
+    twice.destroy()
 
     def named(found: DataFrame) -> DataFrame:
         ends = found.join(names.select("h", F.col("fp").alias("source")), "h")
@@ -196,17 +325,17 @@ def near_links(docs: DataFrame, marked: DataFrame, edges: DataFrame, *, key: str
 
     how = {"key": key, "text": text, "shingle": shingle, "near": near}
     star = met.where(_may(near, "n", "i", "a_n", "a_i")).select(F.least("h", "a").alias("h"), F.greatest("h", "a").alias("h2"))
-    star = checkpoint(star.distinct())
-    edges = edges.unionByName(named(_alike(docs, names, star, **how)))
-    roots = checkpoint(connected_components(names.select(F.col("fp").alias("node")), edges))
+    star = written(star.distinct())
+    edges = written(edges.unionByName(named(_alike(docs, names, star, **how))))
+    roots = written(connected_components(names.select(F.col("fp").alias("node")).distinct(), edges))
     # the pairs of a bucket that are not joined yet
     placed = met.drop("a", "a_n", "a_i").join(names.join(roots, F.col("fp") == F.col("node")).select("h", "component"), "h")
     mixed = placed.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
-    open_ = checkpoint(placed.join(mixed, "p"))
+    open_ = written(placed.join(mixed, "p"))
     other = open_.select("p", *[F.col(c).alias(f"{c}2") for c in ("h", "n", "i", "component")])
     rest = open_.join(other, "p").where((F.col("h") < F.col("h2")) & (F.col("component") != F.col("component2")))
     rest = rest.where(_may(near, "n", "i", "n2", "i2")).select("h", "h2").distinct().join(star, ["h", "h2"], "left_anti")
-    more = named(_alike(docs, names, checkpoint(rest), **how))
+    more = named(_alike(docs, names, written(rest), **how))
     joined = roots.where("node <> component").select(F.col("node").alias("source"), F.col("component").alias("target"))
     return joined.unionByName(more).distinct()
 
@@ -312,7 +441,7 @@ def groups(
             return lambda values: [list(x) for x in zip(*map(both, values), strict=True)] if values else [[], [], []]
 
         marked = append_columns(base, "__text", make, "fp long, n int, prefix array<bigint>")
-        marked = checkpoint(marked.select(key, "fp", "h", "n", "prefix"))
+        marked = written(marked.select(key, "fp", "h", "n", "prefix"))
         nodes = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("least")))
         close = checkpoint(links(nodes, radius=radius))
         edges = near_links(docs, marked, close, key=key, text=text, shingle=near_shingle, near=near)

@@ -188,6 +188,20 @@ def test_near_copies_that_share_a_hot_passage(spark):
     assert got == {None if k == n - 1 else k: want[k] for k in range(n)} and len(set(want)) < n - 60
 
 
+def test_sketches_never_rule_out_too_much():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 130, 700, 3000):
+        base = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        for _ in range(20):
+            x, y = (np.sort(rng.choice(base, rng.integers(1, len(base) + 1), replace=False)) for _ in range(2))
+            shared = len(np.intersect1d(x, y))
+            most = simhash.shared_at_most(simhash.sketch_of(x), simhash.sketch_of(y))
+            assert shared <= most <= min(len(x), len(y))
+    other = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    assert simhash.shared_at_most(simhash.sketch_of(base[:3000]), simhash.sketch_of(other)) < 0.8 * 3000
+    assert simhash.shared_at_most(simhash.sketch_of(base[:0]), simhash.sketch_of(other)) == 0
+
+
 def test_an_id_with_two_texts_keeps_one_row_of_each_group(spark):
     a, b, c = (prose(k, 60) for k in (301, 302, 303))
     rows = [(5, a, "en", "s"), (5, b, "en", "s"), (1, c, "en", "s"), (7, c, "en", "s"), (7, prose(304, 60), "en", "s"), (5, a, "en", "t")]
