@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 _BUCKET = "__bucket"
 BUCKET_ROWS = 500_000
@@ -63,7 +64,7 @@ def _place(df: DataFrame, names: list[str], splits: list) -> Column:
     if not splits:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
-    literal = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in r.asDict()])
+    literal = lambda r: F.struct(*[_literal(r[c], types[c]).alias(c) for c in r.asDict()])
     width = max(1, round(len(splits) ** 0.5))
     groups = [splits[k : k + width] for k in range(0, len(splits), width)]
     before = lambda s: _not_after(s, names)
@@ -72,6 +73,12 @@ def _place(df: DataFrame, names: list[str], splits: list) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * width + F.size(F.filter(inside, before)))
 
 
+def _literal(value, kind: DataType) -> Column:
+    if isinstance(kind, StructType) and value is not None:
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)
+
+
 def running(
     df: DataFrame,
     keys: list[str],

@@ -38,6 +38,14 @@ def test_ranges_follow_the_order_and_stay_small(spark, hot):
     assert df.limit(0).select(skew.order_bucket(df.limit(0), ["v"], 10)).count() == 0
 
 
+def test_ranges_of_an_order_by_a_place_in_a_file(spark):
+    place = F.struct(F.concat(F.lit("part-"), F.col("id") % 3).alias("file"), F.col("id").alias("line"))
+    df = spark.range(300).select(place.alias("seq"))
+    got = [(tuple(r.seq), r.b) for r in df.select("seq", skew.order_bucket(df, ["seq"], 20).alias("b")).collect()]
+    ordered = [b for _, b in sorted(got)]
+    assert ordered == sorted(ordered) and len(set(ordered)) >= 8
+
+
 def test_percentiles_do_not_depend_on_the_scale_of_values(spark):
     rng = random.Random(1)
     values = [0.001] * 300 + [rng.random() for _ in range(50)] + [1e9 + k for k in range(50)]
