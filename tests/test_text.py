@@ -182,3 +182,20 @@ def test_is_refusal_and_verdicts(rows):
     df = rows([("I don't know.", "GROUNDED", "INCORRECT"), ("Yes", "grounded but HALLUCINATED", "partial")], "a string, b string, c string")
     got = [tuple(r) for r in df.select(T.is_refusal("a"), P.faithfulness("b"), P.correctness("c")).collect()]
     assert got == [(True, True, "correct"), (False, False, "partial")]
+
+
+def test_capitals_letter_for_letter(rows):
+    import duckdb
+
+    data = ["Straße 1\nß", "naïve ǆ ŉ", "ﬁn ᾳ ΐ", "", "abc", None]
+    got = [r.u for r in rows([(v,) for v in data], "t string").select(T.upper("t").alias("u")).collect()]
+    assert got == [duckdb.execute("SELECT upper(?::VARCHAR)", [v]).fetchall()[0][0] for v in data]
+
+
+def test_a_title_with_a_sharp_s_is_found_by_its_capitals(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "Straße\nx", "en", "src0", 8)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in entry.queries()["note_lookup"](spark, str(tmp_path)).collect()] == [("STRAẞE", "d0000001")]
+    states = {r.status: r.n for r in entry.queries()["link_resolution"](spark, str(tmp_path)).collect()}
+    assert states == {"self": 2, "unresolved": 1}
