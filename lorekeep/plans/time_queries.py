@@ -374,7 +374,7 @@ def library_listing(spark, folder):
 def note_lookup(spark, folder):
     """English titles are asked for in capitals."""
     notes = A.notes(spark, folder)
-    asked = F.when(F.col("tags")[0] == "en", F.upper("title")).otherwise(F.col("title"))
+    asked = F.when(F.col("tags")[0] == "en", T.upper("title")).otherwise(F.col("title"))
     return CU.note_lookup(notes.select(asked.alias("asked")).distinct(), notes)
 
 
