@@ -257,3 +257,17 @@ def test_dense_search_by_blocks_and_tiles(spark):
         want += [(f"q{k}", int(v), rank) for rank, v in enumerate(np.lexsort((np.arange(150), -np.rint(s * 1e9)))[:4], 1)]
     assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == sorted(want)
     assert S.dense_search(asked.limit(0), df, 4).count() == 0 and S.dense_search(asked, df.limit(0), 4).count() == 0
+
+
+def test_means_of_no_case_are_null(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    def share(passage):
+        place = f"{tmp_path}/{len(passage)}"
+        spark.createDataFrame([(1, "alpha beta gamma", "en", "src0", 16)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{place}/documents.parquet")
+        spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+        rejected, kept = (entry.queries()[q](spark, place).first() for q in ("negative_rejection", "retrieval_metrics"))
+        return tuple(rejected), (kept.n, kept.mrr)
+
+    assert share("alpha beta gamma") == ((0, None), (1, 1.0))
+    assert share("delta") == ((1, 1.0), (0, None))
