@@ -199,12 +199,15 @@ def handovers_of(events: DataFrame) -> DataFrame:
     )
 
 
-def park_captures(parked: DataFrame, failed: DataFrame) -> DataFrame:
-    """Failed sessions to add to the parked ones; a session seen before is not added twice."""
-    fresh = skew.first(failed, ["digest"], ["error"])
-    return parked.unionByName(fresh.join(parked.select("digest"), "digest", "left_anti").select(*parked.columns))
+def park_captures(parked: DataFrame, failed: DataFrame, key: str = "digest") -> DataFrame:
+    """Failed sessions to add to the parked ones; a session seen before is not added twice.
+
+    ``key`` tells sessions apart. A digest of eight digits does so for a few thousand of them only.
+    """
+    fresh = skew.first(failed, [key], ["error"])
+    return parked.unionByName(fresh.join(parked.select(key), key, "left_anti").select(*parked.columns))
 
 
-def settle_captures(parked: DataFrame, succeeded: DataFrame) -> DataFrame:
+def settle_captures(parked: DataFrame, succeeded: DataFrame, key: str = "digest") -> DataFrame:
     """What stays parked after a retry."""
-    return parked.join(succeeded.select("digest"), "digest", "left_anti")
+    return parked.join(succeeded.select(key), key, "left_anti").select(*parked.columns)

@@ -248,8 +248,8 @@ def parked_captures(spark, folder):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda t: t["l"]), "\n").alias("text"),
         F.count(F.lit(1)).alias("n"),
     ).select("conv_id", T.digest8("text").alias("digest"), F.lit("engine").alias("error"), "n")
-    parked = LE.park_captures(failed.where("false"), failed)
-    return LE.settle_captures(parked, failed.where("n <= 5")).select("conv_id", "digest")
+    parked = LE.park_captures(failed.where("false"), failed, "conv_id")
+    return LE.settle_captures(parked, failed.where("n <= 5"), "conv_id").select("conv_id", "digest")
 
 
 # ---- curation --------------------------------------------------------------------------------

@@ -229,3 +229,21 @@ def test_groups_of_late_answers_fold_notes(rows):
     groups = PR.parse_groups(rows([(9_000_000_000, answer)], "answer_id long, answer string"), notes)
     kept, _ = CU.consolidate(notes, groups)
     assert {r.title: sorted(r.aliases) for r in kept.collect()} == {"A": ["B"], "C": ["D"]}
+
+
+def test_reviews_whose_hashes_begin_alike_stay_apart(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # the first eight digits of the hashes of these two items are equal
+    spark.createDataFrame([(75350, 1, 0), (129290, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {tuple(r) for r in entry.queries()["review_states"](spark, str(tmp_path)).collect()}
+    assert got == {(75350, "applied"), (129290, "rejected")}
+
+
+def test_conversations_of_one_text_are_parked_each(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    turns = [(c, k, "user", f"t{k}") for c in (1, 2, 3) for k in range(6 if c < 3 else 5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = entry.queries()["parked_captures"](spark, str(tmp_path)).collect()
+    assert {r.conv_id for r in got} == {1, 2} and len(got) == 2 and len({r.digest for r in got}) == 1
