@@ -338,7 +338,11 @@ def validity_blocks(states: DataFrame, lines: int = VALIDITY_LINES) -> DataFrame
 
 
 def handover_notices(items: DataFrame, edges: DataFrame, notes: DataFrame, states: DataFrame) -> DataFrame:
-    """query_id, title, notice: a successor in the context names the note it replaced."""
+    """query_id, title, notice: a successor in the context names the note it replaced.
+
+    A title that a context holds several times is one note there.
+    """
+    items = items.select("query_id", "title").distinct()
     hand = edges.where("type = 'supersedes'").select("source", F.col("target").alias("old"))
     dropped = items.select("query_id", F.col("title").alias("old"))
     new = items.select("query_id", F.col("title").alias("source"))
