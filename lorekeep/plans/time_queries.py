@@ -708,15 +708,18 @@ def scan_plan(spark, folder):
 
 @query("SK2")
 def rendered_notes(spark, folder):
-    """Every document as a Markdown page that links to the next one of its source."""
+    """Every document as a Markdown page that links to the next one of its source.
+
+    Documents of one title have the same links, so these are resolved once per title.
+    """
     from lorekeep.plans.search_queries import doc_chain
     from lorekeep.sources import writers
 
     notes = A.notes(spark, folder)
     chain = doc_chain(spark, folder).select(F.col("source").alias("title"), "target")
-    linked = notes.join(chain, "title").select("note_id", "title", F.lit(0).alias("pos"), F.substring_index("title", " ", 1).alias("anchor"), "target")
-    links = G.resolve_links(linked.where("anchor <> ''"), G.name_registry(notes))
-    return writers.render_markdown(notes, links)
+    linked = chain.select(F.col("title").alias("note_id"), "title", F.lit(0).alias("pos"), F.substring_index("title", " ", 1).alias("anchor"), "target")
+    found = G.resolve_links(linked.where("anchor <> ''"), G.name_registry(notes)).select(F.col("note_id").alias("title"), "anchor", "link")
+    return writers.render_markdown(notes, notes.select("note_id", "title").join(found, "title").drop("title"))
 
 
 @query("SC7", sql=f"WITH {O.NOTES} SELECT note_id AS id, {O.strip('title')} AS title, lang AS tags FROM notes WHERE {O.strip('title')} <> ''")
