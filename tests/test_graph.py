@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import graph as G
 from lorekeep.operators import ontology as ON
+from lorekeep.operators import skew
+from lorekeep.operators import temporal as TM
 
 EDGE = "source string, type string, target string"
 TYPE = (
@@ -145,3 +147,30 @@ def test_neighborhood_caps_in_order(rows):
     edges = rows([("f", x) for x in "dcb"] + [("b", "a"), ("d", "z")], "source string, target string")
     got = G.neighborhood(rows([("f",)], "focus string"), edges, 2, 5).orderBy("position").collect()
     assert [r.node for r in got] == ["f", "b", "c", "d", "a"]
+
+
+def test_tiles_make_every_pair_of_a_hot_key_once(spark):
+    left = spark.range(60).select((F.col("id") % 50).alias("n"), F.when(F.col("id") < 45, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    right = spark.range(70).select(F.col("id").alias("m"), F.when(F.col("id") < 50, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    got = skew.product(left, right, "k", 8)
+    key = lambda r: (r.k, r.n, r.m)
+    assert sorted(map(key, got.collect())) == sorted(map(key, left.join(right, "k").collect()))
+    tiles = got.groupBy(F.spark_partition_id()).count()
+    assert got.columns == ["k", "n", "m"] and tiles.count() > 1
+
+
+def test_links_of_equal_place_keep_the_largest_target(rows):
+    links = rows([("n", "T", 0, "a", t) for t in ("x", "z", "y")], "note_id string, title string, pos int, anchor string, target string")
+    registry = rows([(t, t.upper()) for t in "xyz"], "key string, title string")
+    assert [r.target for r in G.resolve_links(links, registry).collect()] == ["Z"]
+    assert [r.target for r in G.resolve_links(links.orderBy("target"), registry).collect()] == ["Z"]
+
+
+def test_a_context_that_holds_a_title_twice_gives_one_notice(rows):
+    items = rows([(1, "New"), (1, "New"), (1, "Old"), (1, "Old"), (2, "New")], "query_id long, title string")
+    edges = rows([("New", "supersedes", "Old")], "source string, type string, target string")
+    notes = rows([("n1", "Old")], "note_id string, title string")
+    states = rows([("n1", "Superseded by 'New'", "2026-01-02")], "note_id string, text string, valid_from string")
+    states = states.withColumn("valid_from", F.col("valid_from").cast("timestamp"))
+    got = TM.handover_notices(items, edges, notes, states).collect()
+    assert [(r.query_id, r.title) for r in got] == [(1, "New")] and "'Old' since 2026-01-02" in got[0].notice
