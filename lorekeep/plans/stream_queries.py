@@ -67,7 +67,7 @@ def streamed_moves(spark: SparkSession, folder: str) -> DataFrame:
 @query("ST3", sql=f"WITH {O.CLAIMS} SELECT claim_id, (valid_to IS NOT NULL)::INTEGER AS seq, valid_to, text FROM claims")
 def streamed_claims(spark: SparkSession, folder: str) -> DataFrame:
     """The state of every claim as its log arrives: what was told last."""
-    log = A.claim_log(spark, folder).select(F.col("claim_id").cast("string").alias("claim_id"), F.col("seq").cast("long").alias("seq"), "valid_to", "text")
+    log = written(A.claim_log(spark, folder).select(F.col("claim_id").cast("string").alias("claim_id"), F.col("seq").cast("long").alias("seq"), "valid_to", "text"))
     part = F.pmod(F.col("claim_id").cast("long"), F.lit(2)) + F.col("seq")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)

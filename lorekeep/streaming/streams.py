@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
@@ -134,38 +133,13 @@ def distinct_sessions(sessions: DataFrame, late: str = "10 minutes") -> DataFram
 # ---- keyed state -----------------------------------------------------------------------------
 
 
-class ClaimProcessor(StatefulProcessor):
-    """Keeps the last record of each claim and emits it when it changes."""
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "seq long, valid_to timestamp, text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.last.get() if self.last.exists() else None
-        changed = False
-        for batch in rows:
-            for row in batch.itertuples():
-                if best is None or row.seq > best[0]:
-                    closed = None if pd.isna(row.valid_to) else row.valid_to.to_pydatetime()
-                    best, changed = (int(row.seq), closed, row.text), True
-        if changed:
-            self.last.update(best)
-            yield pd.DataFrame(
-                {"claim_id": [key[0]], "seq": [best[0]], "valid_to": [pd.Timestamp(best[1]) if best[1] else pd.NaT], "text": [best[2]]}
-            )
-
-    def close(self) -> None:
-        pass
-
-
 def claim_stream(log: DataFrame) -> DataFrame:
-    """claim_id, seq, valid_to, text: the latest state of each claim as its log grows.
+    """claim_id, seq, valid_to, text: the latest state of each claim as its log grows, one row per claim and batch.
 
-    Needs the RocksDB state store (STATE_STORE) as the session's provider.
+    The state is one row per claim; STATE_STORE keeps it outside the heap.
     """
-    return log.select("claim_id", "seq", "valid_to", "text").groupBy("claim_id").transformWithStateInPandas(
-        ClaimProcessor(), "claim_id string, seq long, valid_to timestamp, text string", "Update", "None"
-    )
+    last = F.max_by(F.struct("seq", "valid_to", "text"), "seq").alias("last")
+    return log.groupBy("claim_id").agg(last).select("claim_id", "last.seq", "last.valid_to", "last.text")
 
 
 def job_stream(events: DataFrame) -> DataFrame:

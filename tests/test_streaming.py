@@ -71,6 +71,12 @@ def test_claim_state_follows_the_log(spark, rows, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_claim_state_is_an_aggregate_of_any_state_store(spark, rows, tmp_path):
+    df = rows([("c1", 1, dt.datetime(2026, 1, 1), "a"), ("c1", 0, None, "a"), ("c2", 0, None, "b")], "claim_id string, seq long, valid_to timestamp, text string")
+    got = _drain(ST.claim_stream(_stream(spark, df, tmp_path / "in")), "claims_any", "update", spark, tmp_path / "cp")
+    assert {(r.claim_id, r.seq, r.text) for r in got} == {("c1", 1, "a"), ("c2", 0, "b")}
+
+
 def test_job_stream_flags_illegal_moves(spark, rows, tmp_path):
     day = lambda n: dt.datetime(2026, 1, n)
     df = rows([(1, day(1), 0, "queued"), (1, day(2), 1, "completed"), (1, day(3), 2, "running")], "job_id long, ts timestamp, seq long, state string")
