@@ -133,24 +133,26 @@ def merge_blocks(blocks: DataFrame, size: int = 512) -> DataFrame:
     return blocks.mapInArrow(run, _schema(kind, "string"))
 
 
-def postings_of(blocks: DataFrame) -> DataFrame:
-    """field, term, note_id, tf, dl, hay_len: the postings of the blocks one by one."""
-    every = None
-    for f in I.FIELDS:
-        p = F.col(f)
-        # where each term's postings begin
-        ends = F.aggregate(p["df"], F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-        rows = blocks.select("notes", "hay_len", f"{f}_dl", f, ends.alias("ends"))
-        rows = rows.select("notes", "hay_len", F.col(f"{f}_dl").alias("dls"), F.col(f), "ends", F.posexplode(p["term"]).alias("t", "term"))
-        begin, n = F.element_at("ends", F.col("t") + 1), F.element_at(F.col(f)["df"], F.col("t") + 1)
-        pairs = F.arrays_zip(F.slice(F.col(f)["place"], begin + 1, n).alias("place"), F.slice(F.col(f)["tf"], begin + 1, n).alias("tf"))
-        rows = rows.select("notes", "hay_len", "dls", "term", F.explode(pairs).alias("x"))
-        own = rows.select(
-            F.lit(f).alias("field"), "term", F.get("notes", F.col("x.place")).alias("note_id"), F.col("x.tf").cast("bigint").alias("tf"),
-            F.get("dls", F.col("x.place")).alias("dl"), F.get("hay_len", F.col("x.place")).alias("hay_len"),
-        )
-        every = own if every is None else every.unionByName(own)
-    return every
+def postings_of(blocks: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """field, term, note_id, tf, dl, hay_len: the postings of the blocks one by one, ``rows`` of them at a time."""
+    made = StructType.fromDDL(f"field string, term string, note_id {dict(blocks.dtypes)['notes'][6:-1]}, tf bigint, dl int, hay_len int")
+    kinds = [f.type for f in to_arrow_schema(made)]
+
+    def run(batches):
+        for batch in batches:
+            for block in _rows(batch):
+                for f in I.FIELDS:
+                    part = block[f]
+                    code = np.repeat(np.arange(len(part["term"])), part["df"].to_numpy())
+                    for at in range(0, len(code), rows):
+                        place = part["place"].slice(at, rows)
+                        columns = [
+                            pa.repeat(f, len(place)), part["term"].take(pa.array(code[at : at + rows])), block["notes"].take(place),
+                            part["tf"].slice(at, rows), block[f"{f}_dl"].take(place), block["hay_len"].take(place),
+                        ]
+                        yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], made.names)
+
+    return blocks.select("notes", "hay_len", *[c for f in I.FIELDS for c in (f, f"{f}_dl")]).mapInArrow(run, made)
 
 
 def gain(tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarray:

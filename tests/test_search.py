@@ -271,3 +271,12 @@ def test_means_of_no_case_are_null(spark, tmp_path):
 
     assert share("alpha beta gamma") == ((0, None), (1, 1.0))
     assert share("delta") == ((1, 1.0), (0, None))
+
+
+def test_postings_are_unpacked_in_slices_without_running_arrays(rows):
+    notes = [(f"n{k}", f"title {k}", [], [], "sum", " ".join(f"word{w}" for w in range(k * 7)), []) for k in range(5)]
+    df = rows(notes, "note_id string, title string, aliases array<string>, tags array<string>, summary string, retrieval_text string, body_sections array<struct<key:string,value:string>>")
+    held = blocks.build_blocks(df, 3)
+    found = blocks.postings_of(held, 4)
+    assert "aggregate(" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, I.build_postings(df).select(*found.columns).collect()))
