@@ -60,12 +60,14 @@ def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-def channel_normalize(scores: DataFrame, keys: list[str], drop_empty: bool = True) -> DataFrame:
+def channel_normalize(scores: DataFrame, keys: list[str], drop_empty: bool = True, stored: bool = False) -> DataFrame:
     """score / max per group; a group whose best is not positive is dropped or kept at 0.
 
-    The maximum is a pre-combined aggregate joined back, never a window over a whole group.
+    The maximum is a pre-combined aggregate joined back, never a window over a whole group. Of ``stored`` scores it
+    is written first, so that Spark sees how small it is.
     """
     top = scores.groupBy(*keys).agg(F.max("score").alias("__top"))
+    top = written(top) if stored else top
     joined = scores.join(top, keys)
     if drop_empty:
         joined = joined.where("__top > 0")
@@ -517,22 +519,43 @@ def context_bundle(
     return fit_to_budget(items, budget)
 
 
-def propagate_scores(hits: DataFrame, edges: DataFrame, decay: float) -> DataFrame:
-    """query_id, title, score: each hit lends decay * score to its neighbours, best source wins."""
+def _liftable(hits: DataFrame, both: DataFrame, decay: float, k: int) -> DataFrame:
+    """query_id, title of all that can be among a query's best ``k`` once hits lend to their neighbours.
+
+    Lending only adds, so the k-th best own score is a bar. A hit clears it with what the best hit could lend at most,
+    any other title only through a hit that lends as much alone.
+    """
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    best_k = hits.select("query_id", "score").withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= k)
+    bar = F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0) - 1e-6
+    bars = written(best_k.groupBy("query_id").agg(bar.alias("bar"), F.max("score").alias("most")))
+    barred = hits.join(bars, "query_id")
+    near = barred.where(F.col("score") + decay * F.col("most") >= F.col("bar")).select("query_id", "title")
+    alone = barred.where(decay * F.col("score") >= F.col("bar")).select("query_id", F.col("title").alias("source"))
+    lifted = alone.join(both, "source").select("query_id", F.col("target").alias("title"))
+    return near.unionByName(lifted).distinct()
+
+
+def propagate_scores(hits: DataFrame, edges: DataFrame, decay: float, k: int | None = None) -> DataFrame:
+    """query_id, title, score: each hit lends decay * score to its neighbours, best source wins.
+
+    With ``k`` only titles that can be among the best k of a query come back, with their whole scores; scores are then
+    zero or more, and ``hits`` is read several times.
+    """
     both = edges.select("source", "target").unionByName(
         edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     )
-    spread = (
-        hits.join(both, hits.title == both.source)
-        .groupBy("query_id", F.col("target").alias("title"))
-        .agg((F.max("score") * decay).alias("score"))
-    )
-    return (
-        hits.select("query_id", "title", "score")
-        .unionByName(spread)
-        .groupBy("query_id", "title")
-        .agg(F.sum("score").alias("score"))
-    )
+    own = hits.select("query_id", "title", "score")
+    if k is None:
+        lent = own.join(both, own.title == both.source).select("query_id", F.col("target").alias("title"), "score")
+    else:
+        both = written(both.distinct())
+        few = written(_liftable(own, both, decay, k))
+        asked = written(few.join(both.select(F.col("source").alias("title"), F.col("target").alias("lender")), "title"))
+        lent = own.withColumnRenamed("title", "lender").join(asked, ["query_id", "lender"]).select("query_id", "title", "score")
+        own = own.join(few, ["query_id", "title"], "left_semi")
+    spread = lent.groupBy("query_id", "title").agg((F.max("score") * decay).alias("score"))
+    return own.unionByName(spread).groupBy("query_id", "title").agg(F.sum("score").alias("score"))
 
 
 def triangulate(

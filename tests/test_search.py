@@ -280,3 +280,17 @@ def test_postings_are_unpacked_in_slices_without_running_arrays(rows):
     found = blocks.postings_of(held, 4)
     assert "aggregate(" not in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, I.build_postings(df).select(*found.columns).collect()))
+
+
+@pytest.mark.parametrize("decay", [0.1, 0.9])
+def test_bounded_propagation_has_the_best_titles_with_whole_scores(rows, decay):
+    rng = random.Random(4)
+    scores = [(q, t, rng.random()) for q in range(6) for t in rng.sample(range(80), 40 if q else 3)]
+    links = [(rng.randrange(90), "t", rng.randrange(90)) for _ in range(120)]
+    hits, edges = rows(scores, "query_id long, title long, score double"), rows(links, "source long, type string, target long")
+    best = lambda k: {
+        (r.query_id, r.title, round(r.score, 9)) for r in S.topk(S.propagate_scores(hits, edges, decay, k), ["query_id"], [S.best("score"), F.asc("title")], 5).collect()
+    }
+    assert best(5) == best(None) and len(best(5)) == 30
+    many, whole = (S.propagate_scores(hits, edges, 0.1, k).count() for k in (5, None))
+    assert many < whole
