@@ -174,3 +174,12 @@ def test_a_context_that_holds_a_title_twice_gives_one_notice(rows):
     states = states.withColumn("valid_from", F.col("valid_from").cast("timestamp"))
     got = TM.handover_notices(items, edges, notes, states).collect()
     assert [(r.query_id, r.title) for r in got] == [(1, "New")] and "'Old' since 2026-01-02" in got[0].notice
+
+
+def test_edges_are_not_dealt_out_by_their_few_relations(spark, rows):
+    edges = spark.range(1000).select(F.when(F.col("id") % 9 == 0, "holds").otherwise("likes").alias("relation"), "id")
+    surfaces = rows([("likes", "likes"), ("holds", "holds")], "surface string, name string")
+    typed = G.relation_type(edges, surfaces)
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert typed.count() == 1000
