@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm import decontaminate, langid, mixing, simhash, toxicity
 from lorekeep.llm.common import written
 from lorekeep.llm.queries import labelled_sample
+from lorekeep.session import tune
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +44,22 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).where("drawn").drop("drawn")
 
 
+def tuned(stage):
+    """A stage under the session settings of the queries; those bound the batches that Python holds."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language),
-    ("toxicity", clean),
-    ("simhash_near_dedup", distinct),
-    ("decontamination", uncontaminated),
-    ("mixing", mixed),
+    ("language_id", tuned(language)),
+    ("toxicity", tuned(clean)),
+    ("simhash_near_dedup", tuned(distinct)),
+    ("decontamination", tuned(uncontaminated)),
+    ("mixing", tuned(mixed)),
 ]
 
 #: Trained models and fingerprints are beyond SQL; the stages are tested against plain definitions.

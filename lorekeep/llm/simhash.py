@@ -8,7 +8,7 @@ copies share a fingerprint and never meet as pairs.
 
 Two bits of 64 are far closer than a word-shingle similarity of 0.8. ``near`` adds such links by an exact prefix
 filter: with all shingles in one order, rare ones first, two sets of n and m shingles that are ``near`` similar share one
-of their first n - ceil(near n) + 1 and m - ceil(near m) + 1. Texts that share such a shingle form a bucket. They are first
+of their first n - ceil(near n) + 1 and m - ceil(near m) + 1. The order counts every text, so buckets do not grow with the corpus. Texts that share such a shingle form a bucket. They are first
 compared with its head, which joins large groups at a cost of one pair per text; then all pairs of the bucket
 that are still in different components are compared. The exact similarity of the shingle sets decides, no
 pair is missed. A bucket of many texts that are all unlike each other costs the square of its size; passages shared by
@@ -95,6 +95,38 @@ def common_shingles(docs: DataFrame, text: str, shingle: int, chars: int = 20_00
     return values[order], rows["n"].to_numpy(np.int64)[order]
 
 
+def often_shared(docs: DataFrame, text: str, shingle: int, chars: int = 20_000_000, bits: int = 27) -> list[np.ndarray]:
+    """Two bit tables of the shingles (by slot) that occur a few and some more times in all texts.
+
+    A sample finds only shingles that recur within it, so the larger the corpus, the commoner must they be. These tables
+    count every text: what they tell apart grows only by the shingles that share a slot. A corpus of up to ``chars``
+    characters is counted whole by ``common_shingles`` and has no tables.
+    """
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    if total <= chars:
+        return []
+    chance = int(2 * (total / 6) / (1 << bits))  # twice what shares a slot, at six characters a word
+
+    def runs_of():
+        runs = _runs(shingle)
+
+        def values(column):
+            held, size = [], 0
+            for v in column:
+                held.append(runs(v.as_py()).view(np.int64))
+                size += len(held[-1])
+                if size > 500_000:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+            if size:
+                yield np.concatenate(held)
+
+        return values
+
+    made = bitmap(docs.select(F.make_valid_utf8(text).alias("x")), "x", least=(4 + chance, 16 + chance), bits=bits, values_of=runs_of)
+    return [Slots(pieces, bits).full for pieces in made]
+
+
 def _runs(shingle: int):
     """A function from a text to its distinct shingle hashes."""
     from lorekeep.llm.decontaminate import shingles, word_hashes
@@ -112,14 +144,19 @@ def _runs(shingle: int):
     return runs
 
 
-def prefix_of(own: np.ndarray, common: np.ndarray, often: np.ndarray, near: float) -> np.ndarray:
-    """The first of the distinct shingles ``own``, rare ones first: sets of similarity ``near`` share one of them."""
+def prefix_of(own: np.ndarray, common: np.ndarray, often: np.ndarray, near: float, tables: list[np.ndarray] = ()) -> np.ndarray:
+    """The first of the distinct shingles ``own``, rare ones first: sets of similarity ``near`` share one of them.
+
+    Shingles that are not ``common`` go by the number of ``tables`` (see ``often_shared``) that have them.
+    """
     if not len(own):
         return own
     n = np.zeros(len(own), np.int64)
+    for full in tables:
+        n += has_slot(full, own)
     if len(common):
         at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        n = np.where(common[at] == own, often[at], 0)
+        n = np.where(common[at] == own, often[at] + len(tables), n)
     size = len(own) - ceil(near * len(own) - 1e-9) + 1
     return own[np.lexsort((own, n))[:size]]
 
@@ -159,21 +196,25 @@ def _may(near: float, n: str, i: str, m: str, j: str) -> Column:
     return F.least(n - i, m - j) >= (n + m) * F.lit(near / (1 + near)) - F.lit(1e-9)
 
 
-def bitmap(values: DataFrame, column: str, *, least: int = 1, bits: int = 27) -> dict[int, bytes]:
-    """The slots, 2^``bits`` of them, that at least ``least`` of the values in the arrays of ``column`` hash to.
+def bitmap(values: DataFrame, column: str, *, least: tuple[int, ...] = (1,), bits: int = 27, values_of=None) -> list[dict[int, bytes]]:
+    """For each of ``least`` the slots, 2^``bits`` of them, that at least so many of the values in the arrays of ``column`` hash to.
 
     Two values may share a slot; a value that occurs ``least`` times always has its slot set. Tasks send
-    two bytes a value, the driver gets 2^``bits`` bits at most, as 8 KB pieces by number.
+    two bytes a value, the driver gets 2^``bits`` bits at most for each of ``least``, as 8 KB pieces by number. ``values_of()``
+    returns a function from a column of another kind to arrays of its values.
     """
+    flat = values_of or (lambda: lambda lists: [lists.flatten().to_numpy(zero_copy_only=False)])
 
     def deal(batches):
+        arrays = flat()
         for b in batches:
-            slot = slots_of(b.column(0).flatten().to_numpy(zero_copy_only=False), bits)
-            slot.sort()
-            piece, first = np.unique(slot >> 16, return_index=True)
-            ends = np.append(first[1:], len(slot))
-            packed = [(slot[x:y] & 0xFFFF).astype(np.uint16).tobytes() for x, y in zip(first, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(packed, pa.binary())], ["piece", "places"])
+            for own in arrays(b.column(0)):
+                slot = slots_of(own, bits)
+                slot.sort()
+                piece, first = np.unique(slot >> 16, return_index=True)
+                ends = np.append(first[1:], len(slot))
+                packed = [(slot[x:y] & 0xFFFF).astype(np.uint16).tobytes() for x, y in zip(first, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(packed, pa.binary())], ["piece", "places"])
 
     def gather(batches):
         at, seen = None, np.zeros(1 << 16, np.int64)
@@ -189,28 +230,37 @@ def bitmap(values: DataFrame, column: str, *, least: int = 1, bits: int = 27) ->
 
     def settle(batches):
         for piece, seen in gather(batches):
-            full = np.packbits(seen >= least, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([full], pa.binary())], ["piece", "full"])
+            full = [np.packbits(seen >= n, bitorder="little").tobytes() for n in least]
+            columns = [pa.array([piece] * len(least), pa.int32()), pa.array(range(len(least)), pa.int32()), pa.array(full, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "of", "full"])
 
     dealt = values.select(column).mapInArrow(deal, "piece int, places binary").repartition(parts_of(values), "piece").sortWithinPartitions("piece")
-    return {r.piece: bytes(r.full) for r in dealt.mapInArrow(settle, "piece int, full binary").collect()}
+    out = [{} for _ in least]
+    for r in dealt.mapInArrow(settle, "piece int, of int, full binary").collect():
+        out[r.of][r.piece] = bytes(r.full)
+    return out
 
 
 def slots_of(values: np.ndarray, bits: int) -> np.ndarray:
     return ((values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def has_slot(full: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Is the slot of a value set in the bit table ``full``?"""
+    slot = slots_of(values, (8 * len(full)).bit_length() - 1)
+    return (full[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 class Slots:
     """Look-up in the pieces of ``bitmap``."""
 
     def __init__(self, pieces: dict[int, bytes], bits: int = 27):
-        self.bits, self.full = bits, np.zeros(1 << (bits - 3), np.uint8)
+        self.full = np.zeros(1 << (bits - 3), np.uint8)
         for piece, full in pieces.items():
             self.full[piece << 13 : (piece + 1) << 13] = np.frombuffer(full, np.uint8)
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        slot = slots_of(values, self.bits)
-        return (self.full[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+        return has_slot(self.full, values)
 
 
 def _shared_rows(texts: DataFrame, twice) -> DataFrame:
@@ -261,7 +311,7 @@ def _alike(docs: DataFrame, names: DataFrame, pairs: DataFrame, *, key: str, tex
     mark = lambda h, k: F.xxhash64(h, F.col(k).cast("string"))
     ends = pairs.select("h").unionByName(pairs.select(F.col("h2").alias("h"))).distinct()
     wanted = ends.join(names, "h").select(F.array(mark("h", "least")).alias("m"))
-    some = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "m", bits=bits))
+    some = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "m", bits=bits)[0])
 
     def pick(batches):
         full, runs = Slots(some.value, bits), _runs(shingle)
@@ -313,7 +363,7 @@ def near_links(docs: DataFrame, marked: DataFrame, edges: DataFrame, *, key: str
     texts = marked.groupBy("h").agg(F.min("fp").alias("fp"), F.min(key).alias("least"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     texts = written(texts)
     names = texts.select("h", "fp", "least")
-    twice = docs.sparkSession.sparkContext.broadcast(bitmap(texts, "prefix", least=2))
+    twice = docs.sparkSession.sparkContext.broadcast(bitmap(texts, "prefix", least=(2,))[0])
     rows = _shared_rows(texts, twice)
     # four heads per group of texts: those that one head does not reach are mostly joined by another
     met = written(_buckets(rows.withColumn("s", F.xxhash64("h", F.pmod("p", F.lit(4))))))
@@ -429,14 +479,15 @@ def groups(
         nodes = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("least")))
         edges = links(nodes, radius=radius)
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, near_shingle))
+        order = common_shingles(docs, text, near_shingle), often_shared(docs, text, near_shingle)
+        shared = docs.sparkSession.sparkContext.broadcast(order)
 
         def make():
-            (common, often), runs = shared.value, _runs(near_shingle)
+            ((common, often), tables), runs = shared.value, _runs(near_shingle)
 
             def both(value):  # one text at a time: the words of a batch would not fit
                 own = runs(value)
-                return simhash(shingle_hashes(words_of(value), shingle, seed)), len(own), prefix_of(own, common, often, near).view(np.int64)
+                return simhash(shingle_hashes(words_of(value), shingle, seed)), len(own), prefix_of(own, common, often, near, tables).view(np.int64)
 
             return lambda values: [list(x) for x in zip(*map(both, values), strict=True)] if values else [[], [], []]
 

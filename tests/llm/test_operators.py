@@ -414,3 +414,22 @@ def test_perspectives(spark):
             at += len(p.rendered)
             masked += [p.rendered[m.begin : m.end] for m in p["mask"]]
         assert masked == [x + "<|im_end|>" for _, r, x in own if r == speaker]
+
+
+def test_order_of_shingles_counts_all_texts(spark):
+    """A shingle of few texts goes late even if the sample for the order holds none of them."""
+    rng = random.Random(12)
+    passage, rows = " ".join(f"p{rng.randrange(10**9)}" for _ in range(24)), []
+    for k in range(300):
+        own = " ".join(f"w{rng.randrange(10**9)}" for _ in range(80))
+        rows.append((k, f"{passage} {own}" if k < 30 else own, "en", "s"))
+    docs = spark.createDataFrame(rows, DOCS)
+    runs = simhash._runs(5)
+    common = simhash.common_shingles(docs.where("doc_id >= 30"), "text", 5)
+    tables = simhash.often_shared(docs, "text", 5, chars=1000)
+    shared = runs(passage)
+    assert len(tables) == 2 and not np.isin(shared, common[0]).any() and all(simhash.has_slot(t, shared).all() for t in tables)
+    for _, text, _, _ in rows[:30]:
+        prefix = simhash.prefix_of(runs(text), *common, 0.8, tables)
+        assert len(prefix) == 21 and not np.isin(shared, prefix).any()
+    assert simhash.often_shared(docs, "text", 5) == []
