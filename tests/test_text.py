@@ -199,3 +199,17 @@ def test_a_title_with_a_sharp_s_is_found_by_its_capitals(spark, tmp_path):
     assert [tuple(r) for r in entry.queries()["note_lookup"](spark, str(tmp_path)).collect()] == [("STRAẞE", "d0000001")]
     states = {r.status: r.n for r in entry.queries()["link_resolution"](spark, str(tmp_path)).collect()}
     assert states == {"self": 2, "unresolved": 1}
+
+
+def test_first_pieces_look_no_further_than_needed(rows):
+    texts = ["one\ntwo", "\n\n> - \n* three\nfour", "```\n![i]\n" + "\n" * 40 + "late\nlater", "   ", "\r\n # h\n", "# a\n\n \n\n  b   c " + "d " * 300, "x" * 500, "# only", "a" + " " * 600 + "b " * 200]
+    docs = rows(list(enumerate(texts)), "k long, text string")
+    got = {r.k: (r.a, r.b) for r in docs.select("k", T.first_line("text").alias("a"), T.first_paragraph("text").alias("b")).collect()}
+    want = ["one", "three", "late", "", "# h", "# a", "x" * 200, "# only", ("a" + " " * 600)[:200]]
+    assert [got[k][0] for k in range(9)] == want
+    paras = ["one two", "> - * three four", " ".join(texts[2].split("\n\n")[0].split()), "", "", ("b c " + "d " * 300)[:240], "x" * 240, "", ("a " + "b " * 200)[:240]]
+    assert [got[k][1] for k in range(9)] == paras
+    # a piece behind the first usable one is never cleaned
+    stop = lambda v: F.when(v == "bad", F.raise_error(F.lit("cleaned"))).otherwise(v)
+    odd = rows([("good,bad",), (",,good" + ",x" * 20 + ",bad",)], "text string")
+    assert [r[0] for r in odd.select(T._first_piece("text", ",", stop, lambda v: v != "")).collect()] == ["good", "good"]
