@@ -75,17 +75,19 @@ def parse_extractions(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return notes, parsed.where(bad).select("chunk_id", "answer")
 
 
+#: Lines of a range of ``batched_prompts``: a line may hold the first two lines of a text, so a task sorts fewer of them.
+LINES = 20_000
+
+
 def batched_prompts(rows: DataFrame, order: str, line: Column, size: int) -> DataFrame:
     """batch, n, listing: lines packed ``size`` at a time in order.
 
     The running number is exact over all rows but computed per range of the order, so no task sees them all.
     """
-    numbered = skew.running(
-        rows.withColumn("__all", F.lit(0)), ["__all"],
-        skew.order_bucket(rows, [order]),
-        [F.asc(order)], number="__n",
-    )
-    packed = numbered.select(F.floor((F.col("__n") - 1) / size).alias("batch"), "__n", line.alias("line"))
+    # the lines alone are moved, not the rows they are made of
+    lines = rows.select(order, line.alias("line"), F.lit(0).alias("__all"))
+    numbered = skew.running(lines, ["__all"], skew.order_bucket(rows.select(order), [order], LINES), [F.asc(order)], number="__n")
+    packed = numbered.select(F.floor((F.col("__n") - 1) / size).alias("batch"), "__n", "line")
     return packed.groupBy("batch").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "line"))), lambda e: e["line"]), "\n").alias("listing"),

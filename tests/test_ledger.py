@@ -79,3 +79,11 @@ def test_the_state_left_by_the_last_legal_move(spark, rows):
     key = lambda r: r[1]
     assert sorted([(r.job_id, r.seq, r.state, r.previous, r.legal) for r in got.collect()], key=key) == sorted(plain_moves(events), key=key)
     assert LE.transitions(df.limit(0), rows).count() == 0
+
+
+def test_batches_number_lines_not_rows(rows):
+    from lorekeep.operators import prompts
+
+    packed = prompts.batched_prompts(rows([(f"d{k}", f"{k} text") for k in range(45)], "note_id string, text string"), "note_id", F.substring("text", 1, 3), 20)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("substring(") > plan.index("Window") and [r.n for r in packed.orderBy("batch").collect()] == [20, 20, 5]
