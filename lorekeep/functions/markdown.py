@@ -36,9 +36,14 @@ def _rest(piece: Column) -> Column:
 
 def tidy_title(heading: Column) -> Column:
     """A heading without marks, badges and links, at most 80 characters long, cut between words."""
-    title = T.collapse(F.btrim(F.regexp_replace(heading, TITLE_JUNK, ""), F.lit(TITLE_EDGE)))
-    cut = F.btrim(F.regexp_replace(F.substring(title, 1, TITLE_MAX_CHARS), r" [^ ]*\z", ""), F.lit(TITLE_EDGE))
-    return F.when(F.length(title) > TITLE_MAX_CHARS, cut).otherwise(title)
+    whole = T.collapse(F.btrim(F.regexp_replace(heading, TITLE_JUNK, ""), F.lit(TITLE_EDGE)))
+
+    def short(title):
+        cut = F.btrim(F.regexp_replace(F.substring(title, 1, TITLE_MAX_CHARS), r" [^ ]*\z", ""), F.lit(TITLE_EDGE))
+        return F.when(F.length(title) > TITLE_MAX_CHARS, cut).otherwise(title)
+
+    # an array of one: an expression used three times would be computed three times
+    return F.get(F.transform(F.array(whole), short), 0)
 
 
 def _open_headings(text: Column | str) -> Column:
@@ -64,8 +69,8 @@ def h2_sections(files: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^./]*\z", "")
     # every piece but the first begins with a line "# ..."
     pieces = F.split(_open_headings("text"), r"(?m)(?=^# )")
-    titles = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: tidy_title(F.substring(_head(p), 3, 1 << 30)))
-    base = files.select("path", stem.alias("stem"), pieces.alias("pieces"), titles.alias("titles"))
+    titles = F.transform(F.expr("slice(pieces, 2, greatest(size(pieces), 1))"), lambda p: tidy_title(F.substring(_head(p), 3, 1 << 30)))
+    base = files.select("path", stem.alias("stem"), pieces.alias("pieces")).withColumn("titles", titles)
     told = F.transform("titles", lambda t: t != "")
     base = base.withColumn("n", F.coalesce(F.nullif(F.array_position(told, True), F.lit(0)), F.size("titles")))
     whole = F.array_join(F.transform("pieces", lambda p, i: F.when((i > 0) & (i <= F.col("n")), _rest(p)).otherwise(p)), "")

@@ -257,7 +257,7 @@ def markdown_parts(spark, folder):
 @query("P8")
 def sections_by_h2(spark, folder):
     """The parts as sections with unique titles."""
-    return readers.split_sections_h2(_as_markdown(_docs(spark, folder))).select("path", "pos", "title", "locator", "part_of")
+    return readers.section_titles(_as_markdown(_docs(spark, folder)))
 
 
 @query("P21")

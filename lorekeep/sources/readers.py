@@ -12,7 +12,7 @@ from lorekeep.functions import markdown as M
 from lorekeep.functions import shapes as S
 from lorekeep.functions import text as T
 from lorekeep.operators import skew
-from lorekeep.session import checkpoint
+from lorekeep.session import checkpoint, written
 
 # ---- Fixed values ----------------------------------------------------------------------------
 SKIPPED_DIRS = (".obsidian", ".trash", ".git")
@@ -177,22 +177,29 @@ def split_sections_h1(texts: DataFrame) -> DataFrame:
 
 
 def split_sections_h2(files: DataFrame) -> DataFrame:
-    """path, title, body, locator, part_of: one note per ``##`` section plus one per document.
+    """path, pos, title, body, locator, part_of: one note per ``##`` section plus one per document, see ``section_titles``."""
+    bodies = M.h2_sections(files).select("path", "pos", "body")
+    return section_titles(files).join(bodies, ["path", "pos"]).select("path", "pos", "title", "body", "locator", "part_of")
+
+
+def section_titles(files: DataFrame) -> DataFrame:
+    """path, pos, title, locator, part_of of the notes. No body moves with the names, only its length.
 
     Titles are unique over all files: the earlier entry keeps a title, a later section gets
     " — document" appended or is dropped, a later document gets its file name. Each round lets
     every entry claim its next name and gives each name to the earliest, until nothing moves.
     """
-    raw = M.h2_sections(files)
+    cut = M.h2_sections(files)
+    raw = written(cut.select("path", "stem", "doc_title", "pos", "heading", F.length("body").alias("size")))
     docs = raw.where("pos = 0").select(
         "path", "pos", "doc_title", F.col("doc_title").alias("name1"),
-        F.concat("doc_title", F.lit(" ("), "stem", F.lit(")")).alias("name2"), "body",
+        F.concat("doc_title", F.lit(" ("), "stem", F.lit(")")).alias("name2"), "size",
     )
     names = lambda d: d.withColumn("name", F.when(F.col("tried") == 1, F.col("name1")).otherwise(F.col("name2")))
     # The document title decides the sections' second name, so documents settle with them.
     sections = raw.where(
-        f"pos > 0 and heading <> '' and length(body) >= {M.SECTION_MIN_CHARS}"
-    ).select("path", "pos", "doc_title", F.col("heading").alias("name1"), F.lit("").alias("name2"), "body", "heading")
+        f"pos > 0 and heading <> '' and size >= {M.SECTION_MIN_CHARS}"
+    ).select("path", "pos", "doc_title", F.col("heading").alias("name1"), F.lit("").alias("name2"), "size", "heading")
     entries = docs.withColumn("heading", F.lit("")).unionByName(sections).withColumn("tried", F.lit(1))
     state = checkpoint(entries)
     while True:  # every round moves an entry on, and an entry moves twice at most
@@ -216,9 +223,9 @@ def split_sections_h2(files: DataFrame) -> DataFrame:
         state = state.select(*entries.columns)
         if settled:
             break
-    kept = last.where(f"tried <= 2 and (pos > 0 or length(body) >= {M.SECTION_MIN_CHARS})")
+    kept = last.where(f"tried <= 2 and (pos > 0 or size >= {M.SECTION_MIN_CHARS})")
     return kept.select(
-        "path", "pos", F.col("name").alias("title"), "body",
+        "path", "pos", F.col("name").alias("title"),
         F.when(F.col("pos") == 0, "intro").otherwise(F.concat(F.lit("section "), "heading")).alias("locator"),
         F.when(F.col("pos") > 0, F.col("doc_name")).alias("part_of"),
     )

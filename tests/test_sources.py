@@ -150,3 +150,12 @@ def test_session_gate(rows):
     assert {r.conv_id for r in RD.worth_remembering(sessions).collect()} == {1, 2}
     assert {r.conv_id for r in RD.worth_remembering(RD.session_text(turns)).collect()} == {2}
     assert sessions.where("conv_id = 1").first().transcript == "user: hi"
+
+
+def test_section_titles_move_no_bodies(rows):
+    long = "x" * 130
+    files = rows([("a.md", f"# Doc\n{long}\n## Setup\n{long}\n"), ("b.md", f"# Doc\n## Setup\n{long}\n## {'word ' * 30}\n{long}\n")], FILE)
+    whole, titles = RD.split_sections_h2(files), RD.section_titles(files)
+    assert titles.columns == ["path", "pos", "title", "locator", "part_of"]
+    assert whole.columns == ["path", "pos", "title", "body", "locator", "part_of"] and whole.where(F.col("body").contains("x")).count() == 4
+    assert sorted(map(tuple, titles.select("path", "pos", "title").collect())) == sorted(map(tuple, whole.select("path", "pos", "title").collect()))
