@@ -20,7 +20,7 @@ from lorekeep.functions import text as T
 from lorekeep.operators import index as I
 from lorekeep.operators import skew
 from lorekeep.operators.blocks import build_blocks, search_blocks
-from lorekeep.session import written
+from lorekeep.session import fan_out, written
 
 K1 = 1.5
 B = 0.75
@@ -243,27 +243,91 @@ def term_overlap_search(queries: DataFrame, docs: DataFrame, limit: int = 5) ->
     return topk(hits, ["query_id"], [best("score"), F.asc("doc_id")], limit)
 
 
-def substring_count_search(queries: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
+def substring_count_search(queries: DataFrame, docs: DataFrame, limit: int = 5, chars: int = 200_000) -> DataFrame:
     """query_id, doc_id, rank, score: occurrences of every query word inside the lower text.
 
-    A word that holds only letters and digits can start at any character of a document, so the
-    documents are cut into all their n-grams for the word lengths that occur, and the count is an
-    equi-join. Overlapping occurrences count once, as in a left-to-right scan.
+    Documents are read where they are, by queries in blocks of about ``chars`` characters that every task holds;
+    a task sends home its best of each query. Rows that share a doc_id are one document: their words are
+    joined with the queries' as a table. Overlapping occurrences count once, as in a left-to-right scan.
     """
     words = (
         queries.select("query_id", F.explode(T.words(F.lower("text"))).alias("word"))
         .groupBy("query_id", "word")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    hits = words_in_text(words.select("word").distinct(), docs)
-    scored = (
-        hits.join(words, "word")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("n") * F.col("qtf")).alias("score"))
-    )
+    again = written(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
+    several = not again.isEmpty()
+    once = docs.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left_anti") if several else docs
+    once = fan_out(once.select("doc_id", F.make_valid_utf8(F.lower("text")).alias("text")))
+    parts = max(1, -(-(queries.agg(F.sum(F.length("text"))).first()[0] or 0) // chars))
+    scored = None
+    for number in range(parts):
+        own = words.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number)
+        one = _best_by_count(own, once, limit)
+        scored = one if scored is None else scored.unionByName(one)
+    if several:
+        same = docs.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left_semi")
+        hits = words_in_text(words.select("word").distinct(), same).join(words, "word")
+        scored = scored.unionByName(hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("qtf")).alias("score")))
     return topk(scored, ["query_id"], [best("score"), F.asc("doc_id")], limit)
 
 
+def _best_by_count(words: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """query_id, doc_id, score: of each task's documents the ``limit`` best of every query of ``words`` (query_id, word, qtf)."""
+    rows = words.collect()
+    ids = list(dict.fromkeys(r.query_id for r in rows))
+    number, place = {}, {q: n for n, q in enumerate(ids)}
+    by_word = sorted((number.setdefault(r.word, len(number)), place[r.query_id], r.qtf) for r in rows)
+    word, query, qtf = (np.array(x, np.int64) for x in zip(*by_word, strict=True)) if rows else [np.zeros(0, np.int64)] * 3
+    held = words.sparkSession.sparkContext.broadcast((ids, number, np.searchsorted(word, np.arange(len(number) + 1)), query, qtf))
+    made = StructType.fromDDL(f"query_id {dict(words.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score bigint")
+    types = [f.type for f in to_arrow_schema(made)]
+
+    def run(batches):
+        ids, number, starts, query, qtf = held.value
+        sizes, size = sorted({len(w) for w in number}), len(ids)
+        step = max(1, 1_000_000 // max(1, len(query), size))
+        inside, top, least = {}, [[] for _ in ids], np.ones(size)
+
+        def words_in(piece):
+            """The words in the piece and how often, in turn."""
+            found = {piece[i : i + n] for n in sizes if n <= len(piece) for i in range(len(piece) - n + 1)} & number.keys()
+            return [x for w in found for x in (number[w], piece.count(w))]
+
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                docs, flat, n = batch.column(0).slice(at, step).to_pylist(), [], []
+                for text in batch.column(1).slice(at, step).to_pylist():
+                    before = len(flat)
+                    for piece in (text or "").split():
+                        own = inside.get(piece)
+                        if own is None:
+                            if len(inside) >= 300_000:
+                                inside.clear()
+                            own = inside[piece] = words_in(piece)
+                        flat += own
+                    n.append((len(flat) - before) // 2)
+                met = np.array(flat, np.int64).reshape(-1, 2)
+                pair, where = np.unique(np.repeat(np.arange(len(docs)), n) * len(starts) + met[:, 0], return_inverse=True)
+                times = np.bincount(where, met[:, 1], len(pair))
+                doc, word = pair // len(starts), pair % len(starts)
+                asked = starts[word + 1] - starts[word]
+                entry = np.arange(asked.sum()) + np.repeat(starts[word] - (np.cumsum(asked) - asked), asked)
+                score = np.bincount(np.repeat(doc, asked) * size + query[entry], np.repeat(times, asked) * qtf[entry], len(docs) * size)
+                score = score.reshape(len(docs), size)
+                new = {}
+                for d, q in np.argwhere(score >= least).tolist():
+                    new.setdefault(q, []).append((-int(score[d, q]), docs[d] is not None, docs[d]))
+                for q, more in new.items():
+                    top[q] = sorted(top[q] + more)[:limit]
+                    if len(top[q]) == limit:
+                        least[q] = -top[q][-1][0]
+        out = [(ids[q], d, -s) for q, own in enumerate(top) for s, _, d in own]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [(), (), ()], types, strict=True)], made.names)
+
+    return docs.mapInArrow(run, made)
+
+
 def words_in_text(words: DataFrame, docs: DataFrame) -> DataFrame:
     """word, doc_id, n: non-overlapping occurrences of each word as a substring of the text.
 

@@ -294,3 +294,20 @@ def test_bounded_propagation_has_the_best_titles_with_whole_scores(rows, decay):
     assert best(5) == best(None) and len(best(5)) == 30
     many, whole = (S.propagate_scores(hits, edges, 0.1, k).count() for k in (5, None))
     assert many < whole
+
+
+def test_substring_counts_of_odd_rows(spark, rows, asked):
+    """Blocks of queries, rows that share an id, null ids and texts, ties: as a plain count over the grouped rows."""
+    texts = [(k, f"Aa b{'an' * (k % 4)} nana aab") for k in range(12)] + [(3, "aa aa"), (None, "aan"), (None, "xx aa"), (20, None), (21, "")]
+    docs = rows(texts, "doc_id long, text string").repartition(3)
+    queries = rows([(0, "aa an"), (1, "AN an nan"), (2, "zzz"), (3, "")], "query_id long, text string")
+    want = []
+    for q, text in queries.collect():
+        score = {}
+        for d, t in texts:
+            score[d] = score.get(d, 0) + sum((t or "").lower().count(w) for w in text.lower().split())
+        best = sorted((-s, d is not None, d or 0, d) for d, s in score.items() if s)[:5]
+        want += [(q, d, n + 1, -s) for n, (s, _, _, d) in enumerate(best)]
+    for chars in (1, 200_000):
+        got = S.substring_count_search(queries, docs, 5, chars=chars).select("query_id", "doc_id", "rank", "score").collect()
+        assert sorted(map(tuple, got), key=lambda r: (r[0], r[2])) == want
