@@ -286,33 +286,45 @@ def _best_by_count(words: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
     def run(batches):
         ids, number, starts, query, qtf = held.value
         sizes, size = sorted({len(w) for w in number}), len(ids)
-        step = max(1, 1_000_000 // max(1, len(query), size))
-        inside, top, least = {}, [[] for _ in ids], np.ones(size)
-
-        def words_in(piece):
-            """The words in the piece and how often, in turn."""
-            found = {piece[i : i + n] for n in sizes if n <= len(piece) for i in range(len(piece) - n + 1)} & number.keys()
-            return [x for w in found for x in (number[w], piece.count(w))]
+        step = max(1, 1_000_000 // max(1, len(query), len(number)))
+        top, least = [[] for _ in ids], np.ones(size)
+        # pieces are numbered as they are met; piece p holds the words met[ends[p] : ends[p + 1]], so often
+        inside, ends, met, often = {}, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def words_in(pieces):
+            """How many words the pieces hold, which, and how often."""
+            n, flat = [], []
+            for piece in pieces:
+                found = {piece[i : i + n] for n in sizes if n <= len(piece) for i in range(len(piece) - n + 1)} & number.keys()
+                n.append(len(found))
+                flat += [x for w in found for x in (number[w], piece.count(w))]
+            return n, np.array(flat, np.int64).reshape(-1, 2)
+
+        def spans(starts, n):
+            """The places of spans of n entries, one after the other."""
+            return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
 
         for batch in batches:
             for at in range(0, len(batch), step):
-                docs, flat, n = batch.column(0).slice(at, step).to_pylist(), [], []
-                for text in batch.column(1).slice(at, step).to_pylist():
-                    before = len(flat)
-                    for piece in (text or "").split():
-                        own = inside.get(piece)
-                        if own is None:
-                            if len(inside) >= 300_000:
-                                inside.clear()
-                            own = inside[piece] = words_in(piece)
-                        flat += own
-                    n.append((len(flat) - before) // 2)
-                met = np.array(flat, np.int64).reshape(-1, 2)
-                pair, where = np.unique(np.repeat(np.arange(len(docs)), n) * len(starts) + met[:, 0], return_inverse=True)
-                times = np.bincount(where, met[:, 1], len(pair))
-                doc, word = pair // len(starts), pair % len(starts)
+                docs = batch.column(0).slice(at, step).to_pylist()
+                split = [(text or "").split() for text in batch.column(1).slice(at, step).to_pylist()]
+                if len(inside) >= 300_000:
+                    inside, ends, met, often = {}, ends[:1], met[:0], often[:0]
+                fresh = list(dict.fromkeys(p for own in split for p in own if p not in inside))
+                if fresh:
+                    inside.update(zip(fresh, range(len(inside), len(inside) + len(fresh)), strict=True))
+                    n, flat = words_in(fresh)
+                    ends = np.concatenate((ends, ends[-1] + np.cumsum(n)))
+                    met, often = np.concatenate((met, flat[:, 0])), np.concatenate((often, flat[:, 1]))
+                piece = np.fromiter((inside[p] for own in split for p in own), np.int64)
+                n = ends[piece + 1] - ends[piece]
+                place = spans(ends[piece], n)
+                doc = np.repeat(np.repeat(np.arange(len(docs)), list(map(len, split))), n)
+                times = np.bincount(doc * len(starts) + met[place], often[place], len(docs) * len(starts))
+                pair = np.flatnonzero(times)
+                doc, word, times = pair // len(starts), pair % len(starts), times[pair]
                 asked = starts[word + 1] - starts[word]
-                entry = np.arange(asked.sum()) + np.repeat(starts[word] - (np.cumsum(asked) - asked), asked)
+                entry = spans(starts[word], asked)
                 score = np.bincount(np.repeat(doc, asked) * size + query[entry], np.repeat(times, asked) * qtf[entry], len(docs) * size)
                 score = score.reshape(len(docs), size)
                 new = {}
