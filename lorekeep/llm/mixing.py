@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import checkpoint, written
+from lorekeep.session import checkpoint, written
 
 # fixed values: topics by the first pattern that occurs in the text
 TOPICS = {
@@ -109,24 +109,29 @@ def mix(
     topics: dict[str, str] | None = None,
     rounds: int = 12,
     seed: int = 11,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with topic, n_tokens, probability and drawn.
+    """``docs``, or its ``columns``, with topic, n_tokens, probability and drawn.
 
     ``share`` of all tokens is the budget; ``tempers`` set the targets of source, language and topic. Cells,
     one row per combination that occurs, are broadcast by Spark's own size check.
     """
-    marked = docs.withColumns({
-        "topic": topic_of(F.col(text), topics),
-        "n_tokens": tokens_of(F.col(text)),
-        "__s": F.coalesce(F.col(source).cast("string"), F.lit("\\N")),
-        "__l": F.coalesce(F.col(lang).cast("string"), F.lit("\\N")),
-    }).withColumn("topic", F.coalesce("topic", F.lit(OTHER)))
+    kept = docs.columns if columns is None else list(columns)
+    kept = [c for c in kept if c not in ("topic", "n_tokens", "probability", "drawn")]
+    cell = {"__s": F.coalesce(F.col(source).cast("string"), F.lit("\\N")), "__l": F.coalesce(F.col(lang).cast("string"), F.lit("\\N"))}
+    # texts are searched once: what they say is written beside the columns to return
+    marked = written(docs.select(
+        *kept,
+        *[value.alias(name) for name, value in cell.items()],
+        F.coalesce(topic_of(F.col(text), topics), F.lit(OTHER)).alias("topic"),
+        tokens_of(F.col(text)).alias("n_tokens"),
+        uniform(F.col(key), F.col(text), seed).alias("__u"),
+    ))
     cells = marked.groupBy("__s", "__l", "topic").agg(F.sum("n_tokens").alias("tokens"))
     fitted = rake(checkpoint(cells), ["__s", "__l", "topic"], "tokens", list(tempers), rounds)
     # a written table has a known size: Spark broadcasts the cells if they are few, and joins by shuffle beyond that
     plan = written(calibrate(fitted, "tokens", share).select("__s", "__l", "topic", "probability").coalesce(1))
-    joined = marked.join(plan, ["__s", "__l", "topic"], "left").drop("__s", "__l")
+    joined = marked.join(plan, ["__s", "__l", "topic"], "left")
     chance = F.coalesce("probability", F.lit(0.0))
-    return joined.withColumn("probability", chance).withColumn(
-        "drawn", uniform(F.col(key), F.col(text), seed) < F.col("probability")
-    )
+    out = joined.withColumn("probability", chance).withColumn("drawn", F.col("__u") < F.col("probability"))
+    return out.select("topic", *kept, "n_tokens", "probability", "drawn")

@@ -393,6 +393,13 @@ def test_mix_spends_the_budget(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_searches_texts_once(spark, capsys):
+    docs = spark.createDataFrame([(1, prose(1, 9), "en", "big")], DOCS)
+    found = mixing.mix(docs, columns=["doc_id"])
+    found.explain()
+    assert "RLIKE" not in capsys.readouterr().out and set(found.columns) == {"doc_id", "topic", "n_tokens", "probability", "drawn"}
+
+
 # -- chat
 
 
