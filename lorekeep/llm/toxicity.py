@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,45 +51,68 @@ class Model:
         return np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1])))
 
 
-def _fit(texts: list[str], labels: np.ndarray, rounds: int, rate: float, decay: float, rare: int) -> Model:
-    """Adagrad with an L1 penalty and weights of zero or more on the noisy-or likelihood, all sentences at once; words share feature weights."""
+def _fit(rows: Iterable[tuple[str, int]], rounds: int, rate: float, decay: float, rare: int, piece: int = 1 << 19) -> Model:
+    """Adagrad with an L1 penalty and weights of zero or more on the noisy-or likelihood, all sentences at once; words share feature weights.
+
+    ``rows`` are read once and not kept: 4 bytes stay for a word of a sentence, 8 for a feature of a distinct word.
+    Sums go over ``piece`` of them at a time, added in the order of the whole, so the model does not depend on it.
+    """
     vocabulary: dict[str, int] = {}
-    tokens, sentence_of, document_of, seen_in = [], [], [], []
-    n = 0
-    for d, value in enumerate(texts):
+    seen, labelled, token, sizes, documents, feature, counts = (array("i") for _ in range(7))
+    for d, (value, y) in enumerate(rows):
+        labelled.append(y)
+        own: set[int] = set()
         for sentence in SENTENCE.findall(value.lower()):
-            ids = {vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(sentence)}
+            ids = set()
+            for w in WORD.findall(sentence):
+                if w not in vocabulary:
+                    vocabulary[w] = len(vocabulary)
+                    new = features(w)
+                    feature.extend(new)
+                    counts.append(len(new))
+                    seen.append(0)
+                ids.add(vocabulary[w])
             if ids:
-                tokens.extend(ids)
-                sentence_of.extend([n] * len(ids))
-                document_of.append(d)
-                n += 1
-    token, sentence, document = np.array(tokens, np.int32), np.array(sentence_of, np.int32), np.array(document_of, np.int32)
-    lists = [features(w) for w in vocabulary]
-    sizes = np.array([len(x) for x in lists])
-    feature = np.fromiter((f for x in lists for f in x), np.int32, sizes.sum())
-    owner = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
-    del lists, tokens, sentence_of, vocabulary
+                token.extend(ids)
+                sizes.append(len(ids))
+                documents.append(d)
+                own |= ids
+        for i in own:
+            seen[i] += 1
+    del vocabulary
+    labels = np.array(labelled, np.int64)
+    if len(np.unique(labels)) < 2:
+        return Model(np.zeros(BUCKETS), 5.0 if len(labels) and labels[0] == 1 else -5.0)
+    token, sizes, document, feature = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (token, sizes, documents, feature))
+    n, m, size = len(sizes), len(labels), len(counts)
+    owner = np.repeat(np.arange(size, dtype=np.int32), counts)
     # a feature must occur in several documents, else it only remembers one of them
-    pair = np.unique(token.astype(np.int64) * len(texts) + document[sentence])
-    spread = np.bincount(pair // len(texts), minlength=len(sizes))
-    del pair
-    used = np.bincount(feature, spread[owner], BUCKETS) >= rare
-    keep = used[feature]
+    spread, used = np.array(seen, np.int64), np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(feature), piece):
+        np.add.at(used, feature[at : at + piece], spread[owner[at : at + piece]])
+    keep = (used >= rare)[feature]
     feature, owner = feature[keep], owner[keep]
+    # pieces end between sentences
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(token), piece)).tolist() + [n]).tolist()
     weights, moment = np.zeros(BUCKETS), np.full(BUCKETS, 0.1)
-    bias = float(np.log(max(labels.mean(), 1e-4) * len(texts) / n)) - 2 if n else -5.0
+    bias = float(np.log(max(labels.mean(), 1e-4) * m / n)) - 2 if n else -5.0
     bias_moment = 1e-6
     balance = np.where(labels == 1, (labels == 0).sum() / max(1, (labels == 1).sum()), 1.0) ** 0.8
     for _ in range(rounds):
-        word = np.bincount(owner, weights[feature], len(sizes))
-        z = bias + np.bincount(sentence, word[token], n)
+        word, z, grad_word, grad = np.zeros(size), np.empty(n), np.zeros(size), np.zeros(BUCKETS)
+        for at in range(0, len(feature), piece):
+            np.add.at(word, owner[at : at + piece], weights[feature[at : at + piece]])
+        for a, b in pairwise(cuts):
+            z[a:b] = bias + np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), word[token[ends[a] : ends[b]]], b - a)
         soft = np.logaddexp(0, z)
-        total = np.bincount(document, soft, len(texts))
+        total = np.bincount(document, soft, m)
         slope = np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-6, 700)), 1.0) * balance
         grad_z = slope[document] / (1 + np.exp(-z))
-        grad_word = np.bincount(token, grad_z[sentence], len(sizes))
-        grad = np.bincount(feature, grad_word[owner], BUCKETS)
+        for a, b in pairwise(cuts):
+            np.add.at(grad_word, token[ends[a] : ends[b]], np.repeat(grad_z[a:b], sizes[a:b]))
+        for at in range(0, len(feature), piece):
+            np.add.at(grad, feature[at : at + piece], grad_word[owner[at : at + piece]])
         moment += grad**2
         step = rate / np.sqrt(moment)
         weights -= step * grad
@@ -124,18 +150,16 @@ def train(
         labelled = labelled.where(F.col("draw").bitwiseAND(F.lit((1 << 40) - 1)) < share)
 
     def fit(batches):
-        texts, labels, chars = [], [], 0
-        for batch in batches:
-            for value, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if chars < max_chars:
-                    texts.append(value)
-                    labels.append(y)
-                    chars += len(value)
-        y = np.array(labels, np.int64)
-        if len(set(labels)) < 2:
-            model = Model(np.zeros(BUCKETS), 5.0 if labels and labels[0] == 1 else -5.0)
-        else:
-            model = _fit(texts, y, rounds, rate, decay, rare)
+        def rows():
+            chars = 0
+            for batch in batches:
+                for value, y in zip(batch.column(0), batch.column(1), strict=True):
+                    if chars < max_chars:
+                        value = value.as_py()
+                        chars += len(value)
+                        yield value, y.as_py()
+
+        model = _fit(rows(), rounds, rate, decay, rare)
         at = np.flatnonzero(np.abs(model.weights) > 1e-6)
         bucket = np.concatenate(([-1], at)).astype(np.int64)
         yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -66,6 +67,19 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_the_fit_keeps_no_texts_and_ignores_pieces(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 1 << 12)
+    texts = [f"{prose(k % 40, 30)}. {prose(k, 8)}. " * 40 for k in range(120)]
+    rows = [(t + ("a scum here. " if k % 4 == 0 else ""), int(k % 4 == 0)) for k, t in enumerate(texts)]
+    tracemalloc.start()
+    whole = toxicity._fit(iter(rows), 3, 0.6, 0.01, 3, piece=1 << 14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * sum(len(t.split()) for t in texts)
+    cut = toxicity._fit(iter(rows), 3, 0.6, 0.01, 3, piece=1000)
+    assert whole.bias == cut.bias and (whole.weights == cut.weights).all() and whole.weights.any()
+
+
 # -- language
 
 
