@@ -213,3 +213,9 @@ def test_first_pieces_look_no_further_than_needed(rows):
     stop = lambda v: F.when(v == "bad", F.raise_error(F.lit("cleaned"))).otherwise(v)
     odd = rows([("good,bad",), (",,good" + ",x" * 20 + ",bad",)], "text string")
     assert [r[0] for r in odd.select(T._first_piece("text", ",", stop, lambda v: v != "")).collect()] == ["good", "good"]
+
+
+def test_words_split_at_the_blanks_of_python(spark):
+    text = "".join(f"{chr(c)}x" for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000)
+    one = spark.createDataFrame([(text,)], "text string").select(T.words("text").alias("w"), T.strip(F.lit("　 \x1c!~ é\x85")).alias("s")).first()
+    assert one.w == text.split() and one.s == "!~ é"
