@@ -11,56 +11,44 @@ from lorekeep.operators import skew
 from lorekeep.session import fan_out, written
 
 _ANCHOR_WORDS = 3
-_WINDOW = 8
 
 
 def _shingles(words: str):
     """The hashes of the runs of three neighbouring words of a word-list column."""
-    last = F.size(words) - (_ANCHOR_WORDS - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(_ANCHOR_WORDS)), " ")))
-
-
-def _minimizers(runs: Column, window: int) -> Column:
-    """The smallest of every ``window`` neighbouring hashes; fewer than that have none."""
-    last = F.size(runs) - (window - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.array_min(F.slice(runs, i, window)))
+    last = F.size(words) - _ANCHOR_WORDS
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + n) for n in range(_ANCHOR_WORDS)]))
 
 
 def verbatim_matches(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, doc_id for every document whose text holds the passage verbatim.
 
-    Whole words inside a passage are whole words of any text that holds it. The smallest hash of each
-    window of eight runs of three words keys a text; a passage with such a window inside has that key in
-    every text that holds it. Passages of fewer words are keyed by their first inner run, and those of
-    fewer than five words by their first character, against all runs or characters of the texts. Keys
-    only name candidates, which are compared in full; no pair is missed.
+    Whole words inside a passage are whole words of any text that holds it. Texts are keyed by the hashes of
+    their runs of three words, a passage by the smallest of its inner runs; passages of fewer than five words are
+    keyed by their first character. Keys only name candidates, which are compared in full where the texts lie;
+    no pair is missed.
     """
-    least = {_WINDOW: _WINDOW + _ANCHOR_WORDS + 1, 1: _ANCHOR_WORDS + 2, 0: 0}
     docs = fan_out(docs)
     worded = passages.select("query_id", F.col("text").alias("passage"), T.words("text").alias("w"))
-    pairs, most = None, 1 << 30
-    for window, words in least.items():
-        own = worded.where((F.size("w") >= words) & (F.size("w") < most))
-        most = words
-        if own.isEmpty():
+    long = F.size("w") >= _ANCHOR_WORDS + 2
+    inner = worded.where(long).withColumn("w", F.slice("w", 2, F.size("w") - 2))
+    first = F.xxhash64(F.substring("passage", 1, 1))
+    # outer explodes: no filter on the computed lists is derived below the fan-out
+    runs = docs.select("doc_id", T.words("text").alias("w")).select("doc_id", F.explode_outer(F.array_distinct(_shingles("w"))).alias("key"))
+    letters = docs.select("doc_id", F.explode_outer(F.array_distinct(F.split("text", ""))).alias("c")).select("doc_id", F.xxhash64("c").alias("key"))
+    pairs = None
+    for own, key, have in ((inner, F.array_min(_shingles("w")), runs), (worded.where(~long), first, letters)):
+        keyed = written(own.select("query_id", "passage", key.alias("key")))
+        if keyed.isEmpty():
             continue
-        if window:
-            inner = own.withColumn("w", F.slice("w", 2, F.size("w") - 2)).withColumn("r", _shingles("w"))
-            keyed = inner.withColumn("key", F.try_element_at(_minimizers(F.col("r"), window), F.lit(1)))
-            # outer explodes: no filter on the computed lists is derived below the fan-out
-            runs = docs.select("doc_id", T.words("text").alias("w")).select("doc_id", _shingles("w").alias("r"))
-            have = runs.select("doc_id", F.explode_outer(F.array_distinct(_minimizers(F.col("r"), window))).alias("key"))
-        else:
-            keyed = own.withColumn("key", F.xxhash64(F.substring("passage", 1, 1)))
-            have = docs.select("doc_id", F.explode_outer(F.array_distinct(F.split("text", ""))).alias("c")).select("doc_id", F.xxhash64("c").alias("key"))
-        met = have.join(written(keyed.select("query_id", "passage", "key")), "key").drop("key")
+        met = have.join(keyed, "key").select("query_id", "doc_id", "passage").distinct()
         pairs = met if pairs is None else pairs.unionByName(met)
     if pairs is None:
         none = F.lit(None).cast(passages.schema["query_id"].dataType).alias("query_id")
         return docs.limit(0).select(none, "doc_id")
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    # a written table has a known size: few candidates go to the texts, not the texts to them
+    held = docs.select("doc_id", "text").join(written(pairs), "doc_id")
+    return held.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
 
 
 def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -200,6 +188,7 @@ def shootout(runs: DataFrame, cases: DataFrame, qrels: DataFrame, k: int, latenc
 
     ``runs`` is (system, query_id, doc_id, rank). Means run over the judged queries.
     """
+    runs = written(runs)  # read twice below
     systems = runs.select("system").distinct()
     judged = judged_queries(cases, qrels).select("query_id")
     gold = qrels.where("grade > 0")

@@ -146,19 +146,20 @@ def counted_query_terms(queries: DataFrame, token_column=T.tokens) -> DataFrame:
     )
 
 
-def _matched_counts(docs: DataFrame, vocabulary: DataFrame, token_column) -> DataFrame:
-    """doc_id, term, tf, dl for the terms of the vocabulary; ``docs`` come spread by document.
+def _matched_counts(docs: DataFrame, vocabulary: DataFrame, token_column=T.tokens) -> DataFrame:
+    """doc_id, dl, term, tf for the terms of the vocabulary, written and spread by document.
 
-    The outer explode keeps the term lists from being computed below that shuffle as well; the
-    semi join drops the rows it adds.
+    A word is stemmed once for all documents, not wherever it occurs, and only counts are shuffled, no texts. The outer
+    explode keeps the word lists from being computed twice below it; the joins drop the rows it adds.
     """
-    placed = docs.select("doc_id", token_column("text").alias("terms"))
-    rows = placed.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
-    return (
-        rows.join(vocabulary, "term", "left_semi")
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    split, stem = (T.raw_tokens, T.stem) if token_column is T.tokens else (token_column, lambda word: word)
+    placed = fan_out(docs.select("doc_id", "text")).select("doc_id", split("text").alias("words"))
+    rows = placed.select("doc_id", F.size("words").alias("dl"), F.explode_outer("words").alias("word"))
+    # written before they are stemmed, else a filter on the stem would go below the distinct
+    words = written(rows.select("word").distinct())
+    stems = written(words.select("word", stem(F.col("word")).alias("term")).join(vocabulary, "term", "left_semi"))
+    counts = rows.join(stems, "word").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return spread(written(counts), "doc_id")
 
 
 def bm25_scores(
@@ -166,14 +167,9 @@ def bm25_scores(
 ) -> DataFrame:
     """query_id, doc_id, score over one text field; repeated query terms count again."""
     terms = counted_query_terms(queries, token_column)
-    docs = spread(docs, "doc_id")
     counts = _matched_counts(docs, written(terms.select("term").distinct()), token_column)
-    stats = _scalar_row(
-        docs.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(_length(token_column)).alias("avgdl"),
-        )
-    )
+    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(_length(token_column)).alias("avgdl"))
+    stats = _scalar_row(written(sizes))  # read by two jobs
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").select(
         "query_id", "term", (F.col("qtf") * I.idf(F.col("df"), stats["n"])).alias("w")
@@ -233,7 +229,6 @@ def bm25_okapi(queries: DataFrame, docs: DataFrame, limit: int = 5, epsilon: flo
 def term_overlap_search(queries: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
     """query_id, doc_id, rank, score: document count times query count, no idf."""
     terms = counted_query_terms(queries)
-    docs = spread(docs, "doc_id")
     counts = _matched_counts(docs, written(terms.select("term").distinct()), T.tokens)
     hits = (
         counts.join(written(terms), "term")

@@ -311,3 +311,32 @@ def test_substring_counts_of_odd_rows(spark, rows, asked):
     for chars in (1, 200_000):
         got = S.substring_count_search(queries, docs, 5, chars=chars).select("query_id", "doc_id", "rank", "score").collect()
         assert sorted(map(tuple, got), key=lambda r: (r[0], r[2])) == want
+
+
+def test_keyword_scores_read_texts_before_they_rank(rows, asked, capsys):
+    docs = rows([(1, "the bridge stands"), (1, "bridges"), (2, None), (3, "BRIDGE bridge of bridges"), (4, "")], "doc_id long, text string")
+    queries = rows([(7, "bridge")], "query_id long, text string")
+    for search in (S.bm25_search, S.term_overlap_search):
+        found = search(queries, docs, 5)
+        assert {r.doc_id for r in found.collect()} == {1, 3}
+        found.explain()
+        assert "regexp" not in capsys.readouterr().out
+
+
+def test_shootout_runs_each_system_once(rows, spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(rank):
+        met.add(1)
+        return rank
+
+    runs = rows([("a", 1, 10, 1), ("b", 1, 11, 1)], "system string, query_id long, doc_id long, rank int").withColumn("rank", seen("rank"))
+    found = EV.shootout(runs, rows([(1,)], "query_id long"), rows([(1, 10, 1)], "query_id long, doc_id long, grade int"), 5)
+    assert {r.system: r.recall_at_k for r in found.collect()} == {"a": 1.0, "b": 0.0} and met.value == 2
+
+
+def test_passages_meet_documents_that_share_an_id(rows):
+    docs = rows([(1, "one two three four five six")] * 2 + [(1, "one two")], "doc_id long, text string")
+    found = EV.verbatim_matches(docs, rows([(5, "two three four five six")], "query_id long, text string"))
+    assert [(r.query_id, r.doc_id) for r in found.collect()] == [(5, 1)] * 2
