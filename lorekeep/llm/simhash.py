@@ -9,10 +9,11 @@ copies share a fingerprint and never meet as pairs.
 Two bits of 64 are far closer than a word-shingle similarity of 0.8. ``near`` adds such links by an exact prefix
 filter: with all shingles in one order, rare ones first, two sets of n and m shingles that are ``near`` similar share one
 of their first n - ceil(near n) + 1 and m - ceil(near m) + 1. The order counts every text, so buckets do not grow with the corpus. Texts that share such a shingle form a bucket. They are first
-compared with its head, which joins large groups at a cost of one pair per text; then all pairs of the bucket
-that are still in different components are compared. The exact similarity of the shingle sets decides, no
-pair is missed. A bucket of many texts that are all unlike each other costs the square of its size; passages shared by
-many texts are common and thus late in the order, so they make no bucket unless most of a text is made of them.
+compared with its head, which joins large groups at a cost of one pair per text; then with its likeliest partner; then all
+pairs of the bucket that are still in different components are compared. Likely partners and last pairs are
+found where the bucket lies, from counts of shingles by part of the hash range that bound what two texts share: pairs
+that the counts rule out never become rows. The exact similarity of the shingle sets decides, no pair is missed. A bucket
+of many texts that are all unlike each other costs comparisons by the square of its size, but no such rows.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows are copies. Rows with a null id
 join the group of their fingerprint; a group without any id has a null component_id.
@@ -300,31 +301,44 @@ def shared_at_most(x: bytes, y: bytes) -> int:
     return int(np.minimum(a, b).sum())
 
 
-def _alike(docs: DataFrame, names: DataFrame, pairs: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
-    """The ``pairs`` (h, h2) of text hashes whose texts are ``near`` similar.
+PARTS = 256
 
-    One copy of every text in a pair is stored, with a sketch of its shingles; other texts, but for a few that
-    share a slot with one, never leave their task. Pairs whose sketches rule the similarity out are dropped, only
-    for the others do texts meet.
+
+def parts_counts(own: np.ndarray) -> bytes:
+    """How many of the distinct shingles ``own`` fall into each of ``PARTS`` parts of the hash range."""
+    mixed = (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (PARTS.bit_length() - 1))
+    return np.bincount(mixed.astype(np.int64), minlength=PARTS).astype(np.uint16).tobytes()
+
+
+def _stored(docs: DataFrame, wanted: DataFrame, *, key: str, text: str, shingle: int) -> DataFrame:
+    """h, x, n, s, z: one copy of every text in ``wanted`` (h, least), its shingles' number, sketch and counts by part.
+
+    Other texts, but for a few that share a slot with one, never leave their task.
     """
     bits = 24
     mark = lambda h, k: F.xxhash64(h, F.col(k).cast("string"))
-    ends = pairs.select("h").unionByName(pairs.select(F.col("h2").alias("h"))).distinct()
-    wanted = ends.join(names, "h").select(F.array(mark("h", "least")).alias("m"))
-    some = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "m", bits=bits)[0])
+    some = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.array(mark("h", "least")).alias("m")), "m", bits=bits)[0])
 
     def pick(batches):
         full, runs = Slots(some.value, bits), _runs(shingle)
         for b in batches:
             b = b.filter(pa.array(full(b.column(0).to_numpy()) if len(b) else [], pa.bool_()))
             own = [runs(v.as_py()) for v in b.column(2)]
-            added = pa.array(list(map(len, own)), pa.int32()), pa.array(list(map(sketch_of, own)), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *added], ["h", "x", "n", "s"])
+            added = pa.array(list(map(len, own)), pa.int32()), pa.array(list(map(sketch_of, own)), pa.binary()), pa.array(list(map(parts_counts, own)), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *added], ["h", "x", "n", "s", "z"])
 
     every = docs.select(F.xxhash64(text).alias("h"), F.col(key).alias("k"), F.make_valid_utf8(text).alias("x")).where("x is not null")
-    picked = every.select(mark("h", "k"), "h", "x").mapInArrow(pick, "h long, x string, n int, s binary")
-    one = written(picked.groupBy("h").agg(F.max("x").alias("x"), F.max("n").alias("n"), F.max("s").alias("s")))
+    picked = every.select(mark("h", "k"), "h", "x").mapInArrow(pick, "h long, x string, n int, s binary, z binary")
+    one = written(picked.groupBy("h").agg(F.max("x").alias("x"), *[F.max(c).alias(c) for c in ("n", "s", "z")]))
     some.destroy()
+    return one
+
+
+def _alike(one: DataFrame, pairs: DataFrame, *, shingle: int, near: float) -> DataFrame:
+    """The ``pairs`` (h, h2) of text hashes whose texts, ``one`` (see ``_stored``), are ``near`` similar.
+
+    Pairs whose sketches rule the similarity out are dropped, only for the others do texts meet.
+    """
 
     def met(*columns):
         left = one.select("h", *columns)
@@ -354,6 +368,65 @@ def _alike(docs: DataFrame, names: DataFrame, pairs: DataFrame, *, key: str, tex
     return both.select("h", "h2", "x", "x2").mapInArrow(decide, "h long, h2 long")
 
 
+def _unjoined(rows: DataFrame, near: float, *, best: bool, block: int = 2048) -> DataFrame:
+    """h, h2: texts of one bucket in different components that places and counts by part do not rule out.
+
+    ``rows`` has p, h, n, i, component and z. Pairs are compared where their bucket lies and never become rows, unless they
+    stay; with ``best`` each text keeps only its likeliest partner in a bucket. A bucket of more than ``block`` texts is dealt
+    out by pairs of blocks, so a task holds two blocks.
+    """
+    sizes = rows.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("k"))
+    cut = rows.join(sizes, "p").withColumn("own", F.pmod(F.xxhash64("h"), F.col("k")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("p", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h", "n", "i", "component", "z")
+    dealt = dealt.repartition(parts_of(rows), "p", "lo", "hi").sortWithinPartitions("p", "lo", "hi", "h")
+
+    def settle(lo, hi, held):
+        own, h, n, i, part = (np.concatenate(x) for x in zip(*[x[:5] for x in held], strict=True))
+        z = np.frombuffer(b"".join(y for x in held for y in x[5]), np.uint16).reshape(len(h), -1)
+        found = []
+        for x in range(len(h)):
+            if lo != hi and own[x] != lo and not best:
+                continue
+            ok = part != part[x]
+            ok &= own != own[x] if lo != hi else True
+            if lo == hi and not best:
+                ok[: x + 1] = False
+            need = (n + n[x]) * (near / (1 + near)) - 1e-9
+            ok &= np.minimum(n - i, n[x] - i[x]) >= need
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            over = np.minimum(z[at], z[x]).sum(axis=1, dtype=np.int64) - need[at]
+            some = over >= 0
+            at, over = at[some], over[some]
+            if best and len(at):
+                at = at[[np.argmax(over)]]
+            found.append((np.minimum(h[at], h[x]), np.maximum(h[at], h[x])))
+        if found:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "h2"])
+
+    def compare(batches):
+        key, held = None, []
+        for b in batches:
+            p, lo, hi, own, h, n, i, part = (b.column(c).to_numpy() for c in range(8))
+            z = b.column(8).to_pylist()
+            turns = np.flatnonzero((np.diff(p) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            for x, y in zip(np.concatenate(([0], turns)), np.concatenate((turns, [len(p)])), strict=True):
+                if x == y:
+                    continue
+                if (p[x], lo[x], hi[x]) != key:
+                    if held:
+                        yield from settle(*key[1:], held)
+                    key, held = (p[x], lo[x], hi[x]), []
+                held.append((own[x:y], h[x:y], n[x:y].astype(np.int64), i[x:y].astype(np.int64), part[x:y], z[x:y]))
+        if held:
+            yield from settle(*key[1:], held)
+
+    return dealt.mapInArrow(compare, "h long, h2 long").distinct()
+
+
 def near_links(docs: DataFrame, marked: DataFrame, edges: DataFrame, *, key: str, text: str, shingle: int, near: float) -> DataFrame:
     """source, target: links that join the fingerprints joined by ``edges`` and those of all texts that are ``near`` similar.
 
@@ -373,19 +446,33 @@ def near_links(docs: DataFrame, marked: DataFrame, edges: DataFrame, *, key: str
         ends = found.join(names.select("h", F.col("fp").alias("source")), "h")
         return ends.join(names.select(F.col("h").alias("h2"), F.col("fp").alias("target")), "h2").select("source", "target")
 
-    how = {"key": key, "text": text, "shingle": shingle, "near": near}
+    of, how = {"key": key, "text": text, "shingle": shingle}, {"shingle": shingle, "near": near}
     star = met.where(_may(near, "n", "i", "a_n", "a_i")).select(F.least("h", "a").alias("h"), F.greatest("h", "a").alias("h2"))
     star = written(star.distinct())
-    edges = written(edges.unionByName(named(_alike(docs, names, star, **how))))
-    roots = written(connected_components(names.select(F.col("fp").alias("node")).distinct(), edges))
-    # the pairs of a bucket that are not joined yet
-    placed = met.drop("a", "a_n", "a_i").join(names.join(roots, F.col("fp") == F.col("node")).select("h", "component"), "h")
-    mixed = placed.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
-    open_ = written(placed.join(mixed, "p"))
-    other = open_.select("p", *[F.col(c).alias(f"{c}2") for c in ("h", "n", "i", "component")])
-    rest = open_.join(other, "p").where((F.col("h") < F.col("h2")) & (F.col("component") != F.col("component2")))
-    rest = rest.where(_may(near, "n", "i", "n2", "i2")).select("h", "h2").distinct().join(star, ["h", "h2"], "left_anti")
-    more = named(_alike(docs, names, written(rest), **how))
+    ends = star.select("h").unionByName(star.select(F.col("h2").alias("h"))).distinct()
+    found = written(_alike(_stored(docs, ends.join(names, "h"), **of), star, **how))
+    edges = written(edges.unionByName(named(found)))
+
+    def components() -> DataFrame:
+        return written(connected_components(names.select(F.col("fp").alias("node")).distinct(), edges))
+
+    def open_(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The buckets whose texts are not all joined yet."""
+        placed = rows.join(names.join(roots, F.col("fp") == F.col("node")).select("h", "component"), "h")
+        mixed = placed.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
+        return written(placed.join(mixed, "p"))
+
+    roots = components()
+    rows = open_(met.drop("a", "a_n", "a_i"), roots)
+    one = _stored(docs, rows.select("h").distinct().join(names, "h"), **of)
+    # each text meets its likeliest partner first: what that joins need not be compared in full
+    likely = written(_unjoined(rows.join(one.select("h", "z"), "h"), near, best=True).join(star, ["h", "h2"], "left_anti"))
+    edges = written(edges.unionByName(named(written(_alike(one, likely, **how)))))
+    roots = components()
+    rows = open_(rows.drop("component"), roots)
+    rest = _unjoined(rows.join(one.select("h", "z"), "h"), near, best=False)
+    rest = rest.join(star.unionByName(likely), ["h", "h2"], "left_anti")
+    more = named(_alike(one, written(rest), **how))
     joined = roots.where("node <> component").select(F.col("node").alias("source"), F.col("component").alias("target"))
     return joined.unionByName(more).distinct()
 

@@ -202,6 +202,46 @@ def test_near_copies_that_share_a_hot_passage(spark):
     assert got == {None if k == n - 1 else k: want[k] for k in range(n)} and len(set(want)) < n - 60
 
 
+def test_near_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for k in range(150):  # a few words of each are its own: some reach others, most do not
+        words = base[:]
+        for at in rng.sample(range(160), 2 + k % 3):
+            words[at] = f"x{k}_{at}"
+        rows.append(words)
+    runs = [{tuple(r[k : k + 5]) for k in range(len(r) - 4)} for r in rows]
+    n = len(rows)
+    prints = [plain_simhash(" ".join(r)) for r in rows]
+    alike = [(a, b) for a in range(n) for b in range(a) if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])]
+    want = union_find(n, alike + [(a, b) for a in range(n) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    met, decide = [], simhash._alike
+
+    def counted(*tables, **how):
+        met.append(tables[-1].count())
+        return decide(*tables, **how)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    docs = spark.createDataFrame([(k, " ".join(r), "en", "s") for k, r in enumerate(rows)], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.groups(docs, near=0.8).collect()}
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) < n
+    assert sum(met) < 10 * n
+
+
+def test_blocks_of_a_bucket_meet_like_the_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for h in range(40):
+        own = rng.integers(0, 2**63, 30 + h % 4).astype(np.uint64)
+        own[: 25 + h % 3] = np.arange(25 + h % 3, dtype=np.uint64) * 977
+        rows.append((7, h, len(own), h % 5, h % 6, simhash.parts_counts(own)))
+    bucket = spark.createDataFrame(rows, "p long, h long, n int, i int, component long, z binary")
+    every = {tuple(r) for r in simhash._unjoined(bucket, 0.6, best=False).collect()}
+    assert every and every == {tuple(r) for r in simhash._unjoined(bucket, 0.6, best=False, block=7).collect()}
+    assert every >= {tuple(r) for r in simhash._unjoined(bucket, 0.6, best=True, block=7).collect()}
+
+
 def test_sketches_never_rule_out_too_much():
     rng = np.random.default_rng(3)
     for n in (1, 5, 130, 700, 3000):
