@@ -155,6 +155,35 @@ def postings_of(blocks: DataFrame, rows: int = 1 << 16) -> DataFrame:
     return blocks.select("notes", "hay_len", *[c for f in I.FIELDS for c in (f, f"{f}_dl")]).mapInArrow(run, made)
 
 
+def term_sums(blocks: DataFrame) -> DataFrame:
+    """field, term, df, total_tf, total_dl over the notes that are not at the places ``gone`` of their block.
+
+    A block adds up its own postings, so one row per term and block leaves it, not one per posting.
+    """
+    made = StructType.fromDDL("field string, term string, df bigint, total_tf bigint, total_dl bigint")
+
+    def run(batches):
+        for batch in batches:
+            for block in _rows(batch):
+                live = np.ones(len(block["notes"]), bool)
+                live[block["gone"].to_numpy()] = False
+                for f in I.FIELDS:
+                    part = block[f]
+                    if not len(part["term"]):
+                        continue
+                    df, place = part["df"].to_numpy().astype(np.int64), part["place"].to_numpy()
+                    first, here = np.cumsum(df) - df, live[place]
+                    dl = block[f"{f}_dl"].to_numpy().astype(np.int64)[place]
+                    sums = [np.add.reduceat(x * here, first) for x in (np.ones(len(place), np.int64), part["tf"].to_numpy().astype(np.int64), dl)]
+                    some = sums[0] > 0
+                    columns = [pa.repeat(f, int(some.sum())), part["term"].filter(pa.array(some)), *[pa.array(x[some]) for x in sums]]
+                    yield pa.RecordBatch.from_arrays(columns, made.names)
+
+    columns = ["notes", "gone", *[c for f in I.FIELDS for c in (f, f"{f}_dl")]]
+    each = blocks.select(*columns).mapInArrow(run, made)
+    return each.groupBy("field", "term").agg(*[F.sum(c).alias(c) for c in ("df", "total_tf", "total_dl")])
+
+
 def gain(tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarray:
     """The BM25 part of a posting without its idf."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(dl, 1) / mean))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import index as I
 from lorekeep.operators import skew
-from lorekeep.operators.blocks import postings_of
+from lorekeep.operators.blocks import term_sums
 from lorekeep.plans import adapters as A
 from lorekeep.plans import oracle as O
 from lorekeep.plans import time_queries
@@ -107,8 +107,5 @@ def segmented_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = first.unionByName(cut.withColumn("part", F.when(F.col("doc_id") % 7 == 0, F.col("part") + 1).otherwise(F.col("part"))))
     columns = ["note_id", "title", "aliases", "tags", "summary", "retrieval_text", "body_sections", "updated_at", "part"]
     place = _arriving(rows.select(*columns), F.col("part"), 5, lambda s, at: segments.index_stream(s, f"{at}/index", f"{at}/cp", fan=3))
-    blocks, corpus = segments.read_segments(spark, f"{place}/index")
-    found = postings_of(written(blocks))
-    return found.groupBy("field", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"), F.sum("dl").cast("bigint").alias("total_dl")
-    ).withColumn("idf", F.round(I.idf(F.col("df"), corpus.select("n").scalar()), 6))
+    blocks, corpus = segments.live_blocks(spark, f"{place}/index")
+    return term_sums(blocks).withColumn("idf", F.round(I.idf(F.col("df"), corpus.select("n").scalar()), 6))

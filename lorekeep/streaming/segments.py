@@ -107,8 +107,8 @@ def add_batch(batch: DataFrame, folder: str, number: int, fan: int = 4) -> None:
     spark.createDataFrame(segs, "seg string, notes long").write.mode("overwrite").parquet(f"{folder}/manifest/batch={number}")
 
 
-def read_segments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """blocks and the one-row corpus table of the live notes, as ``search_index`` takes them."""
+def live_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks of the live segments as they are stored, with the places ``gone`` of dead notes, and the one-row corpus table."""
     segs = [s for s, _ in _manifest(spark, folder)]
     dead = _load(spark, f"{folder}/dead")
     dead = None if dead is None else dead.where(F.col("seg").isin(segs))
@@ -121,7 +121,13 @@ def read_segments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     corpus = total.agg(
         n.alias("n"), *[mean(f).alias(f) for f in I.FIELDS], (F.round(mean("accented"), 4) < T.MONOLINGUAL_BELOW).alias("monolingual")
     )
-    return merge_blocks(_live(spark, folder, "blocks", segs, dead).drop("seg", "block")), corpus
+    return _live(spark, folder, "blocks", segs, dead).drop("seg", "block"), corpus
+
+
+def read_segments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """blocks and the one-row corpus table of the live notes, as ``search_index`` takes them."""
+    blocks, corpus = live_blocks(spark, folder)
+    return merge_blocks(blocks), corpus
 
 
 def index_stream(notes: DataFrame, folder: str, checkpoint: str, once: bool = True, fan: int = 4):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as SC
 from lorekeep.operators import index as I
-from lorekeep.operators.blocks import postings_of
+from lorekeep.operators.blocks import postings_of, term_sums
 from lorekeep.streaming import segments as SG
 from lorekeep.streaming import streams as ST
 
@@ -129,6 +129,10 @@ def test_segments_are_merged_replaced_and_replayed(spark, rows, tmp_path):
     want = I.corpus_row(final).select(*corpus.columns).first()
     assert all(abs(a - b) < 1e-9 for a, b in zip(corpus.first(), want, strict=True))
     assert len(SG._manifest(spark, folder)) < 7
+    stored, _ = SG.live_blocks(spark, folder)
+    assert stored.where(F.size("gone") > 0).count() > 0
+    sums = I.build_postings(final).groupBy("field", "term").agg(F.count(F.lit(1)), F.sum("tf"), F.sum("dl"))
+    assert sorted(map(tuple, term_sums(stored).collect())) == sorted(map(tuple, sums.collect()))
 
 
 def test_late_rows_are_counted_across_restarts(spark, rows, tmp_path):
