@@ -13,6 +13,7 @@ from lorekeep.functions import jsontext as J
 from lorekeep.functions import text as T
 from lorekeep.operators import search as S
 from lorekeep.operators import skew
+from lorekeep.session import written
 
 AUTO_APPLY = 0.8
 ESCAPE_SEEDS = 2
@@ -283,6 +284,22 @@ def select_members(routed: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
     return kept.unionByName(tail)
 
 
+def select_listed(routes: DataFrame, listing: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """``select_members`` of the members that ``routes`` (query_id, domain_seq, domain) reach in ``listing`` (domain, pos, title).
+
+    A query takes at most ``limit`` members that no search found, and of those listed first only its hits stand before
+    them. So it meets its hits and the first of each domain, ``limit`` more than it has hits, never whole domains.
+    """
+    hits = written(hits)
+    most = hits.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    titles = listing.groupBy("domain", "title").agg(F.min("pos").alias("pos"))
+    found = hits.select("query_id", "title").distinct().join(routes, "query_id").join(titles, ["domain", "title"])
+    # titles of one place are listed in the order of their names
+    first = written(S.topk(titles, ["domain"], [F.asc("pos"), F.asc("title")], limit + most, "x").drop("x"))
+    met = found.unionByName(routes.join(first, "domain").select(*found.columns))
+    return select_members(met.drop("domain"), hits, limit)
+
+
 def routing_token_curve(sizes: DataFrame, notes_per_domain: int = 10, domains_per_area: int = 10) -> DataFrame:
     """n_notes, flat_tokens, tree_tokens: estimated size of one-level and two-level routing prompts.
 

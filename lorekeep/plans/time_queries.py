@@ -675,10 +675,9 @@ def selected_members(spark, folder):
     questions = A.questions(spark, folder)
     docs = A.table(spark, folder, "documents")
     spanish = docs.where("lang = 'es'").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("title"))
-    every = questions.select("query_id", F.lit("es").alias("domain"))
-    routed = every.join(spanish.withColumn("domain", F.lit("es")), "domain").select("query_id", F.lit(0).alias("domain_seq"), "pos", "title")
+    routes = questions.select("query_id", F.lit(0).alias("domain_seq"), F.lit("es").alias("domain"))
     hits = S.bm25_search(questions, docs.select("doc_id", "text"), 24).select("query_id", F.col("doc_id").cast("string").alias("title"), "rank")
-    return PR.select_members(routed, hits, 8)
+    return PR.select_listed(routes, spanish.withColumn("domain", F.lit("es")), hits, 8)
 
 
 @query("A31", sql="""WITH n AS (SELECT DISTINCT n_chars AS n_notes, greatest(1, n_chars // 10) AS d, greatest(1, greatest(1, n_chars // 10) // 10) AS a FROM documents),

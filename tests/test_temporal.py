@@ -247,3 +247,26 @@ def test_conversations_of_one_text_are_parked_each(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = entry.queries()["parked_captures"](spark, str(tmp_path)).collect()
     assert {r.conv_id for r in got} == {1, 2} and len(got) == 2 and len({r.digest for r in got}) == 1
+
+
+def test_listed_members_are_selected_without_the_whole_listing(spark, rows, monkeypatch):
+    import random
+
+    from lorekeep.operators import prompts as PR
+
+    rng = random.Random(6)
+    titles = [f"t{k}" for k in range(60)]
+    listing = rows([(d, k, rng.choice(titles)) for d in "abc" for k in range(80)], "domain string, pos long, title string")
+    routes = rows([(q, n, d) for q in range(8) for n, d in enumerate(rng.sample("abc", 1 + q % 3))], "query_id long, domain_seq int, domain string")
+    found = rows([(q, t, n) for q in range(1, 9) for n, t in enumerate(rng.sample(titles + ["x", "y"], 5), 1)], "query_id long, title string, rank int")
+    whole = routes.join(listing, "domain").select("query_id", "domain_seq", "pos", "title")
+    want = sorted(map(tuple, PR.select_members(whole, found, 4).collect()))
+    met, select = [], PR.select_members
+
+    def counted(routed, *rest):
+        met.append(routed.count())
+        return select(routed, *rest)
+
+    monkeypatch.setattr(PR, "select_members", counted)
+    assert sorted(map(tuple, PR.select_listed(routes, listing, found, 4).collect())) == want and want
+    assert met[0] <= routes.count() * (4 + 5 + 5) < whole.count()
