@@ -316,6 +316,23 @@ def test_quoted_passages_stay_and_comments_are_no_article(spark):
     assert got == {k: prose(200 + k, 30) for k in range(40)} | {3: f"{quote} {prose(203, 30)}", 4: quote}
 
 
+def test_template_runs_come_from_suffix_arrays(spark):
+    rng = random.Random(5)
+    menu = "<div>one two three four five six seven eight</div>"
+    htmls = [f"<body>{menu if k % 3 else ''}<p>{' '.join(rng.choice('abc') for _ in range(rng.randrange(30)))}</p></body>" for k in range(30)]
+    rows = [(k, f"http://h{k % 2}.org/{k}", x) for k, x in enumerate([*htmls, htmls[0], htmls[2], ""])]
+    want = set()
+    for host in (0, 1):
+        streams = {tuple(t for _, _, t in mainhtml.stream_of(mainhtml.blocks_of(x))) for k, _, x in rows if k % 2 == host}
+        runs = Counter(h for s in streams for h in set(mainhtml.suffixes_of([(0, 0, t) for t in s], 6)))
+        want |= {(f"h{host}.org", h) for h, n in runs.items() if n > 1 and n >= 0.1 * len(streams)}
+        hashes, n = mainhtml.repeated_runs([list(s) for s in streams], 6)
+        assert dict(zip(hashes, n.tolist(), strict=True)) == runs
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (300_000, 100):  # one shard a host, and several
+        assert {tuple(r) for r in mainhtml.template_runs(pages, shard=shard).collect()} == want and len(want) > 4
+
+
 # -- quality
 
 
