@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.operators import skew
 from lorekeep.operators.search import topk
-from lorekeep.session import checkpoint, written
+from lorekeep.session import written
 
 MIN_SUPPORT = 3
 PROMOTION_SUPPORT = 8
@@ -134,31 +134,32 @@ def transitive_witnesses(edges: DataFrame) -> DataFrame:
 
 
 def witness_rows(edges: DataFrame, types: DataFrame) -> DataFrame:
-    """property, type_id, value, sources, example, order: every witness of every property."""
+    """property, type_id, value, l, r, a, b, c: every witness of every property, by its relations l and r and its titles in order."""
     active = types.where("status = 'active'").select(F.col("name").alias("relation"), "type_id")
-    arrow = lambda s, r, t: F.concat(s, F.lit(" -["), r, F.lit("]-> "), t)
-    s, t, m, r = F.col("source"), F.col("target"), F.col("middle"), F.col("relation")
+    tail = ["l", "r", "a", "b", "c"]
+    names = lambda l, r, *titles: [x.alias(n) for x, n in zip((F.col(l), F.col(r), *titles), tail, strict=True)]  # noqa: E731, E741
+    s, t, m, none = F.col("source"), F.col("target"), F.col("middle"), F.lit("")
     inverse = inverse_witnesses(edges, types).select(
         F.lit("inverse_of").alias("property"), F.col("left_type").alias("type_id"),
-        F.col("right_type").alias("value"), F.array(s, t).alias("sources"),
-        F.concat(arrow(s, F.col("left_name"), t), F.lit(" and "), arrow(t, F.col("right_name"), s)).alias("example"),
-        F.struct(s.alias("a"), t.alias("b"), F.lit("").alias("c")).alias("order"),
+        F.col("right_type").alias("value"), *names("left_name", "right_name", s, t, none),
     )
     transitive = transitive_witnesses(edges).join(active, "relation").select(
-        F.lit("transitive").alias("property"), "type_id", F.lit("").alias("value"),
-        F.array(s, m).alias("sources"),
-        F.concat(arrow(s, r, m), F.lit(" -["), r, F.lit("]-> "), t, F.lit(" witnessed by "), edge_ref(s, r, t)).alias("example"),  # noqa: E501
-        F.struct(s.alias("a"), m.alias("b"), t.alias("c")).alias("order"),
-    )
+        F.lit("transitive").alias("property"), "type_id", none.alias("value"), *names("relation", "relation", s, m, t)
+    )
     symmetric = symmetric_witnesses(edges).join(active, "relation").select(
-        F.lit("symmetric").alias("property"), "type_id", F.lit("").alias("value"),
-        F.array(s, t).alias("sources"),
-        F.concat(arrow(s, r, t), F.lit(" and "), arrow(t, r, s)).alias("example"),
-        F.struct(s.alias("a"), t.alias("b"), F.lit("").alias("c")).alias("order"),
-    )
+        F.lit("symmetric").alias("property"), "type_id", none.alias("value"), *names("relation", "relation", s, t, none)
+    )
     return inverse.unionByName(transitive).unionByName(symmetric)
 
 
+def witness_text() -> Column:
+    """A row of ``witness_rows`` as it is shown."""
+    arrow = lambda s, r, t: F.concat(s, F.lit(" -["), r, F.lit("]-> "), t)
+    left, r, a, b, c = (F.col(x) for x in ("l", "r", "a", "b", "c"))
+    third = F.concat(arrow(a, r, b), F.lit(" -["), r, F.lit("]-> "), c, F.lit(" witnessed by "), edge_ref(a, r, c))
+    return F.when(F.col("property") == "transitive", third).otherwise(F.concat(arrow(a, left, b), F.lit(" and "), arrow(b, r, a)))
+
+
 def property_candidates(
     edges: DataFrame, types: DataFrame, known: DataFrame | None = None,
     min_support: int = PROMOTION_SUPPORT, min_notes: int = PROMOTION_NOTES,
@@ -168,20 +169,20 @@ def property_candidates(
     ``known`` is (property, type_id, value) of candidates already open or active.
     """
     keys = ["property", "type_id", "value"]
-    rows = checkpoint(witness_rows(edges, types))  # read three times below
+    rows = written(witness_rows(edges, types))  # read three times below, by columns
     support = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"))
     notes = (
-        rows.select(*keys, F.explode("sources").alias("note")).groupBy(*keys)
+        rows.select(*keys, F.explode(F.array("a", "b")).alias("note")).groupBy(*keys)
         .agg(F.count_distinct("note").alias("distinct_notes"))
     )
-    shown = topk(rows, keys, [F.asc("order")], 3).groupBy(*keys).agg(
+    shown = topk(rows, keys, [F.asc("a"), F.asc("b"), F.asc("c")], 3).withColumn("example", witness_text()).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "example"))), lambda e: e["example"]).alias("examples")
     )
     found = (
         support.join(notes, keys)
         .where((F.col("support") >= min_support) & (F.col("distinct_notes") >= min_notes))
         .join(_known_properties(types, known), keys, "left_anti")
-        .join(shown, keys)
+        .join(shown, keys, "left")  # every candidate has witnesses; without this column Spark need not sort them
     )
     suffix = F.when(F.col("value") == "", "").otherwise(F.concat(F.lit(":"), "value"))
     return found.select(

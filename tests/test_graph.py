@@ -183,3 +183,15 @@ def test_edges_are_not_dealt_out_by_their_few_relations(spark, rows):
     plan = typed._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert typed.count() == 1000
+
+
+def test_witnesses_are_not_sorted_for_examples_nobody_asks_for(spark, rows):
+    names = ["knows", "part of"]
+    types = rows([(k, n, f"rel:{n}", "active", False, False, "") for k, n in enumerate(names)], "seq int, name string, type_id string, status string, transitive boolean, symmetric boolean, inverse_of string")
+    pairs = [(f"a{k}", f"b{k}") for k in range(9)]
+    told = [(s, "knows", t) for s, t in pairs] + [(t, "knows", s) for s, t in pairs]
+    edges = rows(told, "source string, relation string, target string")
+    found = ON.property_candidates(edges, types)
+    assert [(r.property, r.support, r.distinct_notes, r.examples[0]) for r in found.collect()] == [("symmetric", 9, 18, "a0 -[knows]-> b0 and b0 -[knows]-> a0")]
+    plan = found.drop("examples")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Window" in found._jdf.queryExecution().optimizedPlan().toString()
