@@ -603,7 +603,7 @@ def _liftable(hits: DataFrame, both: DataFrame, decay: float, k: int) -> DataFra
     barred = hits.join(bars, "query_id")
     near = barred.where(F.col("score") + decay * F.col("most") >= F.col("bar")).select("query_id", "title")
     alone = barred.where(decay * F.col("score") >= F.col("bar")).select("query_id", F.col("title").alias("source"))
-    lifted = alone.join(both, "source").select("query_id", F.col("target").alias("title"))
+    lifted = alone.join(both.hint("merge"), "source").select("query_id", F.col("target").alias("title"))
     return near.unionByName(lifted).distinct()
 
 
@@ -611,20 +611,26 @@ def propagate_scores(hits: DataFrame, edges: DataFrame, decay: float, k: int | N
     """query_id, title, score: each hit lends decay * score to its neighbours, best source wins.
 
     With ``k`` only titles that can be among the best k of a query come back, with their whole scores; scores are then
-    zero or more, and ``hits`` is read several times.
+    zero or more, and ``hits`` is read several times. Tables that grow with the hits are merged, never broadcast: a
+    small file of numbers is many times as large on the driver.
     """
     both = edges.select("source", "target").unionByName(
         edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     )
     own = hits.select("query_id", "title", "score")
-    if k is None:
-        lent = own.join(both, own.title == both.source).select("query_id", F.col("target").alias("title"), "score")
-    else:
+    if k is not None:
         both = written(both.distinct())
         few = written(_liftable(own, both, decay, k))
-        asked = written(few.join(both.select(F.col("source").alias("title"), F.col("target").alias("lender")), "title"))
-        lent = own.withColumnRenamed("title", "lender").join(asked, ["query_id", "lender"]).select("query_id", "title", "score")
-        own = own.join(few, ["query_id", "title"], "left_semi")
+        asked = few.join(both.select(F.col("source").alias("title"), F.col("target").alias("holder")).hint("merge"), "title")
+        kept = few.select("query_id", "title", F.col("title").alias("holder"), F.lit(False).alias("lends"))
+        wanted = kept.unionByName(asked.withColumn("lends", F.lit(True)))
+        met = own.withColumnRenamed("title", "holder").join(wanted.hint("merge"), ["query_id", "holder"])
+        summed = met.groupBy("query_id", "title").agg(
+            F.sum(F.when(~F.col("lends"), F.col("score"))).alias("own"), (F.max(F.when(F.col("lends"), F.col("score"))) * decay).alias("lent")
+        )
+        score = F.when(F.col("own").isNull(), F.col("lent")).otherwise(F.col("own") + F.coalesce("lent", F.lit(0.0)))
+        return summed.select("query_id", "title", score.alias("score"))
+    lent = own.join(both, own.title == both.source).select("query_id", F.col("target").alias("title"), "score")
     spread = lent.groupBy("query_id", "title").agg((F.max("score") * decay).alias("score"))
     return own.unionByName(spread).groupBy("query_id", "title").agg(F.sum("score").alias("score"))
 

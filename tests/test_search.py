@@ -296,6 +296,22 @@ def test_bounded_propagation_has_the_best_titles_with_whole_scores(rows, decay):
     assert many < whole
 
 
+def test_bounded_propagation_broadcasts_no_table_that_grows(rows):
+    hits = rows([(q, t, (t + 1.0) / 9) for q in range(2) for t in range(9)], "query_id long, title long, score double")
+    edges = rows([(t, "t", t + 1) for t in range(9)], "source long, type string, target long")
+    found = S.propagate_scores(hits, edges, 0.4, 2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query_id, r.title, round(r.score, 6)) for r in found.where("title = 8").collect()} == {(q, 8, round(1 + 0.4 * 8 / 9, 6)) for q in range(2)}
+
+
+def test_bounded_propagation_with_null_scores_and_titles(rows):
+    hits = rows([(1, 1, None), (1, 2, 0.5), (1, None, 0.9), (1, 3, 0.4), (2, 4, None)], "query_id long, title long, score double")
+    edges = rows([(1, "t", 2), (2, "t", 3), (None, "t", 3), (4, "t", 5)], "source long, type string, target long")
+    best = lambda k: S.topk(S.propagate_scores(hits, edges, 0.4, k).where("title is not null"), ["query_id"], [S.best("score"), F.asc("title")], 2).collect()
+    told = lambda k: {(r.query_id, r.title, r.score) for r in best(k) if r.score is not None}
+    assert told(2) == told(None) != set()
+
+
 def test_substring_counts_of_odd_rows(spark, rows, asked):
     """Blocks of queries, rows that share an id, null ids and texts, ties: as a plain count over the grouped rows."""
     texts = [(k, f"Aa b{'an' * (k % 4)} nana aab") for k in range(12)] + [(3, "aa aa"), (None, "aan"), (None, "xx aa"), (20, None), (21, "")]
