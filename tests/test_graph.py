@@ -159,6 +159,21 @@ def test_tiles_make_every_pair_of_a_hot_key_once(spark):
     assert got.columns == ["k", "n", "m"] and tiles.count() > 1
 
 
+def test_tiles_keep_the_rows_of_one_link_together_and_hot_keys_first(spark):
+    key = lambda hot: F.when(F.col("id") < hot, "hot").otherwise(F.concat(F.lit("a"), F.col("id").cast("string"))).alias("k")
+    left, right = spark.range(60).select(F.col("id").alias("m"), key(40)), spark.range(320).select(F.col("id").alias("n"), key(30)).union(
+        spark.range(300).select(F.col("id"), F.lit("hot"))
+    )
+    got = skew.product(left, right, "k", 4, 100).select("k", "m", "n", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.k, r.m, r.n) for r in got) == sorted((r.k, r.m, r.n) for r in left.join(right, "k").collect())
+    places = [(r.part, r.m) for r in got if r.k == "hot"]
+    starts = sum(x != y for x, y in zip(places, [None, *places], strict=False))
+    assert starts <= 40 * 4  # 330 rows of the right side lie in four columns of tiles
+    for part in {r.part for r in got}:
+        kinds = [r.k == "hot" for r in got if r.part == part]
+        assert kinds == sorted(kinds, reverse=True)
+
+
 def test_links_of_equal_place_keep_the_largest_target(rows):
     links = rows([("n", "T", 0, "a", t) for t in ("x", "z", "y")], "note_id string, title string, pos int, anchor string, target string")
     registry = rows([(t, t.upper()) for t in "xyz"], "key string, title string")
