@@ -125,6 +125,8 @@ def merge_blocks(blocks: DataFrame, size: int = 512) -> DataFrame:
                     yield merged(held)
                     held, n = [], 0
                 if live:
+                    if 2 * live < len(block["notes"]):  # a copy of what lives, else the dead rest of its batch is held too
+                        block = {**next(_rows(merged([block]))), "gone": pa.array([], pa.int32())}
                     held.append(block)
                     n += live
         if held:

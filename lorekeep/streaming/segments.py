@@ -24,6 +24,7 @@ from lorekeep.operators import skew
 from lorekeep.operators.blocks import build_blocks, merge_blocks
 from lorekeep.session import written
 
+GROUP = 8  # blocks in a row group, of about 2 MB each
 _LENGTHS = ("haystack", "tri_title", "tri_summary", "accented")
 
 
@@ -71,7 +72,8 @@ def _live(spark: SparkSession, folder: str, kind: str, segs: list[str], dead: Da
 
 def _store(blocks: DataFrame, members: DataFrame, folder: str, seg: str) -> int:
     numbered = blocks.withColumn("block", F.monotonically_increasing_id())
-    numbered.write.mode("overwrite").parquet(f"{folder}/blocks/{seg}")
+    # a reader unpacks a whole row group at once
+    numbered.write.mode("overwrite").option("parquet.block.row.count.limit", str(GROUP)).parquet(f"{folder}/blocks/{seg}")
     members.write.mode("overwrite").parquet(f"{folder}/members/{seg}")
     return members.sparkSession.read.parquet(f"{folder}/members/{seg}").count()
 

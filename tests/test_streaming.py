@@ -155,3 +155,39 @@ def test_registered_queries_have_known_operators(spark, small):
     assert set(oracle) <= set(queries) <= set(entry.queries())
     assert all(re.fullmatch(r"[A-Z]{1,2}\d+", c) for codes in covers.values() for c in codes)
     assert entry.entry(spark).select(F.count(F.lit(1))).first()[0] > 0
+
+
+def test_blocks_are_stored_and_read_a_few_at_a_time(spark, rows, tmp_path):
+    """One row group, and one Arrow batch, hold few blocks however many a file has."""
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+
+    from lorekeep.operators.blocks import build_blocks
+    from tests.test_temporal import note
+
+    notes = rows([note(f"n{k:02d}", f"Title {k}") for k in range(30)], SC.NOTES).coalesce(1)
+    SG._store(build_blocks(notes, 1), SG._members(notes), str(tmp_path), "b0")
+    files = list(ds.dataset(f"{tmp_path}/blocks/b0").get_fragments())
+    groups = [g.num_rows for f in files for g in f.row_groups]
+    assert sum(groups) == 30 and max(groups) <= SG.GROUP
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"])
+
+    wide = spark.range(0, 60, 1, 1).select(F.expr("repeat('x', 2000000)").alias("text"))
+    told = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(told) == 60 and max(told) <= 9
+
+
+def test_blocks_of_mostly_dead_notes_are_merged(spark, rows):
+    from lorekeep.operators.blocks import build_blocks, merge_blocks
+    from tests.test_temporal import note
+
+    notes = rows([note(f"n{k:02d}", f"Title {k} word{k % 7}", summary=f"sum {k}") for k in range(40)], SC.NOTES).coalesce(1)
+    gone = F.expr("case when array_contains(notes, 'n39') then array(3) else array(0, 2, 3, 4) end")
+    some = merge_blocks(build_blocks(notes, 5).withColumn("gone", gone), 12)
+    alive = notes.where("note_id in ('n35', 'n36', 'n37', 'n39') or int(substr(note_id, 2)) % 5 = 1")
+    cols = ["field", "term", "note_id", "tf", "dl", "hay_len"]
+    want = I.build_postings(alive).select(*cols).collect()
+    assert sorted(map(tuple, postings_of(some).select(*cols).collect())) == sorted(map(tuple, want))
