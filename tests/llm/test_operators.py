@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import bitslice, chat, decontaminate, langid, mainhtml, mixing, pq, quality, simhash, tokens, toxicity
 
@@ -511,3 +512,34 @@ def test_order_of_shingles_counts_all_texts(spark):
         prefix = simhash.prefix_of(runs(text), *common, 0.8, tables)
         assert len(prefix) == 21 and not np.isin(shared, prefix).any()
     assert simhash.often_shared(docs, "text", 5) == []
+
+
+@pytest.mark.parametrize("shard", [300_000, 120])
+def test_article_template_is_what_most_articles_of_a_host_share(spark, shard):
+    """Every page has an article: a plain count over all runs tells the template, in one shard and in several."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    share, quoted, rows = "share this story with all of your friends today", words(12), []
+    for k in range(40):
+        own = [words(20), words(15)]
+        own += [share] if k % 2 == 0 and k != 38 else []  # host 0: 19 of 20 articles
+        own += [quoted] if k % 10 == 1 else []  # host 1: four of 20
+        body = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((k, f"http://h{k % 2}/{k}", f"<nav>menu {k}</nav><article>{body}</article>", " ".join(x for x in own if x != share)))
+    rows += [(100 + k, "http://h0/copy", rows[1][2].replace("menu", "other"), rows[1][3]) for k in range(60)]  # equal articles are one
+    rows += [(200 + k, "http://small/x", f"<article><p>{share}</p><p>own {k}</p></article>", f"{share} own {k}") for k in range(4)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = set()
+    for host in ("h0", "h1", "small"):
+        streams = {tuple(mainhtml.article_stream(mainhtml.blocks_of(x)).split(" ")) for _, u, x, _ in rows if f"//{host}/" in u}
+        runs = Counter(h for s in streams for h in set(mainhtml.suffixes_of([(0, 0, t) for t in s], 6)))
+        want |= {(host, h) for h, n in runs.items() if n >= 0.5 * len(streams) and n >= 5}
+    found = mainhtml.article_runs(pages, shard=shard).select("host", F.explode("runs")).collect()
+    assert sorted(map(tuple, found)) == sorted(want) and {h for h, _ in want} == {"h0"}
+    assert {r.page_id: r.text for r in mainhtml.main_text(pages).collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_article_of_template_only_stays(spark):
+    rows = [(k, "http://h/x", f"<article><p>one two three four five six seven</p>{f'<p>{prose(k, 9)}</p>' if k else ''}</article>") for k in range(8)]
+    got = {r.page_id: r.text for r in mainhtml.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "one two three four five six seven"} | {k: prose(k, 9) for k in range(1, 8)}
